@@ -102,7 +102,7 @@ def feature_table(hourly: DataFrame, parameters=None, target: str = TARGET, seri
 
 def sequence_windows(hourly: DataFrame, parameters=None, target: str = TARGET, series_cols=(),
                      seq_length: int = SEQ_LENGTH, block: int = DEFAULT_BLOCK_HOURS,
-                     with_x: bool = True) -> DataFrame:
+                     with_x: bool = True, keep=()) -> DataFrame:
     """One row per window: ``ts``/``y`` of row i+T and ``x`` = the T
     preceding feature rows (all columns but the target) as an array of
     structs, built by ``collect_list`` over a ``rowsBetween(-T, -1)`` frame.
@@ -110,7 +110,8 @@ def sequence_windows(hourly: DataFrame, parameters=None, target: str = TARGET, s
     After gap fill, NULL rows only occur at the start (lags) and end (long
     trailing gaps) of a series, so valid feature rows are contiguous and a
     positional window equals the T preceding hours; windows are kept when
-    all T rows are present and contiguous.
+    all T rows are present and contiguous.  ``keep`` carries columns of row
+    i+T itself (e.g. its lag features for naive forecasts).
     """
     params = list(parameters or PARAMETERS)
     T = int(seq_length)
@@ -118,7 +119,7 @@ def sequence_windows(hourly: DataFrame, parameters=None, target: str = TARGET, s
     fr = block_window(series_cols).rowsBetween(-T, -1)
     xin = input_columns(params, target)
     cols = [*series_cols, "pos", F.col("datetime").alias("ts"), F.col(target).alias("y"),
-            F.count(F.lit(1)).over(fr).alias("_n"), F.min("pos").over(fr).alias("_p0"), "_own"]
+            *keep, F.count(F.lit(1)).over(fr).alias("_n"), F.min("pos").over(fr).alias("_p0"), "_own"]
     if with_x:
         cols.append(F.collect_list(F.struct(*[F.col(c) for c in xin])).over(fr).alias("x"))
     w = f.select(*cols)

@@ -1,5 +1,77 @@
-"""Streaming queries registry (filled in by the streaming module)."""
+"""Registered streaming queries (rows-only check: stream semantics such as
+open windows above the watermark have no SQL oracle).  Each query runs the
+stream over all available files into a parquet sink under the shared
+checkpoint folder and returns the sink as a batch DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensorspark.plans.catalog import AS_OF, RETENTION_DAYS, finalize
+from sensorspark.session import ensure_utc
+from sensorspark.streaming import ingest as ST
+
+
+def _run(spark: SparkSession, name: str, df: DataFrame, mode: str = "append") -> DataFrame:
+    d = ST.new_run_dir(spark, name)
+    ST.run_to_parquet(df, f"{d}/out", f"{d}/ckpt", mode)
+    return spark.read.parquet(f"{d}/out")
+
+
+def q_stream_ingest(spark, sf):
+    ensure_utc(spark)
+    m = ST.stream_measurements(spark, sf)
+    out = _run(spark, "ingest", m)
+    return out.groupBy("parameter").agg(F.count(F.lit(1)).alias("rows"), F.max("datetime").alias("watermark"))
+
+
+def q_stream_dedup(spark, sf):
+    ensure_utc(spark)
+    m = ST.stream_measurements(spark, sf)
+    m = m.filter(F.col("parameter").isin("pm25", "pm10", "no2", "o3"))
+    return _run(spark, "dedup", ST.dedup_stream(m)).select("datetime", "parameter", "location")
+
+
+def q_stream_hourly(spark, sf):
+    ensure_utc(spark)
+    d = ST.new_run_dir(spark, "hourly")
+    return spark.read.parquet(ST.run_hourly(spark, ST.stream_measurements(spark, sf), d))
+
+
+def q_stream_sliding(spark, sf):
+    ensure_utc(spark)
+    return _run(spark, "sliding", ST.sliding_stream(ST.stream_measurements(spark, sf)))
+
+
+def q_stream_late(spark, sf):
+    ensure_utc(spark)
+    m = ST.late_filter(ST.stream_measurements(spark, sf), AS_OF, RETENTION_DAYS)
+    return _run(spark, "late", m).select("datetime", "parameter", "location", "arrival")
+
+
+def q_stream_upsert(spark, sf):
+    ensure_utc(spark)
+    d = ST.new_run_dir(spark, "upsert")
+    m = ST.stream_measurements(spark, sf).filter(F.col("parameter").isin("pm25", "pm10", "no2", "o3"))
+    ST.run_upsert(m, f"{d}/merged", f"{d}/ckpt")
+    return spark.read.parquet(f"{d}/merged").select("datetime", "parameter", "location", "value", "arrival")
+
+
+QUERIES = {
+    "stream_ingest": q_stream_ingest,
+    "stream_dedup": q_stream_dedup,
+    "stream_hourly": q_stream_hourly,
+    "stream_sliding": q_stream_sliding,
+    "stream_late": q_stream_late,
+    "stream_upsert": q_stream_upsert,
+}
 
 
 def registered() -> dict:
-    return {}
+    def wrap(fn):
+        def run(spark, sf_dir):
+            return finalize(fn(spark, sf_dir))
+        run.__name__ = fn.__name__
+        return run
+    return {k: wrap(v) for k, v in QUERIES.items()}

@@ -32,15 +32,13 @@ def pos_hour(pos: Column) -> Column:
 
 def add_blocks(df: DataFrame, block: int, halo: int, pos_col: str = "pos") -> DataFrame:
     """Add ``_blk`` (the block this copy belongs to) and ``_own`` (the row
-    lies in that block).  Rows in the last ``halo`` positions of a block get a
-    second copy for the following block.  ``halo`` must not exceed ``block``."""
-    if halo > block:
-        raise ValueError("halo must not exceed block size")
+    lies in that block).  A row is also copied into every later block whose
+    first ``halo`` preceding positions include it, i.e. blocks
+    ``b+1 .. floor((pos + halo) / block)``."""
     p = F.col(pos_col)
     b = F.floor(p / F.lit(block)).cast("bigint")
-    tail = F.pmod(p, F.lit(block)) >= F.lit(block - halo)
-    blks = F.when(tail, F.array(b, b + 1)).otherwise(F.array(b)) if halo > 0 else F.array(b)
-    return (df.withColumn("_blk", F.explode(blks))
+    last = F.floor((p + F.lit(int(halo))) / F.lit(block)).cast("bigint")
+    return (df.withColumn("_blk", F.explode(F.sequence(b, last)))
               .withColumn("_own", F.col("_blk") == b))
 
 

@@ -1,9 +1,9 @@
 """Feature table and sliding windows.
 
 All row windows run on the ``(series, block)`` partitioning created by the
-gap fill: lags, rolling frames, the NULL filter and the T-row windows are one
-stage after one exchange.  Halo size = gap look-back (9) + longest feature
-look-back (72) [+ T when windows are cut in the same pass].
+gap fill: lags, rolling frames and the NULL filter are one stage after one
+exchange (halo = gap look-back 9 + longest feature look-back 72).  Windows
+are cut from the (much smaller) feature table with a halo of T rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from sensorspark.constants import (CROSS_LAGS, CROSS_PARAMS, PARAMETERS, ROLLING_WINDOWS, SEQ_LENGTH,
                                    TARGET, TARGET_LAGS)
-from sensorspark.operators.blocks import DEFAULT_BLOCK_HOURS, block_window
+from sensorspark.operators.blocks import DEFAULT_BLOCK_HOURS, add_blocks, block_window
 from sensorspark.operators.resample import GAP_LOOKBACK, blocked_grid
 
 CYCLIC = ["hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos"]
@@ -62,10 +62,10 @@ def feature_lookback() -> int:
     return max(max(TARGET_LAGS), max(CROSS_LAGS), max(ROLLING_WINDOWS) - 1)
 
 
-def _features_blocked(hourly: DataFrame, parameters, target, series_cols, block, extra_halo,
+def _features_blocked(hourly: DataFrame, parameters, target, series_cols, block,
                       allow_backfill=True) -> DataFrame:
     params = list(parameters or PARAMETERS)
-    halo = GAP_LOOKBACK + feature_lookback() + extra_halo
+    halo = GAP_LOOKBACK + feature_lookback()
     g = blocked_grid(hourly, params, series_cols, block, halo, allow_backfill)
     wb = block_window(series_cols)
     y = F.col(target)
@@ -96,26 +96,28 @@ def feature_table(hourly: DataFrame, parameters=None, target: str = TARGET, seri
     """Gap-filled hourly table + W1-W4 + F1, rows with NULLs dropped.
     Input: the hourly wide table (``hourly_wide``)."""
     params = list(parameters or PARAMETERS)
-    f = _features_blocked(hourly, params, target, series_cols, block, 0, allow_backfill)
+    f = _features_blocked(hourly, params, target, series_cols, block, allow_backfill)
     return f.filter("_own").select(*series_cols, "pos", "datetime", *feature_columns(params, target))
 
 
-def sequence_windows(hourly: DataFrame, parameters=None, target: str = TARGET, series_cols=(),
+def sequence_windows(features: DataFrame, parameters=None, target: str = TARGET, series_cols=(),
                      seq_length: int = SEQ_LENGTH, block: int = DEFAULT_BLOCK_HOURS,
                      with_x: bool = True, keep=()) -> DataFrame:
     """One row per window: ``ts``/``y`` of row i+T and ``x`` = the T
     preceding feature rows (all columns but the target) as an array of
     structs, built by ``collect_list`` over a ``rowsBetween(-T, -1)`` frame.
 
-    After gap fill, NULL rows only occur at the start (lags) and end (long
-    trailing gaps) of a series, so valid feature rows are contiguous and a
-    positional window equals the T preceding hours; windows are kept when
-    all T rows are present and contiguous.  ``keep`` carries columns of row
-    i+T itself (e.g. its lag features for naive forecasts).
+    Input is the feature table (with ``pos``).  It is re-blocked by
+    ``(series, block)`` with a halo of T rows, so a long series is cut into
+    windows by many tasks.  After gap fill, NULL rows only occur at the start
+    (lags) and end (long trailing gaps) of a series, so valid feature rows are
+    contiguous and a positional window equals the T preceding hours; windows
+    are kept when all T rows are present and contiguous.  ``keep`` carries
+    columns of row i+T itself (e.g. its lag features for naive forecasts).
     """
     params = list(parameters or PARAMETERS)
     T = int(seq_length)
-    f = _features_blocked(hourly, params, target, series_cols, block, T)
+    f = add_blocks(features, block, T).repartition(*series_cols, "_blk")
     fr = block_window(series_cols).rowsBetween(-T, -1)
     xin = input_columns(params, target)
     cols = [*series_cols, "pos", F.col("datetime").alias("ts"), F.col(target).alias("y"),

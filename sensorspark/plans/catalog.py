@@ -28,7 +28,7 @@ from sensorspark.operators.features import (CYCLIC, feature_columns, feature_tab
 from sensorspark.plans import forecast as FC
 from sensorspark.operators.blocks import join_series_stats
 from sensorspark.plans import runs as RU
-from sensorspark.session import ensure_utc
+from sensorspark.session import ensure_utc, materialize
 from sensorspark.sources import measurements as S
 
 AS_OF = "2024-01-31 00:00:00"
@@ -83,12 +83,13 @@ def hourly(spark, sf):
 
 
 def features(spark, sf):
-    return feature_table(hourly(spark, sf))
+    """The feature table, checkpointed: many queries reuse it several times."""
+    return materialize(feature_table(hourly(spark, sf)))
 
 
 def split_windows(spark, sf, with_x=False):
-    w = sequence_windows(hourly(spark, sf), with_x=with_x, keep=[LAG1, LAG24])
-    return W.chrono_split(w)
+    w = sequence_windows(features(spark, sf), with_x=with_x, keep=[LAG1, LAG24])
+    return materialize(W.chrono_split(w))
 
 
 def shards(spark, sf):
@@ -213,7 +214,7 @@ def q_dropna_features(spark, sf):
 
 
 def q_sequence_windows(spark, sf):
-    w = sequence_windows(hourly(spark, sf), with_x=True)
+    w = sequence_windows(features(spark, sf), with_x=True)
     x = F.col("x")
     return w.select("ts", "y", F.size(x).alias("n_steps"),
                     F.aggregate(x, F.lit(0.0), lambda a, s: a + s["pm10"]).alias("x_pm10_sum"),

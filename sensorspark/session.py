@@ -75,3 +75,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d.rstrip("/")
+
+
+def materialize(df):
+    """Cut a long lineage that several consumers share: a reliable
+    ``checkpoint()`` into the shared checkpoint folder (survives executor
+    loss; never a machine-local folder on a cluster)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -74,7 +74,7 @@ def test_windows_split_and_scaler(spark):
     X = exp[input_columns()].to_numpy()
     y = exp["pm25"].to_numpy()
     n = len(X) - T
-    got = W.chrono_split(sequence_windows(hourly, block=64)).orderBy("ts").toPandas()
+    got = W.chrono_split(sequence_windows(feature_table(hourly, block=64), block=64)).orderBy("ts").toPandas()
     assert len(got) == n
     np.testing.assert_allclose(got["y"].to_numpy(dtype=float), y[T:])
     first = np.array([r[0]["pm10"] for r in got["x"]])
@@ -97,7 +97,7 @@ def test_window_boundaries(spark):
     # valid feature rows = hours - 72; T = 3: 3 rows -> no window, 4 rows -> one
     for hours, expected in ((75, 0), (76, 1)):
         pdf = _wide(hours, gaps=False)
-        got = sequence_windows(_to_spark(spark, pdf), seq_length=3).count()
+        got = sequence_windows(feature_table(_to_spark(spark, pdf)), seq_length=3).count()
         assert got == expected
 
 

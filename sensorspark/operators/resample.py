@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from sensorspark.constants import FFILL_LIMIT, INTERP_LIMIT, PARAMETERS
 from sensorspark.operators.blocks import (DEFAULT_BLOCK_HOURS, add_blocks, block_window,
                                           hour_pos, pos_hour, series_window)
+from sensorspark.session import materialize
 
 GAP_LOOKBACK = INTERP_LIMIT + FFILL_LIMIT   # 9: beyond this a gap takes the next value
 
@@ -100,7 +101,7 @@ def gap_fill_expr(p: str, wb_back, wb_fwd, nx: Column | None, allow_backfill: bo
 
 
 def blocked_grid(hourly: DataFrame, parameters=None, series_cols=(), block: int = DEFAULT_BLOCK_HOURS,
-                 halo: int = GAP_LOOKBACK, allow_backfill: bool = True) -> DataFrame:
+                 halo: int = GAP_LOOKBACK, allow_backfill: bool = True, checkpoint: bool = True) -> DataFrame:
     """J1 + W7/W8 on blocks: the full hour spine of each series (from its first
     to its last hour with a reading), values left-aligned onto it and gap
     filled.  Returns own and halo rows with ``_blk``/``_own``, partitioned by
@@ -111,9 +112,17 @@ def blocked_grid(hourly: DataFrame, parameters=None, series_cols=(), block: int
     list); the readings and the spine are unioned and aggregated per position
     after a single explicit ``(series, block)`` repartition, which also serves
     every window that follows.
+
+    The hourly table feeds the spine bounds, the block summary and the grid;
+    column pruning makes these three different plans (no exchange reuse), so
+    with ``checkpoint`` it is written once to the shared checkpoint folder and
+    the raw readings are scanned exactly once.  It holds at most
+    ``#series x #hours`` rows.
     """
     params = list(parameters or PARAMETERS)
     h = hourly.select(*series_cols, hour_pos(F.col("hour")).alias("pos"), *params)
+    if checkpoint:
+        h = materialize(h)
     bounds = h.groupBy(*series_cols).agg(F.min("pos").alias("_p0"), F.max("pos").alias("_p1"))
     spine = bounds.select(*series_cols, F.explode(F.sequence("_p0", "_p1")).alias("pos"),
                           *[F.lit(None).cast("double").alias(p) for p in params])
@@ -139,10 +148,13 @@ def gap_fill(hourly: DataFrame, parameters=None, series_cols=(), block: int = DE
     return g.filter("_own").select(*series_cols, "datetime", *params)
 
 
-def hour_spine(hourly: DataFrame, parameters=None, series_cols=(), block: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
-    """J1 alone: readings left-joined onto the full hour spine, gaps as NULL."""
+def hour_spine(hourly: DataFrame, parameters=None, series_cols=(), checkpoint: bool = True) -> DataFrame:
+    """J1 alone: readings left-joined onto the full hour spine, gaps as NULL
+    (the hourly table is checkpointed once, see ``blocked_grid``)."""
     params = list(parameters or PARAMETERS)
     h = hourly.select(*series_cols, hour_pos(F.col("hour")).alias("pos"), *params)
+    if checkpoint:
+        h = materialize(h)
     bounds = h.groupBy(*series_cols).agg(F.min("pos").alias("_p0"), F.max("pos").alias("_p1"))
     spine = bounds.select(*series_cols, F.explode(F.sequence("_p0", "_p1")).alias("pos"))
     out = spine.join(h, [*series_cols, "pos"], "left")

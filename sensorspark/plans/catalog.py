@@ -87,8 +87,9 @@ def features(spark, sf):
     return materialize(feature_table(hourly(spark, sf)))
 
 
-def split_windows(spark, sf, with_x=False):
-    w = sequence_windows(features(spark, sf), with_x=with_x, keep=[LAG1, LAG24])
+def split_windows(spark, sf, with_x=False, feats=None):
+    f = feats if feats is not None else features(spark, sf)
+    w = sequence_windows(f, with_x=with_x, keep=[LAG1, LAG24])
     return materialize(W.chrono_split(w))
 
 
@@ -206,8 +207,9 @@ def _feat_subset(cols):
 
 
 def q_dropna_features(spark, sf):
-    g = R.gap_fill(hourly(spark, sf))
-    f = features(spark, sf)
+    h = materialize(hourly(spark, sf))
+    g = R.gap_fill(h)
+    f = feature_table(h)
     a = g.agg(F.count(F.lit(1)).alias("spine_rows"))
     b = f.agg(F.count(F.lit(1)).alias("feature_rows"))
     return join_one(a, b).withColumn("dropped_rows", F.col("spine_rows") - F.col("feature_rows"))
@@ -311,7 +313,7 @@ def q_ar1_predict(spark, sf):
 
 def q_recursive_forecast(spark, sf):
     f = features(spark, sf)
-    model = FC.ar1_fit(split_windows(spark, sf))
+    model = FC.ar1_fit(split_windows(spark, sf, feats=f))
     return FC.ar1_recursive_forecast(f, model, 24)
 
 

@@ -549,6 +549,41 @@ def q_cyclic(spark, sf):
     return features(spark, sf).select("datetime", *CYCLIC)
 
 
+def _linear_scored(spark, sf):
+    """M2/M3: z-scored last-row features of each window -> pyspark.ml linear
+    regression on the train split (z-scored target) -> scores for all
+    windows, inverse-transformed to raw units."""
+    f = features(spark, sf)
+    sw = split_windows(spark, sf, with_x=True, feats=f)
+    cols = input_columns()
+    last = sw.select("ts", "y", "split", *[F.element_at("x", -1)[c].alias(c) for c in cols])
+    sc = W.fit_feature_scaler(f, cols, T_LEN)
+    scaled = W.scale_features(last, sc, cols)
+    ts = W.fit_target_scaler(sw)
+    # the fit makes several passes: cut the wide lineage once (this also keeps
+    # Catalyst's constraint propagation away from ~100 aliased columns)
+    scaled = materialize(W.scale_target(scaled, ts, col="y", out="y_scaled"))
+    va, model = FC.fit_linear_forecaster(scaled.filter(F.col("split") == "train"), cols)
+    scored = FC.batch_score(scaled, va, model)
+    return W.inverse_transform(scored, ts, col="pred_scaled", out="pred_linear")
+
+
+def q_linear_forecast(spark, sf):
+    p = _linear_scored(spark, sf).filter(F.col("split") == "test")
+    return MT.regression_metrics(p, "y", "pred_linear")
+
+
+def q_batch_score(spark, sf):
+    return _linear_scored(spark, sf).select("ts", "split", "y", "pred_linear")
+
+
+def q_recursive_forecast_general(spark, sf):
+    """M4 through the grouped-map recursion (coefficients from the AR(1) fit)."""
+    f = features(spark, sf)
+    m = FC.ar1_fit(split_windows(spark, sf, feats=f)).first()
+    return FC.recursive_forecast(f, {"intercept": m["ar_a"], 1: m["ar_phi"]}, 24)
+
+
 QUERIES = {
     "scan_measurements": q_scan_measurements,
     "standardize": q_standardize,
@@ -627,6 +662,13 @@ QUERIES = {
     "flatten_payloads": q_flatten_payloads,
 }
 
+# rows-only (model fitting / Python recursion): no oracle SQL
+QUERIES.update({
+    "linear_forecast": q_linear_forecast,
+    "batch_score": q_batch_score,
+    "recursive_forecast_general": q_recursive_forecast_general,
+})
+
 
 def registered() -> dict:
     """name -> callable(spark, sf_dir) returning the finalized DataFrame."""

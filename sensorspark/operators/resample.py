@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from sensorspark.constants import FFILL_LIMIT, INTERP_LIMIT, PARAMETERS
 from sensorspark.operators.blocks import (DEFAULT_BLOCK_HOURS, add_blocks, block_window,
-                                          hour_pos, pos_hour, series_window)
+                                          hour_pos, join_series_stats, pos_hour)
 from sensorspark.session import materialize
 
 GAP_LOOKBACK = INTERP_LIMIT + FFILL_LIMIT   # 9: beyond this a gap takes the next value
@@ -71,11 +71,12 @@ def _next_value_summary(h: DataFrame, bounds: DataFrame, params, series_cols, bl
     first_in_blk = blks.join(first_in_blk, [*series_cols, "_blk"], "left")
     later = (Window.partitionBy(*series_cols) if series_cols else Window.partitionBy(F.lit(0)))
     later = later.orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    allw = series_window(series_cols)
-    return first_in_blk.select(
+    nxt = first_in_blk.select(
         *series_cols, "_blk",
-        *[F.last(f"_f_{p}", ignorenulls=True).over(later).alias(f"_nx_{p}") for p in params],
-        *[F.max(F.col(f"_f_{p}").isNotNull()).over(allw).alias(f"_has_{p}") for p in params])
+        *[F.last(f"_f_{p}", ignorenulls=True).over(later).alias(f"_nx_{p}") for p in params])
+    has = first_in_blk.groupBy(*series_cols).agg(
+        *[F.max(F.col(f"_f_{p}").isNotNull()).alias(f"_has_{p}") for p in params])
+    return join_series_stats(nxt, has, series_cols)
 
 
 def gap_fill_expr(p: str, wb_back, wb_fwd, nx: Column | None, allow_backfill: bool = True) -> Column:

@@ -662,8 +662,16 @@ QUERIES = {
     "flatten_payloads": q_flatten_payloads,
 }
 
-# rows-only (model fitting / Python recursion): no oracle SQL
+def q_feature_table_panel(spark, sf):
+    """The feature chain at the per-location grain (the scalable panel):
+    spine, gap fill, lags and windows per location, blocked by time."""
+    h = R.hourly_wide(cleaned(spark, sf), series_cols=("location",))
+    return feature_table(h, series_cols=("location",)).drop("pos")
+
+
+# rows-only (model fitting / Python recursion / panel grain): no oracle SQL
 QUERIES.update({
+    "feature_table_panel": q_feature_table_panel,
     "linear_forecast": q_linear_forecast,
     "batch_score": q_batch_score,
     "recursive_forecast_general": q_recursive_forecast_general,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorspark.llm import host_reputation, packing, simhash
+from sensorspark.llm import (decontaminate, host_reputation, knn_quality, licenses, packing, pii_crf, simhash,
+                             syncmers)
 from sensorspark.llm.common import read_table
 
 URL_RULES = (
@@ -16,24 +17,50 @@ URL_RULES = (
 )
 
 
+def op2_syncmers(spark, sf_dir):
+    """Closed-syncmer fingerprints of every text and its half-edited text."""
+    return syncmers.compare_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark, sf_dir):
     """Every page judged by the url rules, else by its host's posterior bad rate."""
     return host_reputation.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict")
 
 
+def op4_knn_quality(spark, sf_dir):
+    """Quality score of every document; fold 0 of crc32 mod 5 is held out."""
+    return knn_quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.3, folds=5, held=0)
+
+
+def op6_decontaminate(spark, sf_dir):
+    """Every benchmark item found within its edit budget in a document."""
+    return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark, sf_dir):
     """SimHash (3-word shingles) components within 3 bits, one row a document."""
     nd = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return nd.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark, sf_dir):
+    """Personal data spans of every document: patterns and skip-chain CRF."""
+    return pii_crf.pii_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit(spark, sf_dir):
     """Every document's pieces in bins of 512 to 4096 tokens."""
     return packing.best_fit(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op7_simhash, op9_best_fit)}
+def op10_licenses(spark, sf_dir):
+    """Licence families of every document, confirmed against the notices."""
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_syncmers, op3_url_filter, op4_knn_quality, op6_decontaminate, op7_simhash, op8_pii, op9_best_fit,
+                                   op10_licenses)}
 
 _LEVEL = """greatest(0.001, least(0.999, (ss / (mean * (1 - mean)) - df) / (w - df)))"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorspark.llm import (decontaminate, host_reputation, knn_quality, licenses, packing, pii_crf, simhash,
-                             syncmers)
+                             suffix_dedup, syncmers)
 from sensorspark.llm.common import read_table
 
 URL_RULES = (
@@ -33,6 +33,11 @@ def op4_knn_quality(spark, sf_dir):
     return knn_quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.3, folds=5, held=0)
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    """Every document less the bytes of 400-byte strings that also start elsewhere."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), window=400)
+
+
 def op6_decontaminate(spark, sf_dir):
     """Every benchmark item found within its edit budget in a document."""
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -59,7 +64,7 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_syncmers, op3_url_filter, op4_knn_quality, op6_decontaminate, op7_simhash, op8_pii, op9_best_fit,
+QUERIES = {f.__name__: f for f in (op2_syncmers, op3_url_filter, op4_knn_quality, op5_suffix_dedup, op6_decontaminate, op7_simhash, op8_pii, op9_best_fit,
                                    op10_licenses)}
 
 _LEVEL = """greatest(0.001, least(0.999, (ss / (mean * (1 - mean)) - df) / (w - df)))"""

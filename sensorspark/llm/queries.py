@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorspark.llm import (decontaminate, host_reputation, knn_quality, licenses, packing, pii_crf, simhash,
-                             suffix_dedup, syncmers)
+from sensorspark.llm import (decontaminate, host_reputation, katz, knn_quality, licenses, packing, pii_crf,
+                             simhash, suffix_dedup, syncmers)
 from sensorspark.llm.common import read_table
 
 URL_RULES = (
@@ -17,6 +17,12 @@ URL_RULES = (
 )
 
 
+def op1_katz(spark, sf_dir):
+    """Every document's log10 probability under the Katz bigram model of the
+    training folds (crc32 mod 7 is not 2), beside the add-one unigram base."""
+    return katz.score(read_table(spark, sf_dir, "documents"), order=2, folds=7, held=2)
+
+
 def op2_syncmers(spark, sf_dir):
     """Closed-syncmer fingerprints of every text and its half-edited text."""
     return syncmers.compare_neighbours(read_table(spark, sf_dir, "documents"))
@@ -64,7 +70,7 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_syncmers, op3_url_filter, op4_knn_quality, op5_suffix_dedup, op6_decontaminate, op7_simhash, op8_pii, op9_best_fit,
+QUERIES = {f.__name__: f for f in (op1_katz, op2_syncmers, op3_url_filter, op4_knn_quality, op5_suffix_dedup, op6_decontaminate, op7_simhash, op8_pii, op9_best_fit,
                                    op10_licenses)}
 
 _LEVEL = """greatest(0.001, least(0.999, (ss / (mean * (1 - mean)) - df) / (w - df)))"""

@@ -58,7 +58,8 @@ def myers(pattern_masks: dict[str, int], m: int, text: str, limit: int) -> tuple
     of several), by Myers' bit-vector recurrence; distance limit + 1 if none
     is within ``limit``."""
     full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, limit + 1, -1
+    pv, mv, score = full, 0, m
+    best, end = (m, 0) if m <= limit else (limit + 1, -1)
     for at, c in enumerate(text):
         eq = pattern_masks.get(c, 0)
         xv = eq | mv

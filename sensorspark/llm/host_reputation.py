@@ -82,7 +82,7 @@ def _spread(level: DataFrame, parent: str, mean: float) -> float:
     if r.ss is None or not r.w or r.w - r.df <= 0:
         return 1000.0
     rho = (r.ss / (mean * (1 - mean)) - r.df) / (r.w - r.df)
-    return 1.0 / min(max(rho, 0.001), 0.999) - 1.0
+    return 1.0 / min(max(rho, 0.001), 0.5) - 1.0       # the prior weighs 1 to 999 outcomes
 
 
 def host_reputation(pages: DataFrame, labels: DataFrame, z: float = 1.645) -> DataFrame:

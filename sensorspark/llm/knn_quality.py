@@ -7,7 +7,8 @@ documents) are projected on the leading right singular vectors of a bounded
 labelled sample.  The labelled vectors (at most ``max_labelled``, a fixed
 number of small vectors) go to every task, which takes exact cosine products
 of each block of documents with all of them; the ``neighbours`` most similar
-vote with a power of their similarity, labels of the rarer class weighted up.
+(and all that tie with the last of them) vote with a power of their
+similarity, labels of the rarer class weighted up.
 
 Cases: NULL and empty texts have no terms but their style; a text that
 resembles no labelled one gets the share of label 1; without labels every score
@@ -175,10 +176,14 @@ class Model:
             return np.full(len(texts), self.prior)
         sim = _unit((features(texts) * self.idf) @ self.axes) @ self.vectors.T
         k = min(self.k, sim.shape[1])
-        near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-        s = np.maximum(np.take_along_axis(sim, near, 1), 0.0).astype(np.float64) ** self.power * self.weight[near]
-        total = s.sum(1)
-        return np.where(total > 0, (s * self.labels[near]).sum(1) / np.maximum(total, 1e-12), self.prior).clip(0, 1)
+        kth = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+        # all that tie with the k-th vote (sums of 32-bit products differ in the last digits)
+        near = np.where(sim >= kth[:, None] - 1e-5, np.maximum(sim, 0.0), 0.0).astype(np.float64)
+        doc, labelled = np.nonzero(near)
+        s = near[doc, labelled] ** self.power * self.weight[labelled]
+        total = np.bincount(doc, s, len(texts))
+        for_one = np.bincount(doc, s * self.labels[labelled], len(texts))
+        return np.where(total > 0, for_one / np.maximum(total, 1e-300), self.prior).clip(0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_labelled: int = 4096, **how) -> Model:

@@ -146,10 +146,10 @@ def train(docs: DataFrame, sample_docs: int = 500, sample_paragraphs: int = 4000
     return Model(classes, weights, bias.tolist(), temperature, min(bound, 0.95))
 
 
-def scan_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
-    """(row, paragraph, family, probability, confirmed, cover) of every
-    paragraph that the classifier assigns to a licence family; ``row`` is the
-    row number that ``_rows`` gives."""
+def _judge(docs: DataFrame, model: Model, confirm: float) -> DataFrame:
+    """(row, doc_id, paragraph, family, probability, cover) of every paragraph
+    that holds a known n-gram, family NULL where it is unknown; and for every
+    document one marker row, paragraph NULL, so that none is lost."""
     spark = docs.sparkSession
     templates = [(k, n) for k, ns in sorted(NOTICES.items()) for n in ns]
     grams = {}
@@ -160,15 +160,19 @@ def scan_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> Data
         for g in r.g:
             grams.setdefault(g, []).append(r.i)
     zero = [0.0] * len(model.classes)
-    table = [{"g": g, "w": model.weights.get(g, zero), "t": [1 if i in grams.get(g, []) else 0 for i in range(len(templates))]}
-             for g in sorted(set(model.weights) | set(grams))]
+    known = sorted(set(model.weights) | set(grams))
+    marker = next(i for i in range(len(known) + 1) if i not in set(known))
+    table = [{"g": g, "w": model.weights.get(g, zero), "t": [1 if i in grams.get(g, []) else 0 for i in range(len(templates))]} for g in [*known, marker]]
     weights = _frame(spark, table, "g long, w array<double>, t array<int>")
 
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("p"))
     # outer: for the plain form the optimiser adds a filter that computes the arrays once more
-    p = _rows(docs).select("row", F.posexplode_outer(F.split("text", "\n")).alias("paragraph", "p")).select(
-        "row", "paragraph", F.explode_outer(paragraph_grams(F.col("p"))).alias("g"))
+    p = rows.select("row", "doc_id", F.posexplode_outer(F.array_append("p", F.lit(None).cast("string"))).alias("paragraph", "p")).select(
+        "row", "doc_id", F.when(F.col("p").isNotNull(), F.col("paragraph")).alias("paragraph"),
+        F.explode_outer(F.when(F.col("p").isNull(), F.array(F.lit(marker).cast("long"))).otherwise(paragraph_grams(F.col("p")))).alias("g"))
     hit = p.join(F.broadcast(weights), "g")          # at most MAX_FEATURES rows and those of the notices
-    sums = hit.groupBy("row", "paragraph").agg(
+    sums = hit.groupBy("row", "doc_id", "paragraph").agg(
         *[F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(len(model.classes))],
         *[F.sum(F.get("t", F.lit(i))).alias(f"t{i}") for i in range(len(templates))])
     z = F.array(*[(F.col(f"w{i}") + F.lit(float(b))) / F.lit(float(model.temperature)) for i, b in enumerate(model.intercepts)])
@@ -177,28 +181,26 @@ def scan_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> Data
     which = F.array_position("z", F.col("best")).cast("int") - 1
     cover = {k: F.greatest(F.lit(0.0), *[F.col(f"t{i}") / F.lit(float(max(1, sizes[i]))) for i, (f, _) in enumerate(templates) if f == k])
              for k in sorted(NOTICES)}
+    is_license = F.col("paragraph").isNotNull() & (F.col("which") > 0) & (F.col("probability") >= F.lit(float(model.bound)))
     family = F.get(F.array(*[F.lit(c) for c in model.classes]), F.col("which"))
     covered = F.get(F.array(F.lit(0.0), *[cover[k] for k in model.classes[1:]]), F.col("which"))
-    return (top.withColumn("which", which).withColumn("probability", 1 / total)
-            .filter((F.col("which") > 0) & (F.col("probability") >= F.lit(float(model.bound))))
-            .select("row", "paragraph", family.alias("family"), "probability", covered.alias("cover"))
-            .withColumn("confirmed", F.col("cover") >= confirm))
+    return top.withColumn("which", which).withColumn("probability", 1 / total).select(
+        "row", "doc_id", "paragraph", F.when(is_license, family).alias("family"), "probability", covered.alias("cover")).withColumn(
+        "confirmed", F.col("cover") >= confirm)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id and text with a row number (the same whenever the input is read)."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def scan_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
+    """doc_id, paragraph (from 0), family, probability, cover, confirmed of
+    every paragraph that the classifier assigns to a licence family."""
+    return _judge(docs, model, confirm).filter("family IS NOT NULL").drop("row")
 
 
-def scan(docs: DataFrame, model: Model | None = None, **how) -> DataFrame:
+def scan(docs: DataFrame, model: Model | None = None, confirm: float = 0.6, **how) -> DataFrame:
     """One row a document: its confirmed licence families, the number of
     confirmed and of unconfirmed licence paragraphs and the best probability."""
-    found = scan_paragraphs(docs, model or train(docs, **how))
-    per = found.groupBy("row").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
-        F.sum(F.when(F.col("confirmed"), 1).otherwise(0)).alias("n_confirmed"),
-        F.sum(F.when(F.col("confirmed"), 0).otherwise(1)).alias("n_unconfirmed"), F.max("probability").alias("probability"))
-    return _rows(docs).select("row", "doc_id").join(per, "row", "left").select(
-        "doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"),
-        F.coalesce("n_unconfirmed", F.lit(0)).cast("long").alias("n_unconfirmed"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
+    p = _judge(docs, model or train(docs, **how), confirm)
+    sure, unsure = F.col("family").isNotNull() & F.col("confirmed"), F.col("family").isNotNull() & ~F.col("confirmed")
+    return p.groupBy("row", "doc_id").agg(
+        F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("families"),
+        F.sum(F.when(sure, 1).otherwise(0)).alias("n_confirmed"), F.sum(F.when(unsure, 1).otherwise(0)).alias("n_unconfirmed"),
+        F.coalesce(F.max(F.when(F.col("family").isNotNull(), F.col("probability"))), F.lit(0.0)).alias("probability")).drop("row")

@@ -73,7 +73,7 @@ def op10_licenses(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_katz, op2_syncmers, op3_url_filter, op4_knn_quality, op5_suffix_dedup, op6_decontaminate, op7_simhash, op8_pii, op9_best_fit,
                                    op10_licenses)}
 
-_LEVEL = """greatest(0.001, least(0.999, (ss / (mean * (1 - mean)) - df) / (w - df)))"""
+_LEVEL = """greatest(0.001, least(0.5, (ss / (mean * (1 - mean)) - df) / (w - df)))"""
 
 
 def _concentration(name: str, level: str, parent: str) -> str:

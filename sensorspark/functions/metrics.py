@@ -16,39 +16,46 @@ from sensorspark.constants import (CLAIM_MSE_IMPROVEMENT, IMPROVEMENT_EPS, IOA_E
 METRIC_NAMES = ["mse", "rmse", "mae", "r2", "mape", "within_25pct", "within_50", "bias", "index_of_agree"]
 
 
-def _join_group(df: DataFrame, stats: DataFrame, group_cols) -> DataFrame:
+def _join_group(df: DataFrame, stats: DataFrame, group_cols, few_groups: bool = False) -> DataFrame:
+    """Attach per-group aggregates: one row, or as many as the caller vouches
+    are few (``few_groups``), by broadcast; else by a join that AQE plans."""
     if group_cols:
-        return df.join(stats, list(group_cols), "left")
+        return df.join(F.broadcast(stats) if few_groups else stats, list(group_cols), "left")
     one = stats.withColumn("_one", F.lit(0))
     return df.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one", "left").drop("_one")
 
 
-def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", group_cols=()) -> DataFrame:
+def _sums(y: Column, p: Column, ybar: Column, prefix: str = "") -> list[Column]:
+    """The aggregates behind all metrics of one prediction column."""
+    e, denom = p - y, F.greatest(F.abs(y), F.lit(MAPE_FLOOR))
+    share = lambda c: F.avg(c.cast("double")) * 100
+    out = {"n": F.count(e).cast("bigint"), "mse": F.avg(e * e), "mae": F.avg(F.abs(e)), "ssres": F.sum(e * e),
+           "sstot": F.sum(F.when(p.isNotNull(), F.pow(y - ybar, 2))), "mape": F.avg(F.abs(e) / denom) * 100,
+           "within_25pct": share(F.abs(e) / denom <= F.lit(WITHIN_PCT)), "within_50": share(F.abs(e) <= F.lit(WITHIN_UNITS)),
+           "bias": F.avg(e), "ioa": F.sum(F.pow(F.abs(p - ybar) + F.abs(y - ybar), 2))}
+    return [c.alias(f"_{prefix}{k}") for k, c in out.items()]
+
+
+def _metrics(prefix: str = "") -> dict[str, Column]:
+    """METRIC_NAMES from the columns of ``_sums``."""
+    c = lambda k: F.col(f"_{prefix}{k}")
+    r2 = (F.when(c("sstot") == 0, F.when(c("ssres") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+           .otherwise(F.lit(1.0) - c("ssres") / c("sstot")))
+    return {"mse": c("mse"), "rmse": F.sqrt(c("mse")), "mae": c("mae"), "r2": r2, "mape": c("mape"), "within_25pct": c("within_25pct"),
+            "within_50": c("within_50"), "bias": c("bias"), "index_of_agree": F.lit(1.0) - c("ssres") / (c("ioa") + F.lit(IOA_EPS))}
+
+
+def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", group_cols=(), few_groups: bool = False) -> DataFrame:
     """A8-A13 per group: n, MSE, RMSE, MAE, R² (zero-variance truth: 1 if exact
     else 0), MAPE and within-25 % with denominator max(|y|, 1), within-50
-    units, bias = mean(pred - y), Willmott index of agreement."""
+    units, bias = mean(pred - y), Willmott index of agreement.
+
+    ``few_groups``: the caller vouches that the groups are few (models, splits);
+    their means are then broadcast and no row moves before its aggregate."""
     d = df.filter(F.col(y).isNotNull() & F.col(pred).isNotNull())
-    ybar = d.groupBy(*group_cols).agg(F.avg(y).alias("_ybar"))
-    d = _join_group(d, ybar, group_cols)
-    yc, pc = F.col(y), F.col(pred)
-    e = pc - yc
-    denom = F.greatest(F.abs(yc), F.lit(MAPE_FLOOR))
-    g = d.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.avg(e * e).alias("mse"),
-        F.avg(F.abs(e)).alias("mae"),
-        F.sum(e * e).alias("_ssres"),
-        F.sum(F.pow(yc - F.col("_ybar"), 2)).alias("_sstot"),
-        (F.avg(F.abs(e) / denom) * 100).alias("mape"),
-        (F.avg((F.abs(e) / denom <= F.lit(WITHIN_PCT)).cast("double")) * 100).alias("within_25pct"),
-        (F.avg((F.abs(e) <= F.lit(WITHIN_UNITS)).cast("double")) * 100).alias("within_50"),
-        F.avg(e).alias("bias"),
-        F.sum(F.pow(F.abs(pc - F.col("_ybar")) + F.abs(yc - F.col("_ybar")), 2)).alias("_ioa_den"))
-    r2 = (F.when(F.col("_sstot") == 0, F.when(F.col("_ssres") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-           .otherwise(F.lit(1.0) - F.col("_ssres") / F.col("_sstot")))
-    ioa = F.lit(1.0) - F.col("_ssres") / (F.col("_ioa_den") + F.lit(IOA_EPS))
-    return g.select(*group_cols, "n", "mse", F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"), "mape",
-                    "within_25pct", "within_50", "bias", ioa.alias("index_of_agree"))
+    d = _join_group(d, d.groupBy(*group_cols).agg(F.avg(y).alias("_ybar")), group_cols, few_groups)
+    g = d.groupBy(*group_cols).agg(*_sums(F.col(y), F.col(pred), F.col("_ybar")))
+    return g.select(*group_cols, F.col("_n").alias("n"), *[c.alias(k) for k, c in _metrics().items()])
 
 
 def improvement(base: Column, cand: Column) -> Column:
@@ -56,25 +63,32 @@ def improvement(base: Column, cand: Column) -> Column:
     return (base - cand) / (base + F.lit(IMPROVEMENT_EPS)) * 100
 
 
+def align_predictions(truth: DataFrame, baseline: DataFrame, candidate: DataFrame, key, y: str = "y", pred: str = "pred",
+                      how: str = "inner") -> DataFrame:
+    """Two models' prediction tables and the truth, aligned by key (never
+    by position).  Keys must be unique in each table; ``how='inner'`` keeps
+    what all three hold, ``'left'`` every row of the truth."""
+    key = list(key)
+    b = baseline.select(*key, F.col(pred).alias("pred_baseline"))
+    c = candidate.select(*key, F.col(pred).alias("pred_candidate"))
+    return truth.select(*key, F.col(y).alias("y")).join(b, key, how).join(c, key, how)
+
+
 def compare_models(preds: DataFrame, y: str = "y", baseline: str = "pred_baseline",
-                   candidate: str = "pred_candidate", group_cols=()) -> DataFrame:
-    """Metrics of two aligned prediction columns against the truth,
-    their improvements and the claim flag (MSE improvement >= 7.5 %).
-    Alignment is by key (the rows already carry both predictions), not by
-    position."""
-    long = preds.select(*group_cols, F.col(y).alias("y"), F.explode(F.array(
-        F.struct(F.lit("baseline").alias("model"), F.col(baseline).alias("pred")),
-        F.struct(F.lit("candidate").alias("model"), F.col(candidate).alias("pred")))).alias("_m"))
-    long = long.select(*group_cols, "y", "_m.model", "_m.pred")
-    m = regression_metrics(long, "y", "pred", [*group_cols, "model"])
-    wide = m.groupBy(*group_cols).pivot("model", ["baseline", "candidate"]).agg(
-        *[F.first(c).alias(c) for c in ["n"] + METRIC_NAMES])
-    out = wide.select(*group_cols, F.col("baseline_n").alias("n"),
-                      *[F.col(f"{mdl}_{c}").alias(f"{mdl}_{c}") for mdl in ("baseline", "candidate")
-                        for c in METRIC_NAMES])
+                   candidate: str = "pred_candidate", group_cols=(), few_groups: bool = False) -> DataFrame:
+    """M6: metrics of two aligned prediction columns (``align_predictions``)
+    against the truth, their improvements and the claim flag (MSE improvement
+    >= 7.5 %).  The truth's mean does not depend on the model, so one join and
+    one aggregate serve both; rows without the truth or either prediction
+    don't count."""
+    d = preds.filter(F.col(y).isNotNull() & F.col(baseline).isNotNull() & F.col(candidate).isNotNull())
+    d = _join_group(d, d.groupBy(*group_cols).agg(F.avg(y).alias("_ybar")), group_cols, few_groups)
+    g = d.groupBy(*group_cols).agg(*_sums(F.col(y), F.col(baseline), F.col("_ybar"), "b_"), *_sums(F.col(y), F.col(candidate), F.col("_ybar"), "c_"))
+    out = g.select(*group_cols, F.col("_b_n").alias("n"), *[c.alias(f"{m}_{k}") for m in ("baseline", "candidate") for k, c in _metrics(f"{m[0]}_").items()])
     for c in ("mse", "mae", "rmse"):
         out = out.withColumn(f"{c}_improvement_pct", improvement(F.col(f"baseline_{c}"), F.col(f"candidate_{c}")))
-    return out.withColumn("meets_claim", F.col("mse_improvement_pct") >= F.lit(CLAIM_MSE_IMPROVEMENT))
+    out = out.withColumn("meets_claim", F.col("mse_improvement_pct") >= F.lit(CLAIM_MSE_IMPROVEMENT))
+    return out if group_cols else out.filter("n > 0")
 
 
 def quality_alarm(rmse: Column, persistence_rmse: Column) -> Column:

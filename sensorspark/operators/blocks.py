@@ -60,3 +60,15 @@ def join_series_stats(df: DataFrame, stats: DataFrame, series_cols) -> DataFrame
         return df.join(stats, list(series_cols), "left")
     one = stats.withColumn("_one", F.lit(0))
     return df.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one", "left").drop("_one")
+
+
+def series_rank(df: DataFrame, series_cols=(), pos_col: str = "pos", out: str = "_rank", block: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
+    """The 0-based rank of each row in its series by ``pos_col``, holes or not:
+    the rows of all earlier blocks (a running sum over one row per block)
+    plus the row number inside the block.  Positions are unique in a series."""
+    b = df.withColumn("_rb", F.floor(F.col(pos_col) / F.lit(block)).cast("bigint"))
+    sums = b.groupBy(*series_cols, "_rb").agg(F.count(F.lit(1)).alias("_rn"))
+    before = series_window(series_cols).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sums.select(*series_cols, "_rb", F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_ro"))
+    inside = F.row_number().over(Window.partitionBy(*series_cols, "_rb").orderBy(pos_col))
+    return b.join(offs, [*series_cols, "_rb"]).withColumn(out, F.col("_ro") + inside - 1).drop("_rb", "_ro")

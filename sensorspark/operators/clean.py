@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sensorspark.constants import (COUNTRY_IDS, MAX_LOCATIONS, MAX_RADIUS_M, PARAMETERS,
+from sensorspark.constants import (COUNTRY_IDS, MAX_RADIUS_M, PARAMETERS,
                                    REQUIRED_COLUMNS, UNIT_MAP)
 
 
@@ -21,16 +21,21 @@ def unit_lookup(param: Column, unit_map: dict | None = None) -> Column:
     return F.try_element_at(lit_map, param)
 
 
-def to_utc(c: Column, source_tz: str | None = None) -> Column:
-    """event time as a UTC instant.
+def to_utc(c: Column, source_tz: str | None = None, instant: bool = False) -> Column:
+    """event time as a UTC instant (under a UTC session).
 
-    Strings are parsed as ISO-8601 (an explicit offset wins); naive values
-    (timestamp_ntz or strings without offset) are read as ``source_tz``
-    (default UTC) and converted.
+    Strings are parsed as ISO-8601 and an explicit offset (``Z``, ``+05:30``)
+    wins; naive values (timestamp_ntz or strings without offset) are read as
+    ``source_tz`` (default UTC).  ``instant``: the column is a timestamp with
+    time zone already, which no source zone shifts.
     """
-    if source_tz and source_tz != "UTC":
-        return F.to_utc_timestamp(F.to_timestamp(c), source_tz)
-    return F.to_timestamp(c)
+    if instant:
+        return c.cast("timestamp")
+    t = F.to_timestamp(c)
+    if not source_tz or source_tz == "UTC":
+        return t
+    own_offset = c.cast("string").rlike("[T ][0-9:.]+ ?(Z|[+-][0-9]{2}(:?[0-9]{2})?)$")
+    return F.when(own_offset, t).otherwise(F.to_utc_timestamp(t, source_tz))
 
 
 def standardize(df: DataFrame, source_tz: str | None = None) -> DataFrame:
@@ -38,18 +43,14 @@ def standardize(df: DataFrame, source_tz: str | None = None) -> DataFrame:
     location as string, coordinates as double.
 
     The time sort of the original is not a global ``orderBy`` here: it would
-    cost a range shuffle and nothing downstream depends on row order.  Use
-    :func:`sort_for_write` when writing shards.
+    cost a range shuffle and nothing downstream depends on row order; the
+    shard writer sorts inside its files.
     """
-    dt = df.schema["datetime"].dataType
-    if isinstance(dt, T.TimestampNTZType) or isinstance(dt, T.StringType) or source_tz:
-        datetime_col = to_utc(F.col("datetime"), source_tz)
-    else:
-        datetime_col = F.col("datetime").cast("timestamp")
+    instant = isinstance(df.schema["datetime"].dataType, T.TimestampType)
     unit_col = F.col("unit").cast("string") if "unit" in df.columns else unit_lookup(F.col("parameter"))
     keep = [c for c in df.columns if c not in REQUIRED_COLUMNS]
     return df.select(
-        datetime_col.alias("datetime"),
+        to_utc(F.col("datetime"), source_tz, instant).alias("datetime"),
         F.col("value").cast("double").alias("value"),
         F.col("parameter").cast("string").alias("parameter"),
         unit_col.alias("unit"),
@@ -59,11 +60,6 @@ def standardize(df: DataFrame, source_tz: str | None = None) -> DataFrame:
         *keep)
 
 
-def sort_for_write(df: DataFrame, cols=("datetime",)) -> DataFrame:
-    """L1: time order inside each output file (no global range shuffle)."""
-    return df.sortWithinPartitions(*cols)
-
-
 def retention_filter(df: DataFrame, as_of: str | datetime, days: int, col: str = "datetime") -> DataFrame:
     """Keep readings with ``col >= as_of - days``.  The bound is a literal,
     so it is pushed into the parquet scan."""
@@ -77,13 +73,12 @@ def param_filter(df: DataFrame, parameters=None, col: str = "parameter") -> Data
     return df.withColumn(col, F.lower(F.col(col))).filter(F.col(col).isin(allowed))
 
 
-def bbox_filter(df: DataFrame, bbox=None, limit: int | None = MAX_LOCATIONS) -> DataFrame:
-    """Readings inside (lon_min, lat_min, lon_max, lat_max), limited to the
-    first ``limit`` distinct locations by name.
+def bbox_filter(df: DataFrame, bbox=None, limit: int | None = None) -> DataFrame:
+    """Readings inside (lon_min, lat_min, lon_max, lat_max).
 
-    The location list is a top-N (TakeOrderedAndProject: per-partition top N,
-    then a merge of N rows per partition), so the semi join broadcasts at most
-    ``limit`` rows.
+    With ``limit`` only the first ``limit`` distinct locations by name: a
+    top-N (TakeOrderedAndProject: per-partition top N, then a merge of N rows
+    per partition), so the semi join broadcasts at most ``limit`` rows.
     """
     from sensorspark.constants import CITY_BBOX
     lon_min, lat_min, lon_max, lat_max = bbox or CITY_BBOX
@@ -106,9 +101,10 @@ def haversine_m(lat1: Column, lon1: Column, lat2: float, lon2: float) -> Column:
 
 
 def radius_filter(df: DataFrame, lat: float, lon: float, radius_m: float = MAX_RADIUS_M) -> DataFrame:
-    """P5: readings within ``min(radius, 25 km)`` of a centre point."""
-    r = min(float(radius_m), float(MAX_RADIUS_M))
-    return df.filter(haversine_m(F.col("latitude"), F.col("longitude"), lat, lon) <= F.lit(r))
+    """P5: readings within ``radius_m`` (at most 25 km) of a centre point."""
+    if not 0 <= float(radius_m) <= MAX_RADIUS_M:
+        raise ValueError(f"radius_m must lie between 0 and {MAX_RADIUS_M}, not {radius_m}")
+    return df.filter(haversine_m(F.col("latitude"), F.col("longitude"), lat, lon) <= F.lit(float(radius_m)))
 
 
 def country_codes(spark: SparkSession) -> DataFrame:

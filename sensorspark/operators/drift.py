@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sensorspark.constants import PSI_BANDS, PSI_BINS, PSI_FLOOR, PSI_RETRAIN, PSI_SAMPLE_ROWS
+from sensorspark.constants import PSI_BANDS, PSI_BINS, PSI_FLOOR, PSI_MIN_FEATURES, PSI_RETRAIN, PSI_SAMPLE_ROWS
 from sensorspark.operators.clean import numeric_columns
+from sensorspark.session import path_exists
 
 
 def to_long(df: DataFrame, columns, keep=()) -> DataFrame:
@@ -38,19 +40,57 @@ def quantile_points(bins: int = PSI_BINS) -> list[float]:
     return [i / bins for i in range(1, bins)]
 
 
-def psi_edges(ref_long: DataFrame, bins: int = PSI_BINS, exact: bool = True, accuracy: int = 100000) -> DataFrame:
-    """Interior bin edges per feature: percentiles with linear
-    interpolation (the outer edges are -inf/+inf).
+def exact_percentiles(long: DataFrame, points, accuracy: int = 10_000, small: int = 1_000_000) -> DataFrame:
+    """(feature, n, q): percentiles with linear interpolation, exact, for a
+    table (feature, x) of any number of distinct values.
 
-    ``exact`` uses ``percentile`` (per-feature map of distinct values, merged
-    map-side; memory grows with the number of *distinct* values, fine for
-    hourly features or low-cardinality columns).  ``exact=False`` uses
-    ``percentile_approx`` with bounded memory for high-cardinality columns at
-    scale.
+    An approximate percentile (bounded memory) brackets each wanted order
+    statistic, up to one rank; one pass counts what lies below each bracket
+    and finds the next value on either side; only the values inside a bracket,
+    a share of about 4 / ``accuracy``, are counted one by one and put in order.
+    Where no feature has over ``small`` values, Spark's own exact percentile,
+    which holds a feature's distinct values in one task, gives the same.
     """
-    qs = F.array(*[F.lit(q) for q in quantile_points(bins)])
-    agg = F.percentile("x", qs) if exact else F.percentile_approx("x", qs, accuracy)
-    return ref_long.groupBy("feature").agg(agg.alias("edges"), F.count(F.lit(1)).alias("ref_n"))
+    points = list(points)
+    largest = long.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
+    if largest <= small:
+        return long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.percentile("x", F.array(*[F.lit(p) for p in points])).alias("q"))
+    d = 2.0 / accuracy
+    wide = [min(1.0, max(0.0, q + s * d)) for q in points for s in (-1, 1)]
+    br = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", F.array(*[F.lit(w) for w in wide]), F.lit(accuracy)).alias("_b"))
+    k = len(points)
+    b = br.select("feature", "n", F.array(*[F.struct(F.lit(i).alias("i"), F.col("_b")[2 * i].alias("lo"), F.col("_b")[2 * i + 1].alias("hi")) for i in range(k)]).alias("_b"))
+    j = long.join(F.broadcast(b), "feature")                     # one row per feature
+    about = j.groupBy("feature").agg(*[F.count(F.when(F.col("x") < F.col("_b")[i]["lo"], 1)).alias(f"_c{i}") for i in range(k)],
+                                     *[F.min(F.when(F.col("x") > F.col("_b")[i]["hi"], F.col("x"))).alias(f"_u{i}") for i in range(k)],
+                                     *[F.max(F.when(F.col("x") < F.col("_b")[i]["lo"], F.col("x"))).alias(f"_d{i}") for i in range(k)])
+    about = about.select("feature", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_c{i}").alias("below"), F.col(f"_u{i}").alias("above"), F.col(f"_d{i}").alias("under"))
+                                                        for i in range(k)])).alias("a")).select("feature", "a.*")
+    hit = F.explode(F.filter("_b", lambda v: (v["lo"] <= F.col("x")) & (F.col("x") <= v["hi"])))
+    inside = j.select("feature", "x", hit.alias("v")).groupBy("feature", F.col("v.i").alias("i"), "x").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("feature", "i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    rank = inside.withColumn("upto", F.sum("c").over(upto)).join(about, ["feature", "i"]).join(F.broadcast(br.select("feature", "n")), "feature")
+    q = F.element_at(F.array(*[F.lit(float(p)) for p in points]), F.col("i") + 1)
+    r = q * (F.col("n") - 1)
+    lo_at, hi_at = F.floor(r), F.ceil(r)                         # ranks from 0
+    have = F.col("below") + F.col("upto")
+    at = lambda k: F.when(F.col("below") > k, F.col("under")).when(have > k, F.col("x"))
+    g = rank.withColumns({"_lo": at(lo_at), "_hi": at(hi_at), "_f": r - lo_at}).groupBy("feature", "i").agg(
+        F.min("_lo").alias("lo"), F.coalesce(F.min("_hi"), F.first("above")).alias("hi"), F.first("_f").alias("f"), F.first("n").alias("n"))
+    v = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")
+    return g.withColumn("v", F.when(F.col("f") == 0, F.col("lo")).otherwise(v)).groupBy("feature").agg(
+        F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
+
+
+def psi_edges(ref_long: DataFrame, bins: int = PSI_BINS, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+    """Interior bin edges per feature: percentiles with linear
+    interpolation (the outer edges are -inf/+inf), exact through
+    ``exact_percentiles`` or, with ``exact=False``, in one approximate pass."""
+    points = quantile_points(bins)
+    if exact:
+        return exact_percentiles(ref_long, points, accuracy).select("feature", F.col("q").alias("edges"), F.col("n").alias("ref_n"))
+    qs = F.array(*[F.lit(q) for q in points])
+    return ref_long.groupBy("feature").agg(F.percentile_approx("x", qs, F.lit(accuracy)).alias("edges"), F.count(F.lit(1)).alias("ref_n"))
 
 
 def bin_id(x: Column, edges: Column) -> Column:
@@ -60,61 +100,99 @@ def bin_id(x: Column, edges: Column) -> Column:
     return F.aggregate(edges, F.lit(0), lambda acc, e: acc + (x >= e).cast("int"))
 
 
-def psi_histogram(long: DataFrame, edges: DataFrame, bins: int = PSI_BINS, side: str = "share") -> DataFrame:
-    """Share of values per (feature, bin) over a full bin spine, floored at 1e-10."""
-    e = F.broadcast(edges.select("feature", "edges"))
-    b = long.join(e, "feature").withColumn("bin", bin_id(F.col("x"), F.col("edges")))
-    cnt = b.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("_c"))
-    tot = cnt.groupBy("feature").agg(F.sum("_c").alias("_t"))
-    spine = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    h = spine.join(cnt, ["feature", "bin"], "left").join(tot, "feature")
-    return h.select("feature", "bin", F.coalesce("_c", F.lit(0)).cast("bigint").alias(f"{side}_count"),
-                    F.greatest(F.coalesce(F.col("_c"), F.lit(0)) / F.col("_t"), F.lit(PSI_FLOOR)).alias(side))
+def period_counts(df: DataFrame, is_ref: Column, is_cur: Column, columns, bins: int = PSI_BINS, exact: bool = True) -> DataFrame:
+    """(feature, edges, ref_n, cur_n, ref, cur): the counts of both periods of
+    ONE table per bin, as arrays.  ``is_ref``/``is_cur`` tag the rows.
+
+    Edges come from the reference rows; then one scan bins both periods in
+    one grouped count (each row goes to the side or sides it belongs to).
+    """
+    cols = list(columns)
+    tagged = df.select(is_ref.alias("_ref"), is_cur.alias("_cur"), *cols).filter("_ref OR _cur")
+    edges = psi_edges(to_long(tagged.filter("_ref"), cols), bins, exact)
+    e = F.broadcast(edges.select("feature", "edges"))            # one row per feature
+    b = to_long(tagged, cols, ["_ref", "_cur"]).join(e, "feature").withColumn("_bin", bin_id(F.col("x"), F.col("edges")))
+    count = lambda side, i: F.count(F.when(F.col(side) & (F.col("_bin") == i), 1))
+    g = b.groupBy("feature").agg(F.first("edges").alias("edges"), F.array(*[count("_ref", i) for i in range(bins)]).alias("ref"),
+                                 F.array(*[count("_cur", i) for i in range(bins)]).alias("cur"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return g.select("feature", "edges", total("ref").alias("ref_n"), total("cur").alias("cur_n"), "ref", "cur")
+
+
+def _share(c: Column, n: Column) -> Column:
+    return F.greatest(c / n, F.lit(PSI_FLOOR))
+
+
+def psi_histogram(counts: DataFrame) -> DataFrame:
+    """Per (feature, bin) count and share of both periods, floored at 1e-10."""
+    x = counts.select("feature", "ref_n", "cur_n", F.posexplode(F.arrays_zip("ref", "cur")).alias("bin", "c"))
+    return x.select("feature", "bin", F.col("c.ref").alias("ref_count"), _share(F.col("c.ref"), F.col("ref_n")).alias("ref"),
+                    F.col("c.cur").alias("cur_count"), _share(F.col("c.cur"), F.col("cur_n")).alias("cur"))
+
+
+def psi_of(counts: DataFrame) -> DataFrame:
+    """PSI = sum over bins of (c - r) * ln(c / r) per feature; features
+    empty on either side are skipped."""
+    term = lambda z: (_share(z["cur"], F.col("cur_n")) - _share(z["ref"], F.col("ref_n"))) * F.log(
+        _share(z["cur"], F.col("cur_n")) / _share(z["ref"], F.col("ref_n")))
+    return counts.filter("ref_n > 0 AND cur_n > 0").select(
+        "feature", F.aggregate(F.arrays_zip("ref", "cur"), F.lit(0.0), lambda a, z: a + term(z)).alias("psi"))
 
 
 def psi_by_feature(reference: DataFrame, current: DataFrame, columns=None, bins: int = PSI_BINS,
                    exact: bool = True) -> DataFrame:
-    """PSI = sum over bins of (c - r) * ln(c / r) per feature.  Features
-    absent on either side, non-numeric, or empty on either side are skipped.
-
-    Plan: edges from the reference (one grouped percentile), then both
-    periods tagged, unioned and binned in ONE grouped count by (feature,
-    period, bin) -- each input is read once for the histograms.  Shares,
-    the 10-bin spine and the floor are computed on the tiny count table.
-    """
+    """A19 for two tables: features absent on either side, non-numeric, or
+    empty on either side are skipped.  (Two periods of one table:
+    ``period_counts``, which scans it once less.)"""
     cols = drift_columns(reference, current, columns)
-    r = to_long(reference, cols)
-    edges = psi_edges(r, bins, exact)
-    both = r.withColumn("period", F.lit("ref")).unionByName(
-        to_long(current, cols).withColumn("period", F.lit("cur")))
-    e = F.broadcast(edges.select("feature", "edges"))
-    binned = both.join(e, "feature").select("feature", "period", bin_id(F.col("x"), F.col("edges")).alias("bin"))
-    cnt = binned.groupBy("feature", "period") \
-                .agg(F.count(F.lit(1)).alias("_t"),
-                     *[F.count(F.when(F.col("bin") == b, 1)).alias(f"_b{b}") for b in range(bins)])
-    ref = cnt.filter(F.col("period") == "ref").select("feature", *[F.col(c).alias(f"r{c}") for c in cnt.columns[2:]])
-    cur = cnt.filter(F.col("period") == "cur").select("feature", *[F.col(c).alias(f"c{c}") for c in cnt.columns[2:]])
-    j = ref.join(cur, "feature")                     # both sides non-empty
-    terms = []
-    for b in range(bins):
-        rs = F.greatest(F.col(f"r_b{b}") / F.col("r_t"), F.lit(PSI_FLOOR))
-        cs = F.greatest(F.col(f"c_b{b}") / F.col("c_t"), F.lit(PSI_FLOOR))
-        terms.append((cs - rs) * F.log(cs / rs))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return j.select("feature", total.alias("psi"))
-
-
-def psi_summary(psi: DataFrame) -> DataFrame:
-    """Mean PSI over features (0 when none), feature count, band and
-    recommendation (retrain above 0.15)."""
-    s = psi.agg(F.coalesce(F.avg("psi"), F.lit(0.0)).alias("psi_score"),
-                F.count(F.lit(1)).cast("bigint").alias("features_analyzed"))
+    if not cols:
+        return reference.sparkSession.createDataFrame([], "feature string, psi double")
+    both = reference.select(*cols, F.lit(True).alias("_is_ref")).unionByName(current.select(*cols, F.lit(False).alias("_is_ref")))
+    return psi_of(period_counts(both, F.col("_is_ref"), ~F.col("_is_ref"), cols, bins, exact))
+
+
+def psi_summary(psi: DataFrame, min_features: int = PSI_MIN_FEATURES) -> DataFrame:
+    """Mean PSI over features, feature count, band and recommendation
+    (retrain above 0.15).  With fewer than ``min_features`` features drift
+    can't be judged: score 0, skip, and ``judged`` says so."""
+    s = psi.agg(F.avg("psi").alias("_mean"), F.count(F.lit(1)).cast("bigint").alias("features_analyzed"))
+    judged = F.col("features_analyzed") >= F.lit(int(min_features))
+    s = s.select(F.when(judged, F.coalesce("_mean", F.lit(0.0))).otherwise(F.lit(0.0)).alias("psi_score"), "features_analyzed", judged.alias("judged"))
     return s.withColumn("band", psi_band(F.col("psi_score"))) \
             .withColumn("recommendation", F.when(F.col("psi_score") > PSI_RETRAIN, "retrain").otherwise("skip"))
 
 
+def save_baseline(reference: DataFrame, path: str, columns=None, bins: int = PSI_BINS) -> None:
+    """The reference of later drift checks as a small table: per feature its
+    edges, bin counts and profile (A3)."""
+    cols = columns or numeric_columns(reference)
+    c = period_counts(reference, F.lit(True), F.lit(True), cols, bins).select("feature", "edges", "ref_n", "ref")
+    c.join(describe_numeric(reference, cols), "feature").write.mode("overwrite").parquet(path)
+
+
+def drift_against_baseline(current: DataFrame, path: str, columns=None, min_features: int = PSI_MIN_FEATURES) -> DataFrame:
+    """Drift of ``current`` against the saved baseline, one row as
+    ``psi_summary`` with ``first_run``.  Where no baseline is stored yet, it is
+    made from ``current`` and the answer is to retrain (score 1)."""
+    spark = current.sparkSession
+    if not path_exists(spark, path):
+        save_baseline(current, path, columns)
+        n = len(columns or numeric_columns(current))
+        return spark.range(1).select(F.lit(1.0).alias("psi_score"), F.lit(n).cast("bigint").alias("features_analyzed"), F.lit(True).alias("judged"),
+                                     F.lit("significant").alias("band"), F.lit("retrain").alias("recommendation"), F.lit(True).alias("first_run"))
+    base = spark.read.parquet(path)
+    names = [r.feature for r in base.select("feature").collect()]        # one row per feature
+    cols = [c for c in numeric_columns(current) if c in names]
+    bins = len(base.select("ref").first().ref) if names else PSI_BINS
+    if not cols:
+        psi = spark.createDataFrame([], "feature string, psi double")
+    else:
+        b = to_long(current, cols).join(F.broadcast(base.select("feature", "edges")), "feature").withColumn("_bin", bin_id(F.col("x"), F.col("edges")))
+        cur = b.groupBy("feature").agg(F.count(F.lit(1)).alias("cur_n"), F.array(*[F.count(F.when(F.col("_bin") == i, 1)) for i in range(bins)]).alias("cur"))
+        psi = psi_of(base.select("feature", "ref_n", "ref").join(cur, "feature"))
+    return psi_summary(psi, min_features).withColumn("first_run", F.lit(False))
+
+
 def psi_band(psi: Column) -> Column:
     """F6 bands: < 0.1 none, 0.1-0.25 moderate, > 0.25 significant."""
     lo, hi = PSI_BANDS
@@ -136,10 +214,12 @@ def describe_numeric(df: DataFrame, columns=None, exact: bool = True) -> DataFra
     column, one row per column (long form of ``describe``)."""
     cols = columns or numeric_columns(df)
     long = to_long(df, cols)
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    pq = F.percentile("x", qs) if exact else F.percentile_approx("x", qs, 100000)
+    points = (0.25, 0.5, 0.75)
     g = long.groupBy("feature").agg(
         F.count(F.lit(1)).cast("bigint").alias("count"), F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), pq.alias("_q"), F.max("x").alias("max"))
-    return g.select("feature", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
-                    F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
+        *([] if exact else [F.percentile_approx("x", F.array(*[F.lit(p) for p in points]), F.lit(10_000)).alias("q")]))
+    if exact:
+        g = g.join(exact_percentiles(long, points).select("feature", "q"), "feature")
+    return g.select("feature", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
+                    F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")

@@ -63,10 +63,10 @@ def feature_lookback() -> int:
 
 
 def _features_blocked(hourly: DataFrame, parameters, target, series_cols, block,
-                      allow_backfill=True) -> DataFrame:
+                      allow_backfill=True, checkpoint=True) -> DataFrame:
     params = list(parameters or PARAMETERS)
     halo = GAP_LOOKBACK + feature_lookback()
-    g = blocked_grid(hourly, params, series_cols, block, halo, allow_backfill)
+    g = blocked_grid(hourly, params, series_cols, block, halo, allow_backfill, checkpoint)
     wb = block_window(series_cols)
     y = F.col(target)
     exprs = [F.lag(y, k).over(wb).alias(f"{target}_lag_{k}h") for k in TARGET_LAGS]
@@ -92,17 +92,18 @@ def _features_blocked(hourly: DataFrame, parameters, target, series_cols, block,
 
 
 def feature_table(hourly: DataFrame, parameters=None, target: str = TARGET, series_cols=(),
-                  block: int = DEFAULT_BLOCK_HOURS, allow_backfill: bool = True) -> DataFrame:
+                  block: int = DEFAULT_BLOCK_HOURS, allow_backfill: bool = True, checkpoint: bool = True) -> DataFrame:
     """Gap-filled hourly table + W1-W4 + F1, rows with NULLs dropped.
-    Input: the hourly wide table (``hourly_wide``)."""
+    Input: the hourly wide table (``hourly_wide``); ``checkpoint=False`` where
+    the caller has materialized it."""
     params = list(parameters or PARAMETERS)
-    f = _features_blocked(hourly, params, target, series_cols, block, allow_backfill)
+    f = _features_blocked(hourly, params, target, series_cols, block, allow_backfill, checkpoint)
     return f.filter("_own").select(*series_cols, "pos", "datetime", *feature_columns(params, target))
 
 
 def sequence_windows(features: DataFrame, parameters=None, target: str = TARGET, series_cols=(),
                      seq_length: int = SEQ_LENGTH, block: int = DEFAULT_BLOCK_HOURS,
-                     with_x: bool = True, keep=()) -> DataFrame:
+                     with_x: bool = True, keep=(), last=()) -> DataFrame:
     """One row per window: ``ts``/``y`` of row i+T and ``x`` = the T
     preceding feature rows (all columns but the target) as an array of
     structs, built by ``collect_list`` over a ``rowsBetween(-T, -1)`` frame.
@@ -113,7 +114,8 @@ def sequence_windows(features: DataFrame, parameters=None, target: str = TARGET,
     (lags) and end (long trailing gaps) of a series, so valid feature rows are
     contiguous and a positional window equals the T preceding hours; windows
     are kept when all T rows are present and contiguous.  ``keep`` carries
-    columns of row i+T itself (e.g. its lag features for naive forecasts).
+    columns of row i+T itself (e.g. its lag features for naive forecasts),
+    ``last`` those of the window's last row as ``x_<column>``.
     """
     params = list(parameters or PARAMETERS)
     T = int(seq_length)
@@ -121,7 +123,7 @@ def sequence_windows(features: DataFrame, parameters=None, target: str = TARGET,
     fr = block_window(series_cols).rowsBetween(-T, -1)
     xin = input_columns(params, target)
     cols = [*series_cols, "pos", F.col("datetime").alias("ts"), F.col(target).alias("y"),
-            *keep, F.count(F.lit(1)).over(fr).alias("_n"), F.min("pos").over(fr).alias("_p0"), "_own"]
+            *keep, *[F.lag(c, 1).over(block_window(series_cols)).alias(f"x_{c}") for c in last], F.count(F.lit(1)).over(fr).alias("_n"), F.min("pos").over(fr).alias("_p0"), "_own"]
     if with_x:
         cols.append(F.collect_list(F.struct(*[F.col(c) for c in xin])).over(fr).alias("x"))
     w = f.select(*cols)

@@ -4,31 +4,43 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sensorspark.constants import DEDUP_KEY
+from sensorspark.constants import DEDUP_KEY, DEFAULT_ROLLING_DAYS
 
 
 def merge_shards(frames: list[DataFrame]) -> DataFrame:
-    """Union of shards by column name; missing columns become NULL."""
+    """Union of tables of different shape by column name; missing columns
+    become NULL.  Shards of one folder need no union: ``read_shards`` scans
+    them as one table."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: Types whose aggregation buffers Spark updates in place, so that it can hash.
+_FIXED = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.BooleanType, T.TimestampType,
+          T.TimestampNTZType, T.DateType)
+
+
 def dedup_first(df: DataFrame, key=None, order=("shard", "arrival")) -> DataFrame:
     """Keep the first row of every ``key`` in ``order`` (shard name, then
     arrival).
 
-    Written as ``min_by(row, order)`` aggregation, not a ``row_number`` window:
-    the aggregate is combined map-side before the shuffle, so a key with
-    millions of copies sends one partial row per map task instead of all of
-    its copies to one reducer.  ``order`` must make rows unique for a
-    deterministic result; missing order columns are skipped and the remaining
-    columns break ties.
+    An aggregate, not a ``row_number`` window: it is combined map-side, so a
+    key with millions of copies sends one partial row per map task.  Missing
+    order columns are skipped.  With a single order column, which must then
+    be unique among a key's rows, each fixed-width column is its own
+    ``min_by`` and the plan is a hash aggregate without sorts; several order
+    columns, or string columns, need ``min_by`` over structs (a sort
+    aggregate), with the remaining columns breaking ties.
     """
     key = list(key or DEDUP_KEY)
     rest = [c for c in df.columns if c not in key]
     order_cols = [c for c in order if c in df.columns]
+    if len(order_cols) == 1 and all(isinstance(df.schema[c].dataType, _FIXED) for c in rest):
+        o = order_cols[0]
+        return df.groupBy(*key).agg(*[F.min(o).alias(o) if c == o else F.min_by(c, o).alias(c) for c in rest])
     tie = [c for c in rest if c not in order_cols]
     ord_struct = F.struct(*[F.col(c) for c in order_cols + tie])
     row = F.struct(*[F.col(c) for c in rest]) if rest else F.lit(None)
@@ -63,3 +75,22 @@ def shard_contribution(shards: DataFrame, as_of, rolling_days: int, shard_col: s
         F.to_date(F.max("datetime")).alias("last_date"),
         F.count(F.when(F.col("datetime") >= cutoff, 1)).cast("bigint").alias("retained_rows"))
     return g.filter(F.col("retained_rows") > 0)
+
+
+def fetch_plan(shards: DataFrame, now, force: bool = False, first_days: int = DEFAULT_ROLLING_DAYS, label: Column | None = None) -> DataFrame:
+    """T1/T2 decision, one row: what the next ingest should fetch.
+
+    ``fetch_start`` is the last reading's time, or ``first_days`` before ``now``
+    where nothing is stored; less than a whole day is skipped, and so is a
+    span whose shard label is stored already, unless ``force``.  ``status`` is
+    ``fetch``, ``skipped`` (too recent) or ``stored``.
+    """
+    now = F.lit(now).cast("timestamp")
+    last = shards.agg(F.max("datetime").alias("_last"), F.collect_set("shard").alias("_labels"))   # one label a shard
+    start = F.coalesce("_last", now - F.make_interval(days=F.lit(int(first_days))))
+    days = F.floor((F.unix_timestamp("fetch_end") - F.unix_timestamp("fetch_start")) / 86400).cast("bigint")
+    name = label if label is not None else F.concat(F.lit("m_"), F.date_format("fetch_start", "yyyyMMdd"), F.lit("_"), F.date_format("fetch_end", "yyyyMMdd"))
+    p = last.withColumn("fetch_start", start).withColumn("fetch_end", now).withColumn("days", days).withColumn("label", name)
+    status = F.when(F.lit(bool(force)), "fetch").when(F.col("days") < 1, "skipped").when(
+        F.array_contains("_labels", F.col("label")), "stored").otherwise("fetch")
+    return p.select("fetch_start", "fetch_end", "days", "label", status.alias("status"))

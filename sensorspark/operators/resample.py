@@ -20,36 +20,37 @@ from sensorspark.session import materialize
 GAP_LOOKBACK = INTERP_LIMIT + FFILL_LIMIT   # 9: beyond this a gap takes the next value
 
 
-def pivot_mean(m: DataFrame, parameters=None, series_cols=()) -> DataFrame:
+def pivot_mean(m: DataFrame, parameters, series_cols=()) -> DataFrame:
     """A1: mean value per (series, reading time, parameter) pooled over
     locations, pivoted to one column per parameter.  NULL readings are ignored
-    and times without any reading do not appear (pandas drops all-NULL rows)."""
-    params = list(parameters or PARAMETERS)
+    and times without any reading do not appear (pandas drops all-NULL rows).
+    ``parameters`` names the columns; readings of others are left out."""
+    params = list(parameters)
     v = m.filter(F.col("value").isNotNull() & F.col("parameter").isin(params))
     return (v.groupBy(*series_cols, "datetime")
              .pivot("parameter", params)
              .agg(F.avg("value")))
 
 
-def reading_means(m: DataFrame, parameters=None, series_cols=()) -> DataFrame:
+def reading_means(m: DataFrame, parameters, series_cols=()) -> DataFrame:
     """A1 in long form: (series, datetime, parameter, v)."""
-    params = list(parameters or PARAMETERS)
+    params = list(parameters)
     v = m.filter(F.col("value").isNotNull() & F.col("parameter").isin(params))
     return v.groupBy(*series_cols, "datetime", "parameter").agg(F.avg("value").alias("v"))
 
 
-def hourly_wide(m: DataFrame, parameters=None, series_cols=()) -> DataFrame:
+def hourly_wide(m: DataFrame, parameters, series_cols=()) -> DataFrame:
     """A2: hourly value = mean of the per-reading-time means (two stages, not a
     flat mean), one column per parameter; the pivot is the conditional average
     of the second stage, so no extra pivot job runs."""
-    params = list(parameters or PARAMETERS)
+    params = list(parameters)
     a1 = reading_means(m, params, series_cols)
     hour = F.date_trunc("hour", F.col("datetime")).alias("hour")
     return (a1.groupBy(*series_cols, hour)
               .agg(*[F.avg(F.when(F.col("parameter") == p, F.col("v"))).alias(p) for p in params]))
 
 
-def hourly_long(m: DataFrame, parameters=None, series_cols=()) -> DataFrame:
+def hourly_long(m: DataFrame, parameters, series_cols=()) -> DataFrame:
     """A2 in long form: (series, hour, parameter, value)."""
     a1 = reading_means(m, parameters, series_cols)
     return (a1.groupBy(*series_cols, F.date_trunc("hour", F.col("datetime")).alias("hour"), "parameter")
@@ -142,10 +143,10 @@ def blocked_grid(hourly: DataFrame, parameters=None, series_cols=(), block: int
 
 
 def gap_fill(hourly: DataFrame, parameters=None, series_cols=(), block: int = DEFAULT_BLOCK_HOURS,
-             allow_backfill: bool = True) -> DataFrame:
+             allow_backfill: bool = True, checkpoint: bool = True) -> DataFrame:
     """Public J1+W7+W8: gap-filled hourly wide table on the full spine."""
     params = list(parameters or PARAMETERS)
-    g = blocked_grid(hourly, params, series_cols, block, GAP_LOOKBACK, allow_backfill)
+    g = blocked_grid(hourly, params, series_cols, block, GAP_LOOKBACK, allow_backfill, checkpoint)
     return g.filter("_own").select(*series_cols, "datetime", *params)
 
 

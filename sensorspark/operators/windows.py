@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorspark.constants import LATEST_WINDOWS, SEQ_LENGTH, TRAIN_FRAC, VAL_FRAC
-from sensorspark.operators.blocks import join_series_stats
+from sensorspark.operators.blocks import DEFAULT_BLOCK_HOURS, add_blocks, block_window, join_series_stats, series_rank
 
 
 def split_sizes(n):
@@ -23,17 +23,17 @@ def split_sizes(n):
 
 def chrono_split(windows: DataFrame, series_cols=(), pos_col: str = "pos") -> DataFrame:
     """First int(n*0.70) windows of a series -> train, next int(n*0.15) ->
-    val, rest -> test; n counted per series.  Windows are contiguous hours, so
-    the index is ``pos - first pos``."""
-    stats = windows.groupBy(*series_cols).agg(F.count(F.lit(1)).alias("_nw"), F.min(pos_col).alias("_w0"))
+    val, rest -> test; n counted per series.  The index is the window's rank
+    in its series, so hours without a window make no difference."""
+    stats = windows.groupBy(*series_cols).agg(F.count(F.lit(1)).alias("_nw"))
     n_train, n_val = split_sizes(F.col("_nw"))
-    stats = stats.select(*series_cols, "_w0", n_train.alias("_ntr"), n_val.alias("_nva"))
-    out = join_series_stats(windows, stats, series_cols)
-    idx = F.col(pos_col) - F.col("_w0")
+    stats = stats.select(*series_cols, n_train.alias("_ntr"), n_val.alias("_nva"))
+    out = join_series_stats(series_rank(windows, series_cols, pos_col, "widx"), stats, series_cols)
+    idx = F.col("widx")
     split = (F.when(idx < F.col("_ntr"), "train")
               .when(idx < F.col("_ntr") + F.col("_nva"), "val")
               .otherwise("test"))
-    return out.withColumn("widx", idx).withColumn("split", split).drop("_w0", "_ntr", "_nva")
+    return out.withColumn("widx", idx.cast("bigint")).withColumn("split", split).drop("_ntr", "_nva")
 
 
 def split_summary(split_windows: DataFrame, series_cols=()) -> DataFrame:
@@ -58,41 +58,66 @@ def latest_windows(windows: DataFrame, n: int = LATEST_WINDOWS, series_cols=(),
     return windows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def train_weights(features: DataFrame, seq_length: int = SEQ_LENGTH, series_cols=(), pos_col: str = "pos",
+                  block: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
+    """(series, pos, w): how many train windows hold each feature row.  A
+    window belongs to every row whose ``seq_length`` preceding hours are all
+    there; the first int(n*0.70) of them train.  Works on positions alone, in
+    time blocks: a window's row is copied to the blocks of the rows it holds,
+    which count it with a range frame."""
+    T = int(seq_length)
+    p = features.select(*series_cols, F.col(pos_col).alias("pos"))
+    fr = block_window(series_cols).rowsBetween(-T, -1)
+    w = add_blocks(p, block, T).select(*series_cols, "pos", "_own", F.count(F.lit(1)).over(fr).alias("_n"), F.min("pos").over(fr).alias("_p0"))
+    w = w.filter(F.col("_own") & (F.col("_n") == T) & (F.col("_p0") == F.col("pos") - T)).select(*series_cols, "pos")
+    train = chrono_split(w, series_cols).filter("split = 'train'")
+    blk = lambda x: F.floor(x / F.lit(block)).cast("bigint")
+    marks = train.select(*series_cols, "pos", F.lit(1).alias("_t"), F.explode(F.sequence(blk(F.col("pos") - T), blk(F.col("pos") - 1))).alias("_blk"))
+    rows = p.select(*series_cols, "pos", F.lit(0).alias("_t"), blk(F.col("pos")).alias("_blk"))
+    ahead = Window.partitionBy(*series_cols, "_blk").orderBy("pos").rangeBetween(1, T)
+    both = rows.unionByName(marks).withColumn("_w", F.coalesce(F.sum("_t").over(ahead), F.lit(0)).cast("double"))
+    return both.filter("_t = 0 AND _w > 0").select(*series_cols, F.col("pos").alias(pos_col), "_w")
+
+
+def is_constant(var, mean, n):
+    """Whether a variance is only rounding: relative to the mean and the
+    number of values (double precision), not to a fixed bound."""
+    eps = F.lit(2.0 ** -52)
+    return var <= n * eps * var + F.pow(n * eps * mean, F.lit(2.0))
+
+
 def fit_feature_scaler(features: DataFrame, columns, seq_length: int = SEQ_LENGTH, series_cols=(),
                        pos_col: str = "pos") -> DataFrame:
     """Per-feature mean and population std exactly as a scaler fitted on
     the train windows' rows stacked (N_train x T rows), without exploding the
-    windows: feature row j is counted once per train window containing it,
-    w_j = max(0, min(j, n_train-1) - max(0, j-T+1) + 1).  Two passes (mean,
-    then weighted squared deviations) for numerical safety; zero variance ->
-    scale 1.  Output: (series..., feature, mean, scale)."""
-    T = int(seq_length)
-    stats = features.groupBy(*series_cols).agg(F.min(pos_col).alias("_f0"), F.count(F.lit(1)).alias("_nf"))
-    n_train, _ = split_sizes(F.greatest(F.col("_nf") - F.lit(T), F.lit(0)))
-    stats = stats.select(*series_cols, "_f0", n_train.alias("_ntr"))
-    f = join_series_stats(features, stats, series_cols)
-    j = F.col(pos_col) - F.col("_f0")
-    w = F.greatest(F.lit(0), F.least(j, F.col("_ntr") - 1) - F.greatest(F.lit(0), j - F.lit(T - 1)) + 1)
-    f = f.withColumn("_w", w.cast("double")).filter(F.col("_w") > 0)
-    long = f.select(*series_cols, "_w", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("_kv"))
-    long = long.select(*series_cols, "_w", "_kv.feature", "_kv.x")
-    keys = [*series_cols, "feature"]
-    means = long.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("x")) / F.sum("_w")).alias("mean"))
-    dev = long.join(means, keys).groupBy(*keys).agg(
-        F.first("mean").alias("mean"),
-        (F.sum(F.col("_w") * F.pow(F.col("x") - F.col("mean"), 2)) / F.sum("_w")).alias("_var"))
-    sd = F.sqrt("_var")
-    return dev.select(*keys, "mean", F.when(sd > F.lit(1e-12), sd).otherwise(F.lit(1.0)).alias("scale"))
+    windows: each feature row weighs as many times as train windows hold it
+    (``train_weights``).  Two wide aggregates, all columns at once (mean, then
+    weighted squared deviations, for numerical safety); constant -> scale 1.
+    Output: (series..., feature, mean, scale)."""
+    cols = list(columns)
+    f = features.join(train_weights(features, seq_length, series_cols, pos_col), [*series_cols, pos_col])
+    x = {c: F.col(c).cast("double") for c in cols}
+    here = {c: F.when(F.col(c).isNotNull(), F.col("_w")) for c in cols}
+    means = f.groupBy(*series_cols).agg(*[(F.sum(here[c] * x[c]) / F.sum(here[c])).alias(f"_m_{i}") for i, c in enumerate(cols)])
+    f = join_series_stats(f, means, series_cols)
+    dev = f.groupBy(*series_cols).agg(
+        *[F.first(f"_m_{i}").alias(f"_m_{i}") for i in range(len(cols))],
+        *[(F.sum(here[c] * F.pow(x[c] - F.col(f"_m_{i}"), 2)) / F.sum(here[c])).alias(f"_v_{i}") for i, c in enumerate(cols)],
+        *[F.sum(here[c]).alias(f"_n_{i}") for i, c in enumerate(cols)])
+    long = dev.select(*series_cols, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"_m_{i}").alias("mean"), F.col(f"_v_{i}").alias("var"), F.col(f"_n_{i}").alias("n"))
+        for i, c in enumerate(cols)])).alias("s")).select(*series_cols, "s.*").filter("mean IS NOT NULL")
+    scale = F.when(is_constant(F.col("var"), F.col("mean"), F.col("n")), F.lit(1.0)).otherwise(F.sqrt("var"))
+    return long.select(*series_cols, "feature", "mean", scale.alias("scale"))
 
 
 def fit_target_scaler(split_windows: DataFrame, series_cols=(), col: str = "y") -> DataFrame:
     """A16 for the target: mean and population std of y over train windows."""
     tr = split_windows.filter(F.col("split") == "train")
-    sd = F.stddev_pop(col)
+    constant = is_constant(F.var_pop(col), F.avg(col), F.count(col).cast("double"))
     return tr.groupBy(*series_cols).agg(
         F.avg(col).alias("y_mean"),
-        F.when(sd > F.lit(1e-12), sd).otherwise(F.lit(1.0)).alias("y_scale"))
+        F.when(constant, F.lit(1.0)).otherwise(F.stddev_pop(col)).alias("y_scale"))
 
 
 def scale_features(features: DataFrame, scaler: DataFrame, columns, series_cols=()) -> DataFrame:

@@ -11,6 +11,10 @@ the DuckDB oracle value by value.
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +32,9 @@ from sensorspark.operators.features import (CYCLIC, feature_columns, feature_tab
 from sensorspark.plans import forecast as FC
 from sensorspark.operators.blocks import join_series_stats
 from sensorspark.plans import runs as RU
-from sensorspark.session import ensure_utc, materialize
+from sensorspark.session import checkpoint_dir, ensure_utc, materialize
 from sensorspark.sources import measurements as S
+from sensorspark.sources.sinks import drift_report_frame, write_shards
 
 AS_OF = "2024-01-31 00:00:00"
 RETENTION_DAYS = 14
@@ -68,78 +73,97 @@ def join_one(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- shared bases
-def mview(spark, sf):
+def mview(spark, sf, **bounds):
+    """The measurement view; time bounds and parameters reach the scan."""
     ensure_utc(spark)
-    return S.events_measurements(spark, sf)
+    return S.events_measurements(spark, sf, **bounds)
+
+
+def allowed(spark, sf, **bounds):
+    return C.param_filter(mview(spark, sf, parameters=PARAMETERS, **bounds))
 
 
 def cleaned(spark, sf):
     """Allow-listed parameters, keep-first dedup by arrival."""
-    return I.dedup_first(C.param_filter(mview(spark, sf)), order=("arrival",))
+    return I.dedup_first(allowed(spark, sf), order=("arrival",))
 
 
-def hourly(spark, sf):
-    return R.hourly_wide(cleaned(spark, sf))
+def hourly(spark, sf, series=()):
+    return R.hourly_wide(cleaned(spark, sf), PARAMETERS, series_cols=series)
 
 
-def features(spark, sf):
-    """The feature table, checkpointed: many queries reuse it several times."""
-    return materialize(feature_table(hourly(spark, sf)))
+def features(spark, sf, series=()):
+    """The feature table, materialized: many queries reuse it several times."""
+    return materialize(feature_table(hourly(spark, sf, series), series_cols=series))
 
 
-def split_windows(spark, sf, with_x=False, feats=None):
-    f = feats if feats is not None else features(spark, sf)
-    w = sequence_windows(f, with_x=with_x, keep=[LAG1, LAG24])
-    return materialize(W.chrono_split(w))
+def split_windows(spark, sf, feats=None, series=(), last=()):
+    f = feats if feats is not None else features(spark, sf, series)
+    w = sequence_windows(f, series_cols=series, with_x=False, keep=[LAG1, LAG24], last=last)
+    return materialize(W.chrono_split(w, series))
 
 
-def shards(spark, sf):
-    return S.week_shards(C.param_filter(mview(spark, sf)))
+def shards(spark, sf, **bounds):
+    return S.week_shards(allowed(spark, sf, **bounds))
+
+
+def shard_folder(spark, sf):
+    """The weekly shards as files; returns their folder."""
+    ensure_utc(spark)
+    root = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(C.standardize(shards(spark, sf)), root)
+    return root
+
+
+SHARD_SCHEMA = T.StructType([*S.MEASUREMENT_SCHEMA.fields, T.StructField("sensor_id", T.LongType()), T.StructField("arrival", T.LongType())])
+
+
+def retained_since():
+    """First time that the retention keeps."""
+    return str(datetime.fromisoformat(AS_OF) - timedelta(days=RETENTION_DAYS))
 
 
 def merged(spark, sf):
-    """rolling merge: shards -> standardize -> retention -> keep-first dedup."""
-    s = C.standardize(shards(spark, sf))
+    """rolling merge: shards -> standardize -> retention -> keep-first dedup.
+    The retention bound holds for all copies of a reading, so it is put on
+    the scan."""
+    s = C.standardize(shards(spark, sf, since=retained_since()))
     s = C.retention_filter(s, AS_OF, RETENTION_DAYS)
     return I.dedup_first(s, order=("shard", "arrival"))
 
 
-def naive_preds(spark, sf):
-    return FC.naive_forecast(split_windows(spark, sf))
+def naive_preds(spark, sf, feats=None, series=()):
+    return FC.naive_forecast(split_windows(spark, sf, feats, series))
 
 
-def model_preds(spark, sf):
+def model_preds(spark, sf, feats=None, series=()):
     """Windows with persistence, seasonal and AR(1) predictions."""
-    sw = naive_preds(spark, sf)
-    model = FC.ar1_fit(sw)
-    return FC.ar1_predict(sw, model)
+    sw = naive_preds(spark, sf, feats, series)
+    model = FC.ar1_fit(sw, series_cols=series)
+    return FC.ar1_predict(sw, model, series_cols=series)
 
 
-def runs(spark, sf):
-    p = naive_preds(spark, sf)
+def runs(spark, sf, preds=None, series=()):
+    p = preds if preds is not None else naive_preds(spark, sf, series=series)
     return RU.backtest_runs(p, "pred_seasonal", "pred_persistence", "events.parquet", RETENTION_DAYS,
-                            persistence="pred_persistence")
+                            series_cols=series, persistence="pred_persistence")
 
 
-def lineitem_periods(spark, sf):
+def lineitem_counts(spark, sf):
+    """Bin counts of lineitem before and from SPLIT_TS, in one scan."""
     li = S.read_table(spark, sf, "lineitem").select(*LINEITEM_COLS, "l_shipdate")
-    cut = F.lit(SPLIT_TS).cast("timestamp")
-    ref = li.filter(F.col("l_shipdate").cast("timestamp") < cut).drop("l_shipdate")
-    cur = li.filter(F.col("l_shipdate").cast("timestamp") >= cut).drop("l_shipdate")
-    return ref, cur
+    before = F.col("l_shipdate").cast("timestamp") < F.lit(SPLIT_TS).cast("timestamp")
+    return D.period_counts(li.filter("l_shipdate IS NOT NULL"), before, ~before, LINEITEM_COLS)
 
 
-def feature_periods(spark, sf):
-    """First against last third of the feature rows (by time)."""
-    f = features(spark, sf)
+def feature_counts(spark, sf, feats=None):
+    """Bin counts of the first and the last third of the feature rows (by time)."""
+    f = feats if feats is not None else features(spark, sf)
     st = f.agg(F.min("pos").alias("_a"), F.count(F.lit(1)).alias("_n"))
     f = join_one(f, st)
     third = F.floor(F.col("_n") / F.lit(3))
     idx = F.col("pos") - F.col("_a")
-    cols = feature_columns()
-    ref = f.filter(idx < third).select(*cols)
-    cur = f.filter(idx >= F.col("_n") - third).select(*cols)
-    return ref, cur
+    return D.period_counts(f, idx < third, idx >= F.col("_n") - third, feature_columns())
 
 
 # ---------------------------------------------------------------- queries
@@ -152,12 +176,12 @@ def q_standardize(spark, sf):
 
 
 def q_retention_filter(spark, sf):
-    s = C.retention_filter(C.standardize(mview(spark, sf)), AS_OF, RETENTION_DAYS)
+    s = C.retention_filter(C.standardize(mview(spark, sf, since=retained_since())), AS_OF, RETENTION_DAYS)
     return s.select("datetime", "parameter", "location", "value", "arrival")
 
 
 def q_param_filter(spark, sf):
-    return C.param_filter(mview(spark, sf)).select("arrival", "parameter")
+    return allowed(spark, sf).select("arrival", "parameter")
 
 
 def q_bbox_filter(spark, sf):
@@ -175,13 +199,13 @@ def q_country_filter(spark, sf):
 
 
 def q_sensor_range_topn(spark, sf):
-    m = mview(spark, sf)
-    return C.sensor_range_topn(m, "2024-01-05 00:00:00", "2024-01-20 00:00:00", 5) \
+    first, last = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
+    return C.sensor_range_topn(mview(spark, sf, since=first, until=last), first, last, 5) \
             .select("sensor_id", "datetime", "arrival", "value")
 
 
 def q_pivot_mean(spark, sf):
-    return R.pivot_mean(cleaned(spark, sf))
+    return R.pivot_mean(cleaned(spark, sf), PARAMETERS)
 
 
 def q_hourly_mean(spark, sf):
@@ -208,8 +232,8 @@ def _feat_subset(cols):
 
 def q_dropna_features(spark, sf):
     h = materialize(hourly(spark, sf))
-    g = R.gap_fill(h)
-    f = feature_table(h)
+    g = R.gap_fill(h, checkpoint=False)
+    f = feature_table(h, checkpoint=False)
     a = g.agg(F.count(F.lit(1)).alias("spine_rows"))
     b = f.agg(F.count(F.lit(1)).alias("feature_rows"))
     return join_one(a, b).withColumn("dropped_rows", F.col("spine_rows") - F.col("feature_rows"))
@@ -276,7 +300,7 @@ def q_regression_metrics(spark, sf):
         F.struct(F.lit("persistence").alias("model"), F.col("pred_persistence").alias("pred")),
         F.struct(F.lit("seasonal").alias("model"), F.col("pred_seasonal").alias("pred")),
         F.struct(F.lit("ar1").alias("model"), F.col("pred_ar1").alias("pred")))).alias("m"))
-    return MT.regression_metrics(long.select("y", "m.model", "m.pred"), group_cols=["model"])
+    return MT.regression_metrics(long.select("y", "m.model", "m.pred"), group_cols=["model"], few_groups=True)
 
 
 def q_compare_models(spark, sf):
@@ -295,14 +319,27 @@ def q_forecast_eval(spark, sf):
 
 
 def q_quality_alarm(spark, sf):
-    cmp = q_compare_models(spark, sf).select("candidate_rmse", "baseline_rmse")
-    pr = MT.persistence_rmse(split_windows(spark, sf), LAG1).select("persistence_rmse")
+    """AR(1), persistence and a forecast of zero against the persistence RMSE
+    (the last is bad enough to raise the alarm)."""
+    sw = materialize(model_preds(spark, sf).withColumn("pred_zero", F.lit(0.0)))
+    test = sw.filter(F.col("split") == "test")
+    pr = MT.persistence_rmse(sw, LAG1).select("persistence_rmse")
+    cmp = MT.compare_models(test, "y", "pred_zero", "pred_ar1").select("candidate_rmse", "baseline_rmse")
     j = join_one(cmp, pr)
     return j.select("candidate_rmse", "baseline_rmse", "persistence_rmse",
                     MT.quality_alarm(F.col("candidate_rmse"), F.col("persistence_rmse")).alias("candidate_alarm"),
                     MT.quality_alarm(F.col("baseline_rmse"), F.col("persistence_rmse")).alias("baseline_alarm"))
 
 
+def q_align_predictions(spark, sf):
+    """Two prediction tables (the candidate's holds no train rows) and the
+    truth, aligned by time, then compared."""
+    p = model_preds(spark, sf)
+    candidate = p.filter("split <> 'train'").select("ts", F.col("pred_ar1").alias("pred"))
+    a = MT.align_predictions(p, p.select("ts", F.col("pred_seasonal").alias("pred")), candidate, ["ts"])
+    return MT.compare_models(a)
+
+
 def q_ar1_fit(spark, sf):
     return FC.ar1_fit(split_windows(spark, sf))
 
@@ -328,30 +365,32 @@ def q_dedup_first(spark, sf):
 
 
 def q_duplicate_count(spark, sf):
-    return I.duplicate_count(C.param_filter(mview(spark, sf)))
+    return I.duplicate_count(allowed(spark, sf))
 
 
 def q_merge_shards(spark, sf):
-    s = shards(spark, sf)
-    parts = [s.filter(F.col("shard") == F.lit(lbl)) for lbl in _shard_names(s)]
-    u = I.merge_shards(parts)
+    """All shards of a folder as one table (U1), counted per shard."""
+    u = S.read_shards(spark, shard_folder(spark, sf), schema=SHARD_SCHEMA)
     return u.groupBy("shard").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
                                   F.count_distinct("arrival").cast("bigint").alias("readings"))
 
 
-def _shard_names(s: DataFrame) -> list[str]:
-    """Shard labels, like listing the shard files: derived from the one-row
-    time bounds of the data (metadata only, no rows reach the driver)."""
-    from datetime import timedelta
-    b = s.agg(F.min("datetime").alias("a"), F.max("datetime").alias("b")).first()
-    if b["a"] is None:
-        return []
-    start = (b["a"] - timedelta(days=b["a"].weekday())).date() - timedelta(days=7)
-    out = []
-    while start <= b["b"].date():
-        out.append(f"m_{start:%Y%m%d}_{start + timedelta(days=8):%Y%m%d}")
-        start += timedelta(days=7)
-    return out
+def q_shard_roundtrip(spark, sf):
+    """Shards written as files, scanned, merged, retained and deduplicated."""
+    u = S.read_shards(spark, shard_folder(spark, sf), schema=SHARD_SCHEMA)
+    m = I.dedup_first(C.retention_filter(u, AS_OF, RETENTION_DAYS), order=("shard", "arrival"))
+    return m.select("datetime", "parameter", "location", "value", "unit", "shard", "arrival")
+
+
+def q_fetch_plan(spark, sf):
+    """What the next ingest fetches: as of the retention date, one hour after
+    the last reading, and that forced."""
+    s = materialize(shards(spark, sf).select("datetime", "shard"))
+    last = s.agg(F.max("datetime").alias("m")).first().m
+    soon = None if last is None else str(last + timedelta(hours=1))
+    plans = [("as_of", I.fetch_plan(s, AS_OF)), ("soon", I.fetch_plan(s, soon)), ("forced", I.fetch_plan(s, soon, force=True)),
+             ("first", I.fetch_plan(s.filter("false"), AS_OF))]
+    return reduce(DataFrame.unionByName, [p.select(F.lit(n).alias("case"), "*") for n, p in plans])
 
 
 def q_shard_contribution(spark, sf):
@@ -363,7 +402,7 @@ def q_rolling_merge(spark, sf):
 
 
 def q_ingest_new_only(spark, sf):
-    m = C.param_filter(mview(spark, sf))
+    m = allowed(spark, sf)
     stored = m.filter(F.col("datetime") < F.lit("2024-01-15 00:00:00").cast("timestamp"))
     incoming = m.filter(F.col("datetime") >= F.lit("2024-01-14 00:00:00").cast("timestamp"))
     return I.new_rows(incoming, stored).select("datetime", "parameter", "location", "arrival")
@@ -390,54 +429,66 @@ def q_describe_numeric(spark, sf):
 
 
 def q_psi_edges(spark, sf):
-    ref, cur = lineitem_periods(spark, sf)
-    e = D.psi_edges(D.to_long(ref, LINEITEM_COLS))
+    li = S.read_table(spark, sf, "lineitem").filter(F.col("l_shipdate").cast("timestamp") < F.lit(SPLIT_TS).cast("timestamp"))
+    e = D.psi_edges(D.to_long(li, LINEITEM_COLS))
     return e.select("feature", F.posexplode("edges").alias("edge_idx", "edge"))
 
 
 def q_psi_histogram(spark, sf):
-    ref, cur = lineitem_periods(spark, sf)
-    r, c = D.to_long(ref, LINEITEM_COLS), D.to_long(cur, LINEITEM_COLS)
-    e = D.psi_edges(r)
-    return D.psi_histogram(r, e, side="ref").join(D.psi_histogram(c, e, side="cur"), ["feature", "bin"])
+    return D.psi_histogram(lineitem_counts(spark, sf))
 
 
 def q_psi_by_feature(spark, sf):
-    ref, cur = feature_periods(spark, sf)
-    return D.psi_by_feature(ref, cur)
+    return D.psi_of(feature_counts(spark, sf))
 
 
 def q_psi_summary(spark, sf):
-    ref, cur = feature_periods(spark, sf)
-    return D.psi_summary(D.psi_by_feature(ref, cur))
+    return D.psi_summary(D.psi_of(feature_counts(spark, sf))).drop("judged")
 
 
 def q_psi_lineitem(spark, sf):
-    ref, cur = lineitem_periods(spark, sf)
-    return D.psi_by_feature(ref, cur, LINEITEM_COLS)
+    return D.psi_of(lineitem_counts(spark, sf))
 
 
-def q_psi_head_sample(spark, sf):
+def q_head_sample(spark, sf):
+    """L4: the first 1000 rows of each period by time (a top-k report)."""
     li = S.read_table(spark, sf, "lineitem")
-    cut = F.lit(SPLIT_TS).cast("timestamp")
+    before = F.col("l_shipdate").cast("timestamp") < F.lit(SPLIT_TS).cast("timestamp")
     order = ["l_shipdate", "l_orderkey", "l_linenumber"]
-    ref = D.head_sample(li.filter(F.col("l_shipdate").cast("timestamp") < cut), order).select(*LINEITEM_COLS)
-    cur = D.head_sample(li.filter(F.col("l_shipdate").cast("timestamp") >= cut), order).select(*LINEITEM_COLS)
-    return D.psi_by_feature(ref, cur, LINEITEM_COLS)
+    cols = ["period", "l_orderkey", "l_linenumber", *LINEITEM_COLS]
+    return D.head_sample(li.filter(before), order).withColumn("period", F.lit("reference")).select(*cols).unionByName(
+        D.head_sample(li.filter(~before), order).withColumn("period", F.lit("current")).select(*cols))
 
 
 def q_drift_report(spark, sf):
-    ref, cur = lineitem_periods(spark, sf)
-    s = D.psi_summary(D.psi_by_feature(ref, cur, LINEITEM_COLS))
-    n = join_one(ref.agg(F.count(F.lit(1)).cast("bigint").alias("reference_samples")),
-                 cur.agg(F.count(F.lit(1)).cast("bigint").alias("current_samples")))
-    return join_one(s, n)
+    """Score, sample counts and the PSI of every feature."""
+    c = materialize(lineitem_counts(spark, sf))
+    psi = D.psi_of(c)
+    s = D.psi_summary(psi, min_features=len(LINEITEM_COLS))
+    # rows with any value: the largest count of a feature
+    n = c.agg(F.max("ref_n").cast("bigint").alias("reference_samples"), F.max("cur_n").cast("bigint").alias("current_samples"))
+    r = drift_report_frame(join_one(s, n), psi)
+    entry = lambda k: F.concat(k, F.lit("="), F.format_string("%.6f", F.col("feature_psi")[k]))
+    return r.withColumn("feature_psi", F.array_join(F.transform(F.array_sort(F.map_keys("feature_psi")), entry), ","))
+
+
+def q_drift_baseline(spark, sf):
+    """The drift check with a saved baseline: the first run stores the early
+    period and always retrains, the second holds the late one against it."""
+    ensure_utc(spark)
+    path = f"{checkpoint_dir(spark)}/baseline-{uuid.uuid4().hex}"
+    li = S.read_table(spark, sf, "lineitem")
+    before = F.col("l_shipdate").cast("timestamp") < F.lit(SPLIT_TS).cast("timestamp")
+    run = lambda n, df: D.drift_against_baseline(df.select(*LINEITEM_COLS), path, min_features=4).withColumn("run", F.lit(n))
+    first = run(1, li.filter(before))
+    return first.unionByName(run(2, li.filter(~before))).unionByName(
+        D.drift_against_baseline(li.select(*LINEITEM_COLS[:3]), path).withColumn("run", F.lit(3)))
 
 
 def q_drift_decision(spark, sf):
-    ref, cur = feature_periods(spark, sf)
-    s = D.psi_summary(D.psi_by_feature(ref, cur))
-    champ = runs(spark, sf).agg(F.max(F.col("promoted").cast("int")).alias("_c"))
+    f = features(spark, sf)
+    s = D.psi_summary(D.psi_of(feature_counts(spark, sf, f)))
+    champ = runs(spark, sf, naive_preds(spark, sf, f)).agg(F.max(F.col("promoted").cast("int")).alias("_c"))
     j = join_one(s, champ)
     has = F.coalesce(F.col("_c"), F.lit(0)) == 1
     return j.select("psi_score", "band", "recommendation", has.alias("has_champion"),
@@ -455,8 +506,8 @@ def q_champion_history(spark, sf):
 def q_runs_upsert(spark, sf):
     """Restated runs for the last 7 days (AR(1) as candidate, one hour later)
     replace the earlier versions; other days keep theirs."""
-    base = runs(spark, sf)
-    p = model_preds(spark, sf)
+    p = materialize(model_preds(spark, sf))
+    base = runs(spark, sf, p)
     p = p.filter(F.col("ts") >= F.lit("2024-01-24 00:00:00").cast("timestamp"))
     again = RU.backtest_runs(p, "pred_seasonal", "pred_ar1", "events.parquet", RETENTION_DAYS,
                              persistence="pred_persistence")
@@ -535,12 +586,28 @@ def q_flatten_payloads(spark, sf):
     return ev.select("event_id", k.alias("k"), F.coalesce(k, F.lit(-1)).alias("k_or_default"))
 
 
+def q_nested_payloads(spark, sf):
+    """Landed payloads (one per sensor, parameter and day, times as objects or
+    plain strings) flattened to rows."""
+    ensure_utc(spark)
+    ev = S.read_table(spark, sf, "events")
+    m = S.measurement_view(ev)
+    iso = F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.when(F.col("value") < 50, F.concat(F.lit('{"utc":"'), iso, F.lit('"}'))).otherwise(iso)
+    p = m.groupBy("sensor_id", "parameter", "location", "latitude", "longitude", F.to_date("datetime").alias("day")).agg(
+        F.collect_list(F.struct("value", F.struct(when.alias("datetimeFrom")).alias("period"))).alias("measurements"))    # a sensor's day
+    p = p.select(F.struct(F.col("sensor_id").alias("id"), F.col("location").alias("name"), F.struct("latitude", "longitude").alias("coordinates")).alias("location"),
+                 F.struct(F.col("sensor_id").alias("id"), F.struct(F.upper("parameter").alias("name"), F.lit("u").alias("units")).alias("parameter")).alias("sensor"),
+                 "measurements")
+    return S.flatten_payloads(p, PARAMETERS)
+
+
 def q_incremental_batch(spark, sf):
     """Batch form of the incremental ingest: readings after the high-watermark
     (2024-01-20), not yet stored, deduplicated; counted per parameter."""
-    m = C.param_filter(mview(spark, sf))
-    wm = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    new = I.dedup_first(m.filter(F.col("datetime") > wm), order=("arrival",))
+    wm = "2024-01-20 00:00:00"
+    m = allowed(spark, sf, since=wm)
+    new = I.dedup_first(m.filter(F.col("datetime") > F.lit(wm).cast("timestamp")), order=("arrival",))
     return new.groupBy("parameter").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
                                         F.max("datetime").alias("new_watermark"))
 
@@ -554,16 +621,16 @@ def _linear_scored(spark, sf):
     regression on the train split (z-scored target) -> scores for all
     windows, inverse-transformed to raw units."""
     f = features(spark, sf)
-    sw = split_windows(spark, sf, with_x=True, feats=f)
     cols = input_columns()
-    last = sw.select("ts", "y", "split", *[F.element_at("x", -1)[c].alias(c) for c in cols])
+    sw = split_windows(spark, sf, f, last=cols)
+    last = sw.select("ts", "y", "split", *[F.col(f"x_{c}").alias(c) for c in cols])
     sc = W.fit_feature_scaler(f, cols, T_LEN)
     scaled = W.scale_features(last, sc, cols)
     ts = W.fit_target_scaler(sw)
     # the fit makes several passes: cut the wide lineage once (this also keeps
     # Catalyst's constraint propagation away from ~100 aliased columns)
     scaled = materialize(W.scale_target(scaled, ts, col="y", out="y_scaled"))
-    va, model = FC.fit_linear_forecaster(scaled.filter(F.col("split") == "train"), cols)
+    va, model, _ = FC.fit_linear_forecaster(scaled.filter(F.col("split") == "train"), cols)
     scored = FC.batch_score(scaled, va, model)
     return W.inverse_transform(scored, ts, col="pred_scaled", out="pred_linear")
 
@@ -577,11 +644,54 @@ def q_batch_score(spark, sf):
     return _linear_scored(spark, sf).select("ts", "split", "y", "pred_linear")
 
 
+AR_LAGS = {1: LAG1, 24: LAG24}
+
+
+def q_ar_fit(spark, sf):
+    return FC.ar_fit(split_windows(spark, sf), AR_LAGS)
+
+
 def q_recursive_forecast_general(spark, sf):
-    """M4 through the grouped-map recursion (coefficients from the AR(1) fit)."""
+    """M4 with two lags (1 and 24 hours), coefficients fitted on the train split."""
     f = features(spark, sf)
-    m = FC.ar1_fit(split_windows(spark, sf, feats=f)).first()
-    return FC.recursive_forecast(f, {"intercept": m["ar_a"], 1: m["ar_phi"]}, 24)
+    return FC.recursive_forecast(f, FC.ar_fit(split_windows(spark, sf, f), AR_LAGS), AR_LAGS, 24)
+
+
+# ------------------------------------------------------------ per-location panel
+LOC = ("location",)
+
+
+def q_feature_table_panel(spark, sf):
+    """The feature chain at the per-location grain (the scalable panel):
+    spine, gap fill, lags and windows per location, blocked by time."""
+    return feature_table(hourly(spark, sf, LOC), series_cols=LOC).drop("pos")
+
+
+def q_panel_split_summary(spark, sf):
+    return W.split_summary(split_windows(spark, sf, series=LOC), LOC)
+
+
+def q_panel_feature_scaler(spark, sf):
+    return W.fit_feature_scaler(features(spark, sf, LOC), input_columns(), T_LEN, LOC)
+
+
+def q_panel_metrics(spark, sf):
+    p = model_preds(spark, sf, series=LOC).filter(F.col("split") == "test")
+    return MT.compare_models(p, "y", "pred_seasonal", "pred_ar1", LOC)
+
+
+def q_panel_ar1_fit(spark, sf):
+    return FC.ar1_fit(split_windows(spark, sf, series=LOC), series_cols=LOC)
+
+
+def q_panel_recursive_forecast(spark, sf):
+    """Recursion with two lags and each location's own coefficients."""
+    f = features(spark, sf, LOC)
+    return FC.recursive_forecast(f, FC.ar_fit(split_windows(spark, sf, f, LOC), AR_LAGS, LOC), AR_LAGS, 24, series_cols=LOC)
+
+
+def q_panel_backtest_runs(spark, sf):
+    return runs(spark, sf, series=LOC)
 
 
 QUERIES = {
@@ -640,7 +750,7 @@ QUERIES = {
     "psi_by_feature": q_psi_by_feature,
     "psi_summary": q_psi_summary,
     "psi_lineitem": q_psi_lineitem,
-    "psi_head_sample": q_psi_head_sample,
+    "head_sample": q_head_sample,
     "drift_report": q_drift_report,
     "drift_decision": q_drift_decision,
     "backtest_runs": q_backtest_runs,
@@ -662,19 +772,24 @@ QUERIES = {
     "flatten_payloads": q_flatten_payloads,
 }
 
-def q_feature_table_panel(spark, sf):
-    """The feature chain at the per-location grain (the scalable panel):
-    spine, gap fill, lags and windows per location, blocked by time."""
-    h = R.hourly_wide(cleaned(spark, sf), series_cols=("location",))
-    return feature_table(h, series_cols=("location",)).drop("pos")
-
-
-# rows-only (model fitting / Python recursion / panel grain): no oracle SQL
 QUERIES.update({
+    "shard_roundtrip": q_shard_roundtrip,
+    "fetch_plan": q_fetch_plan,
+    "align_predictions": q_align_predictions,
+    "nested_payloads": q_nested_payloads,
+    "drift_baseline": q_drift_baseline,
+    "ar_fit": q_ar_fit,
+    "recursive_forecast_general": q_recursive_forecast_general,
     "feature_table_panel": q_feature_table_panel,
+    "panel_split_summary": q_panel_split_summary,
+    "panel_feature_scaler": q_panel_feature_scaler,
+    "panel_metrics": q_panel_metrics,
+    "panel_ar1_fit": q_panel_ar1_fit,
+    "panel_recursive_forecast": q_panel_recursive_forecast,
+    "panel_backtest_runs": q_panel_backtest_runs,
+    # fitted by pyspark.ml: no SQL, tested against NumPy
     "linear_forecast": q_linear_forecast,
     "batch_score": q_batch_score,
-    "recursive_forecast_general": q_recursive_forecast_general,
 })
 
 

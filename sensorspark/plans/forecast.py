@@ -4,17 +4,14 @@ The neural networks of the original are not rebuilt (single-machine Keras
 training); what the chain needs from them -- a fitted forecaster, batch
 scoring, recursive horizons, inverse transform -- is provided with
 declarative aggregates (AR(1) by ``regr_slope``/``regr_intercept``),
-``pyspark.ml`` regression on the flat last-row features, and a grouped
-``applyInPandas`` only for the per-series recursion.
+``pyspark.ml`` regression on the flat last-row features, and recursions as
+array expressions over each series' last hours.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sensorspark.constants import FORECAST_HOURS, TARGET
 from sensorspark.operators.blocks import join_series_stats
@@ -78,66 +75,74 @@ def ar1_recursive_forecast(features: DataFrame, model: DataFrame, hours: int = F
                     pred.alias("forecast"), F.lit("recursive").alias("forecast_type"))
 
 
-def recursive_forecast(features: DataFrame, coefs: dict, hours: int = FORECAST_HOURS,
-                       target: str = TARGET, series_cols=(), history: int = 72) -> DataFrame:
+def ar_fit(split_windows: DataFrame, lag_cols, series_cols=(), split: str = "train") -> DataFrame:
+    """M2 with two lags: per-series least squares y = a + b1 l1 + b2 l2 on the
+    train windows, from the covariances (aggregates only).  ``lag_cols`` maps
+    lag -> column; the result has ``intercept`` and ``lag_<k>``."""
+    (k1, c1), (k2, c2) = lag_cols.items()
+    ok = [F.col(c).isNotNull() for c in ("y", c1, c2)]
+    tr = split_windows.filter((F.col("split") == split) & ok[0] & ok[1] & ok[2])
+    g = tr.groupBy(*series_cols).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_train"), F.avg("y").alias("_y"), F.avg(c1).alias("_a1"), F.avg(c2).alias("_a2"),
+        F.var_pop(c1).alias("_11"), F.var_pop(c2).alias("_22"), F.covar_pop(c1, c2).alias("_12"),
+        F.covar_pop(c1, "y").alias("_1y"), F.covar_pop(c2, "y").alias("_2y"))
+    det = F.col("_11") * F.col("_22") - F.col("_12") * F.col("_12")
+    b1 = F.when(det > 0, (F.col("_1y") * F.col("_22") - F.col("_2y") * F.col("_12")) / det)
+    b2 = F.when(det > 0, (F.col("_2y") * F.col("_11") - F.col("_1y") * F.col("_12")) / det)
+    g = g.withColumn(f"lag_{k1}", b1).withColumn(f"lag_{k2}", b2)
+    return g.select(*series_cols, "n_train", (F.col("_y") - F.col(f"lag_{k1}") * F.col("_a1") - F.col(f"lag_{k2}") * F.col("_a2")).alias("intercept"),
+                    f"lag_{k1}", f"lag_{k2}")
+
+
+def recursive_forecast(features: DataFrame, model: DataFrame, lags, hours: int = FORECAST_HOURS,
+                       target: str = TARGET, series_cols=(), pos_col: str = "pos") -> DataFrame:
     """M4, general linear autoregression on target lags: each step's
     prediction is fed back into the lags of the next step.
 
-    Sequential in time, parallel over series: the last ``history`` hours of
-    every series are selected with a group limit, then one ``applyInPandas``
-    call per series runs the ``hours``-step recursion (a few vectors per
-    series, never a whole table).  ``coefs``: {"intercept": a, lag_k: b_k}.
+    ``model``: one row per series with ``intercept`` and ``lag_<k>`` for every
+    k of ``lags``.  The last max(lags) hours of a series (found by its last
+    position, not by sorting it) are its history; the recursion is an
+    expression over that short array, one row per series.  A series without
+    all these hours, or without a model, gets NULL, not a forecast.
     """
-    from pyspark.sql.window import Window
-    keys = list(series_cols) or ["_series"]
-    f = features if series_cols else features.withColumn("_series", F.lit("all"))
-    w = Window.partitionBy(*keys).orderBy(F.col("datetime").desc())
-    tail = f.select(*keys, "datetime", target).withColumn("_rn", F.row_number().over(w)) \
-            .filter(F.col("_rn") <= history).drop("_rn")
-    lags = sorted(int(k) for k in coefs if k != "intercept")
-    a = float(coefs.get("intercept", 0.0))
-    b = {k: float(coefs[k]) for k in lags}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("datetime")
-        hist = list(pdf[target].to_numpy(dtype=float))
-        last = pdf["datetime"].iloc[-1]
-        out = []
-        for h in range(1, hours + 1):
-            yhat = a + sum(b[k] * hist[-k] for k in lags if k <= len(hist))
-            hist.append(yhat)
-            out.append((last + pd.Timedelta(hours=h), h, yhat))
-        res = pd.DataFrame(out, columns=["ts", "h", "forecast"])
-        for k in keys:
-            res[k] = pdf[k].iloc[0]
-        res["forecast_type"] = "recursive"
-        return res[[*keys, "ts", "h", "forecast", "forecast_type"]]
-
-    key_fields = [f.schema[k] for k in keys]
-    schema = T.StructType([*key_fields, T.StructField("ts", T.TimestampType()),
-                           T.StructField("h", T.IntegerType()), T.StructField("forecast", T.DoubleType()),
-                           T.StructField("forecast_type", T.StringType())])
-    res = tail.groupBy(*keys).applyInPandas(run, schema)
-    return res if series_cols else res.drop("_series")
+    lags = sorted(int(k) for k in lags)
+    need = lags[-1]
+    last = features.groupBy(*series_cols).agg(F.max(pos_col).alias("_p"), F.max("datetime").alias("last_ts"))
+    tail = join_series_stats(features.select(*series_cols, pos_col, target), last, series_cols).filter(F.col(pos_col) > F.col("_p") - need)
+    hist = tail.groupBy(*series_cols).agg(
+        F.first("last_ts").alias("last_ts"), F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(target).cast("double").alias("v")))).alias("_h"))
+    hist = join_series_stats(hist, model.select(*series_cols, "intercept", *[f"lag_{k}" for k in lags]), series_cols)
+
+    def step(acc, _):
+        y = F.col("intercept")
+        for k in lags:
+            y = y + F.col(f"lag_{k}") * F.element_at(acc, -k)
+        return F.array_append(acc, y)
+    values = F.transform("_h", lambda s: s["v"])
+    path = F.when(F.size("_h") == need, F.aggregate(F.sequence(F.lit(1), F.lit(int(hours))), values, step))
+    out = hist.withColumn("_path", path).select(*series_cols, "last_ts", "_path", F.explode(F.sequence(F.lit(1), F.lit(int(hours)))).alias("h"))
+    return out.select(*series_cols, (F.col("last_ts") + F.make_interval(hours=F.col("h"))).alias("ts"), "h",
+                      F.get("_path", F.col("h") + need - 1).alias("forecast"), F.lit("recursive").alias("forecast_type"))
 
 
 def fit_linear_forecaster(train: DataFrame, feature_cols, label: str = "y_scaled", reg: float = 0.0):
     """M2 with ``pyspark.ml``: linear regression on the z-scored last-row
-    features of each window (distributed normal-equation/L-BFGS fit)."""
+    features of each window (distributed normal-equation/L-BFGS fit).
+    Returns the assembler, the model and how many rows with a NULL the fit
+    left out."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
-    va = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="skip")
+    whole = train.dropna(subset=[*feature_cols, label])
+    va = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
     lr = LinearRegression(featuresCol="features", labelCol=label, predictionCol="pred_scaled",
                           regParam=reg, standardization=False)
-    return va, lr.fit(va.transform(train))
+    model = lr.fit(va.transform(whole))
+    return va, model, train.count() - model.summary.numInstances
 
 
 def batch_score(df: DataFrame, assembler, model) -> DataFrame:
-    """M3: score windows with a fitted ``pyspark.ml`` model (JVM-side)."""
-    return model.transform(assembler.transform(df)).drop("features")
-
-
-def forecast_points(pred: np.ndarray) -> dict:
-    """Small helper for reports: min/max/mean/std (ddof 0) of a local vector."""
-    return {"min": float(pred.min()), "max": float(pred.max()), "mean": float(pred.mean()),
-            "std": float(pred.std())}
+    """M3: score every row with a fitted ``pyspark.ml`` model (JVM-side); the
+    prediction is NULL where an input is."""
+    out = model.transform(assembler.transform(df)).drop("features")
+    p = F.col("pred_scaled")
+    return out.withColumn("pred_scaled", F.when(~F.isnan(p), p))

@@ -266,7 +266,7 @@ pcur AS (SELECT * FROM fp WHERE i - a_ >= n_ - floor(n_ / 3))"""
 LI_PERIODS = """lref AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01'),
 lcur AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01')"""
 
-PSI_SUMMARY = """psum AS (SELECT coalesce(avg(psi), 0.0) AS psi_score, count(*) AS features_analyzed FROM psi),
+PSI_SUMMARY = """psum AS (SELECT coalesce(avg(psi), 0.0) AS psi_score, count(*) AS features_analyzed, count(*) >= 4 AS judged FROM psi),
 psum2 AS (SELECT *, CASE WHEN psi_score < 0.1 THEN 'none' WHEN psi_score <= 0.25 THEN 'moderate' ELSE 'significant' END AS band,
             CASE WHEN psi_score > 0.15 THEN 'retrain' ELSE 'skip' END AS recommendation FROM psum)"""
 
@@ -284,6 +284,67 @@ def _feat_subset(cols):
                "datetime:t " + " ".join(f"{c}:d" for c in cols))
 
 
+def ar2_sql(cols="", group=""):
+    """Two-lag least squares from the covariances."""
+    return f"""cv AS (SELECT {cols}count(*) AS n_train, avg(y) AS my, avg(pm25_lag_1h) AS m1, avg(pm25_lag_24h) AS m2, var_pop(pm25_lag_1h) AS v1,
+    var_pop(pm25_lag_24h) AS v2, covar_pop(pm25_lag_1h, pm25_lag_24h) AS c12, covar_pop(pm25_lag_1h, y) AS c1, covar_pop(pm25_lag_24h, y) AS c2
+  FROM ws WHERE split = 'train' {group}),
+cb AS (SELECT *, CASE WHEN v1 * v2 - c12 * c12 > 0 THEN (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) END AS lag_1,
+    CASE WHEN v1 * v2 - c12 * c12 > 0 THEN (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) END AS lag_24 FROM cv),
+ar2 AS (SELECT {cols}n_train, my - lag_1 * m1 - lag_24 * m2 AS intercept, lag_1, lag_24 FROM cb)"""
+
+
+def rec2_sql(panel=False):
+    """The two-lag recursion, step by step over the last 24 hours."""
+    key, on, by = ("location, ", " JOIN ar2 USING (location)", " GROUP BY location") if panel else ("", ", ar2", "")
+    rank = "(PARTITION BY location ORDER BY i DESC)" if panel else "(ORDER BY i DESC)"
+    return f"""tl AS (SELECT * FROM (SELECT {key}datetime, i, pm25, row_number() OVER {rank} AS rn FROM ft) WHERE rn <= 24),
+h0 AS (SELECT {key}max(datetime) AS last_ts, list(pm25 ORDER BY i) AS hist FROM tl{by}),
+rec AS (SELECT {key}last_ts, 0 AS h, hist FROM h0 WHERE len(hist) = 24
+  UNION ALL SELECT {key}last_ts, h + 1, list_append(hist[2:], intercept + lag_1 * hist[24] + lag_24 * hist[1]) FROM rec{on} WHERE h < 24)"""
+
+
+def _panel(sql: str) -> str:
+    """A chain CTE with every window and every output per location."""
+    return sql.replace("OVER (ORDER BY", "OVER (PARTITION BY location ORDER BY").replace("AS (ORDER BY", "AS (PARTITION BY location ORDER BY")
+
+
+PANEL = [
+    """a1 AS (SELECT location, datetime, parameter, avg(value) AS v FROM clean WHERE value IS NOT NULL GROUP BY ALL),
+hw AS (SELECT location, date_trunc('hour', datetime) AS hour, """ + ", ".join(f"avg(v) FILTER (WHERE parameter = '{p}') AS {p}" for p in PARAMS) + """
+  FROM a1 GROUP BY ALL)""",
+    "sp AS (SELECT location, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS hour FROM (SELECT location, min(hour) AS a, max(hour) AS b FROM hw GROUP BY location)),\n"
+    "g0 AS (SELECT location, hour, row_number() OVER (PARTITION BY location ORDER BY hour) - 1 AS i, " + ", ".join(PARAMS) + " FROM sp LEFT JOIN hw USING (location, hour)),\n"
+    + _panel(GRID[GRID.index("g1 AS"):]).replace("SELECT hour AS datetime, i,", "SELECT location, hour AS datetime, i,"),
+    "f0 AS (SELECT location, datetime, i, " + ", ".join(FEAT_PARAMS) + ", " + ", ".join(_panel(e) for e in _feat_exprs()) + ", "
+    + ", ".join(f"bool_or({p} IS NOT NULL) OVER (PARTITION BY location) AS has_{p}" for p in PARAMS) + " FROM grid),\n"
+    "ft AS (SELECT * FROM f0 WHERE " + " AND ".join(
+        f"({c} IS NOT NULL" + next((f" OR NOT has_{p}" for p in ("pm10", "no2", "o3") if c == p or c.startswith(p + "_")), "") + ")" for c in feature_cols()) + "),\n"
+    "ftj AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY location) AS nf FROM ft)",
+    WIN.replace("SELECT datetime AS ts,", "SELECT location, datetime AS ts,"),
+    """ar AS (SELECT location, count(*) AS n_train, regr_intercept(y, pm25_lag_1h) AS ar_a, regr_slope(y, pm25_lag_1h) AS ar_phi
+  FROM ws WHERE split = 'train' GROUP BY location),
+mp AS (SELECT ws.*, pm25_lag_1h AS pred_persistence, pm25_lag_24h AS pred_seasonal, ar.ar_a + ar.ar_phi * pm25_lag_1h AS pred_ar1 FROM ws LEFT JOIN ar USING (location))""",
+]
+
+
+def panel_runs() -> list[str]:
+    """The daily backtest per location: the day and the location as one key."""
+    day = ["""rd AS (SELECT *, location || '|' || strftime(CAST(ts AS DATE), '%Y%m%d') AS k FROM mp)"""]
+    both = ["""cl AS (SELECT k || '|b' AS lm, y, pred_seasonal AS pred FROM rd UNION ALL SELECT k || '|c', y, pred_persistence FROM rd)""", *metrics_sql("cl", "lm")]
+    return day + both + [
+        """pk AS (SELECT k, any_value(location) AS location, any_value(CAST(ts AS DATE)) AS run_date,
+             sqrt(avg((y - pred_persistence) * (y - pred_persistence))) AS persistence_rmse FROM rd GROUP BY k)""",
+        """runs0 AS (SELECT pk.location, pk.run_date, 'batch_' || strftime(pk.run_date, '%Y%m%d') AS batch_id, 'run_' || strftime(pk.run_date, '%Y%m%d') AS run_id,
+          CAST(pk.run_date AS TIMESTAMP) + INTERVAL 23 HOUR AS run_ts, b.n AS n, """ + ", ".join(
+            f"{m}.{c} AS {m2}_{c}" for m, m2 in (("b", "baseline"), ("c", "candidate")) for c in METRIC_COLS) + """,
+          (b.mse - c.mse) / (b.mse + 1e-8) * 100 AS mse_improvement_pct, (b.mae - c.mae) / (b.mae + 1e-8) * 100 AS mae_improvement_pct,
+          (b.rmse - c.rmse) / (b.rmse + 1e-8) * 100 AS rmse_improvement_pct, pk.persistence_rmse, (b.mse - c.mse) / (b.mse + 1e-8) * 100 >= 7.5 AS meets_claim
+          FROM pk JOIN mm b ON b.lm = pk.k || '|b' JOIN mm c ON c.lm = pk.k || '|c')""",
+        """runs AS (SELECT *, candidate_rmse < coalesce(min(candidate_rmse) OVER (PARTITION BY location ORDER BY run_ts, run_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CAST('inf' AS DOUBLE)) AS promoted FROM runs0)"""]
+
+
 def build() -> dict:
     q = {}
     q["scan_measurements"] = fin(W(MV, "final_ AS (SELECT * FROM mv)"),
@@ -294,8 +355,7 @@ def build() -> dict:
                                 "datetime:t parameter:s location:s value:d arrival:i")
     q["param_filter"] = fin(W(MV, PF, "final_ AS (SELECT * FROM pf)"), "arrival:i parameter:s")
     q["bbox_filter"] = fin(W(MV, """bb AS (SELECT * FROM mv WHERE longitude BETWEEN 76.8 AND 77.4 AND latitude BETWEEN 28.4 AND 28.9)""",
-                             """locs AS (SELECT DISTINCT location FROM bb ORDER BY location LIMIT 8)""",
-                             "final_ AS (SELECT * FROM bb WHERE location IN (SELECT location FROM locs))"),
+                             "final_ AS (SELECT * FROM bb)"),
                            "arrival:i location:s")
     q["radius_filter"] = fin(W(MV, f"final_ AS (SELECT * FROM mv WHERE {_haversine(28.6139, 77.2090)} <= 25000)"),
                              "arrival:i location:s")
@@ -337,22 +397,23 @@ def build() -> dict:
     q["window_summary"] = fin(W(*WCHAIN, "final_ AS (SELECT count(*) AS n, avg(y) AS y_mean, stddev_pop(y) AS y_std, min(y) AS y_min, max(y) AS y_max FROM ws)"),
                               "n:i y_mean:d y_std:d y_min:d y_max:d")
     q["latest_windows"] = fin(W(*WCHAIN, "final_ AS (SELECT ts, y FROM ws ORDER BY ts DESC LIMIT 100)"), "ts:t y:d")
-    # feature scaler: each feature row j weighted by the number of train windows containing it
-    scal = ["""sc0 AS (SELECT ftj.*, floor((nf - 72) * CAST(0.7 AS DOUBLE)) AS ntr FROM ftj)""",
-            """sc1 AS (SELECT *, greatest(0, least(j, ntr - 1) - greatest(0, j - 71) + 1) AS w FROM sc0)""",
-            "sl AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, w, CAST({c} AS DOUBLE) AS x FROM sc1 WHERE w > 0"
+    # feature scaler: every train window stacked, row by row
+    scal = ["""tw AS (SELECT j FROM ws JOIN ftj USING (j) WHERE split = 'train')""",
+            """cw AS (SELECT f.j, count(*) AS w FROM ftj f JOIN tw ON f.j BETWEEN tw.j - 72 AND tw.j - 1 GROUP BY f.j)""",
+            "sl AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, w, CAST({c} AS DOUBLE) AS x FROM ftj JOIN cw USING (j)"
                                            for c in input_cols()) + ")",
-            "sm AS (SELECT feature, sum(w * x) / sum(w) AS mean FROM sl GROUP BY feature)",
-            """sv AS (SELECT sl.feature, any_value(sm.mean) AS mean, sum(w * (x - sm.mean) * (x - sm.mean)) / sum(w) AS var
+            "sm AS (SELECT feature, sum(w * x) / sum(w) AS mean, CAST(sum(w) AS DOUBLE) AS n FROM sl GROUP BY feature)",
+            """sv AS (SELECT sl.feature, any_value(sm.mean) AS mean, any_value(sm.n) AS n, sum(w * (x - sm.mean) * (x - sm.mean)) / any_value(sm.n) AS var
                      FROM sl JOIN sm USING (feature) GROUP BY sl.feature)""",
-            "scaler AS (SELECT feature, mean, CASE WHEN sqrt(var) > 1e-12 THEN sqrt(var) ELSE 1.0 END AS scale FROM sv)"]
-    q["fit_feature_scaler"] = fin(W(*CHAIN, *scal, "final_ AS (SELECT * FROM scaler)"), "feature:s mean:d scale:d")
-    tscal = """tsc AS (SELECT avg(y) AS y_mean, CASE WHEN stddev_pop(y) > 1e-12 THEN stddev_pop(y) ELSE 1.0 END AS y_scale
+            "scaler AS (SELECT feature, mean, CASE WHEN var <= n * pow(2, -52) * var + pow(n * pow(2, -52) * mean, 2) THEN 1.0 ELSE sqrt(var) END AS scale FROM sv)"]
+    q["fit_feature_scaler"] = fin(W(*CHAIN, WIN, *scal, "final_ AS (SELECT * FROM scaler)"), "feature:s mean:d scale:d")
+    tscal = """tsc AS (SELECT avg(y) AS y_mean, CASE WHEN var_pop(y) <= count(y) * pow(2, -52) * var_pop(y) + pow(count(y) * pow(2, -52) * avg(y), 2)
+                 THEN 1.0 ELSE stddev_pop(y) END AS y_scale
                  FROM ws WHERE split = 'train')"""
     q["fit_target_scaler"] = fin(W(*WCHAIN, tscal, "final_ AS (SELECT * FROM tsc)"), "y_mean:d y_scale:d")
     sel = ", ".join(f"({c} - (SELECT mean FROM scaler WHERE feature = '{c}')) / (SELECT scale FROM scaler WHERE feature = '{c}') AS {c}"
                     for c in input_cols())
-    q["scale_features"] = fin(W(*CHAIN, *scal, f"final_ AS (SELECT datetime, {sel} FROM ft)"),
+    q["scale_features"] = fin(W(*CHAIN, WIN, *scal, f"final_ AS (SELECT datetime, {sel} FROM ft)"),
                               "datetime:t " + " ".join(f"{c}:d" for c in input_cols()))
     q["inverse_transform"] = fin(W(*WCHAIN, tscal, """final_ AS (SELECT ts, (y - y_mean) / y_scale AS y_scaled,
         (pm25_lag_1h - y_mean) / y_scale AS pred_scaled,
@@ -373,20 +434,25 @@ def build() -> dict:
                                *compare_sql("tst", "pred_seasonal", "pred_ar1"),
                                "final_ AS (SELECT cmp.*, pers.*, cmp.candidate_rmse > pers.persistence_rmse * 3.0 AS quality_alarm FROM cmp, pers)"),
                              CMP_SPEC + " pairs:i persistence_rmse:d quality_alarm:b")
-    q["quality_alarm"] = fin(W(*WCHAIN, PERS, "tst AS (SELECT * FROM mp WHERE split = 'test')",
-                               *compare_sql("tst", "pred_seasonal", "pred_persistence"),
+    q["quality_alarm"] = fin(W(*WCHAIN, PERS, "tst AS (SELECT *, CAST(0 AS DOUBLE) AS pred_zero FROM mp WHERE split = 'test')",
+                               *compare_sql("tst", "pred_zero", "pred_ar1"),
                                """final_ AS (SELECT candidate_rmse, baseline_rmse, persistence_rmse,
         candidate_rmse > persistence_rmse * 3.0 AS candidate_alarm, baseline_rmse > persistence_rmse * 3.0 AS baseline_alarm
         FROM cmp, pers)"""),
                              "candidate_rmse:d baseline_rmse:d persistence_rmse:d candidate_alarm:b baseline_alarm:b")
+    q["align_predictions"] = fin(W(*WCHAIN, """cand AS (SELECT ts, pred_ar1 FROM mp WHERE split <> 'train')""",
+                                   "tst AS (SELECT mp.ts, y, pred_seasonal, cand.pred_ar1 FROM mp JOIN cand ON mp.ts = cand.ts)",
+                                   *compare_sql("tst", "pred_seasonal", "pred_ar1"), "final_ AS (SELECT * FROM cmp)"), CMP_SPEC)
     q["ar1_fit"] = fin(W(*WCHAIN, "final_ AS (SELECT * FROM ar)"), "n_train:i ar_a:d ar_phi:d")
     q["ar1_predict"] = fin(W(*WCHAIN, "final_ AS (SELECT ts, y, pred_ar1 FROM mp WHERE split = 'test')"), "ts:t y:d pred_ar1:d")
-    q["recursive_forecast"] = fin(W(*WCHAIN, """lastobs AS (SELECT max(datetime) AS last_ts, arg_max(pm25, datetime) AS last_y FROM ft)""",
-                                    """final_ AS (SELECT last_ts + h * INTERVAL 1 HOUR AS ts, h,
-        CASE WHEN ar_phi = 1.0 THEN last_y + h * ar_a
-             ELSE ar_a / (1.0 - ar_phi) + pow(ar_phi, h) * (last_y - ar_a / (1.0 - ar_phi)) END AS forecast,
-        'recursive' AS forecast_type FROM lastobs, ar, (SELECT unnest(range(1, 25)) AS h))"""),
+    q["recursive_forecast"] = fin("WITH RECURSIVE " + ",\n".join([*WCHAIN, """lastobs AS (SELECT max(datetime) AS last_ts, arg_max(pm25, datetime) AS last_y FROM ft)""",
+        """rec(h, y) AS (SELECT 0, last_y FROM lastobs UNION ALL SELECT h + 1, ar_a + ar_phi * y FROM rec, ar WHERE h < 24)""",
+        """final_ AS (SELECT last_ts + h * INTERVAL 1 HOUR AS ts, h, y AS forecast, 'recursive' AS forecast_type FROM rec, lastobs WHERE h > 0)"""]),
                                   "ts:t h:i forecast:d forecast_type:s")
+    q["ar_fit"] = fin(W(*WCHAIN, ar2_sql(), "final_ AS (SELECT * FROM ar2)"), "n_train:i intercept:d lag_1:d lag_24:d")
+    q["recursive_forecast_general"] = fin("WITH RECURSIVE " + ",\n".join([*WCHAIN, ar2_sql(), rec2_sql(),
+        """final_ AS (SELECT last_ts + h * INTERVAL 1 HOUR AS ts, h, hist[24] AS forecast, 'recursive' AS forecast_type FROM rec WHERE h > 0)"""]),
+                                          "ts:t h:i forecast:d forecast_type:s")
     q["forecast_grid"] = fin(W(*CHAIN, """final_ AS (SELECT h, (SELECT max(datetime) FROM ft) + h * INTERVAL 1 HOUR AS ts
         FROM (SELECT unnest(range(1, 25)) AS h))"""), "h:i ts:t")
     q["dedup_first"] = fin(W(MV, PF, SHARDS, """final_ AS (SELECT * FROM (SELECT *, row_number() OVER
@@ -398,6 +464,63 @@ def build() -> dict:
                                "rows_before:i rows_after:i duplicates_removed:i")
     q["merge_shards"] = fin(W(MV, PF, SHARDS, "final_ AS (SELECT shard, count(*) AS rows, count(DISTINCT arrival) AS readings FROM shards GROUP BY shard)"),
                             "shard:s rows:i readings:i")
+    q["shard_roundtrip"] = fin(W(MV, PF, MERGED, "final_ AS (SELECT * FROM merged)"),
+                               "datetime:t parameter:s location:s value:d unit:s shard:s arrival:i")
+    q["fetch_plan"] = fin(W(MV, PF, SHARDS, """lst AS (SELECT max(datetime) AS m FROM shards),
+cases AS (SELECT 'as_of' AS "case", m AS fetch_start, TIMESTAMP '2024-01-31' AS fetch_end, false AS forced FROM lst
+  UNION ALL SELECT 'soon', m, m + INTERVAL 1 HOUR, false FROM lst
+  UNION ALL SELECT 'forced', m, m + INTERVAL 1 HOUR, true FROM lst
+  UNION ALL SELECT 'first', TIMESTAMP '2024-01-31' - INTERVAL 90 DAY, TIMESTAMP '2024-01-31', false),
+dy AS (SELECT *, CAST(floor((epoch(fetch_end) - epoch(fetch_start)) / 86400) AS BIGINT) AS days,
+         'm_' || strftime(fetch_start, '%Y%m%d') || '_' || strftime(fetch_end, '%Y%m%d') AS label FROM cases)""",
+                              """final_ AS (SELECT *, CASE WHEN forced THEN 'fetch' WHEN days < 1 THEN 'skipped'
+        WHEN label IN (SELECT shard FROM shards) THEN 'stored' ELSE 'fetch' END AS status FROM dy)"""),
+                          "case:s fetch_start:t fetch_end:t days:i label:s status:s")
+    q["nested_payloads"] = fin(W(MV, PF, "final_ AS (SELECT *, 'u' AS unit FROM pf)"),
+                               "datetime:t value:d parameter:s unit:s location:s latitude:d longitude:d")
+    q["stream_ingest"] = fin(W(MV, "final_ AS (SELECT parameter, count(*) AS rows, max(datetime) AS watermark FROM mv GROUP BY parameter)"),
+                             "parameter:s rows:i watermark:t")
+    # what a stage with a 2 h watermark has emitted when the input ends
+    closed = "closed AS (SELECT * FROM clean WHERE datetime <= (SELECT max(datetime) - INTERVAL 2 HOUR FROM pf))"
+    q["stream_dedup"] = fin(W(MV, PF, CLEAN, closed, "final_ AS (SELECT * FROM closed)"), "datetime:t parameter:s location:s value:d arrival:i")
+    q["stream_late"] = fin(W(MV, PF, CLEAN, closed, "final_ AS (SELECT * FROM closed WHERE datetime >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY)"),
+                           "datetime:t parameter:s location:s arrival:i")
+    q["stream_upsert"] = fin(W(MV, PF, CLEAN, "final_ AS (SELECT * FROM clean)"), "datetime:t parameter:s location:s value:d arrival:i")
+    sh = ["""sm1 AS (SELECT datetime, parameter, avg(value) AS v FROM closed WHERE value IS NOT NULL GROUP BY ALL)""",
+          """shr AS (SELECT * FROM (SELECT date_trunc('hour', datetime) AS hour, parameter, avg(v) AS value, count(*) AS readings FROM sm1 GROUP BY 1, 2)
+             WHERE hour + INTERVAL 1 HOUR <= (SELECT max(datetime) FROM sm1))"""]
+    q["stream_hourly"] = fin(W(MV, PF, CLEAN, closed, *sh, "final_ AS (SELECT * FROM shr)"), "hour:t parameter:s value:d readings:i")
+    slide = " UNION ALL ".join(
+        f"""SELECT {n} AS length, hour - INTERVAL {n - 1} HOUR AS window_start, hour + INTERVAL 1 HOUR AS window_end, parameter,
+        avg(value) OVER w{n} AS mean, coalesce(stddev_samp(value) OVER w{n}, 0) AS std, count(*) OVER w{n} AS n FROM shr
+        WINDOW w{n} AS (PARTITION BY parameter ORDER BY hour RANGE BETWEEN INTERVAL {n - 1} HOUR PRECEDING AND CURRENT ROW)""" for n in ROLL)
+    q["stream_sliding"] = fin(W(MV, PF, CLEAN, closed, *sh, f"sl_ AS ({slide})",
+                                "final_ AS (SELECT * FROM sl_ WHERE n = length AND window_end <= (SELECT max(hour) FROM shr))"),
+                              "length:i window_start:t window_end:t parameter:s mean:d std:d n:i")
+    panel = [MV, PF, CLEAN, *PANEL]
+    q["feature_table_panel"] = fin(W(*panel, "final_ AS (SELECT * FROM ft)"), "location:s datetime:t " + " ".join(f"{c}:d" for c in feature_cols()))
+    q["panel_split_summary"] = fin(W(*panel, "final_ AS (SELECT location, split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM ws GROUP BY ALL)"),
+                                   "location:s split:s n:i first_ts:t last_ts:t")
+    pscal = [x.replace("SELECT j FROM ws JOIN ftj USING (j)", "SELECT location, j FROM ws")
+              .replace("SELECT f.j, count(*) AS w FROM ftj f JOIN tw ON f.j", "SELECT f.location, f.j, count(*) AS w FROM ftj f JOIN tw ON f.location = tw.location AND f.j")
+              .replace("GROUP BY f.j)", "GROUP BY f.location, f.j)").replace("USING (j)", "USING (location, j)").replace("USING (feature)", "USING (location, feature)")
+              .replace("' AS feature, w", "' AS feature, location, w").replace("SELECT feature, sum", "SELECT location, feature, sum").replace("SELECT sl.feature", "SELECT sl.location, sl.feature")
+              .replace("GROUP BY feature)", "GROUP BY location, feature)").replace("GROUP BY sl.feature)", "GROUP BY sl.location, sl.feature)")
+              .replace("SELECT feature, mean, CASE", "SELECT location, feature, mean, CASE") for x in scal]
+    q["panel_feature_scaler"] = fin(W(*panel, *pscal, "final_ AS (SELECT * FROM scaler)"), "location:s feature:s mean:d scale:d")
+    pcmp = ["""cl AS (SELECT location || '|b' AS lm, y, pred_seasonal AS pred FROM mp WHERE split = 'test'
+               UNION ALL SELECT location || '|c', y, pred_ar1 FROM mp WHERE split = 'test')""", *metrics_sql("cl", "lm"),
+            "cmp AS (SELECT b.lm[:-3] AS location, b.n AS n, " + ", ".join(f"{m}.{c} AS {m2}_{c}" for m, m2 in (("b", "baseline"), ("c", "candidate")) for c in METRIC_COLS) + """,
+          (b.mse - c.mse) / (b.mse + 1e-8) * 100 AS mse_improvement_pct, (b.mae - c.mae) / (b.mae + 1e-8) * 100 AS mae_improvement_pct,
+          (b.rmse - c.rmse) / (b.rmse + 1e-8) * 100 AS rmse_improvement_pct, (b.mse - c.mse) / (b.mse + 1e-8) * 100 >= 7.5 AS meets_claim
+          FROM mm b JOIN mm c ON b.lm[:-3] = c.lm[:-3] AND b.lm LIKE '%|b' AND c.lm LIKE '%|c')"""]
+    q["panel_metrics"] = fin(W(*panel, *pcmp, "final_ AS (SELECT * FROM cmp)"), "location:s " + CMP_SPEC)
+    q["panel_ar1_fit"] = fin(W(*panel, "final_ AS (SELECT * FROM ar)"), "location:s n_train:i ar_a:d ar_phi:d")
+    q["panel_recursive_forecast"] = fin("WITH RECURSIVE " + ",\n".join([*panel, ar2_sql("location, ", "GROUP BY location"), rec2_sql(True),
+        """final_ AS (SELECT location, last_ts + h * INTERVAL 1 HOUR AS ts, h, hist[24] AS forecast, 'recursive' AS forecast_type FROM rec WHERE h > 0)"""]),
+                                        "location:s ts:t h:i forecast:d forecast_type:s")
+    q["panel_backtest_runs"] = fin(W(*panel, *panel_runs(), """final_ AS (SELECT location, batch_id, run_id, run_ts, 'events.parquet' AS data_path, 14 AS rolling_days,
+        * EXCLUDE (location, batch_id, run_id, run_ts, run_date) FROM runs)"""), "location:s " + RUN_COLS)
     q["shard_contribution"] = fin(W(MV, PF, SHARDS, """final_ AS (SELECT shard, count(*) AS original_rows,
         CAST(min(datetime) AS DATE) AS first_date, CAST(max(datetime) AS DATE) AS last_date,
         count(*) FILTER (WHERE datetime >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY) AS retained_rows
@@ -451,14 +574,21 @@ def build() -> dict:
     q["psi_by_feature"] = fin(W(*CHAIN, FEAT_PERIODS, *f_psi, "final_ AS (SELECT * FROM psi)"), "feature:s psi:d")
     q["psi_summary"] = fin(W(*CHAIN, FEAT_PERIODS, *f_psi, PSI_SUMMARY, "final_ AS (SELECT * FROM psum2)"),
                            "psi_score:d features_analyzed:i band:s recommendation:s")
-    q["psi_head_sample"] = fin(W("""lref AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01'
+    q["head_sample"] = fin(W("""hr AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01'
+        ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 1000)""",
+                             """hc AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01'
         ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 1000)""",
-                                 """lcur AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01'
-        ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 1000)""", *li_psi, "final_ AS (SELECT * FROM psi)"),
-                               "feature:s psi:d")
+                             "final_ AS (SELECT 'reference' AS period, * FROM hr UNION ALL SELECT 'current', * FROM hc)"),
+                           "period:s l_orderkey:i l_linenumber:i " + " ".join(f"{c}:d" for c in LI))
     q["drift_report"] = fin(W(LI_PERIODS, *li_psi, PSI_SUMMARY, """final_ AS (SELECT psum2.*,
-        (SELECT count(*) FROM lref) AS reference_samples, (SELECT count(*) FROM lcur) AS current_samples FROM psum2)"""),
-                            "psi_score:d features_analyzed:i band:s recommendation:s reference_samples:i current_samples:i")
+        (SELECT count(*) FROM lref) AS reference_samples, (SELECT count(*) FROM lcur) AS current_samples,
+        (SELECT string_agg(feature || '=' || printf('%.6f', psi), ',' ORDER BY feature) FROM psi) AS feature_psi FROM psum2)"""),
+                            "psi_score:d features_analyzed:i band:s recommendation:s reference_samples:i current_samples:i feature_psi:s judged:b")
+    q["drift_baseline"] = fin(W(LI_PERIODS, *li_psi, PSI_SUMMARY, """final_ AS (
+        SELECT 1 AS run, 1.0 AS psi_score, 4 AS features_analyzed, true AS judged, 'significant' AS band, 'retrain' AS recommendation, true AS first_run
+        UNION ALL SELECT 2, psi_score, features_analyzed, judged, band, recommendation, false FROM psum2
+        UNION ALL SELECT 3, 0.0, 3, false, 'none', 'skip', false)"""),
+                              "run:i psi_score:d features_analyzed:i judged:b band:s recommendation:s first_run:b")
     q["drift_decision"] = fin(W(*RUNS, FEAT_PERIODS, *f_psi, PSI_SUMMARY, """final_ AS (SELECT psi_score, band, recommendation,
         coalesce((SELECT max(CAST(promoted AS INT)) FROM runs), 0) = 1 AS has_champion,
         psi_score > 0.15 OR false OR NOT (coalesce((SELECT max(CAST(promoted AS INT)) FROM runs), 0) = 1) AS retrain FROM psum2)"""),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -62,24 +63,46 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for intermediate tables, stream state and checkpoints.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster).  Only when it is
-    unset, as in local tests, a scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (set by the cluster).  Where it is
+    unset a scratch folder is made, but only for a ``local`` master: on a
+    cluster that would be the driver's own disk.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        # tests / local runs only: no cluster folder configured
-        d = tempfile.mkdtemp(prefix="sensorspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="sensorspark-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
 def materialize(df):
-    """Cut a long lineage that several consumers share: a reliable
-    ``checkpoint()`` into the shared checkpoint folder (survives executor
-    loss; never a machine-local folder on a cluster)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut a lineage that several consumers share: written as Parquet to the
+    shared folder (columnar, pruned and pushed down on every read, safe when
+    executors are lost) and read back.  ``release`` removes the tables."""
+    spark = df.sparkSession
+    root = f"{checkpoint_dir(spark)}/sensorspark-{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every intermediate table that this application materialized; the
+    DataFrames made from them can't be read any more."""
+    remove_path(spark, f"{checkpoint_dir(spark)}/sensorspark-{spark.sparkContext.applicationId}")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system (any store Spark can reach)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

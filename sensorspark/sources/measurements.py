@@ -58,30 +58,49 @@ def floor_seconds(ts: Column, seconds: int) -> Column:
     return F.timestamp_seconds(u - F.pmod(u, F.lit(seconds)))
 
 
-def events_measurements(spark: SparkSession, sf_dir: str, with_ids: bool = True) -> DataFrame:
+def events_measurements(spark: SparkSession, sf_dir: str, with_ids: bool = True, since=None, until=None,
+                        parameters=None) -> DataFrame:
     """Measurement view over the test ``events`` table.
 
     datetime = ts floored to 10 minutes (creates duplicate keys), parameter
     from the event type, location ``loc_<user_id % 10>`` with fixed
     coordinates; ``sensor_id``/``arrival`` carry user_id/event_id so
     keep-first dedup is deterministic.
+
+    ``since``/``until`` (bounds on ``datetime``) and ``parameters`` are also put
+    on the stored columns, so that they reach the parquet scan: the floored
+    time is at least a multiple of 10 minutes only if the stored time is, and
+    at most ``until`` only if the stored time is below the next multiple.
     """
     ev = read_table(spark, sf_dir, "events")
+    if since is not None:
+        ev = ev.filter(F.col("ts") >= F.lit(str(since)).cast("timestamp_ntz"))
+    if until is not None:
+        ev = ev.filter(F.col("ts") < F.lit(str(until)).cast("timestamp_ntz") + F.expr("INTERVAL 10 MINUTES"))
+    if parameters is not None:
+        ev = ev.filter(F.col("event_type").isin([e for e, p in EVENT_PARAMETER.items() if p in set(parameters)]))
+    m = measurement_view(ev)
+    if since is not None:
+        m = m.filter(F.col("datetime") >= F.lit(str(since)).cast("timestamp"))
+    if until is not None:
+        m = m.filter(F.col("datetime") <= F.lit(str(until)).cast("timestamp"))
+    return m if with_ids else m.drop("sensor_id", "arrival")
+
+
+def measurement_view(ev: DataFrame) -> DataFrame:
+    """The measurement columns of ``events`` rows (a table or a stream)."""
     k = F.pmod(F.col("user_id"), F.lit(10))
     param = F.lit(None).cast("string")
     for et, p in reversed(list(EVENT_PARAMETER.items())):
         param = F.when(F.col("event_type") == et, F.lit(p)).otherwise(param)
-    cols = [
+    return ev.select(
         floor_seconds(F.col("ts").cast("timestamp"), 600).alias("datetime"),
         nan_to_null(F.col("value")).alias("value"),
         param.alias("parameter"),
         F.concat(F.lit("loc_"), k.cast("string")).alias("location"),
         (F.lit(28.3) + F.lit(0.07) * k).alias("latitude"),
         (F.lit(76.7) + F.lit(0.08) * k).alias("longitude"),
-    ]
-    if with_ids:
-        cols += [F.col("user_id").alias("sensor_id"), F.col("event_id").alias("arrival")]
-    return ev.select(*cols)
+        F.col("user_id").alias("sensor_id"), F.col("event_id").alias("arrival"))
 
 
 def week_shards(df: DataFrame, overlap_days: int = 1) -> DataFrame:
@@ -99,24 +118,33 @@ def week_shards(df: DataFrame, overlap_days: int = 1) -> DataFrame:
     return out.withColumn("shard", label).drop("_ws")
 
 
-def read_shards(spark: SparkSession, root: str, glob: str = "m_*", exclude: str = "merged",
-                schema: T.StructType | None = None) -> DataFrame:
-    """Read every shard under ``root`` whose file name matches ``glob``,
-    skipping the merged output and unreadable files, and carry the shard
-    name (``_metadata.file_name``) for keep-first ordering."""
-    reader = (spark.read.schema(schema or MEASUREMENT_SCHEMA)
-              .option("pathGlobFilter", f"{glob}.parquet")
-              .option("ignoreCorruptFiles", "true")
-              .option("recursiveFileLookup", "true"))
-    df = reader.parquet(root)
-    df = df.withColumn("shard", F.col("_metadata.file_name"))
-    return clean_measurements(df.filter(~F.col("shard").contains(exclude)))
-
-
-def shard_inventory(df: DataFrame) -> DataFrame:
-    """Name-sorted shard list with row counts (reads only file metadata columns)."""
-    return (df.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
-            .orderBy("shard"))
+def read_shards(spark: SparkSession, root: str, glob: str = "m_*", schema: T.StructType | None = None,
+                skip_corrupt: bool = False) -> DataFrame:
+    """Every shard that ``write_shards`` put under ``root`` whose label
+    matches ``glob``; ``shard`` is the folder's label, for keep-first ordering.
+
+    The label is a partition column, so a filter on it prunes whole shards.  A
+    file that can't be read fails the job; with ``skip_corrupt`` it is left
+    out, and ``unread_files`` names what was.
+    """
+    schema = schema or MEASUREMENT_SCHEMA
+    if "shard" not in schema.fieldNames():
+        schema = T.StructType([*schema.fields, T.StructField("shard", T.StringType())])
+    df = (spark.read.schema(schema).option("basePath", root)
+          .option("ignoreCorruptFiles", str(bool(skip_corrupt)).lower())
+          .parquet(f"{root.rstrip('/')}/shard={glob}"))
+    return clean_measurements(df)
+
+
+def unread_files(spark: SparkSession, root: str, glob: str = "m_*") -> list[str]:
+    """The shard files that ``read_shards(skip_corrupt=True)`` gets no row
+    from: unreadable or empty."""
+    one = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(
+        f"{root.rstrip('/')}/shard={glob}").select(one(F.col("path")).alias("path"))
+    read = spark.read.schema(MEASUREMENT_SCHEMA).option("ignoreCorruptFiles", "true").parquet(f"{root.rstrip('/')}/shard={glob}")
+    got = read.select(one(F.col("_metadata.file_path")).alias("path")).distinct()
+    return sorted(r.path for r in there.join(got, "path", "left_anti").collect())
 
 
 PAYLOAD_SCHEMA = T.StructType([

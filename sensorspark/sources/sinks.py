@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 def write_shards(df: DataFrame, root: str, shard_col: str = "shard", mode: str = "overwrite") -> None:
     """One folder per shard label (``shard=m_<start>_<end>``), rows
-    time-sorted inside each file (no global sort)."""
-    df.repartition(shard_col).sortWithinPartitions("datetime") \
+    time-sorted inside each file.  Rows are dealt by ranges of (shard, time),
+    so a week that holds most readings is written by many tasks."""
+    df.repartitionByRange(shard_col, "datetime").sortWithinPartitions(shard_col, "datetime") \
       .write.mode(mode).partitionBy(shard_col).parquet(root)
 
 
@@ -47,8 +48,9 @@ def append_runs(runs: DataFrame, path: str, csv: bool = True) -> None:
 
 def write_json_report(df: DataFrame, path: str) -> None:
     """A (small, aggregated) report as JSON lines; nested columns such as
-    a feature -> PSI map are kept as JSON objects."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    a feature -> PSI map are kept as JSON objects.  One file, written after a
+    shuffle, so the stages above keep their tasks."""
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 def drift_report_frame(summary: DataFrame, psi: DataFrame) -> DataFrame:

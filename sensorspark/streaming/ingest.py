@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorspark.constants import DEDUP_KEY, PARAMETERS
-from sensorspark.session import checkpoint_dir
+from sensorspark.constants import DEDUP_KEY, EVENT_PARAMETER, ROLLING_WINDOWS
+from sensorspark.session import checkpoint_dir, path_exists, remove_path
+from sensorspark.sources.measurements import measurement_view
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -30,54 +31,54 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_stream(spark: SparkSession, root: str, glob: str, schema: T.StructType,
-                max_files: int | None = None) -> DataFrame:
-    """T1 source: files under ``root`` matching ``glob`` with a fixed schema;
-    files already committed in the checkpoint are never read again."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """T1 source: a parquet table (a file or a folder of files) as a stream
+    with a fixed schema; files already committed in the checkpoint are never
+    read again."""
+    r = spark.readStream.schema(schema)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        path = f"{path[:-1]}[{path[-1]}]"          # a stream's path is a folder or a pattern
     if max_files:
         r = r.option("maxFilesPerTrigger", int(max_files))
-    return r.parquet(root)
-
-
-def stream_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The measurement view over a stream of ``events`` files."""
-    from sensorspark.sources.measurements import floor_seconds, nan_to_null
-    from sensorspark.constants import EVENT_PARAMETER
-    ev = read_stream(spark, sf_dir, "events.parquet", EVENTS_SCHEMA)
-    k = F.pmod(F.col("user_id"), F.lit(10))
-    param = F.lit(None).cast("string")
-    for et, p in reversed(list(EVENT_PARAMETER.items())):
-        param = F.when(F.col("event_type") == et, F.lit(p)).otherwise(param)
-    return ev.select(
-        floor_seconds(F.col("ts").cast("timestamp"), 600).alias("datetime"),
-        nan_to_null(F.col("value")).alias("value"), param.alias("parameter"),
-        F.concat(F.lit("loc_"), k.cast("string")).alias("location"),
-        F.col("user_id").alias("sensor_id"), F.col("event_id").alias("arrival"))
-
-
-def dedup_stream(m: DataFrame, delay: str = "1 day", key=None) -> DataFrame:
-    """Drop repeated (datetime, parameter, location) readings that arrive
-    within ``delay`` of each other; state is evicted past the watermark."""
-    return m.withWatermark("datetime", delay).dropDuplicatesWithinWatermark(list(key or DEDUP_KEY))
-
-
-def late_filter(m: DataFrame, as_of: str, days: int, delay: str = "2 hours") -> DataFrame:
-    """Readings older than the retention cutoff are dropped; the watermark
-    bounds how late a reading may arrive."""
+    return r.parquet(path)
+
+
+def stream_measurements(spark: SparkSession, sf_dir: str, parameters=None, max_files: int | None = None) -> DataFrame:
+    """The measurement view over a stream of the ``events`` table's files."""
+    ev = read_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", EVENTS_SCHEMA, max_files)
+    if parameters is not None:
+        ev = ev.filter(F.col("event_type").isin([e for e, p in EVENT_PARAMETER.items() if p in set(parameters)]))
+    return measurement_view(ev)
+
+
+def dedup_stream(m: DataFrame, delay: str = "2 hours", key=None, order: str = "arrival") -> DataFrame:
+    """Of the readings with one key the one with the smallest ``order``,
+    emitted once the watermark passes its time (so a smaller one that comes
+    within ``delay`` still wins); later copies fall behind the watermark."""
+    key = list(key or DEDUP_KEY)
+    rest = [c for c in m.columns if c not in key]
+    g = m.withWatermark("datetime", delay).groupBy(*key).agg(
+        F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(order)).alias("_r"))
+    return g.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def late_filter(m: DataFrame, as_of: str, days: int) -> DataFrame:
+    """T7, retention part: readings older than the cutoff are dropped.  Lateness
+    against the stream itself is enforced by the watermark of a stateful
+    stage, such as ``dedup_stream``."""
     cutoff = F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days))
-    return m.withWatermark("datetime", delay).filter(F.col("datetime") >= cutoff)
+    return m.filter(F.col("datetime") >= cutoff)
 
 
-def reading_means_stream(m: DataFrame, delay: str = "2 hours", parameters=None) -> DataFrame:
+def reading_means_stream(m: DataFrame, parameters, delay: str = "0 seconds") -> DataFrame:
     """T4 stage 1: mean per (reading time, parameter); emitted once the
     watermark passes the reading time."""
-    params = list(parameters or PARAMETERS)
-    v = m.filter(F.col("value").isNotNull() & F.col("parameter").isin(params)).withWatermark("datetime", delay)
+    v = m.filter(F.col("value").isNotNull() & F.col("parameter").isin(list(parameters))).withWatermark("datetime", delay)
     return v.groupBy("datetime", "parameter").agg(F.avg("value").alias("v"))
 
 
-def hourly_from_means_stream(a1: DataFrame, delay: str = "2 hours") -> DataFrame:
+def hourly_from_means_stream(a1: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """T4 stage 2: hourly tumbling mean of the stage-1 means."""
     a2 = a1.withWatermark("datetime", delay) \
            .groupBy(F.window("datetime", "1 hour").alias("w"), "parameter") \
@@ -85,32 +86,48 @@ def hourly_from_means_stream(a1: DataFrame, delay: str = "2 hours") -> DataFrame
     return a2.select(F.col("w.start").alias("hour"), "parameter", "value", "readings")
 
 
-def run_hourly(spark: SparkSession, m: DataFrame, run_dir: str, delay: str = "2 hours") -> str:
-    """T4 end to end: the two stateful stages run as two chained streams
-    joined by a parquet table (stage 2 reads stage 1's committed files), so
-    each stage closes its windows on its own watermark and both restart from
-    their checkpoints."""
-    from pyspark.sql import types as T2
-    run_to_parquet(reading_means_stream(m, delay), f"{run_dir}/means", f"{run_dir}/ckpt_means")
-    schema = T2.StructType([T2.StructField("datetime", T2.TimestampType()),
-                            T2.StructField("parameter", T2.StringType()), T2.StructField("v", T2.DoubleType())])
-    a1 = spark.readStream.schema(schema).parquet(f"{run_dir}/means")
-    return run_to_parquet(hourly_from_means_stream(a1, delay), f"{run_dir}/hourly", f"{run_dir}/ckpt_hourly")
-
-
-def sliding_stream(m: DataFrame, length_hours: int = 24, delay: str = "2 hours", parameters=None) -> DataFrame:
-    """T5: sliding ``length_hours`` windows every hour: mean and sample std.
-    Time windows, so they equal the row frames of the batch features only on
-    gap-free hourly series."""
-    params = list(parameters or PARAMETERS)
-    v = m.filter(F.col("value").isNotNull() & F.col("parameter").isin(params)).withWatermark("datetime", delay)
-    g = v.groupBy(F.window("datetime", f"{length_hours} hours", "1 hour").alias("w"), "parameter").agg(
+def _chain(spark: SparkSession, df: DataFrame, run_dir: str, name: str) -> DataFrame:
+    """Run one stage into a parquet table and read that table as a stream: each
+    stage closes its windows on its own watermark and restarts from its own
+    checkpoint.  Its rows come in watermark order, so the next stage needs no
+    delay of its own."""
+    run_to_parquet(df, f"{run_dir}/{name}", f"{run_dir}/ckpt_{name}")
+    return spark.readStream.schema(df.schema).parquet(f"{run_dir}/{name}")
+
+
+def run_dedup(spark: SparkSession, m: DataFrame, run_dir: str, delay: str = "2 hours") -> str:
+    """T3 end to end: the table of deduplicated readings."""
+    return run_to_parquet(dedup_stream(m, delay), f"{run_dir}/dedup", f"{run_dir}/ckpt_dedup")
+
+
+def run_hourly(spark: SparkSession, m: DataFrame, run_dir: str, parameters, delay: str = "2 hours") -> str:
+    """T4 end to end: keep-first dedup, mean per reading time, hourly mean of
+    means, as three chained streams."""
+    d = _chain(spark, dedup_stream(m, delay), run_dir, "dedup")
+    a1 = _chain(spark, reading_means_stream(d, parameters), run_dir, "means")
+    return run_to_parquet(hourly_from_means_stream(a1), f"{run_dir}/hourly", f"{run_dir}/ckpt_hourly")
+
+
+def sliding_stream(hourly: DataFrame, length_hours: int = 24, delay: str = "0 seconds") -> DataFrame:
+    """T5: windows of ``length_hours`` sliding by an hour over the hourly means:
+    mean and sample std (0 for one value), the row frames of the batch
+    features wherever no hour is missing (n = length)."""
+    g = hourly.withWatermark("hour", delay).groupBy(F.window("hour", f"{length_hours} hours", "1 hour").alias("w"), "parameter").agg(
         F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
         F.count(F.lit(1)).alias("n"))
-    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+    return g.select(F.lit(int(length_hours)).alias("length"), F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "parameter", "mean", "std", "n")
 
 
+def run_sliding(spark: SparkSession, m: DataFrame, run_dir: str, parameters, lengths=ROLLING_WINDOWS, delay: str = "2 hours") -> list[str]:
+    """T5 end to end over the T4 stream: one table per window length."""
+    run_hourly(spark, m, run_dir, parameters, delay)
+    schema = T.StructType([T.StructField("hour", T.TimestampType()), T.StructField("parameter", T.StringType()),
+                           T.StructField("value", T.DoubleType()), T.StructField("readings", T.LongType())])
+    return [run_to_parquet(sliding_stream(spark.readStream.schema(schema).parquet(f"{run_dir}/hourly"), n), f"{run_dir}/sliding_{n}", f"{run_dir}/ckpt_sliding_{n}")
+            for n in lengths]
+
+
 def run_to_parquet(df: DataFrame, out: str, ckpt: str, mode: str = "append", partition_by=()) -> str:
     """Run a stream over everything available (``availableNow``) into a
     parquet sink with its checkpoint; restartable after executor or driver
@@ -127,27 +144,32 @@ def run_to_parquet(df: DataFrame, out: str, ckpt: str, mode: str = "append", par
 def upsert_batch(table: str, key=None, order=("arrival",), date_col: str = "datetime"):
     """``foreachBatch`` function that merges each micro-batch into a
     parquet table partitioned by date: only the dates a batch touches are
-    re-read, deduplicated keep-first and overwritten (dynamic partition
-    overwrite), so the merged table is rebuilt incrementally."""
+    read (their list prunes the scan), deduplicated keep-first and overwritten
+    (dynamic partition overwrite).  Whatever fails, fails the batch and leaves
+    the table as it was; only a table that does not exist yet is made anew."""
     key = list(key or DEDUP_KEY)
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
         from sensorspark.operators.ingest import dedup_first
         spark = batch.sparkSession
         b = batch.withColumn("date", F.to_date(date_col))
-        dates = b.select("date").distinct()
-        try:
-            # partition filter on the date column: only touched dates are read
-            cur = spark.read.parquet(table).join(dates, "date", "left_semi")
+        merged = b
+        if path_exists(spark, table):
+            # one date per day of data in the batch
+            dates = [r.date for r in b.select("date").distinct().collect()]
+            known = [F.lit(d) for d in dates if d is not None]
+            cur = spark.read.parquet(table).filter(F.col("date").isin(known) if known else F.lit(False))
+            wrong = [f.name for f in cur.schema if f.name in b.columns and b.schema[f.name].dataType != f.dataType]
+            if wrong:
+                raise ValueError(f"batch {epoch_id}: other column types than in {table}: {wrong}")
             merged = cur.unionByName(b, allowMissingColumns=True)
-        except Exception:  # noqa: BLE001 - first batch: table does not exist yet
-            merged = b
         out = dedup_first(merged, key, order)
         # staged write, then dynamic overwrite of the touched dates only
         stage = f"{table}__stage/epoch={epoch_id}"
         out.write.mode("overwrite").parquet(stage)
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        spark.read.parquet(stage).write.mode("overwrite").partitionBy("date").parquet(table)
+        spark.read.schema(out.schema).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+             .partitionBy("date").parquet(table)
+        remove_path(spark, stage)
     return fn
 
 

@@ -1,13 +1,16 @@
-"""Registered streaming queries (rows-only check: stream semantics such as
-open windows above the watermark have no SQL oracle).  Each query runs the
-stream over all available files into a parquet sink under the shared
-checkpoint folder and returns the sink as a batch DataFrame."""
+"""Registered streaming queries.  Each runs its stream over all files of the
+table into a parquet sink under the shared folder and returns the sink.  The
+windowed ones emit what lies below the watermark; their oracle SQL states that
+bound."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorspark.constants import PARAMETERS
 from sensorspark.plans.catalog import AS_OF, RETENTION_DAYS, finalize
 from sensorspark.session import ensure_utc
 from sensorspark.streaming import ingest as ST
@@ -21,40 +24,42 @@ def _run(spark: SparkSession, name: str, df: DataFrame, mode: str = "append") ->
 
 def q_stream_ingest(spark, sf):
     ensure_utc(spark)
-    m = ST.stream_measurements(spark, sf)
-    out = _run(spark, "ingest", m)
+    out = _run(spark, "ingest", ST.stream_measurements(spark, sf))
     return out.groupBy("parameter").agg(F.count(F.lit(1)).alias("rows"), F.max("datetime").alias("watermark"))
 
 
 def q_stream_dedup(spark, sf):
     ensure_utc(spark)
-    m = ST.stream_measurements(spark, sf)
-    m = m.filter(F.col("parameter").isin("pm25", "pm10", "no2", "o3"))
-    return _run(spark, "dedup", ST.dedup_stream(m)).select("datetime", "parameter", "location")
+    m = ST.stream_measurements(spark, sf, PARAMETERS)
+    return spark.read.parquet(ST.run_dedup(spark, m, ST.new_run_dir(spark, "dedup"))).select(
+        "datetime", "parameter", "location", "value", "arrival")
 
 
 def q_stream_hourly(spark, sf):
     ensure_utc(spark)
-    d = ST.new_run_dir(spark, "hourly")
-    return spark.read.parquet(ST.run_hourly(spark, ST.stream_measurements(spark, sf), d))
+    m = ST.stream_measurements(spark, sf, PARAMETERS)
+    return spark.read.parquet(ST.run_hourly(spark, m, ST.new_run_dir(spark, "hourly"), PARAMETERS))
 
 
 def q_stream_sliding(spark, sf):
+    """24, 48 and 72 h windows in which no hour is missing."""
     ensure_utc(spark)
-    return _run(spark, "sliding", ST.sliding_stream(ST.stream_measurements(spark, sf)))
+    m = ST.stream_measurements(spark, sf, PARAMETERS)
+    tables = ST.run_sliding(spark, m, ST.new_run_dir(spark, "sliding"), PARAMETERS)
+    return reduce(DataFrame.unionByName, [spark.read.parquet(t) for t in tables]).filter("n = length")
 
 
 def q_stream_late(spark, sf):
+    """Retention, then keep-first dedup, whose watermark bounds lateness."""
     ensure_utc(spark)
-    m = ST.late_filter(ST.stream_measurements(spark, sf), AS_OF, RETENTION_DAYS)
-    return _run(spark, "late", m).select("datetime", "parameter", "location", "arrival")
+    m = ST.late_filter(ST.stream_measurements(spark, sf, PARAMETERS), AS_OF, RETENTION_DAYS)
+    return spark.read.parquet(ST.run_dedup(spark, m, ST.new_run_dir(spark, "late"))).select("datetime", "parameter", "location", "arrival")
 
 
 def q_stream_upsert(spark, sf):
     ensure_utc(spark)
     d = ST.new_run_dir(spark, "upsert")
-    m = ST.stream_measurements(spark, sf).filter(F.col("parameter").isin("pm25", "pm10", "no2", "o3"))
-    ST.run_upsert(m, f"{d}/merged", f"{d}/ckpt")
+    ST.run_upsert(ST.stream_measurements(spark, sf, PARAMETERS), f"{d}/merged", f"{d}/ckpt")
     return spark.read.parquet(f"{d}/merged").select("datetime", "parameter", "location", "value", "arrival")
 
 

@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorspark.functions.metrics import compare_models, regression_metrics
+from sensorspark.functions.metrics import align_predictions, compare_models, regression_metrics
 from sensorspark.operators import clean as C
 from sensorspark.operators import drift as D
 from sensorspark.operators import ingest as I
+from sensorspark.plans import forecast as FC
 from sensorspark.plans import runs as RU
 from sensorspark.sources import measurements as S
 
@@ -44,48 +45,86 @@ def test_regression_metrics(spark, y, p):
 
 
 def test_compare_models_claim(spark):
-    rng = np.random.default_rng(42)
-    y = np.abs(rng.normal(80, 40, 200))
-    b, h = y + rng.normal(0, 15, 200), y + rng.normal(0, 12, 200)
-    df = spark.createDataFrame([(float(a), float(c), float(d)) for a, c, d in zip(y, b, h)], "y double, b double, h double")
-    r = compare_models(df, "y", "b", "h").first()
-    mb, mh = np_metrics(y, b), np_metrics(y, h)
-    imp = (mb["mse"] - mh["mse"]) / (mb["mse"] + 1e-8) * 100
-    assert r["mse_improvement_pct"] == pytest.approx(imp)
-    assert r["meets_claim"] == (imp >= 7.5)
-
-
-def np_psi(ref, cur, bins=10):
-    ref, cur = np.asarray(ref, float), np.asarray(cur, float)
-    ref, cur = ref[~np.isnan(ref)], cur[~np.isnan(cur)]
-    edges = np.percentile(ref, np.linspace(0, 100, bins + 1))
-    edges[0], edges[-1] = -np.inf, np.inf
-    r = np.maximum(np.histogram(ref, bins=edges)[0] / len(ref), 1e-10)
-    c = np.maximum(np.histogram(cur, bins=edges)[0] / len(cur), 1e-10)
-    return float(np.sum((c - r) * np.log(c / r)))
-
-
-def test_psi_edge_cases(spark):
-    rng = np.random.default_rng(7)
-    ref = {"normal": rng.normal(0, 1, 500), "const": np.full(500, 3.0),
-           "dups": rng.integers(0, 4, 500).astype(float), "withnull": rng.normal(0, 1, 500)}
-    cur = {"normal": rng.normal(0.5, 1.5, 400), "const": rng.normal(3, 1, 400),
-           "dups": rng.integers(0, 6, 400).astype(float), "withnull": rng.normal(5, 1, 400)}
-    ref["withnull"][:50] = np.nan
-    cols = list(ref)
-    rdf = spark.createDataFrame([tuple(float(ref[c][i]) for c in cols) + ("s",) for i in range(500)],
-                                ", ".join(f"{c} double" for c in cols) + ", label string")
-    cdf = spark.createDataFrame([tuple(float(cur[c][i]) for c in cols) + (1.0,) for i in range(400)],
-                                ", ".join(f"{c} double" for c in cols) + ", only_cur double")
-    rdf = rdf.withColumn("only_ref", F.lit(1.0))
+    """Errors of 4 and 2 units: the mean squared error falls from 16 to 4."""
+    y = [10.0, 30.0, 20.0, 60.0]
+    rows = [(v, v + s * 4, v - s * 2) for v, s in zip(y, (1, -1, 1, -1))] + [(None, 1.0, 1.0), (5.0, None, 5.0)]
+    r = compare_models(spark.createDataFrame(rows, "y double, b double, h double"), "y", "b", "h").first()
+    assert r["n"] == 4 and r["baseline_mse"] == 16.0 and r["candidate_mse"] == 4.0
+    assert r["mse_improvement_pct"] == pytest.approx(75.0) and r["mae_improvement_pct"] == pytest.approx(50.0) and r["meets_claim"]
+    same = compare_models(spark.createDataFrame([(1.0, 2.0, 2.0)], "y double, b double, h double"), "y", "b", "h").first()
+    assert same["mse_improvement_pct"] == 0.0 and not same["meets_claim"]
+
+
+def test_align_predictions_by_key(spark):
+    """The tables come in different orders and with different gaps."""
+    truth = spark.createDataFrame([(k, 10.0 * k) for k in range(5)], "t long, y double")
+    one = spark.createDataFrame([(3, 33.0), (1, 11.0), (2, 22.0), (9, 0.0)], "t long, pred double")
+    two = spark.createDataFrame([(2, 20.5), (3, 30.5), (4, 40.5)], "t long, pred double")
+    got = sorted(tuple(r) for r in align_predictions(truth, one, two, ["t"]).collect())
+    assert got == [(2, 20.0, 22.0, 20.5), (3, 30.0, 33.0, 30.5)]
+    left = {r["t"]: (r["pred_baseline"], r["pred_candidate"]) for r in align_predictions(truth, one, two, ["t"], how="left").collect()}
+    assert left == {0: (None, None), 1: (11.0, None), 2: (22.0, 20.5), 3: (33.0, 30.5), 4: (None, 40.5)}
+
+
+def _psi(ref_counts, cur_counts):
+    """PSI worked out from bin counts."""
+    shares = [[max(c / sum(side), 1e-10) for c in side] for side in (ref_counts, cur_counts)]
+    return sum((c - r) * np.log(c / r) for r, c in zip(*shares))
+
+
+def test_psi_from_counts(spark):
+    """1..100 has the edges 10.9, 20.8 ... 90.1, hence ten values a bin; the
+    counts of the other columns are as simple to see."""
+    ref = [(float(i + 1), 3.0, float(i % 2), float(i + 1) if i >= 50 else None, "s", 1.0) for i in range(100)]
+    cur = [(float(min(100, 2 * i + 1)), 3.0 + (i % 4 - 1), float(i % 2), float(i + 51), 1.0) for i in range(50)]
+    rdf = spark.createDataFrame(ref, "even double, const double, two double, withnull double, label string, only_ref double")
+    cdf = spark.createDataFrame(cur, "even double, const double, two double, withnull double, only_cur double")
     got = {r["feature"]: r["psi"] for r in D.psi_by_feature(rdf, cdf).collect()}
-    assert set(got) == set(cols)             # string, one-sided columns skipped
-    for c in cols:
-        assert got[c] == pytest.approx(np_psi(ref[c], cur[c]), rel=1e-9, abs=1e-12), c
+    assert set(got) == {"even", "const", "two", "withnull"}      # string and one-sided columns are skipped
+    assert got["even"] == pytest.approx(_psi([10] * 10, [5] * 10))                     # odd numbers: five a bin
+    # all edges are 3: what is below falls into the first bin, the rest into the last
+    assert got["const"] == pytest.approx(_psi([0] * 9 + [100], [13] + [0] * 8 + [37]))
+    assert got["two"] == pytest.approx(0.0)
+    assert got["withnull"] == pytest.approx(_psi([5] * 10, [5] * 10))
     empty = cdf.filter("false")
     assert D.psi_by_feature(rdf, empty).count() == 0
     s = D.psi_summary(D.psi_by_feature(rdf, empty)).first()
-    assert s["psi_score"] == 0.0 and s["recommendation"] == "skip"
+    assert s["psi_score"] == 0.0 and s["recommendation"] == "skip" and not s["judged"]
+
+
+def test_too_few_features_are_not_judged(spark):
+    psi = spark.createDataFrame([(f"f{i}", 0.9) for i in range(4)], "feature string, psi double")
+    assert tuple(D.psi_summary(psi).first()) == (0.0, 4, False, "none", "skip")
+    assert tuple(D.psi_summary(psi, min_features=4).first()) == (pytest.approx(0.9), 4, True, "significant", "retrain")
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 216, 3000])
+def test_bracketed_percentiles_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [("cont", float(x)) for x in rng.normal(0, 1, n)] + [("ties", float(x)) for x in rng.integers(0, 5, n)] + [("const", 2.5)] * n
+    long = spark.createDataFrame(rows, "feature string, x double").repartition(3)
+    points = [0.0, 0.1, 0.25, 0.5, 0.77, 0.9, 1.0]
+    by = {k: [x for f, x in rows if f == k] for k in ("cont", "ties", "const")}
+    for small in (0, 1_000_000):
+        for r in D.exact_percentiles(long, points, accuracy=100, small=small).collect():
+            assert r["n"] == n and r["q"] == pytest.approx([np.percentile(by[r["feature"]], 100 * p) for p in points], abs=1e-12)
+
+
+def test_saved_baseline(spark, tmp_path):
+    path = str(tmp_path / "base")
+    cols = ["a", "b", "c", "d", "e"]
+    ref = spark.createDataFrame([tuple(float(i * (k + 1)) for k in range(5)) for i in range(200)], ", ".join(f"{c} double" for c in cols))
+    first = D.drift_against_baseline(ref, path).first()
+    assert first["first_run"] and first["recommendation"] == "retrain" and first["features_analyzed"] == 5
+    again = D.drift_against_baseline(ref, path).first()
+    assert not again["first_run"] and again["psi_score"] == pytest.approx(0.0) and again["recommendation"] == "skip"
+    moved = ref.select(*[(F.col(c) + 100.0).alias(c) for c in cols], F.lit(1.0).alias("new"))
+    want = D.psi_summary(D.psi_by_feature(ref, moved)).first()
+    got = D.drift_against_baseline(moved, path).first()
+    assert got["psi_score"] == pytest.approx(want["psi_score"]) and got["features_analyzed"] == 5 and got["recommendation"] == "retrain"
+    assert not D.drift_against_baseline(ref.select("a", "b"), path).first()["judged"]
+    profile = {r["feature"]: r["mean"] for r in spark.read.parquet(path).collect()}
+    assert profile["a"] == pytest.approx(99.5)
 
 
 def test_dedup_keeps_first_shard(spark):
@@ -147,24 +186,103 @@ def test_upsert_latest_wins(spark):
     assert got == {"r1": 1.0, "r2": 5.0, "r3": 3.0}
 
 
+def test_offset_strings_are_shifted_once(spark):
+    rows = [("2024-01-01T00:00:00+05:30",), ("2024-01-01T00:00:00Z",), ("2024-01-01 00:00:00",), ("2024-01-01",), ("2024-01-01T00:00:00.25-0300",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [r[0] for r in df.select(F.date_format(C.to_utc(F.col("t"), "Asia/Kolkata"), "yyyy-MM-dd HH:mm")).collect()]
+    assert got == ["2023-12-31 18:30", "2024-01-01 00:00", "2023-12-31 18:30", "2023-12-31 18:30", "2024-01-01 03:00"]
+    full = spark.createDataFrame([(datetime(2024, 1, 1), 1.0, "pm25", "a", 1.0, 2.0)],
+                                 "datetime timestamp, value double, parameter string, location string, latitude double, longitude double")
+    one = C.standardize(full, "Asia/Kolkata").select(F.date_format("datetime", "yyyy-MM-dd HH:mm")).first()[0]
+    assert one == "2024-01-01 00:00"                                 # an instant already
+    ntz = C.standardize(full.withColumn("datetime", F.col("datetime").cast("timestamp_ntz")), "Asia/Kolkata")
+    assert ntz.select(F.date_format("datetime", "yyyy-MM-dd HH:mm")).first()[0] == "2023-12-31 18:30"
+
+
 def test_bbox_and_radius(spark):
-    rows = [(f"loc_{k}", 28.3 + 0.07 * k, 76.7 + 0.08 * k) for k in range(10)]
+    rows = [(f"loc_{k:02}", 28.4 + 0.02 * k, 76.8 + 0.02 * k) for k in range(30)]
     df = spark.createDataFrame(rows, "location string, latitude double, longitude double")
-    assert sorted(r[0] for r in C.bbox_filter(df).collect()) == [f"loc_{k}" for k in range(2, 9)]
-    assert C.bbox_filter(df, limit=3).count() == 3
-    far = C.radius_filter(df, 28.3, 76.7, 1e9).count()       # radius capped at 25 km
-    assert far < 10
-
-
-def test_stream_matches_batch_on_closed_windows(spark, tmp_path):
-    from sensorspark.streaming import ingest as ST
-    from sensorspark.operators.resample import hourly_long
-    sf = "/root/testdata/sf0.001"
-    d = str(tmp_path / "run")
-    out = spark.read.parquet(ST.run_hourly(spark, ST.stream_measurements(spark, sf), d))
-    batch = hourly_long(S.events_measurements(spark, sf))
-    j = out.join(batch.withColumnRenamed("value", "bvalue"), ["hour", "parameter"])
-    assert j.count() == out.count() > 0
-    assert j.filter(F.abs(F.col("value") - F.col("bvalue")) > 1e-9).count() == 0
-    # open windows above the watermark are not emitted
-    assert out.count() < batch.count()
+    assert C.bbox_filter(df).count() == 26                           # no limit on the locations
+    assert sorted(r[0] for r in C.bbox_filter(df, limit=3).collect()) == ["loc_00", "loc_01", "loc_02"]
+    assert 0 < C.radius_filter(df, 28.4, 76.8, 25000).count() < 30
+    with pytest.raises(ValueError):
+        C.radius_filter(df, 28.4, 76.8, 25001)
+
+
+def test_pivot_columns_are_the_callers(spark):
+    from sensorspark.operators.resample import hourly_wide, pivot_mean
+    t = datetime(2024, 1, 1)
+    m = spark.createDataFrame([(t, "so2", 4.0), (t, "pm25", 1.0)], "datetime timestamp, parameter string, value double")
+    assert hourly_wide(m, ["so2"]).first()["so2"] == 4.0 and pivot_mean(m, ["pm25", "so2"]).first()["so2"] == 4.0
+    with pytest.raises(TypeError):
+        hourly_wide(m)
+
+
+def test_column_difference(spark):
+    a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(1, 2)], "y int, z int")
+    assert C.column_set_diff(a, b) == {"match": False, "only_left": ["x"], "only_right": ["z"]}
+    assert C.column_set_diff(a, a)["match"] and C.common_columns(a, b) == ["y"]
+
+
+def test_recursive_forecast(spark):
+    """y = y 168 hours ago: the forecast repeats the last week."""
+    f = spark.createDataFrame([(s, p, datetime(2024, 1, 1) + timedelta(hours=p), float(p)) for s, n in (("long", 200), ("short", 100)) for p in range(n)]
+                              + [("holes", p, datetime(2024, 1, 1) + timedelta(hours=p), 1.0) for p in range(0, 400, 2)],
+                              "s string, pos long, datetime timestamp, pm25 double")
+    model = spark.createDataFrame([(s, 0.0, 1.0) for s in ("long", "short", "holes")], "s string, intercept double, lag_168 double")
+    got = {(r["s"], r["h"]): r["forecast"] for r in FC.recursive_forecast(f, model, [168], 3, series_cols=("s",)).collect()}
+    assert [got["long", h] for h in (1, 2, 3)] == [32.0, 33.0, 34.0]
+    assert all(got[s, h] is None for s in ("short", "holes") for h in (1, 2, 3))
+    two = spark.createDataFrame([(1.0, 0.5, 0.25)], "intercept double, lag_1 double, lag_3 double")
+    one = f.filter("s = 'long'").drop("s")
+    y = [float(p) for p in range(200)]
+    for _ in range(5):
+        y.append(1.0 + 0.5 * y[-1] + 0.25 * y[-3])
+    rows = FC.recursive_forecast(one, two, [1, 3], 5).orderBy("h").collect()
+    assert [r["forecast"] for r in rows] == pytest.approx(y[200:]) and rows[0]["ts"] == datetime(2024, 1, 1) + timedelta(hours=200)
+
+
+def test_two_lag_fit(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(0, 1, 80), rng.normal(0, 1, 80)
+    y = 2.0 + 0.5 * a - 0.25 * b + rng.normal(0, 0.1, 80)
+    rows = [(float(u), float(v), float(w), "train" if i < 60 else "test") for i, (u, v, w) in enumerate(zip(a, b, y))]
+    r = FC.ar_fit(spark.createDataFrame(rows, "l1 double, l2 double, y double, split string"), {1: "l1", 24: "l2"}).first()
+    want = np.linalg.lstsq(np.column_stack([np.ones(60), a[:60], b[:60]]), y[:60], rcond=None)[0]
+    assert [r["intercept"], r["lag_1"], r["lag_24"]] == pytest.approx(want) and r["n_train"] == 60
+
+
+def test_scoring_keeps_rows_with_nulls(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (40, 2))
+    y = x @ [2.0, -1.0] + 0.5
+    rows = [(float(a), float(b), float(c)) for (a, b), c in zip(x, y)]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1.0)], "a double, b double, y_scaled double")
+    va, model, left_out = FC.fit_linear_forecaster(df, ["a", "b"])
+    out = FC.batch_score(df, va, model).collect()
+    assert left_out == 1 and len(out) == 41
+    for r in out:
+        if r["a"] is None:
+            assert r["pred_scaled"] is None
+        else:
+            assert r["pred_scaled"] == pytest.approx(2 * r["a"] - r["b"] + 0.5, abs=1e-6)
+
+
+def test_fetch_plan(spark):
+    s = spark.createDataFrame([(datetime(2024, 1, 5, 12), "m_20240105_20240110")], "datetime timestamp, shard string")
+    plan = lambda *a, **k: tuple(I.fetch_plan(*a, **k).select("days", "label", "status").first())
+    assert plan(s, "2024-01-06 11:00:00") == (0, "m_20240105_20240106", "skipped")
+    assert plan(s, "2024-01-06 11:00:00", force=True)[2] == "fetch"
+    assert plan(s, "2024-01-10 12:00:00") == (5, "m_20240105_20240110", "stored")
+    assert plan(s, "2024-01-11 00:00:00") == (5, "m_20240105_20240111", "fetch")
+    assert plan(s.filter("false"), "2024-04-01 00:00:00") == (90, "m_20240102_20240401", "fetch")
+
+
+def test_dedup_by_one_order_column_needs_no_sort(spark):
+    t = datetime(2024, 1, 2)
+    df = spark.createDataFrame([(t, "p", "a", 1.0, 7), (t, "p", "a", 2.0, 3), (t, "q", "a", None, 5)],
+                               "datetime timestamp, parameter string, location string, value double, arrival long")
+    out = I.dedup_first(df, order=("arrival",))
+    assert sorted(((r["parameter"], r["value"], r["arrival"]) for r in out.collect())) == [("p", 2.0, 3), ("q", None, 5)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

@@ -38,7 +38,7 @@ def test_dedup_combines_map_side(spark):
 
 def test_row_windows_are_blocked(spark):
     m = I.dedup_first(C.param_filter(S.events_measurements(spark, SF)), order=("arrival",))
-    p = _plan(feature_table(hourly_wide(m)))
+    p = _plan(feature_table(hourly_wide(m, ["pm25", "pm10", "no2", "o3"])))
     windows = [ln for ln in p.splitlines() if re.search(r"\bWindow \[", ln)]
     assert windows
     for ln in windows:

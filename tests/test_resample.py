@@ -1,4 +1,4 @@
-"""Hourly resample, spine and gap fill against pandas, including block edges."""
+"""Hourly resample, spine and gap fill against closed forms, including block edges."""
 
 from datetime import datetime, timedelta
 
@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sensorspark.constants import PARAMETERS
 from sensorspark.operators import resample as R
 
 T0 = datetime(2024, 1, 1)
@@ -22,11 +23,18 @@ def _hourly_df(spark, values):
     return df
 
 
-def _pandas_fill(values):
-    s = pd.Series(values, dtype=float)
-    # keep only the span between first and last reading (the spine)
-    s = s.loc[s.first_valid_index():s.last_valid_index()].reset_index(drop=True)
-    return s.interpolate(method="linear", limit=6).ffill(limit=3).bfill().to_numpy()
+def _expected_fill(values):
+    """The span between the first and last reading, gaps filled by the closed
+    form: up to 6 hours along the line to the next reading, hours 7 to 9 keep
+    the 6th, the rest takes the next reading (the last one at the end)."""
+    v = [float(x) for x in values]
+    known = [i for i, x in enumerate(v) if not np.isnan(x)]
+    out = []
+    for i in range(known[0], known[-1] + 1):
+        a = max(k for k in known if k <= i)
+        b = min(k for k in known if k >= i)
+        out.append(v[i] if a == i else v[b] if i - a > 9 else v[a] + (v[b] - v[a]) * min(i - a, 6) / (b - a))
+    return np.array(out)
 
 
 def _series_with_gaps():
@@ -38,10 +46,10 @@ def _series_with_gaps():
 
 
 @pytest.mark.parametrize("block", [720, 16, 11])
-def test_gap_fill_matches_pandas(spark, block):
+def test_gap_fill_matches_closed_form(spark, block):
     vals = _series_with_gaps()
     got = R.gap_fill(_hourly_df(spark, vals), block=block).orderBy("datetime").toPandas()
-    exp = _pandas_fill(vals)
+    exp = _expected_fill(vals)
     assert len(got) == len(exp)
     np.testing.assert_allclose(got["pm25"].to_numpy(dtype=float), exp, rtol=1e-12, atol=1e-12)
 
@@ -55,7 +63,7 @@ def test_gap_fill_random_series(spark):
         v[0] = 1.0
         v[-1] = 2.0
         got = R.gap_fill(_hourly_df(spark, list(v)), block=24).orderBy("datetime").toPandas()
-        np.testing.assert_allclose(got["pm25"].to_numpy(dtype=float), _pandas_fill(v), rtol=1e-12)
+        np.testing.assert_allclose(got["pm25"].to_numpy(dtype=float), _expected_fill(v), rtol=1e-12)
 
 
 def test_trailing_gap_stays_null(spark):
@@ -72,14 +80,14 @@ def test_trailing_gap_stays_null(spark):
 def test_hourly_mean_is_mean_of_means(spark):
     rows = [(T0, "pm25", 1.0, "a"), (T0, "pm25", 3.0, "b"), (T0 + timedelta(minutes=10), "pm25", 8.0, "a")]
     m = spark.createDataFrame(rows, "datetime timestamp, parameter string, value double, location string")
-    h = R.hourly_wide(m).collect()
+    h = R.hourly_wide(m, PARAMETERS).collect()
     assert len(h) == 1 and h[0]["pm25"] == pytest.approx(5.0)   # flat mean would be 4.0
 
 
 def test_spine_ignores_null_only_hour(spark):
     rows = [(T0, "pm25", 1.0), (T0 + timedelta(hours=2), "pm25", 3.0), (T0 + timedelta(hours=5), "pm25", None)]
     m = spark.createDataFrame(rows, "datetime timestamp, parameter string, value double")
-    g = R.gap_fill(R.hourly_wide(m)).orderBy("datetime").toPandas()
+    g = R.gap_fill(R.hourly_wide(m, PARAMETERS)).orderBy("datetime").toPandas()
     assert len(g) == 3                        # hours 0..2, the NULL-only hour 5 does not extend it
     assert g["pm25"].tolist() == [1.0, 2.0, 3.0]
 
@@ -87,7 +95,7 @@ def test_spine_ignores_null_only_hour(spark):
 def test_pivot_and_hour_spine(spark):
     rows = [(T0, "pm25", 1.0), (T0, "no2", 4.0), (T0 + timedelta(hours=3), "pm25", 2.0)]
     m = spark.createDataFrame(rows, "datetime timestamp, parameter string, value double")
-    p = R.pivot_mean(m).orderBy("datetime").collect()
+    p = R.pivot_mean(m, PARAMETERS).orderBy("datetime").collect()
     assert p[0]["no2"] == 4.0 and p[1]["no2"] is None
-    sp = R.hour_spine(R.hourly_wide(m)).orderBy("datetime").toPandas()
+    sp = R.hour_spine(R.hourly_wide(m, PARAMETERS)).orderBy("datetime").toPandas()
     assert len(sp) == 4 and sp["pm25"].isna().sum() == 2

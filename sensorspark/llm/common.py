@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import uuid
 
@@ -32,6 +33,17 @@ def persist(df: DataFrame, tag: str, partition_by=()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    It does so when the driver collects its garbage, which a large heap may put
+    off for the whole job; between steps whose results are stored tables this
+    asks for it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; other letters keep their case."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

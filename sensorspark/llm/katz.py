@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorspark.llm.common import crc_fold, persist
+from sensorspark.llm.common import crc_fold, free_shuffles, persist
 
 END = b""               # words are never empty
 UNKNOWN, START = 0, 1   # ids; words of the training rows have ids from 2
@@ -47,16 +47,39 @@ _U32 = np.uint64(32)
 
 
 def put(x: np.ndarray) -> bytes:
-    """An array, compressed; whole numbers in the least width that holds them."""
+    """An array, compressed; whole numbers in the least width that holds them,
+    their bytes in planes (all lowest bytes, then all next ...)."""
     x = np.asarray(x)
     if x.dtype.kind in "iub":
         x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=3).compress(x.tobytes())
+        raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+    else:
+        raw = x
+    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=3).compress(raw.tobytes())
 
 
 def get(b: bytes) -> np.ndarray:
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), b[:1].decode())
-    return x if x.dtype.kind == "f" else x.astype(np.int64)
+    kind = np.dtype(b[:1].decode())
+    raw = zstandard.ZstdDecompressor().decompress(b[1:])
+    if kind.kind == "f":
+        return np.frombuffer(raw, kind)
+    planes = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+
+
+def put_rising(x: np.ndarray, new: np.ndarray | None = None) -> bytes:
+    """Numbers that rise, everywhere or between the places ``new``, by their steps."""
+    d = np.diff(x, prepend=0)
+    return put(d if new is None else np.where(new, x, d))
+
+
+def get_rising(b: bytes, new: np.ndarray | None = None) -> np.ndarray:
+    d = get(b)
+    if new is None:
+        return np.cumsum(d)
+    total = np.cumsum(d)
+    head = np.flatnonzero(new)
+    return total - np.repeat(total[head] - d[head], np.diff(np.append(head, len(d))))
 
 
 def put_words(words) -> bytes:
@@ -124,6 +147,8 @@ def make_blocks(docs: DataFrame, folds: int, held: int, block_tokens: int) -> Da
 
         def row():
             code, vocabulary = pd.factorize(np.array([*words, None], object)[:-1])
+            order = np.argsort(vocabulary, kind="stable")                # sorted, they compress better
+            code, vocabulary = np.argsort(order)[code], vocabulary[order]
             return pa.RecordBatch.from_arrays(
                 [pa.array([ids], pa.list_(pa.int64())), pa.array([folded], pa.list_(pa.bool_())), pa.array([put(np.array(sizes))], pa.binary()),
                  pa.array([put(code)], pa.binary()), pa.array([put_words(vocabulary)], pa.binary()), pa.array([len(words)], pa.int64())],
@@ -320,17 +345,17 @@ def _count_grams(blocks: DataFrame, answers: DataFrame, plan: dict, order: int)
             c = ctx[o]
             head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             values, index = np.unique(low[o], return_inverse=True)
-            rows.append({"part": p, "block": left.column("block")[0].as_py(), "ctx": put(np.diff(c[head], prepend=0)), "run": put(np.diff(np.append(head, len(o)))),
-                         "word": put(word[o]), "seen": put(seen[o]), "low": put(values), "index": put(index), "split": put(split[o][head])})
+            rows.append({"part": p, "block": left.column("block")[0].as_py(), "ctx": put_rising(c[head]), "run": put(np.diff(np.append(head, len(o)))),
+                         "word": put_rising(word[o], np.isin(np.arange(len(o)), head)), "seen": put(seen[o]), "low": put(values), "index": put(index), "split": put(split[o][head])})
         return pa.Table.from_pylist(rows, schema)
 
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("ctx", "run", "word", "seen", "low", "index", "split")]])
 
     def answer(key, g):
         part, rows = key[0].as_py(), g.to_pylist()
-        heads = [(np.cumsum(get(r["ctx"])), get(r["run"]), get(r["split"])) for r in rows]
+        heads = [(get_rising(r["ctx"]), get(r["run"]), get(r["split"])) for r in rows]
         ctx = np.concatenate([np.repeat(c, n) for c, n, _ in heads])
-        word = np.concatenate([get(r["word"]) for r in rows])
+        word = np.concatenate([get_rising(r["word"], np.isin(np.arange(int(n.sum())), np.cumsum(n) - n)) for r, (_, n, _) in zip(rows, heads)])
         seen = np.concatenate([get(r["seen"]) for r in rows])
         low = np.concatenate([get(r["low"])[get(r["index"])] for r in rows])
         sizes = np.cumsum([int(n.sum()) for _, n, _ in heads])[:-1]
@@ -352,7 +377,8 @@ def _count_grams(blocks: DataFrame, answers: DataFrame, plan: dict, order: int)
             split[at[s_r > 0]] = True
             out.append(("reply", r["block"], order << 40 | part, put(count[code_r]), put(sums[at].ravel()), put(mass[at]),
                         put(ident[code_r]) if order < last else None))
-        out.append(("model", None, order << 40 | part, put(ctxs[of[known]]), put(words[w[one][known]]), put(count[known]), put(ident[known])))
+        out.append(("model", None, order << 40 | part, put_rising(ctxs[of[known]]), put(words[w[one][known]]), put(count[known]),
+                    put(ident[known]) if order < last else None))
         out.append(("stat", None, order << 40 | part, None, None, None, None, [len(known), *_by_count(count, cutoff)]))
         if split.any():
             out.append(("hot", None, order << 40 | part, put(ctxs[split]), put(sums[split].ravel()), put(mass[split])))
@@ -401,7 +427,8 @@ class Model:
 
     def ngrams(self, order: int) -> DataFrame:
         """The model table of an order as rows: (id, word, count) for order 1,
-        (id, history, word_id, count) above, ids pointing one order down."""
+        (id, history, word_id, count) above, ids pointing one order down (the
+        highest order needs none)."""
         def words(batches):
             for b in batches:
                 for r in b.to_pylist():
@@ -412,18 +439,21 @@ class Model:
         def grams(batches):
             for b in batches:
                 for r in b.to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array(get(r[c])) for c in "dabc"], ["id", "history", "word_id", "n"])
+                    n = get(r["c"])
+                    ident = pa.nulls(len(n), pa.int64()) if r["d"] is None else pa.array(get(r["d"]))
+                    yield pa.RecordBatch.from_arrays([ident, pa.array(get_rising(r["a"])), pa.array(get(r["b"])), pa.array(n)], ["id", "history", "word_id", "n"])
         m = self.tables[order - 1].filter("kind = 'model'").select("a", "b", "c", "d")
         return m.mapInArrow(words, "id long, word string, n long") if order == 1 else m.mapInArrow(grams, "id long, history long, word_id long, n long")
 
 
-def train(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, cutoff: int = 5, block_tokens: int = 1_000_000,
-          bucket_tokens: int = 2_000_000, hot_tokens: int = 200_000) -> Model:
+def train(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, cutoff: int = 5, block_tokens: int = 2_000_000,
+          bucket_tokens: int = 4_000_000, hot_tokens: int = 200_000) -> Model:
     """Count and normalise the model of ``docs`` less the held-out fold."""
     blocks = persist(make_blocks(docs, folds, held, block_tokens), "katz-blocks")
     total = blocks.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // bucket_tokens))
     tables = [_count_words(blocks, buckets, cutoff)]
+    free_shuffles(docs.sparkSession)
 
     def summed(t, kind, n):
         r = t.filter(F.col("kind") == kind).agg(*[F.sum(F.col("stat")[i]) for i in range(n)]).first()
@@ -442,6 +472,7 @@ def train(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, cutoff
         answers = answers.unionByName(t.filter("kind = 'reply'").select(*cols)).unionByName(
             _hot_answers(t, tables[-1], blocks, plan, k).select(*cols))
         tables.append(t)
+        free_shuffles(docs.sparkSession)
     return Model(blocks, answers, tables, plan)
 
 

@@ -313,6 +313,8 @@ def repeated_ranges(docs: DataFrame, window: int = 400, gram: int = 32, hot_segm
         F.col("src_key").alias("key"), F.col("src_seg").alias("seg"), (F.col("off") + F.col("s")).alias("s"), (F.col("off") + F.col("e")).alias("e"))
     whole = segs.filter("copies > 1").select("key", "seg", F.lit(0).alias("s"), F.col("n").alias("e"))
     ranges = whole.unionByName(back).groupBy("key", "seg").agg(F.collect_list(F.struct("s", "e")).alias("r"))   # at most one a window of the segment
+    # stored, so that the join below reads plain rows and Spark can split the segments with very many copies
+    ranges = persist(ranges, "ranges")
     return a.select("row", "at", "key", "seg").join(ranges, ["key", "seg"]).select("row", "at", F.explode("r").alias("x")).select(
         "row", (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e"))
 

@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def _plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "5000")      # else long filter lists are cut
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -52,3 +53,36 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() == 648
     assert "pm25_lag_72h" in df.columns
+
+
+def _registered(name):
+    from sensorspark.plans import catalog
+    return catalog.registered()[name]
+
+
+def test_time_bound_reaches_the_scan_of_registered_queries(spark):
+    for name in ("retention_filter", "rolling_merge", "sensor_range_topn", "incremental_batch"):
+        pushed = re.findall(r"PushedFilters: \[([^\]]*)\]", _plan(_registered(name)(spark, SF)))
+        assert pushed and all("GreaterThanOrEqual(ts" in p for p in pushed), (name, pushed)
+    for name in ("param_filter", "hourly_mean", "dedup_first"):
+        pushed = re.findall(r"PushedFilters: \[([^\]]*)\]", _plan(_registered(name)(spark, SF)))
+        assert pushed and all("In(event_type" in p for p in pushed), (name, pushed)
+
+
+def test_clean_dedup_hashes(spark):
+    p = _plan(_registered("hourly_mean")(spark, SF))
+    assert "partial_min_by" in p and "SortAggregate" not in p
+
+
+def test_drift_reads_each_side_once(spark):
+    from sensorspark.plans import catalog
+    p = _plan(catalog.lineitem_counts(spark, SF))
+    # one scan for the edges, one for the counts of both periods
+    assert len(re.findall(r"FileScan parquet", p)) <= 2
+
+
+def test_scaler_and_metrics_do_not_move_rows_by_few_keys(spark):
+    for name, key in (("fit_feature_scaler", "feature"), ("regression_metrics", "model")):
+        p = _plan(_registered(name)(spark, SF))
+        joins = [ln for ln in p.splitlines() if re.search(r"(SortMergeJoin|ShuffledHashJoin) \[" + key + r"#", ln)]
+        assert not joins, (name, joins)

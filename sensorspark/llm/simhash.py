@@ -31,24 +31,22 @@ from pyspark.sql import functions as F
 
 from sensorspark.llm.common import persist
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8: runs of anything but ASCII white space,
+    A-Z lower-cased (both are what ``bytes`` methods do)."""
+    return (text or b"").lower().split()
 
-def words_of(text) -> list[str]:
-    """The words of a text: runs of anything but ASCII white space, A-Z lower-cased."""
-    return [w for w in (text or "").translate(_LOWER).translate(_SPACES).split(" ") if w]
 
-
-def fingerprint(words: list[str], shingle: int = 3, seed: int = 42) -> int:
+def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     """Signed 64-bit SimHash of a word list (zero for no words)."""
     from xxhash import xxh64_intdigest
     if not words:
         return 0
     if len(words) <= shingle:
-        parts = [" ".join(words)]
+        parts = [b" ".join(words)]
     else:
-        parts = map(" ".join, zip(*(words[i:] for i in range(shingle))))
+        parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     h = np.fromiter((xxh64_intdigest(p, seed) for p in parts), np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
@@ -64,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for b in batches:
             fp = [fingerprint(words_of(t), shingle) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
         run, "doc_id long, fp long")
 
 

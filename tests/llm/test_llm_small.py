@@ -443,3 +443,10 @@ def test_license_sums_match_brute_force(spark):
     z = np.array(model.intercepts) + sum(np.array(model.weights.get(g, np.zeros(len(model.classes)))) for g in grams)
     p = np.exp((z - z.max()) / model.temperature)
     assert got == {(0, model.classes[int(z.argmax())]): pytest.approx(float((p / p.sum()).max()))}
+
+
+def test_words_are_ascii_lowered_and_split():
+    text = "AÉB\tc\x0bD\x0cE\rF\ng h I \x1f\x85 j"
+    want = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))]
+    assert simhash.words_of(text.encode()) == want and simhash.words_of(None) == []
+    assert katz.tokens_of(text.encode()) == [*want, katz.END]

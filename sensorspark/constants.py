@@ -11,7 +11,6 @@ UNIT_MAP = {"pm25": "µg/m³", "pm10": "µg/m³", "no2": "µg/m³", "o3": "µg/m
 REQUIRED_COLUMNS = ["datetime", "value", "parameter", "unit", "location", "latitude", "longitude"]
 DEDUP_KEY = ["datetime", "parameter", "location"]
 CITY_BBOX = (76.8, 28.4, 77.4, 28.9)                 # lon_min, lat_min, lon_max, lat_max
-MAX_LOCATIONS = 8
 MAX_RADIUS_M = 25000
 DEFAULT_ROLLING_DAYS = 90
 SHORT_SPAN_DAYS = 30

@@ -23,12 +23,6 @@ def distinct_dims(df: DataFrame, dims=("parameter", "location")) -> DataFrame:
     return df.select(kv).select("_kv.dimension", "_kv.value").where(F.col("value").isNotNull()).distinct()
 
 
-def value_ranges(df: DataFrame, by: str = "parameter") -> DataFrame:
-    """min/max value per parameter."""
-    return df.groupBy(by).agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-                              F.count(F.lit(1)).cast("bigint").alias("rows"))
-
-
 def availability(df: DataFrame, by=("parameter",)) -> DataFrame:
     """Earliest, latest reading and record count per group."""
     return df.groupBy(*by).agg(F.min("datetime").alias("earliest"), F.max("datetime").alias("latest"),

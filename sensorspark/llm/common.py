@@ -44,6 +44,21 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def hashed_sample(df: DataFrame, columns, n: int) -> DataFrame:
+    """At most ``n`` distinct rows of ``columns``: the first by a hash of them,
+    with the hash as ``h``.
+
+    The number of distinct rows (one pass) gives the hash below which about
+    2 n of them lie; only those are compared, so what is gathered does not
+    grow with the table or its tasks, nor with the copies of a row.
+    """
+    d = df.select(F.xxhash64(*columns).alias("h"), *columns)
+    total = d.agg(F.approx_count_distinct("h")).first()[0]
+    if total > 2 * n:
+        d = d.filter(F.col("h") <= F.lit(int(-(1 << 63) + (1 << 64) * (2 * n / total))))
+    return d.groupBy("h").agg(*[F.first(c).alias(c) for c in columns]).orderBy("h").limit(n)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; other letters keep their case."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

@@ -12,7 +12,7 @@ similarity, labels of the rarer class weighted up.
 
 Cases: NULL and empty texts have no terms but their style; a text that
 resembles no labelled one gets the share of label 1; without labels every score
-is 0.5; of labels that repeat an id each counts; rows with a NULL id or label
+is 0.5; of labels that repeat an id each value counts once; rows with a NULL id or label
 are no training rows but are scored; repeated rows are scored each; an empty
 table gives no rows; ``documents`` columns other than text are never read by
 the score.
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorspark.llm.common import crc_fold
+from sensorspark.llm.common import crc_fold, hashed_sample
 
 TRIGRAMS, SHAPES, BINS = 2048, 512, 8
 FIGURES = 7
@@ -129,10 +129,10 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, max_labelled: int) -> tuple[np.ndarray, np.ndarray]:
     """(features, labels) of at most ``max_labelled`` labelled documents out
-    of the held-out fold: the first by a hash of the id."""
-    ids = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(crc_fold(F.col("doc_id"), folds) != held)
-           .select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
-           .orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labelled))
+    of the held-out fold: the first by a hash of id and label."""
+    known = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(crc_fold(F.col("doc_id"), folds) != held)
+             .select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")))
+    ids = hashed_sample(known, ["_id", "_y"], max_labelled)
 
     def run(batches):
         for b in batches:

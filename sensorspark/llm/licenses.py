@@ -27,7 +27,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.llm.common import let
+from sensorspark.llm.common import hashed_sample, let
 
 UNKNOWN = "unknown"
 MAX_FEATURES = 20_000
@@ -109,8 +109,7 @@ def train(docs: DataFrame, sample_docs: int = 500, sample_paragraphs: int = 4000
     notices = _frame(spark, [{"text": n} for ns in NOTICES.values() for n in ns], "text string")
     grams = notices.select(F.explode(paragraph_grams(F.col("text"))).alias("g")).distinct()
     marks = [r.g for r in grams.collect()]
-    picked = (docs.select(F.substring(F.col("text").cast("string"), 1, 20_000).alias("text")).filter("text IS NOT NULL")   # training sample only
-              .orderBy(F.xxhash64("text"), "text").limit(sample_docs))
+    picked = hashed_sample(docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL"), ["text"], sample_docs)
     paras = (picked.select(F.explode(F.split("text", "\n")).alias("text")).distinct().withColumn("g", paragraph_grams(F.col("text")))
              .filter((F.size("g") > 0) & (F.size(F.array_intersect("g", F.array(*[F.lit(m) for m in marks]))) * 3 <= F.size("g")))
              .orderBy(F.xxhash64("text"), "text").limit(sample_paragraphs))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorspark.llm.common import WORD
+from sensorspark.llm.common import WORD, hashed_sample
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -241,11 +241,11 @@ def add_spans(texts, spans, tokens: Tokens, p: np.ndarray, min_probability: floa
 
 
 def train(docs: DataFrame, train_docs: int = 2000) -> dict:
-    """Weights from at most ``train_docs`` documents that hold a digit or ``@``
-    (the first by a hash of the text, so that a source cannot crowd others out)."""
-    rows = (docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-            .filter(F.length("text") <= 100_000)
-            .select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(train_docs).select("text").collect())
+    """Weights from at most ``train_docs`` different texts that hold a digit or
+    ``@`` and at most 100,000 characters (the first by a hash of the text, so
+    that neither a source nor copies can crowd others out)."""
+    some = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 100_000))
+    rows = hashed_sample(some, ["text"], train_docs).select("text").collect()
     tokens = Tokens()
     for i, r in enumerate(sorted(x.text for x in rows)):
         tokens.add(i, r, base_spans(r))

@@ -151,15 +151,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
 
     Alternating large-star and small-star steps, each a grouped minimum joined
-    back to the edges, until they change nothing; each round's edges are
-    written to the shared folder.
+    back to the edges, until they change nothing; each round's tables are
+    written to the shared folder.  The minima are, too, before the join: then
+    both of its sides are plain rows, and Spark can split the root that a
+    third of all edges may end at.
     """
     e = persist(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = persist(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = persist(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()

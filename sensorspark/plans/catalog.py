@@ -245,7 +245,10 @@ def q_sequence_windows(spark, sf):
     return w.select("ts", "y", F.size(x).alias("n_steps"),
                     F.aggregate(x, F.lit(0.0), lambda a, s: a + s["pm10"]).alias("x_pm10_sum"),
                     F.element_at(x, -1)[LAG1].alias("x_last_lag1"),
-                    F.element_at(x, 1)["hour_sin"].alias("x_first_hour_sin"))
+                    F.element_at(x, 1)["hour_sin"].alias("x_first_hour_sin"),
+                    # every value of the array, weighed by its place
+                    (F.aggregate(F.transform(x, lambda r, i: (i + 1) * reduce(lambda a, b: a + b, [r[c] for c in input_columns()])),
+                                 F.lit(0.0), lambda a, v: a + v) / F.lit(float(T_LEN * T_LEN * len(input_columns())))).alias("x_digest"))
 
 
 def q_chrono_split(spark, sf):

@@ -384,13 +384,15 @@ def build() -> dict:
     q["dropna_features"] = fin(W(*CHAIN, """final_ AS (SELECT (SELECT count(*) FROM grid) AS spine_rows,
         (SELECT count(*) FROM ft) AS feature_rows, (SELECT count(*) FROM grid) - (SELECT count(*) FROM ft) AS dropped_rows)"""),
         "spine_rows:i feature_rows:i dropped_rows:i")
-    q["sequence_windows"] = fin(W(*CHAIN, """sw AS (SELECT datetime AS ts, j, pm25 AS y,
+    q["sequence_windows"] = fin(W(*CHAIN, f"""sw AS (SELECT datetime AS ts, j, pm25 AS y,
         count(*) OVER (ORDER BY j ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING) AS n_steps,
         sum(pm10) OVER (ORDER BY j ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING) AS x_pm10_sum,
         lag(pm25_lag_1h, 1) OVER (ORDER BY j) AS x_last_lag1,
-        lag(hour_sin, 72) OVER (ORDER BY j) AS x_first_hour_sin FROM ftj)""",
+        lag(hour_sin, 72) OVER (ORDER BY j) AS x_first_hour_sin,
+        (sum(j * ({" + ".join(input_cols())})) OVER (ORDER BY j ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING)
+         - (j - 73) * sum({" + ".join(input_cols())}) OVER (ORDER BY j ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING)) / (72 * 72 * {len(input_cols())}.0) AS x_digest FROM ftj)""",
                                   "final_ AS (SELECT * FROM sw WHERE j >= 72)"),
-                                "ts:t y:d n_steps:i x_pm10_sum:d x_last_lag1:d x_first_hour_sin:d")
+                                "ts:t y:d n_steps:i x_pm10_sum:d x_last_lag1:d x_first_hour_sin:d x_digest:d")
     q["chrono_split"] = fin(W(*WCHAIN, "final_ AS (SELECT * FROM ws)"), "ts:t widx:i split:s")
     q["split_summary"] = fin(W(*WCHAIN, "final_ AS (SELECT split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM ws GROUP BY split)"),
                              "split:s n:i first_ts:t last_ts:t")

@@ -30,6 +30,7 @@ probability one; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,27 +144,26 @@ def make_blocks(docs: DataFrame, folds: int, held: int, block_tokens: int) -> Da
     """One row a block: ids and folds of its documents, their lengths, the
     tokens as numbers of the local vocabulary, and that vocabulary."""
     def run(batches):
-        ids, folded, sizes, words = [], [], [], []
-
         def row():
-            code, vocabulary = pd.factorize(np.array([*words, None], object)[:-1])
-            order = np.argsort(vocabulary, kind="stable")                # sorted, they compress better
-            code, vocabulary = np.argsort(order)[code], vocabulary[order]
+            words = np.array([*local, None], object)[:-1]
+            order = np.argsort(words, kind="stable")                     # sorted, they compress better
+            code = np.argsort(order)[np.frombuffer(codes, np.uint32)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([ids], pa.list_(pa.int64())), pa.array([folded], pa.list_(pa.bool_())), pa.array([put(np.array(sizes))], pa.binary()),
-                 pa.array([put(code)], pa.binary()), pa.array([put_words(vocabulary)], pa.binary()), pa.array([len(words)], pa.int64())],
+                 pa.array([put(code)], pa.binary()), pa.array([put_words(words[order])], pa.binary()), pa.array([len(code)], pa.int64())],
                 ["doc_id", "held", "sizes", "tokens", "words", "n"])
 
+        ids, folded, sizes, local, codes = [], [], [], {}, array("I")
         for b in batches:
-            for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("held").to_pylist(), b.column("text").to_pylist()):
-                w = tokens_of(t)
-                ids.append(i)
-                folded.append(h)
+            for i, h, t in zip(*(b.column(c) for c in ("doc_id", "held", "text"))):
+                w = tokens_of(t.as_py())
+                ids.append(i.as_py())
+                folded.append(h.as_py())
                 sizes.append(len(w))
-                words += w
-                if len(words) >= block_tokens:
+                codes.extend(local.setdefault(x, len(local)) for x in w)
+                if len(codes) >= block_tokens:
                     yield row()
-                    ids, folded, sizes, words = [], [], [], []
+                    ids, folded, sizes, local, codes = [], [], [], {}, array("I")
         if ids:
             yield row()
 
@@ -446,7 +446,7 @@ class Model:
         return m.mapInArrow(words, "id long, word string, n long") if order == 1 else m.mapInArrow(grams, "id long, history long, word_id long, n long")
 
 
-def train(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, cutoff: int = 5, block_tokens: int = 2_000_000,
+def train(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, cutoff: int = 5, block_tokens: int = 1_500_000,
           bucket_tokens: int = 4_000_000, hot_tokens: int = 200_000) -> Model:
     """Count and normalise the model of ``docs`` less the held-out fold."""
     blocks = persist(make_blocks(docs, folds, held, block_tokens), "katz-blocks")

@@ -18,9 +18,9 @@ URL_RULES = (
 
 
 def op1_katz(spark, sf_dir):
-    """Every document's log10 probability under the Katz bigram model of the
+    """Every document's log10 probability under the Katz trigram model of the
     training folds (crc32 mod 7 is not 2), beside the add-one unigram base."""
-    return katz.score(read_table(spark, sf_dir, "documents"), order=2, folds=7, held=2)
+    return katz.score(read_table(spark, sf_dir, "documents"), order=3, folds=7, held=2)
 
 
 def op2_syncmers(spark, sf_dir):

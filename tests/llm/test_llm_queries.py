@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import pytest
-from bruteforce_katz import tokens
+from bruteforce_katz import Katz, tokens
 from bruteforce_simhash import components
 from fixtures import EDGE, empty, frame
 
@@ -121,6 +121,16 @@ def test_pipeline_stages_on_awkward_rows(spark):
     assert packed.agg({"n_tokens": "sum"}).first()[0] == sum(len(tokens(t)) for _, t in EDGE)
 
 
+def test_registered_katz_is_a_trigram_model(spark, tmp_path):
+    rows = [(i, f"a b c{i % 3} a b d b c{i % 2} a") for i in range(40)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in queries.op1_katz(spark, str(tmp_path)).collect()}
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    three, two = Katz(train, 3), Katz(train, 2)
+    assert got == pytest.approx({i: three.score(t) for i, t in rows})
+    assert any(abs(two.score(t) - got[i]) > 1e-6 for i, t in rows)
+
+
 def test_one_query_for_each_operator():
     names = [int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES]
     assert sorted(names) == list(range(1, 11)) and set(queries.ORACLE) <= set(queries.QUERIES)

@@ -1,7 +1,14 @@
 """License scans: a trained paragraph classifier with template confirmation.
 
 Native: DataFrame expressions and the JVM's logistic regression only.
-Paragraphs (lines) become sets of hashed word bigrams and trigrams.  A sparse
+Paragraphs become sets of hashed word bigrams and trigrams.  A paragraph is a
+line, and for notices that are wrapped also a run of up to ``2 * WRAP``
+adjacent lines without a blank one, joined by blanks; runs start every ``WRAP``
+lines, so any ``WRAP + 1`` adjacent lines are in one whole.  A run counts when
+it is confirmed for a family that no line of its block (the lines between two
+blank ones) is confirmed for, once a block and family and in place of the
+block's unconfirmed lines of that family.  Like a line, it names one family.
+A sparse
 multinomial logistic regression over the n-grams of licence notices is trained
 on whole and cut notices against an ``unknown`` class: paragraphs of a bounded
 sample of the corpus and legal phrases that name no licence.  A temperature
@@ -31,6 +38,8 @@ from sensorspark.llm.common import hashed_sample, let
 
 UNKNOWN = "unknown"
 MAX_FEATURES = 20_000
+#: Lines over which a wrapped notice is surely found whole, less one.
+WRAP = 8
 
 #: Notices by licence family (fixed values, public texts).
 NOTICES = {
@@ -77,6 +86,31 @@ def paragraph_grams(paragraph: Column) -> Column:
     return let(words(paragraph), ngrams)
 
 
+def units(text: Column) -> Column:
+    """array<struct<paragraph, block, joined, text>>: the lines of a text that
+    are not blank and the joined runs, both by their first line; block is the
+    first line of the lines between two blank ones."""
+    unit = lambda at, block, joined, t: F.struct(at.cast("int").alias("paragraph"), block.cast("int").alias("block"),
+                                                 F.lit(joined).alias("joined"), t.alias("text"))
+
+    def of_block(b: Column) -> Column:
+        n = F.size(b["lines"])
+        starts = F.when(n > 1, F.sequence(F.lit(0), F.greatest(F.lit(0), n - WRAP - 1), F.lit(WRAP))).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.transform(b["lines"], lambda t, j: unit(b["at"] + j, b["at"], False, t)),
+                        F.transform(starts, lambda j: unit(b["at"] + j, b["at"], True, F.array_join(F.slice(b["lines"], j + 1, 2 * WRAP), " "))))
+
+    def of_lines(p: Column) -> Column:
+        blank = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: ~F.get(p, i).rlike("\\S"))
+        # a block lies between each blank line and the next, the ends of the text counting as blank
+        blocks = let(F.concat(F.array(F.lit(-1)), blank, F.array(F.size(p))), lambda e: F.filter(
+            F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda k: F.struct(
+                (F.get(e, k - 1) + 1).alias("at"), F.slice(p, F.get(e, k - 1) + 2, F.get(e, k) - F.get(e, k - 1) - 1).alias("lines"))),
+            lambda b: F.size(b["lines"]) > 0))
+        return F.flatten(F.transform(blocks, of_block))
+
+    return let(F.split(text, "\n"), of_lines)
+
+
 def _frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table from a JSON literal (stays in the JVM)."""
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
@@ -146,9 +180,10 @@ def train(docs: DataFrame, sample_docs: int = 500, sample_paragraphs: int = 4000
 
 
 def _judge(docs: DataFrame, model: Model, confirm: float) -> DataFrame:
-    """(row, doc_id, paragraph, family, probability, cover) of every paragraph
-    that holds a known n-gram, family NULL where it is unknown; and for every
-    document one marker row, paragraph NULL, so that none is lost."""
+    """(row, doc_id, block, family, found) of every block and family of its
+    licence paragraphs, found their array<struct<paragraph, probability, cover,
+    confirmed>>.  Paragraphs of no family and a marker for every document, so
+    that none is lost, have family NULL and nothing found."""
     spark = docs.sparkSession
     templates = [(k, n) for k, ns in sorted(NOTICES.items()) for n in ns]
     grams = {}
@@ -165,13 +200,13 @@ def _judge(docs: DataFrame, model: Model, confirm: float) -> DataFrame:
     weights = _frame(spark, table, "g long, w array<double>, t array<int>")
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("p"))
+                       units(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("u"))
     # outer: for the plain form the optimiser adds a filter that computes the arrays once more
-    p = rows.select("row", "doc_id", F.posexplode_outer(F.array_append("p", F.lit(None).cast("string"))).alias("paragraph", "p")).select(
-        "row", "doc_id", F.when(F.col("p").isNotNull(), F.col("paragraph")).alias("paragraph"),
-        F.explode_outer(F.when(F.col("p").isNull(), F.array(F.lit(marker).cast("long"))).otherwise(paragraph_grams(F.col("p")))).alias("g"))
+    p = rows.select("row", "doc_id", F.explode_outer(F.array_append("u", F.lit(None))).alias("u")).select(
+        "row", "doc_id", "u.paragraph", "u.block", "u.joined",
+        F.explode_outer(F.when(F.col("u").isNull(), F.array(F.lit(marker).cast("long"))).otherwise(paragraph_grams(F.col("u.text")))).alias("g"))
     hit = p.join(F.broadcast(weights), "g")          # at most MAX_FEATURES rows and those of the notices
-    sums = hit.groupBy("row", "doc_id", "paragraph").agg(
+    sums = hit.groupBy("row", "doc_id", "paragraph", "block", "joined").agg(
         *[F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(len(model.classes))],
         *[F.sum(F.get("t", F.lit(i))).alias(f"t{i}") for i in range(len(templates))])
     z = F.array(*[(F.col(f"w{i}") + F.lit(float(b))) / F.lit(float(model.temperature)) for i, b in enumerate(model.intercepts)])
@@ -183,23 +218,29 @@ def _judge(docs: DataFrame, model: Model, confirm: float) -> DataFrame:
     is_license = F.col("paragraph").isNotNull() & (F.col("which") > 0) & (F.col("probability") >= F.lit(float(model.bound)))
     family = F.get(F.array(*[F.lit(c) for c in model.classes]), F.col("which"))
     covered = F.get(F.array(F.lit(0.0), *[cover[k] for k in model.classes[1:]]), F.col("which"))
-    return top.withColumn("which", which).withColumn("probability", 1 / total).select(
-        "row", "doc_id", "paragraph", F.when(is_license, family).alias("family"), "probability", covered.alias("cover")).withColumn(
-        "confirmed", F.col("cover") >= confirm)
+    judged = top.withColumn("which", which).withColumn("probability", 1 / total).select(
+        "row", "doc_id", "block", F.when(is_license, family).alias("family"),
+        F.struct("joined", "paragraph", "probability", covered.alias("cover"), (covered >= confirm).alias("confirmed")).alias("u"))
+    blocks = judged.groupBy("row", "doc_id", "block", "family").agg(F.array_sort(F.collect_list(F.when(F.col("family").isNotNull(), F.col("u")))).alias("u"))
+    lines = F.filter("u", lambda x: ~x["joined"])
+    runs = F.filter("u", lambda x: x["joined"] & x["confirmed"])
+    wrapped = (F.size(runs) > 0) & ~F.exists(lines, lambda x: x["confirmed"])
+    return blocks.select("row", "doc_id", "block", "family", F.transform(F.when(wrapped, F.slice(runs, 1, 1)).otherwise(lines), lambda x: F.struct(
+        *[x[c].alias(c) for c in ("paragraph", "probability", "cover", "confirmed")])).alias("found"))
 
 
 def scan_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
-    """doc_id, paragraph (from 0), family, probability, cover, confirmed of
-    every paragraph that the classifier assigns to a licence family."""
-    return _judge(docs, model, confirm).filter("family IS NOT NULL").drop("row")
+    """doc_id, paragraph (its first line, from 0), family, probability, cover,
+    confirmed of every paragraph that the classifier assigns to a licence family."""
+    p = _judge(docs, model, confirm).filter("family IS NOT NULL")
+    return p.select("doc_id", "family", F.explode("found").alias("f")).select("doc_id", "f.paragraph", "family", "f.probability", "f.cover", "f.confirmed")
 
 
 def scan(docs: DataFrame, model: Model | None = None, confirm: float = 0.6, **how) -> DataFrame:
     """One row a document: its confirmed licence families, the number of
     confirmed and of unconfirmed licence paragraphs and the best probability."""
-    p = _judge(docs, model or train(docs, **how), confirm)
-    sure, unsure = F.col("family").isNotNull() & F.col("confirmed"), F.col("family").isNotNull() & ~F.col("confirmed")
+    p = _judge(docs, model or train(docs, **how), confirm).withColumn("sure", F.size(F.filter("found", lambda x: x["confirmed"])))
     return p.groupBy("row", "doc_id").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("families"),
-        F.sum(F.when(sure, 1).otherwise(0)).alias("n_confirmed"), F.sum(F.when(unsure, 1).otherwise(0)).alias("n_unconfirmed"),
-        F.coalesce(F.max(F.when(F.col("family").isNotNull(), F.col("probability"))), F.lit(0.0)).alias("probability")).drop("row")
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("sure") > 0, F.col("family")))), ",").alias("families"),
+        F.sum("sure").alias("n_confirmed"), F.sum(F.size("found") - F.col("sure")).alias("n_unconfirmed"),
+        F.coalesce(F.max(F.array_max(F.transform("found", lambda x: x["probability"]))), F.lit(0.0)).alias("probability")).drop("row")

@@ -435,6 +435,34 @@ def test_licenses(spark, edge):
     assert licenses.scan(empty(spark), model).count() == 0
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify and sell copies of the Software.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "GPL-2.0": """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.""",
+}
+
+
+def test_wrapped_licenses(spark, edge):
+    prose = "Some prose of the day, in a line of its own.\n"
+    texts = [*WRAPPED.values(), *[f"A title\n\n{t}\n \nThe end." for t in WRAPPED.values()], *[prose * 20 + t + "\n" + prose * 20 for t in WRAPPED.values()],
+             "\n\n".join(WRAPPED.values()), *[t.replace("\n", "\r\n") for t in WRAPPED.values()], "Permission is hereby\n\ngranted", prose * 40]
+    docs = frame(spark, [(100 + i, t) for i, t in enumerate(texts)])
+    model = licenses.train(edge)
+    got = {r.doc_id - 100: (r.families, r.n_confirmed) for r in licenses.scan(docs, model).collect()}
+    one = [(k, 1) for k in WRAPPED]
+    assert [got[i] for i in range(len(texts))] == [*one * 3, (",".join(sorted(WRAPPED)), 3), *one, ("", 0), ("", 0)]
+    at = {(r.doc_id - 100, r.paragraph, r.family) for r in licenses.scan_paragraphs(docs, model).filter("confirmed").collect()}
+    assert {(3, 2, "MIT"), (4, 2, "BSD"), (5, 2, "GPL-2.0")} <= at
+
+
 def test_license_sums_match_brute_force(spark):
     docs = frame(spark, [(1, "Released under the MIT License.\nplain text of no interest"), (2, "Licensed under the Apache License, Version 2.0."), (3, "Licensed under BSD")])
     model = licenses.train(docs)

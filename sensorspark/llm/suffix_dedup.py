@@ -11,7 +11,9 @@ windows:
 2. A segment that occurs twice is repeated as a whole.  An anchor with two or
    more different segments needs sorting: one text of each such segment goes
    to its bucket.  An anchor with over ``hot_segments`` of them is split by the
-   text that all windows at one range of distances from it share.
+   text that all windows at one range of distances from it share.  Where over
+   ``hot_segments`` pieces share that text too, the split goes on to single
+   windows: their hashes are counted, map-side, and no text is moved.
 3. The buckets' suffixes are sorted a bounded bundle at a time
    (``bundle_windows``): first by a short prefix; ties, which are as long as
    the window, are resolved by ranks of the positions in a difference cover
@@ -294,6 +296,26 @@ def _compare(pieces: DataFrame, window: int, bundles: int) -> DataFrame:
             .groupBy("b").applyInArrow(run, "key long, sub long, piece long, s int, e int"))
 
 
+def _counted(pieces: DataFrame, window: int) -> DataFrame:
+    """(key, sub, piece, s, e): the windows of the pieces that another piece of
+    their (key, sub) holds, too, by the windows' hashes.  A piece's own windows
+    lie at different distances from the anchor, so no two of them are equal."""
+    def run(batches):
+        for b in batches:
+            of, at, h = [], [], []
+            for k, t in enumerate(b.column("text").to_pylist()):
+                for i in range(len(t) - window + 1):
+                    of.append(k)
+                    at.append(i)
+                    h.append(int.from_bytes(hashlib.blake2b(t[i:i + window], digest_size=8).digest(), "little", signed=True))
+            ids = [pc.take(b.column(c), pa.array(of, pa.int64())) for c in ("key", "sub", "piece")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int32()), pa.array(h, pa.int64())], ["key", "sub", "piece", "s", "h"])
+    w = persist(pieces.select("key", "sub", "piece", "text").mapInArrow(run, "key long, sub long, piece long, s int, h long"), "windows")
+    # stored, so that the join reads plain rows and Spark can split a window that very many pieces hold
+    again = persist(w.groupBy("key", "sub", "h").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).filter("a <> b").select("key", "sub", "h"), "again")
+    return w.join(again, ["key", "sub", "h"]).select("key", "sub", "piece", "s", (F.col("s") + 1).cast("int").alias("e")).distinct()
+
+
 def repeated_ranges(docs: DataFrame, window: int = 400, gram: int = 32, hot_segments: int = 1000,
                     bundle_windows: int = 1_000_000) -> DataFrame:
     """(row, s, e): the ranges of window starts of each text (row as
@@ -305,8 +327,13 @@ def repeated_ranges(docs: DataFrame, window: int = 400, gram: int = 32, hot_segm
     wanted = segs.filter("kinds > 1").select("row", "at", "n", "lead", "key", "seg", (F.col("kinds") > hot_segments).alias("hot"))
     width = -(-(window - gram + 1) // 16)
     p = persist(_pieces(_zipped(_numbered(docs)), wanted, window, width), "pieces")
-    total = p.filter("text IS NOT NULL").agg(F.sum(F.length("text"))).first()[0] or 0
-    found = _compare(p, window, max(1, -(-total // bundle_windows)))
+    # above the limit even there (equal pieces of other tasks count, too): single windows
+    sent = p.filter("text IS NOT NULL")
+    crowded = persist(sent.filter("sub <> 0").groupBy("key", "sub").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot_segments).select("key", "sub"), "crowded")
+    few = sent.join(crowded, ["key", "sub"], "left_anti")
+    total = few.agg(F.sum(F.length("text"))).first()[0] or 0
+    found = _compare(few, window, max(1, -(-total // bundle_windows))).unionByName(
+        _counted(sent.join(crowded, ["key", "sub"], "left_semi"), window))
     twice = p.filter("sub <> 0").groupBy("key", "sub", "piece").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter("c > 1").select(
         "key", "sub", "piece", F.lit(0).alias("s"), F.col("n").alias("e"))
     back = p.select("key", "sub", "piece", "src_key", "src_seg", "off").join(found.unionByName(twice), ["key", "sub", "piece"]).select(

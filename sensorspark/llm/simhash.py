@@ -26,7 +26,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensorspark.llm.common import persist
@@ -174,27 +173,41 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) and component_fp (a
-    key of the component) of every row of ``docs``."""
-    fps = persist(fingerprints(docs, shingle), "simhash")
+def _components_of(fps: DataFrame, radius: int) -> DataFrame:
+    """(f, root, component_id) of the distinct fingerprints of ``fps`` (doc_id, fp)."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     comp = components(links(distinct.select("fp"), radius))
     roots = distinct.join(comp, F.col("fp") == F.col("node"), "left").select(
         F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), "first_id")
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = roots.select("f", "root").join(ids, "root")
+    return roots.select("f", "root").join(ids, "root")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable) and component_fp (a
+    key of the component) of every row of ``docs``."""
+    fps = persist(fingerprints(docs, shingle), "simhash")
+    of = _components_of(fps, radius)
     return fps.join(of, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id", F.col("root").alias("component_fp"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay: of each component the
-    document with the smallest doc_id.  Of rows that repeat an id the first by
-    text stays; rows without an id cannot be told apart by it and all stay."""
-    nd = near_duplicates(docs, shingle, radius)
-    ids = nd.filter("doc_id = component_id").select("doc_id").distinct()
-    rank = next(c for c in ("_rank" + "_" * i for i in range(len(docs.columns) + 1)) if c not in docs.columns)
-    known = (docs.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi")
-             .withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-             .filter(F.col(rank) == 1).drop(rank))
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    """The rows of ``docs`` (all columns) that stay: exactly one of each
+    component, the first by doc_id (NULL last), then by the SHA-256 of its
+    text.  Each row has a number of its own, stored with it, so rows that
+    share an id or have none are judged each."""
+    place = next(c for c in ("_place" + "_" * i for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    numbered = persist(docs.withColumn(place, F.monotonically_increasing_id()), "numbered")
+
+    def run(batches):
+        for b in batches:
+            fp = [fingerprint(words_of(t), shingle) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("place"), b.column("doc_id"), b.column("sha"), pa.array(fp, pa.int64())], ["place", "doc_id", "sha", "fp"])
+
+    text = F.col("text").cast("string").cast("binary")
+    fps = persist(numbered.select(F.col(place).alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("sha"),
+                                  text.alias("text")).mapInArrow(run, "place long, doc_id long, sha string, fp long"), "simhash")
+    of = _components_of(fps.select("doc_id", "fp"), radius)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha", "place")).alias("first")
+    kept = fps.join(of, F.col("fp") == F.col("f")).groupBy("root").agg(first).select(F.col("first.place").alias(place))
+    return numbered.join(kept, place, "left_semi").select(*docs.columns)

@@ -321,6 +321,13 @@ def test_simhash_keeps_one_of_each_component(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_simhash_keeps_one_row_where_ids_repeat_or_lack(spark):
+    a, b, c = ("the quick brown fox jumps over the lazy dog", "seven wise owls read old books by candle light", "rain fell on the harbour all through that night")
+    for rows, want in [([(2, a), (5, a), (5, b)], [(2, a), (5, b)]), ([(None, a), (3, a), (None, b), (None, b), (None, c), (7, None), (None, "")], [(3, a), (7, None), (None, b), (None, c)]),
+                       ([(5, a), (5, a), (5, b), (5, b)], [(5, a), (5, b)])]:
+        assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect()), key=str) == sorted(want, key=str)
+
+
 # ------------------------------------------------------------------ 8
 def base_brute(text):
     def luhn(d):

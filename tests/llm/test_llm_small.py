@@ -190,8 +190,8 @@ def test_suffix_dedup_counts_crowded_passages(spark, tmp_path, monkeypatch):
     """A passage that many documents hold in other contexts never meets in one bundle."""
     rng = np.random.default_rng(17)
     word = lambda n: " ".join("w%d" % x for x in rng.integers(0, 4000, n))
-    passage = word(24)
-    rows = [(i, f"{word(9)} {passage} {word(9)}") for i in range(60)] + [(100 + i, word(30)) for i in range(5)]
+    passage = word(50)
+    rows = [(i, f"{word(12)} {passage} {word(12)}") for i in range(60)] + [(100 + i, word(30)) for i in range(5)]
     frame(spark, rows).write.parquet(str(tmp_path / "d"))
     most, compare = [], suffix_dedup._compare
 
@@ -202,8 +202,8 @@ def test_suffix_dedup_counts_crowded_passages(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(suffix_dedup, "_compare", watched)
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(
-        spark.read.parquet(str(tmp_path / "d")), 60, hot_segments=10, bundle_windows=5000).collect()]
-    want = [(i, *x) for (i, _), x in zip(rows, repeats_brute([t.encode() for _, t in rows], 60))]
+        spark.read.parquet(str(tmp_path / "d")), 150, hot_segments=10, bundle_windows=5000).collect()]
+    want = [(i, *x) for (i, _), x in zip(rows, repeats_brute([t.encode() for _, t in rows], 150))]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert max(most) <= 10
 

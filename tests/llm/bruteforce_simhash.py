@@ -13,21 +13,26 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(ids, texts):
+def groups(texts):
+    """The first row of each row's group: rows within 3 bits, and what they reach."""
     fps = [fingerprint(t) for t in texts]
-    root = list(range(len(ids)))
+    root = list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
-    for i in range(len(ids)):
+    for i in range(len(texts)):
         for j in range(i):
             if bin(fps[i] ^ fps[j]).count("1") <= 3:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    least = {}
-    for i, d in enumerate(ids):
+    return [find(i) for i in range(len(texts))]
+
+
+def components(ids, texts):
+    own, least = groups(texts), {}
+    for g, d in zip(own, ids):
         if d is not None:
-            least[find(i)] = min(d, least.get(find(i), d))
-    return fps, [least.get(find(i)) for i in range(len(ids))]
+            least[g] = min(d, least.get(g, d))
+    return [fingerprint(t) for t in texts], [least.get(g) for g in own]

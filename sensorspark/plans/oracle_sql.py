@@ -482,24 +482,25 @@ dy AS (SELECT *, CAST(floor((epoch(fetch_end) - epoch(fetch_start)) / 86400) AS
                                "datetime:t value:d parameter:s unit:s location:s latitude:d longitude:d")
     q["stream_ingest"] = fin(W(MV, "final_ AS (SELECT parameter, count(*) AS rows, max(datetime) AS watermark FROM mv GROUP BY parameter)"),
                              "parameter:s rows:i watermark:t")
-    # what a stage with a 2 h watermark has emitted when the input ends
-    closed = "closed AS (SELECT * FROM clean WHERE datetime <= (SELECT max(datetime) - INTERVAL 2 HOUR FROM pf))"
-    q["stream_dedup"] = fin(W(MV, PF, CLEAN, closed, "final_ AS (SELECT * FROM closed)"), "datetime:t parameter:s location:s value:d arrival:i")
-    q["stream_late"] = fin(W(MV, PF, CLEAN, closed, "final_ AS (SELECT * FROM closed WHERE datetime >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY)"),
+    q["stream_dedup"] = fin(W(MV, PF, CLEAN, "final_ AS (SELECT * FROM clean)"), "datetime:t parameter:s location:s value:d arrival:i")
+    q["stream_late"] = fin(W(MV, PF, CLEAN, "final_ AS (SELECT * FROM clean WHERE datetime >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY)"),
                            "datetime:t parameter:s location:s arrival:i")
     q["stream_upsert"] = fin(W(MV, PF, CLEAN, "final_ AS (SELECT * FROM clean)"), "datetime:t parameter:s location:s value:d arrival:i")
-    sh = ["""sm1 AS (SELECT datetime, parameter, avg(value) AS v FROM closed WHERE value IS NOT NULL GROUP BY ALL)""",
-          """shr AS (SELECT * FROM (SELECT date_trunc('hour', datetime) AS hour, parameter, avg(v) AS value, count(*) AS readings FROM sm1 GROUP BY 1, 2)
-             WHERE hour + INTERVAL 1 HOUR <= (SELECT max(datetime) FROM sm1))"""]
-    q["stream_hourly"] = fin(W(MV, PF, CLEAN, closed, *sh, "final_ AS (SELECT * FROM shr)"), "hour:t parameter:s value:d readings:i")
-    slide = " UNION ALL ".join(
-        f"""SELECT {n} AS length, hour - INTERVAL {n - 1} HOUR AS window_start, hour + INTERVAL 1 HOUR AS window_end, parameter,
-        avg(value) OVER w{n} AS mean, coalesce(stddev_samp(value) OVER w{n}, 0) AS std, count(*) OVER w{n} AS n FROM shr
-        WINDOW w{n} AS (PARTITION BY parameter ORDER BY hour RANGE BETWEEN INTERVAL {n - 1} HOUR PRECEDING AND CURRENT ROW)""" for n in ROLL)
-    q["stream_sliding"] = fin(W(MV, PF, CLEAN, closed, *sh, f"sl_ AS ({slide})",
-                                "final_ AS (SELECT * FROM sl_ WHERE n = length AND window_end <= (SELECT max(hour) FROM shr))"),
-                              "length:i window_start:t window_end:t parameter:s mean:d std:d n:i")
+    q["stream_hourly"] = fin(W(MV, PF, CLEAN, """sm1 AS (SELECT datetime, parameter, avg(value) AS v FROM clean WHERE value IS NOT NULL GROUP BY ALL)""",
+                               "final_ AS (SELECT date_trunc('hour', datetime) AS hour, parameter, avg(v) AS value, count(*) AS readings FROM sm1 GROUP BY 1, 2)"),
+                             "hour:t parameter:s value:d readings:i")
+
+    def slide(over="", by="", col=""):
+        """W3/W4 of every parameter over the filled hours up to its last observed one."""
+        return " UNION ALL ".join(
+            f"""SELECT {col}{n} AS length, hour - INTERVAL {n - 1} HOUR AS window_start, hour + INTERVAL 1 HOUR AS window_end, '{p}' AS parameter,
+        avg({p}) OVER w AS mean, coalesce(stddev_samp({p}) OVER w, 0) AS std, count({p}) OVER w AS n
+        FROM (SELECT {col}g.i, g.datetime AS hour, g.{p} FROM grid g JOIN g1 USING ({by}i) WHERE ni_{p} IS NOT NULL)
+        WINDOW w AS ({over}ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)""" for n in ROLL for p in PARAMS)
+    q["stream_sliding"] = fin(W(MV, PF, CLEAN, HW, GRID, f"final_ AS ({slide()})"), "length:i window_start:t window_end:t parameter:s mean:d std:d n:i")
     panel = [MV, PF, CLEAN, *PANEL]
+    q["stream_sliding_panel"] = fin(W(*panel[:3], *PANEL[:3], f"final_ AS ({slide('PARTITION BY location ', 'location, ', 'location, ')})"),
+                                    "location:s length:i window_start:t window_end:t parameter:s mean:d std:d n:i")
     q["feature_table_panel"] = fin(W(*panel, "final_ AS (SELECT * FROM ft)"), "location:s datetime:t " + " ".join(f"{c}:d" for c in feature_cols()))
     q["panel_split_summary"] = fin(W(*panel, "final_ AS (SELECT location, split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM ws GROUP BY ALL)"),
                                    "location:s split:s n:i first_ts:t last_ts:t")

@@ -2,10 +2,11 @@
 
 The original keeps a "last fetch" high-watermark file and re-merges dated
 shards.  Here the file source's checkpoint is the high-watermark (each file
-is processed once, exactly-once with the file sink), event-time watermarks
-bound the dedup and aggregation state, and ``foreachBatch`` maintains the
-merged table by date partition.  All state and output live under the shared
-checkpoint folder.
+is processed once), event-time watermarks bound the dedup state, and
+``foreachBatch`` maintains the merged table by date partition.  The chained
+stages (dedup, hourly means, rolling statistics) state rows as soon as they are
+known and again when they change (``versions``), so the newest readings are in
+every result.  All state and output live under the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorspark.constants import DEDUP_KEY, EVENT_PARAMETER, ROLLING_WINDOWS
+from sensorspark.operators.resample import reading_means
 from sensorspark.session import checkpoint_dir, path_exists, remove_path
 from sensorspark.sources.measurements import measurement_view
+from sensorspark.streaming import versions as V
+from sensorspark.streaming.rolling import rolling_stream
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -53,9 +57,9 @@ def stream_measurements(spark: SparkSession, sf_dir: str, parameters=None, max_f
 
 
 def dedup_stream(m: DataFrame, delay: str = "2 hours", key=None, order: str = "arrival") -> DataFrame:
-    """Of the readings with one key the one with the smallest ``order``,
-    emitted once the watermark passes its time (so a smaller one that comes
-    within ``delay`` still wins); later copies fall behind the watermark."""
+    """Of the readings with one key the one with the smallest ``order``.  In
+    update mode a key is emitted at once and again whenever a smaller one comes
+    within ``delay``; later copies fall behind the watermark."""
     key = list(key or DEDUP_KEY)
     rest = [c for c in m.columns if c not in key]
     g = m.withWatermark("datetime", delay).groupBy(*key).agg(
@@ -71,61 +75,63 @@ def late_filter(m: DataFrame, as_of: str, days: int) -> DataFrame:
     return m.filter(F.col("datetime") >= cutoff)
 
 
-def reading_means_stream(m: DataFrame, parameters, delay: str = "0 seconds") -> DataFrame:
-    """T4 stage 1: mean per (reading time, parameter); emitted once the
-    watermark passes the reading time."""
-    v = m.filter(F.col("value").isNotNull() & F.col("parameter").isin(list(parameters))).withWatermark("datetime", delay)
-    return v.groupBy("datetime", "parameter").agg(F.avg("value").alias("v"))
+def run_dedup(spark: SparkSession, m: DataFrame, run_dir: str, delay: str = "2 hours") -> DataFrame:
+    """T3 end to end: the deduplicated readings, the newest included."""
+    d = dedup_stream(m, delay)
+    V.run_versions(d, f"{run_dir}/dedup", f"{run_dir}/ckpt_dedup", "datetime")
+    return V.read_latest(spark, f"{run_dir}/dedup", d.schema, DEDUP_KEY)
 
 
-def hourly_from_means_stream(a1: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """T4 stage 2: hourly tumbling mean of the stage-1 means."""
-    a2 = a1.withWatermark("datetime", delay) \
-           .groupBy(F.window("datetime", "1 hour").alias("w"), "parameter") \
-           .agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("readings"))
-    return a2.select(F.col("w.start").alias("hour"), "parameter", "value", "readings")
+def hourly_schema(series_cols=()) -> T.StructType:
+    return T.StructType([*[T.StructField(c, T.StringType()) for c in series_cols], T.StructField("hour", T.TimestampType()), T.StructField("parameter", T.StringType()),
+                         T.StructField("value", T.DoubleType()), T.StructField("readings", T.LongType())])
 
 
-def _chain(spark: SparkSession, df: DataFrame, run_dir: str, name: str) -> DataFrame:
-    """Run one stage into a parquet table and read that table as a stream: each
-    stage closes its windows on its own watermark and restarts from its own
-    checkpoint.  Its rows come in watermark order, so the next stage needs no
-    delay of its own."""
-    run_to_parquet(df, f"{run_dir}/{name}", f"{run_dir}/ckpt_{name}")
-    return spark.readStream.schema(df.schema).parquet(f"{run_dir}/{name}")
+def restate_hours(source: str, schema: T.StructType, table: str, parameters, series_cols=()):
+    """T4: ``foreachBatch`` function over the changes of the deduplicated
+    readings.  Every (series, hour, parameter) that a change touches is stated
+    anew from the present readings of its days: mean per reading time, then
+    mean of these.  An hour that lost its last value is stated as NULL with no readings."""
+    key = [*series_cols, "hour", "parameter"]
 
-
-def run_dedup(spark: SparkSession, m: DataFrame, run_dir: str, delay: str = "2 hours") -> str:
-    """T3 end to end: the table of deduplicated readings."""
-    return run_to_parquet(dedup_stream(m, delay), f"{run_dir}/dedup", f"{run_dir}/ckpt_dedup")
-
-
-def run_hourly(spark: SparkSession, m: DataFrame, run_dir: str, parameters, delay: str = "2 hours") -> str:
-    """T4 end to end: keep-first dedup, mean per reading time, hourly mean of
-    means, as three chained streams."""
-    d = _chain(spark, dedup_stream(m, delay), run_dir, "dedup")
-    a1 = _chain(spark, reading_means_stream(d, parameters), run_dir, "means")
-    return run_to_parquet(hourly_from_means_stream(a1), f"{run_dir}/hourly", f"{run_dir}/ckpt_hourly")
-
-
-def sliding_stream(hourly: DataFrame, length_hours: int = 24, delay: str = "0 seconds") -> DataFrame:
-    """T5: windows of ``length_hours`` sliding by an hour over the hourly means:
-    mean and sample std (0 for one value), the row frames of the batch
-    features wherever no hour is missing (n = length)."""
-    g = hourly.withWatermark("hour", delay).groupBy(F.window("hour", f"{length_hours} hours", "1 hour").alias("w"), "parameter").agg(
-        F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
-        F.count(F.lit(1)).alias("n"))
-    return g.select(F.lit(int(length_hours)).alias("length"), F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "parameter", "mean", "std", "n")
+    def fn(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        hour = F.date_trunc("hour", F.col("datetime"))
+        touched = batch.filter(F.col("parameter").isin(list(parameters))).select(*series_cols, hour.alias("hour"), "parameter").distinct()
+        days = [F.lit(r[0]) for r in batch.select(V.DATE).distinct().collect()]          # one date a day of data in the batch
+        now = V.latest(V.read_versions(spark, source, schema).filter(F.col(V.DATE).isin(days) if days else F.lit(False)), DEDUP_KEY)
+        now = now.withColumn("hour", hour).join(touched, key, "left_semi")
+        means = reading_means(now, parameters, series_cols)
+        hours = means.groupBy(*series_cols, hour.alias("hour"), "parameter").agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("readings"))
+        out = touched.join(hours, key, "left").withColumn("readings", F.coalesce("readings", F.lit(0)))
+        V.write_epoch(out.select(*hourly_schema(series_cols).fieldNames()), table, epoch, "hour")
+    return fn
 
 
-def run_sliding(spark: SparkSession, m: DataFrame, run_dir: str, parameters, lengths=ROLLING_WINDOWS, delay: str = "2 hours") -> list[str]:
-    """T5 end to end over the T4 stream: one table per window length."""
-    run_hourly(spark, m, run_dir, parameters, delay)
-    schema = T.StructType([T.StructField("hour", T.TimestampType()), T.StructField("parameter", T.StringType()),
-                           T.StructField("value", T.DoubleType()), T.StructField("readings", T.LongType())])
-    return [run_to_parquet(sliding_stream(spark.readStream.schema(schema).parquet(f"{run_dir}/hourly"), n), f"{run_dir}/sliding_{n}", f"{run_dir}/ckpt_sliding_{n}")
-            for n in lengths]
+def run_hourly(spark: SparkSession, m: DataFrame, run_dir: str, parameters, delay: str = "2 hours", series_cols=()) -> DataFrame:
+    """T4 end to end: keep-first dedup, then the hourly mean of means of every
+    hour, provisional ones included; a later run states changed hours again."""
+    d = dedup_stream(m, delay)
+    V.run_versions(d, f"{run_dir}/dedup", f"{run_dir}/ckpt_dedup", "datetime")
+    q = V.stream_versions(spark, f"{run_dir}/dedup", d.schema).writeStream.trigger(availableNow=True) \
+         .option("checkpointLocation", f"{run_dir}/ckpt_hourly") \
+         .foreachBatch(restate_hours(f"{run_dir}/dedup", d.schema, f"{run_dir}/hourly", parameters, series_cols)).start()
+    q.awaitTermination()
+    key = [*series_cols, "hour", "parameter"]
+    return V.read_latest(spark, f"{run_dir}/hourly", hourly_schema(series_cols), key).filter("readings > 0")
+
+
+def run_sliding(spark: SparkSession, m: DataFrame, run_dir: str, parameters, lengths=ROLLING_WINDOWS, delay: str = "2 hours", delay_hours: int = 3,
+                series_cols=()) -> DataFrame:
+    """T5 end to end over the T4 stream: the rolling mean and std of the gap-filled
+    hours, one row a series, parameter, hour and length."""
+    run_hourly(spark, m, run_dir, parameters, delay, series_cols)
+    changes = V.stream_versions(spark, f"{run_dir}/hourly", hourly_schema(series_cols))
+    out = rolling_stream(changes, lengths, delay_hours, series_cols)
+    V.run_versions(out, f"{run_dir}/sliding", f"{run_dir}/ckpt_sliding", "hour")
+    rows = V.read_latest(spark, f"{run_dir}/sliding", out.schema, [*series_cols, "hour", "parameter", "length"]).filter("n > 0")
+    end = F.col("hour") + F.expr("INTERVAL 1 HOUR")
+    return rows.select(*series_cols, "length", (end - F.make_interval(hours=F.col("length"))).alias("window_start"), end.alias("window_end"), "parameter", "mean", "std", "n")
 
 
 def run_to_parquet(df: DataFrame, out: str, ckpt: str, mode: str = "append", partition_by=()) -> str:

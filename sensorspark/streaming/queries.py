@@ -1,12 +1,9 @@
 """Registered streaming queries.  Each runs its stream over all files of the
-table into a parquet sink under the shared folder and returns the sink.  The
-windowed ones emit what lies below the watermark; their oracle SQL states that
-bound."""
+table into a table under the shared folder and returns its present rows, the
+newest readings and hours included."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,29 +28,35 @@ def q_stream_ingest(spark, sf):
 def q_stream_dedup(spark, sf):
     ensure_utc(spark)
     m = ST.stream_measurements(spark, sf, PARAMETERS)
-    return spark.read.parquet(ST.run_dedup(spark, m, ST.new_run_dir(spark, "dedup"))).select(
-        "datetime", "parameter", "location", "value", "arrival")
+    return ST.run_dedup(spark, m, ST.new_run_dir(spark, "dedup")).select("datetime", "parameter", "location", "value", "arrival")
 
 
 def q_stream_hourly(spark, sf):
+    """Every hour, the newest ones as far as their readings came."""
     ensure_utc(spark)
     m = ST.stream_measurements(spark, sf, PARAMETERS)
-    return spark.read.parquet(ST.run_hourly(spark, m, ST.new_run_dir(spark, "hourly"), PARAMETERS))
+    return ST.run_hourly(spark, m, ST.new_run_dir(spark, "hourly"), PARAMETERS)
 
 
 def q_stream_sliding(spark, sf):
-    """24, 48 and 72 h windows in which no hour is missing."""
+    """24, 48 and 72 h mean and std of the gap-filled hours."""
+    ensure_utc(spark)
+    m = ST.stream_measurements(spark, sf, PARAMETERS)
+    return ST.run_sliding(spark, m, ST.new_run_dir(spark, "sliding"), PARAMETERS)
+
+
+def q_stream_sliding_panel(spark, sf):
+    """The same by location."""
     ensure_utc(spark)
     m = ST.stream_measurements(spark, sf, PARAMETERS)
-    tables = ST.run_sliding(spark, m, ST.new_run_dir(spark, "sliding"), PARAMETERS)
-    return reduce(DataFrame.unionByName, [spark.read.parquet(t) for t in tables]).filter("n = length")
+    return ST.run_sliding(spark, m, ST.new_run_dir(spark, "sliding"), PARAMETERS, series_cols=("location",))
 
 
 def q_stream_late(spark, sf):
     """Retention, then keep-first dedup, whose watermark bounds lateness."""
     ensure_utc(spark)
     m = ST.late_filter(ST.stream_measurements(spark, sf, PARAMETERS), AS_OF, RETENTION_DAYS)
-    return spark.read.parquet(ST.run_dedup(spark, m, ST.new_run_dir(spark, "late"))).select("datetime", "parameter", "location", "arrival")
+    return ST.run_dedup(spark, m, ST.new_run_dir(spark, "late")).select("datetime", "parameter", "location", "arrival")
 
 
 def q_stream_upsert(spark, sf):
@@ -68,6 +71,7 @@ QUERIES = {
     "stream_dedup": q_stream_dedup,
     "stream_hourly": q_stream_hourly,
     "stream_sliding": q_stream_sliding,
+    "stream_sliding_panel": q_stream_sliding_panel,
     "stream_late": q_stream_late,
     "stream_upsert": q_stream_upsert,
 }

@@ -1,9 +1,9 @@
 """Distribution drift with the population stability index.
 
-Both periods are turned into a long (feature, x) table once; bin edges come
-from one grouped percentile aggregate, the edges (one 9-element array per
-feature: a size fixed by the caller's column list) are broadcast, the bin id
-is a higher-order function, and histograms are grouped counts.  No Python
+Bin edges come from wide quantile passes (``quantiles``); for the counts both
+periods are turned into a long (feature, x) table once, the edges (one 9-element
+array per feature: a size fixed by the caller's column list) are broadcast, the
+bin id is a higher-order function, and histograms are grouped counts.  No Python
 runs per row.
 """
 
@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sensorspark.constants import PSI_BANDS, PSI_BINS, PSI_FLOOR, PSI_MIN_FEATURES, PSI_RETRAIN, PSI_SAMPLE_ROWS
 from sensorspark.operators.clean import numeric_columns
+from sensorspark.operators.quantiles import exact_quantiles, value_of
 from sensorspark.session import path_exists
 
 
@@ -40,57 +40,20 @@ def quantile_points(bins: int = PSI_BINS) -> list[float]:
     return [i / bins for i in range(1, bins)]
 
 
-def exact_percentiles(long: DataFrame, points, accuracy: int = 10_000, small: int = 1_000_000) -> DataFrame:
-    """(feature, n, q): percentiles with linear interpolation, exact, for a
-    table (feature, x) of any number of distinct values.
-
-    An approximate percentile (bounded memory) brackets each wanted order
-    statistic, up to one rank; one pass counts what lies below each bracket
-    and finds the next value on either side; only the values inside a bracket,
-    a share of about 4 / ``accuracy``, are counted one by one and put in order.
-    Where no feature has over ``small`` values, Spark's own exact percentile,
-    which holds a feature's distinct values in one task, gives the same.
-    """
-    points = list(points)
-    largest = long.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
-    if largest <= small:
-        return long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.percentile("x", F.array(*[F.lit(p) for p in points])).alias("q"))
-    d = 2.0 / accuracy
-    wide = [min(1.0, max(0.0, q + s * d)) for q in points for s in (-1, 1)]
-    br = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", F.array(*[F.lit(w) for w in wide]), F.lit(accuracy)).alias("_b"))
-    k = len(points)
-    b = br.select("feature", "n", F.array(*[F.struct(F.lit(i).alias("i"), F.col("_b")[2 * i].alias("lo"), F.col("_b")[2 * i + 1].alias("hi")) for i in range(k)]).alias("_b"))
-    j = long.join(F.broadcast(b), "feature")                     # one row per feature
-    about = j.groupBy("feature").agg(*[F.count(F.when(F.col("x") < F.col("_b")[i]["lo"], 1)).alias(f"_c{i}") for i in range(k)],
-                                     *[F.min(F.when(F.col("x") > F.col("_b")[i]["hi"], F.col("x"))).alias(f"_u{i}") for i in range(k)],
-                                     *[F.max(F.when(F.col("x") < F.col("_b")[i]["lo"], F.col("x"))).alias(f"_d{i}") for i in range(k)])
-    about = about.select("feature", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_c{i}").alias("below"), F.col(f"_u{i}").alias("above"), F.col(f"_d{i}").alias("under"))
-                                                        for i in range(k)])).alias("a")).select("feature", "a.*")
-    hit = F.explode(F.filter("_b", lambda v: (v["lo"] <= F.col("x")) & (F.col("x") <= v["hi"])))
-    inside = j.select("feature", "x", hit.alias("v")).groupBy("feature", F.col("v.i").alias("i"), "x").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy("feature", "i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    rank = inside.withColumn("upto", F.sum("c").over(upto)).join(about, ["feature", "i"]).join(F.broadcast(br.select("feature", "n")), "feature")
-    q = F.element_at(F.array(*[F.lit(float(p)) for p in points]), F.col("i") + 1)
-    r = q * (F.col("n") - 1)
-    lo_at, hi_at = F.floor(r), F.ceil(r)                         # ranks from 0
-    have = F.col("below") + F.col("upto")
-    at = lambda k: F.when(F.col("below") > k, F.col("under")).when(have > k, F.col("x"))
-    g = rank.withColumns({"_lo": at(lo_at), "_hi": at(hi_at), "_f": r - lo_at}).groupBy("feature", "i").agg(
-        F.min("_lo").alias("lo"), F.coalesce(F.min("_hi"), F.first("above")).alias("hi"), F.first("_f").alias("f"), F.first("n").alias("n"))
-    v = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")
-    return g.withColumn("v", F.when(F.col("f") == 0, F.col("lo")).otherwise(v)).groupBy("feature").agg(
-        F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
-
-
-def psi_edges(ref_long: DataFrame, bins: int = PSI_BINS, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """Interior bin edges per feature: percentiles with linear
-    interpolation (the outer edges are -inf/+inf), exact through
-    ``exact_percentiles`` or, with ``exact=False``, in one approximate pass."""
+def psi_edges(reference: DataFrame, columns, bins: int = PSI_BINS, exact: bool = True, **options) -> DataFrame:
+    """(feature, edges, ref_n) of every column with a value: percentiles
+    with linear interpolation (the outer edges are -inf/+inf), exact through
+    ``quantiles.exact_quantiles`` (which takes ``options``) or, with
+    ``exact=False``, in one approximate pass.  One row per column."""
     points = quantile_points(bins)
     if exact:
-        return exact_percentiles(ref_long, points, accuracy).select("feature", F.col("q").alias("edges"), F.col("n").alias("ref_n"))
-    qs = F.array(*[F.lit(q) for q in points])
-    return ref_long.groupBy("feature").agg(F.percentile_approx("x", qs, F.lit(accuracy)).alias("edges"), F.count(F.lit(1)).alias("ref_n"))
+        found = exact_quantiles(reference, columns, points, **options)
+    else:
+        row = reference.agg(*[F.struct(F.count(value_of(c)), F.percentile_approx(value_of(c), F.array(*[F.lit(q) for q in points]), F.lit(10_000))).alias(f"s{i}")
+                              for i, c in enumerate(columns)]).first()
+        found = {c: tuple(row[f"s{i}"]) for i, c in enumerate(columns)}
+    rows = [(c, q, n) for c, (n, q) in found.items() if n]
+    return reference.sparkSession.createDataFrame(rows, "feature string, edges array<double>, ref_n long")
 
 
 def bin_id(x: Column, edges: Column) -> Column:
@@ -100,7 +63,7 @@ def bin_id(x: Column, edges: Column) -> Column:
     return F.aggregate(edges, F.lit(0), lambda acc, e: acc + (x >= e).cast("int"))
 
 
-def period_counts(df: DataFrame, is_ref: Column, is_cur: Column, columns, bins: int = PSI_BINS, exact: bool = True) -> DataFrame:
+def period_counts(df: DataFrame, is_ref: Column, is_cur: Column, columns, bins: int = PSI_BINS, exact: bool = True, **options) -> DataFrame:
     """(feature, edges, ref_n, cur_n, ref, cur): the counts of both periods of
     ONE table per bin, as arrays.  ``is_ref``/``is_cur`` tag the rows.
 
@@ -109,7 +72,7 @@ def period_counts(df: DataFrame, is_ref: Column, is_cur: Column, columns, bins:
     """
     cols = list(columns)
     tagged = df.select(is_ref.alias("_ref"), is_cur.alias("_cur"), *cols).filter("_ref OR _cur")
-    edges = psi_edges(to_long(tagged.filter("_ref"), cols), bins, exact)
+    edges = psi_edges(tagged.filter("_ref"), cols, bins, exact, **options)
     e = F.broadcast(edges.select("feature", "edges"))            # one row per feature
     b = to_long(tagged, cols, ["_ref", "_cur"]).join(e, "feature").withColumn("_bin", bin_id(F.col("x"), F.col("edges")))
     count = lambda side, i: F.count(F.when(F.col(side) & (F.col("_bin") == i), 1))
@@ -209,17 +172,16 @@ def head_sample(df: DataFrame, order_cols, n: int = PSI_SAMPLE_ROWS) -> DataFram
     return df.orderBy(*order_cols).limit(int(n))
 
 
-def describe_numeric(df: DataFrame, columns=None, exact: bool = True) -> DataFrame:
+def describe_numeric(df: DataFrame, columns=None, exact: bool = True, **options) -> DataFrame:
     """A3: count, mean, std (ddof 1), min, 25/50/75 % and max per numeric
-    column, one row per column (long form of ``describe``)."""
+    column, one row per column (long form of ``describe``); a column without
+    values has no row.  Wide aggregates: one pass beside the quantiles'."""
     cols = columns or numeric_columns(df)
-    long = to_long(df, cols)
     points = (0.25, 0.5, 0.75)
-    g = long.groupBy("feature").agg(
-        F.count(F.lit(1)).cast("bigint").alias("count"), F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-        *([] if exact else [F.percentile_approx("x", F.array(*[F.lit(p) for p in points]), F.lit(10_000)).alias("q")]))
-    if exact:
-        g = g.join(exact_percentiles(long, points).select("feature", "q"), "feature")
-    return g.select("feature", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
-                    F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    x = {c: value_of(c) for c in cols}
+    aggs = [F.struct(F.count(x[c]), F.avg(x[c]), F.stddev_samp(x[c]), F.min(x[c]), F.max(x[c]),
+                     *([] if exact else [F.percentile_approx(x[c], F.array(*[F.lit(p) for p in points]), F.lit(10_000))])).alias(f"s{i}") for i, c in enumerate(cols)]
+    row = df.agg(*aggs).first()
+    found = exact_quantiles(df, cols, points, **options) if exact else {c: (row[f"s{i}"][0], row[f"s{i}"][5]) for i, c in enumerate(cols)}
+    rows = [(c, *row[f"s{i}"][:4], *found[c][1], row[f"s{i}"][4]) for i, c in enumerate(cols) if row[f"s{i}"][0]]
+    return df.sparkSession.createDataFrame(rows, "feature string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")

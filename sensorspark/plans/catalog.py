@@ -428,15 +428,28 @@ def q_profile_compare(spark, sf):
 
 
 def q_describe_numeric(spark, sf):
-    return D.describe_numeric(cleaned(spark, sf), ["value", "latitude", "longitude"])
+    cols = ["value", "latitude", "longitude"]
+    return D.describe_numeric(materialize(cleaned(spark, sf).select(*cols)), cols)
 
 
 def q_psi_edges(spark, sf):
     li = S.read_table(spark, sf, "lineitem").filter(F.col("l_shipdate").cast("timestamp") < F.lit(SPLIT_TS).cast("timestamp"))
-    e = D.psi_edges(D.to_long(li, LINEITEM_COLS))
+    e = D.psi_edges(li, LINEITEM_COLS)
     return e.select("feature", F.posexplode("edges").alias("edge_idx", "edge"))
 
 
+def q_psi_edges_bracketed(spark, sf):
+    """The same by sketches and brackets, as a table of any size takes it."""
+    li = S.read_table(spark, sf, "lineitem").filter(F.col("l_shipdate").cast("timestamp") < F.lit(SPLIT_TS).cast("timestamp"))
+    e = D.psi_edges(li, LINEITEM_COLS, accuracy=200, small=0, most=500)
+    return e.select("feature", F.posexplode("edges").alias("edge_idx", "edge"))
+
+
+def q_describe_bracketed(spark, sf):
+    """The profile of lineitem's columns by sketches and brackets."""
+    return D.describe_numeric(S.read_table(spark, sf, "lineitem"), LINEITEM_COLS, accuracy=200, small=0, most=500)
+
+
 def q_psi_histogram(spark, sf):
     return D.psi_histogram(lineitem_counts(spark, sf))
 
@@ -781,6 +794,8 @@ QUERIES.update({
     "align_predictions": q_align_predictions,
     "nested_payloads": q_nested_payloads,
     "drift_baseline": q_drift_baseline,
+    "psi_edges_bracketed": q_psi_edges_bracketed,
+    "describe_bracketed": q_describe_bracketed,
     "ar_fit": q_ar_fit,
     "recursive_forecast_general": q_recursive_forecast_general,
     "feature_table_panel": q_feature_table_panel,

@@ -570,6 +570,11 @@ dy AS (SELECT *, CAST(floor((epoch(fetch_end) - epoch(fetch_start)) / 86400) AS
     q["psi_edges"] = fin(W(LI_PERIODS, li_psi[0], """edges AS (SELECT feature, quantile_cont(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS e FROM rlong GROUP BY feature)""",
                            "final_ AS (SELECT feature, unnest(range(0, 9)) AS edge_idx, unnest(e) AS edge FROM edges)"),
                          "feature:s edge_idx:i edge:d")
+    q["psi_edges_bracketed"] = q["psi_edges"]
+    q["describe_bracketed"] = fin(W("dl AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM lineitem WHERE {c} IS NOT NULL" for c in LI) + ")",
+                                    """final_ AS (SELECT feature, count(*) AS count, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min,
+        quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, max(x) AS max FROM dl GROUP BY feature)"""),
+                                  "feature:s count:i mean:d std:d min:d p25:d p50:d p75:d max:d")
     q["psi_histogram"] = fin(W(LI_PERIODS, *li_psi, "final_ AS (SELECT * FROM hist)"),
                              "feature:s bin:i ref_count:i ref:d cur_count:i cur:d")
     q["psi_lineitem"] = fin(W(LI_PERIODS, *li_psi, "final_ AS (SELECT * FROM psi)"), "feature:s psi:d")

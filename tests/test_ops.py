@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sensorspark.functions.metrics import align_predictions, compare_models, regression_metrics
 from sensorspark.operators import clean as C
 from sensorspark.operators import drift as D
+from sensorspark.operators import quantiles as Q
 from sensorspark.operators import ingest as I
 from sensorspark.plans import forecast as FC
 from sensorspark.plans import runs as RU
@@ -98,16 +99,64 @@ def test_too_few_features_are_not_judged(spark):
     assert tuple(D.psi_summary(psi, min_features=4).first()) == (pytest.approx(0.9), 4, True, "significant", "retrain")
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 216, 3000])
-def test_bracketed_percentiles_are_exact(spark, n):
+POINTS = [0.0, 0.1, 0.25, 0.5, 0.77, 0.9, 1.0]
+
+
+def quantile_frame(spark, n):
     rng = np.random.default_rng(n)
-    rows = [("cont", float(x)) for x in rng.normal(0, 1, n)] + [("ties", float(x)) for x in rng.integers(0, 5, n)] + [("const", 2.5)] * n
-    long = spark.createDataFrame(rows, "feature string, x double").repartition(3)
-    points = [0.0, 0.1, 0.25, 0.5, 0.77, 0.9, 1.0]
-    by = {k: [x for f, x in rows if f == k] for k in ("cont", "ties", "const")}
+    cols = {"cont": rng.normal(0, 1, n).tolist(), "ties": rng.integers(0, 5, n).astype(float).tolist(), "const": [2.5] * n,
+            "heavy": [7.0 if rng.random() < 0.9 else float(rng.normal(7, 3)) for _ in range(n)],
+            "holes": [None if i % 3 == 0 else float("nan") if i % 3 == 1 and n > 2 else float(rng.normal()) for i in range(n)]}
+    return spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols)).repartition(3), cols
+
+
+@pytest.mark.parametrize("n,most", [(1, 10), (2, 1), (7, 2), (216, 20), (3000, 40), (3000, 1_000_000)])
+def test_bracketed_quantiles_are_exact(spark, n, most):
+    df, cols = quantile_frame(spark, n)
+    want = {c: [x for x in v if x is not None and x == x] for c, v in cols.items()}
     for small in (0, 1_000_000):
-        for r in D.exact_percentiles(long, points, accuracy=100, small=small).collect():
-            assert r["n"] == n and r["q"] == pytest.approx([np.percentile(by[r["feature"]], 100 * p) for p in points], abs=1e-12)
+        got = Q.exact_quantiles(df, list(cols), POINTS, accuracy=100, small=small, most=most)
+        for c, v in want.items():
+            assert got[c][0] == len(v)
+            assert got[c][1] == (pytest.approx([np.percentile(v, 100 * p) for p in POINTS], abs=1e-12) if v else None)
+
+
+def test_narrowing_bounds_what_is_put_in_order(spark):
+    """Three scans of a table whose brackets are small; no bracket of unlike
+    values over the limit goes to one task."""
+    df, cols = quantile_frame(spark, 3000)
+    scans, ordered = [], []
+    with pytest.MonkeyPatch.context() as m:
+        for f in ("_sketch", "_count", "_order"):
+            real = getattr(Q, f)
+
+            def spy(d, b, *a, real=real, f=f):
+                scans.append(f)
+                if f == "_order":
+                    ordered.extend(b)
+                return real(d, b, *a)
+            m.setattr(Q, f, spy)
+        Q.exact_quantiles(df, list(cols), POINTS, small=0)
+        assert scans == ["_sketch", "_count", "_order"]
+        ordered.clear()
+        Q.exact_quantiles(df, ["cont", "holes"], POINTS, accuracy=100, small=0, most=30)
+        assert ordered and all(b.inside <= 30 for b in ordered)
+        ordered.clear()
+        Q.exact_quantiles(df, ["heavy"], [0.3, 0.5, 0.6], accuracy=100, small=0, most=30)
+        assert all(b.lo == b.hi == 7.0 for b in ordered)
+
+
+def test_a_wrong_sketch_is_found_out(spark, monkeypatch):
+    df, cols = quantile_frame(spark, 216)
+    monkeypatch.setattr(Q, "_sketch", lambda d, c, p, a: ([216], [[5.0, 6.0] * len(p)]))
+    assert Q.exact_quantiles(df, ["cont"], POINTS, accuracy=100, small=0, most=10)["cont"][1] == pytest.approx(
+        [np.percentile(cols["cont"], 100 * p) for p in POINTS], abs=1e-12)
+
+
+def test_quantiles_of_an_empty_table(spark):
+    df, _ = quantile_frame(spark, 7)
+    assert Q.exact_quantiles(df.filter("false"), ["cont"], POINTS, small=0) == {"cont": (0, None)}
+    assert D.describe_numeric(df.filter("false"), ["cont"]).count() == 0 and D.psi_edges(df.filter("false"), ["cont"]).count() == 0
 
 
 def test_saved_baseline(spark, tmp_path):

@@ -7,6 +7,8 @@ per-group aggregate joined back, not a window over row-level data.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +68,30 @@ def improvement(base: Column, cand: Column) -> Column:
 def align_predictions(truth: DataFrame, baseline: DataFrame, candidate: DataFrame, key, y: str = "y", pred: str = "pred",
                       how: str = "inner") -> DataFrame:
     """Two models' prediction tables and the truth, aligned by key (never
-    by position).  Keys must be unique in each table; ``how='inner'`` keeps
-    what all three hold, ``'left'`` every row of the truth."""
+    by position).  ``how='inner'`` keeps what all three hold, ``'left'`` every
+    row of the truth; a NULL key meets no other.
+
+    One aggregate over the three tables; a key that any of them holds twice
+    raises an error instead of multiplying rows.
+    """
     key = list(key)
-    b = baseline.select(*key, F.col(pred).alias("pred_baseline"))
-    c = candidate.select(*key, F.col(pred).alias("pred_candidate"))
-    return truth.select(*key, F.col(y).alias("y")).join(b, key, how).join(c, key, how)
+    none = F.lit(None).cast("double")
+    whole = [F.col(k).isNotNull() for k in key]
+    lacking = ~reduce(lambda a, b: a & b, whole)
+    sides = [truth.select(*key, F.col(y).cast("double").alias("y"), none.alias("b"), none.alias("c"), F.lit(0).alias("_t")),
+             baseline.select(*key, none.alias("y"), F.col(pred).cast("double").alias("b"), none.alias("c"), F.lit(1).alias("_t")),
+             candidate.select(*key, none.alias("y"), none.alias("b"), F.col(pred).cast("double").alias("c"), F.lit(2).alias("_t"))]
+    n = [F.count(F.when(F.col("_t") == i, 1)).alias(f"_n{i}") for i in range(3)]
+    g = reduce(DataFrame.unionByName, sides).filter(~lacking).groupBy(*key).agg(F.max("y").alias("y"), F.max("b").alias("b"), F.max("c").alias("c"), *n)
+    name = F.concat_ws(", ", *[F.col(k).cast("string") for k in key])
+    repeated = F.raise_error(F.concat(F.lit("a prediction key is repeated: "), name))
+    once = lambda c: F.when(F.greatest("_n0", "_n1", "_n2") > 1, repeated.cast("double")).otherwise(c)
+    # one condition, or Spark might drop the row before it looks at its count
+    g = g.filter(once(F.expr("CAST(_n0 = 1 AND _n1 = 1 AND _n2 = 1 AS DOUBLE)" if how == "inner" else "CAST(_n0 = 1 AS DOUBLE)")) == 1)
+    out = g.select(*key, once(F.col("y")).alias("y"), once(F.col("b")).alias("pred_baseline"), once(F.col("c")).alias("pred_candidate"))
+    if how == "inner":
+        return out
+    return out.unionByName(sides[0].filter(lacking).select(*key, "y", none.alias("pred_baseline"), none.alias("pred_candidate")))
 
 
 def compare_models(preds: DataFrame, y: str = "y", baseline: str = "pred_baseline",

@@ -23,24 +23,48 @@ _FIXED = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.Fl
           T.TimestampNTZType, T.DateType)
 
 
-def dedup_first(df: DataFrame, key=None, order=("shard", "arrival")) -> DataFrame:
-    """Keep the first row of every ``key`` in ``order`` (shard name, then
+def _rank(df: DataFrame, order) -> Column | None:
+    """One fixed-width value that sorts like ``order`` (at most two fixed-width
+    columns; two are packed into 128 bits), or None."""
+    types = [df.schema[c].dataType for c in order]
+    if len(order) == 1 and isinstance(types[0], _FIXED):
+        return F.col(order[0])
+    whole = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    if len(order) == 2 and all(isinstance(t, whole) for t in types):
+        wide = lambda c: F.coalesce(F.col(c).cast("decimal(38,0)"), F.lit(str(-(1 << 63))).cast("decimal(38,0)"))
+        return (wide(order[0]) * F.lit(str(1 << 64)).cast("decimal(20,0)") + wide(order[1])).cast("decimal(38,0)")
+    return None
+
+
+def dedup_first(df: DataFrame, key=None, order=("shard", "arrival"), dictionary=()) -> DataFrame:
+    """Keep the first row of every ``key`` in ``order`` (shard, then
     arrival).
 
     An aggregate, not a ``row_number`` window: it is combined map-side, so a
     key with millions of copies sends one partial row per map task.  Missing
-    order columns are skipped.  With a single order column, which must then
-    be unique among a key's rows, each fixed-width column is its own
-    ``min_by`` and the plan is a hash aggregate without sorts; several order
-    columns, or string columns, need ``min_by`` over structs (a sort
-    aggregate), with the remaining columns breaking ties.
+    order columns are skipped.  Where the order packs into one fixed-width rank
+    (``_rank``), which must be unique among a key's rows, each fixed-width column is its own
+    ``min_by`` and the plan is a hash aggregate without sorts.  String columns
+    of few values, named in ``dictionary``, travel as 64-bit codes and are joined
+    back to the survivors.  Otherwise ``min_by`` over structs (a sort
+    aggregate) is taken, with the remaining columns breaking ties.
     """
     key = list(key or DEDUP_KEY)
     rest = [c for c in df.columns if c not in key]
     order_cols = [c for c in order if c in df.columns]
-    if len(order_cols) == 1 and all(isinstance(df.schema[c].dataType, _FIXED) for c in rest):
-        o = order_cols[0]
-        return df.groupBy(*key).agg(*[F.min(o).alias(o) if c == o else F.min_by(c, o).alias(c) for c in rest])
+    coded = [c for c in rest if c in dictionary and isinstance(df.schema[c].dataType, T.StringType)]
+    rank = _rank(df, order_cols)
+    if rank is not None and all(c in coded or isinstance(df.schema[c].dataType, _FIXED) for c in rest):
+        d = df.withColumn("_rank", rank) if len(order_cols) > 1 else df
+        o = "_rank" if len(order_cols) > 1 else order_cols[0]
+        code = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c)))
+        out = d.groupBy(*key).agg(*[F.min_by(code(c), o).alias(f"_code_{c}") if c in coded else F.min(c).alias(c) if c == o else F.min_by(c, o).alias(c) for c in rest])
+        if coded:
+            words = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), code(c).alias("code"), F.col(c).alias("word")) for c in coded])).alias("w")
+            words = df.select(words).select("w.*").filter("code IS NOT NULL").distinct()
+            for c in coded:
+                out = out.join(words.filter(F.col("column") == c).select(F.col("code").alias(f"_code_{c}"), F.col("word").alias(c)), f"_code_{c}", "left")
+        return out.select(*key, *rest)
     tie = [c for c in rest if c not in order_cols]
     ord_struct = F.struct(*[F.col(c) for c in order_cols + tie])
     row = F.struct(*[F.col(c) for c in rest]) if rest else F.lit(None)

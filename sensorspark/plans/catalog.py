@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorspark.constants import PARAMETERS, TARGET
+from sensorspark.constants import PARAMETERS, TARGET, TARGET_LAGS
 from sensorspark.functions import metrics as MT
 from sensorspark.operators import clean as C
 from sensorspark.operators import drift as D
@@ -29,11 +29,16 @@ from sensorspark.operators import resample as R
 from sensorspark.operators import windows as W
 from sensorspark.operators.features import (CYCLIC, feature_columns, feature_table, input_columns,
                                             sequence_windows)
+from sensorspark.plans import boosting as BO
 from sensorspark.plans import forecast as FC
+from sensorspark.plans import ingest_run as IR
+from sensorspark.plans import least_squares as LS
+from sensorspark.plans import recursion as RC
 from sensorspark.operators.blocks import join_series_stats
 from sensorspark.plans import runs as RU
 from sensorspark.session import checkpoint_dir, ensure_utc, materialize
 from sensorspark.sources import measurements as S
+from sensorspark.sources import run_store as RS
 from sensorspark.sources.sinks import drift_report_frame, write_shards
 
 AS_OF = "2024-01-31 00:00:00"
@@ -123,13 +128,18 @@ def retained_since():
     return str(datetime.fromisoformat(AS_OF) - timedelta(days=RETENTION_DAYS))
 
 
+def first_of_shards(s):
+    """Keep-first by shard, then arrival, without sorting the readings."""
+    s = s.withColumn("_no", S.shard_number(F.col("shard")))
+    return I.dedup_first(s, order=("_no", "arrival"), dictionary=("unit", "shard")).drop("_no")
+
+
 def merged(spark, sf):
     """rolling merge: shards -> standardize -> retention -> keep-first dedup.
     The retention bound holds for all copies of a reading, so it is put on
     the scan."""
     s = C.standardize(shards(spark, sf, since=retained_since()))
-    s = C.retention_filter(s, AS_OF, RETENTION_DAYS)
-    return I.dedup_first(s, order=("shard", "arrival"))
+    return first_of_shards(C.retention_filter(s, AS_OF, RETENTION_DAYS))
 
 
 def naive_preds(spark, sf, feats=None, series=()):
@@ -363,7 +373,7 @@ def q_forecast_grid(spark, sf):
 
 
 def q_dedup_first(spark, sf):
-    return I.dedup_first(shards(spark, sf), order=("shard", "arrival")) \
+    return first_of_shards(shards(spark, sf)) \
             .select("datetime", "parameter", "location", "value", "shard", "arrival")
 
 
@@ -381,7 +391,7 @@ def q_merge_shards(spark, sf):
 def q_shard_roundtrip(spark, sf):
     """Shards written as files, scanned, merged, retained and deduplicated."""
     u = S.read_shards(spark, shard_folder(spark, sf), schema=SHARD_SCHEMA)
-    m = I.dedup_first(C.retention_filter(u, AS_OF, RETENTION_DAYS), order=("shard", "arrival"))
+    m = first_of_shards(C.retention_filter(u, AS_OF, RETENTION_DAYS))
     return m.select("datetime", "parameter", "location", "value", "unit", "shard", "arrival")
 
 
@@ -531,6 +541,46 @@ def q_runs_upsert(spark, sf):
     return RU.runs_upsert(base, again).select("run_id", "run_ts", "candidate_rmse", "baseline_rmse")
 
 
+def q_runs_table_upsert(spark, sf):
+    """The same restatement through the stored table: each batch is committed
+    twice, one is staged and never committed, and the table is compacted between."""
+    ensure_utc(spark)
+    path = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    p = materialize(model_preds(spark, sf))
+    base = materialize(runs(spark, sf, p))
+    late = p.filter(F.col("ts") >= F.lit("2024-01-24 00:00:00").cast("timestamp"))
+    again = RU.backtest_runs(late, "pred_seasonal", "pred_ar1", "events.parquet", RETENTION_DAYS, persistence="pred_persistence")
+    again = again.withColumn("run_ts", F.col("run_ts") + F.expr("INTERVAL 1 HOURS"))
+    RS.stage_runs(base.withColumn("candidate_rmse", F.lit(-1.0)), path)
+    for batch, rows in (("backtest", base), ("restated", again)):
+        RS.commit_runs(rows, path, batch)
+        RS.commit_runs(rows.withColumn("candidate_rmse", F.lit(-2.0)), path, batch)
+        RS.compact_runs(spark, path, f"{batch}-compact")
+    return RS.read_runs(spark, path).select("run_id", "run_ts", "candidate_rmse", "baseline_rmse")
+
+
+def q_ingest_runs(spark, sf):
+    """Ingest runs as of five moments over the stored readings: the second is
+    within a day of the first reading's end, the third is lost before its
+    commit and starts again, the fourth is forced."""
+    ensure_utc(spark)
+    root = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+
+    def fetch(start, end):
+        return allowed(spark, sf, since=start.replace("T", " "), until=end.replace("T", " "))
+
+    def lost(step):
+        if step == "merge":
+            raise ConnectionError("lost")
+    for now, options in (("2024-01-08 12:00:00", {}), ("2024-01-08 18:00:00", {}), ("2024-01-20 06:00:00", {"after_step": lost}), ("2024-01-20 06:00:00", {}),
+                         ("2024-01-20 09:00:00", {"force": True}), (AS_OF, {})):
+        try:
+            IR.run_ingest(spark, fetch, root, now, RETENTION_DAYS, **options)
+        except ConnectionError:
+            continue
+    return IR.read_merged(spark, root).select("datetime", "parameter", "location", "value", "unit", "shard", "arrival")
+
+
 def q_runs_trend_rmse(spark, sf):
     return runs(spark, sf).select(F.col("run_ts").alias("time"), F.col("candidate_rmse"), F.col("baseline_rmse"))
 
@@ -706,6 +756,50 @@ def q_panel_recursive_forecast(spark, sf):
     return FC.recursive_forecast(f, FC.ar_fit(split_windows(spark, sf, f, LOC), AR_LAGS, LOC), AR_LAGS, 24, series_cols=LOC)
 
 
+ALL_LAGS = {k: f"{TARGET}_lag_{k}h" for k in TARGET_LAGS}
+
+
+def panel_rows(spark, sf, feats):
+    """Every location's windows with the feature vector before the target."""
+    w = sequence_windows(feats, series_cols=LOC, with_x=False, keep=[LAG1], last=feature_columns())
+    return materialize(W.chrono_split(w, LOC))
+
+
+def q_panel_ar_lags(spark, sf):
+    """M2: least squares over the eight target lags, one model a location."""
+    w = sequence_windows(features(spark, sf, LOC), series_cols=LOC, with_x=False, keep=list(ALL_LAGS.values()))
+    return FC.ar_fit(W.chrono_split(w, LOC), ALL_LAGS, LOC)
+
+
+def q_panel_ar_lags_forecast(spark, sf):
+    """M4 over the eight lags, each location with its own coefficients."""
+    f = features(spark, sf, LOC)
+    w = sequence_windows(f, series_cols=LOC, with_x=False, keep=list(ALL_LAGS.values()))
+    return FC.recursive_forecast(f, FC.ar_fit(W.chrono_split(w, LOC), ALL_LAGS, LOC), ALL_LAGS, 24, series_cols=LOC)
+
+
+#: The feature vector of the hour before a window's target.
+X_COLUMNS = [f"x_{c}" for c in feature_columns()]
+
+
+def q_panel_feature_forecast(spark, sf):
+    """M4 over the whole feature vector: each location's linear model of all
+    features, iterated for a day."""
+    f = features(spark, sf, LOC)
+    train = panel_rows(spark, sf, f).filter("split = 'train'")
+    return RC.feature_forecast(f, LS.least_squares(train, X_COLUMNS, "y", LOC), 24, series_cols=LOC)
+
+
+def q_tree_forecast(spark, sf):
+    """M2/M3: boosted trees on the feature vectors of all locations, beside
+    each location's AR(1), on the test windows."""
+    rows = panel_rows(spark, sf, features(spark, sf, LOC))
+    model = BO.fit_boosted(rows.filter("split = 'train'"), X_COLUMNS)
+    p = BO.boosted_score(rows, model, "pred_tree")
+    p = FC.ar1_predict(p, FC.ar1_fit(rows, series_cols=LOC), series_cols=LOC)
+    return MT.compare_models(p.filter("split = 'test'"), "y", "pred_ar1", "pred_tree", LOC)
+
+
 def q_panel_backtest_runs(spark, sf):
     return runs(spark, sf, series=LOC)
 
@@ -790,6 +884,8 @@ QUERIES = {
 
 QUERIES.update({
     "shard_roundtrip": q_shard_roundtrip,
+    "runs_table_upsert": q_runs_table_upsert,
+    "ingest_runs": q_ingest_runs,
     "fetch_plan": q_fetch_plan,
     "align_predictions": q_align_predictions,
     "nested_payloads": q_nested_payloads,
@@ -805,6 +901,10 @@ QUERIES.update({
     "panel_ar1_fit": q_panel_ar1_fit,
     "panel_recursive_forecast": q_panel_recursive_forecast,
     "panel_backtest_runs": q_panel_backtest_runs,
+    "panel_ar_lags": q_panel_ar_lags,
+    "panel_ar_lags_forecast": q_panel_ar_lags_forecast,
+    "panel_feature_forecast": q_panel_feature_forecast,
+    "tree_forecast": q_tree_forecast,
     # fitted by pyspark.ml: no SQL, tested against NumPy
     "linear_forecast": q_linear_forecast,
     "batch_score": q_batch_score,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sensorspark.constants import FORECAST_HOURS, TARGET
 from sensorspark.operators.blocks import join_series_stats
+from sensorspark.plans.least_squares import least_squares
 
 
 def naive_forecast(windows: DataFrame, target: str = TARGET) -> DataFrame:
@@ -76,22 +77,11 @@ def ar1_recursive_forecast(features: DataFrame, model: DataFrame, hours: int = F
 
 
 def ar_fit(split_windows: DataFrame, lag_cols, series_cols=(), split: str = "train") -> DataFrame:
-    """M2 with two lags: per-series least squares y = a + b1 l1 + b2 l2 on the
-    train windows, from the covariances (aggregates only).  ``lag_cols`` maps
-    lag -> column; the result has ``intercept`` and ``lag_<k>``."""
-    (k1, c1), (k2, c2) = lag_cols.items()
-    ok = [F.col(c).isNotNull() for c in ("y", c1, c2)]
-    tr = split_windows.filter((F.col("split") == split) & ok[0] & ok[1] & ok[2])
-    g = tr.groupBy(*series_cols).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_train"), F.avg("y").alias("_y"), F.avg(c1).alias("_a1"), F.avg(c2).alias("_a2"),
-        F.var_pop(c1).alias("_11"), F.var_pop(c2).alias("_22"), F.covar_pop(c1, c2).alias("_12"),
-        F.covar_pop(c1, "y").alias("_1y"), F.covar_pop(c2, "y").alias("_2y"))
-    det = F.col("_11") * F.col("_22") - F.col("_12") * F.col("_12")
-    b1 = F.when(det > 0, (F.col("_1y") * F.col("_22") - F.col("_2y") * F.col("_12")) / det)
-    b2 = F.when(det > 0, (F.col("_2y") * F.col("_11") - F.col("_1y") * F.col("_12")) / det)
-    g = g.withColumn(f"lag_{k1}", b1).withColumn(f"lag_{k2}", b2)
-    return g.select(*series_cols, "n_train", (F.col("_y") - F.col(f"lag_{k1}") * F.col("_a1") - F.col(f"lag_{k2}") * F.col("_a2")).alias("intercept"),
-                    f"lag_{k1}", f"lag_{k2}")
+    """M2 with any number of lags: per-series least squares on the train
+    windows (``least_squares``).  ``lag_cols`` maps lag -> column; the result
+    has ``n_train``, ``intercept`` and ``lag_<k>``."""
+    m = least_squares(split_windows.filter(F.col("split") == split), list(lag_cols.values()), "y", series_cols)
+    return m.select(*series_cols, "n_train", "intercept", *[F.col("coefficients")[i].alias(f"lag_{k}") for i, k in enumerate(lag_cols)])
 
 
 def recursive_forecast(features: DataFrame, model: DataFrame, lags, hours: int = FORECAST_HOURS,

@@ -304,6 +304,82 @@ rec AS (SELECT {key}last_ts, 0 AS h, hist FROM h0 WHERE len(hist) = 24
   UNION ALL SELECT {key}last_ts, h + 1, list_append(hist[2:], intercept + lag_1 * hist[24] + lag_24 * hist[1]) FROM rec{on} WHERE h < 24)"""
 
 
+def ols_sql(src: str, cols, out: str, by: str = "location") -> list[str]:
+    """Least squares of y on ``cols`` in every ``by`` by Gauss-Jordan elimination
+    of the correlations; a ridge where a pivot vanishes."""
+    k = len(cols)
+    cov = "[" + ", ".join("[" + ", ".join(f"covar_pop({a}, {b})" for b in cols) + "]" for a in cols) + "]"
+
+    def eliminate(name, start):
+        return f"""{name} AS (SELECT {by}, 0 AS step, aug, CAST(1e308 AS DOUBLE) AS low FROM {start}
+  UNION ALL SELECT {by}, step + 1, list_transform(aug, lambda row, i: CASE WHEN i = step + 1 THEN list_transform(row, lambda v: v / aug[step + 1][step + 1])
+      ELSE list_transform(row, lambda v, j: v - row[step + 1] * aug[step + 1][j] / aug[step + 1][step + 1]) END), least(low, aug[step + 1][step + 1])
+  FROM {name} WHERE step < {k})"""
+    return [
+        f"""{out}a AS MATERIALIZED (SELECT {by}, count(*) AS n_train, avg(y) AS my, [{", ".join(f"avg({c})" for c in cols)}] AS mean, [{", ".join(f"var_pop({c})" for c in cols)}] AS var,
+  [{", ".join(f"covar_pop({c}, y)" for c in cols)}] AS cy, {cov} AS cov FROM {src} WHERE split = 'train' GROUP BY {by})""",
+        f"{out}s AS (SELECT *, list_transform(var, lambda v, i: CASE WHEN v > 1e-20 * mean[i] * mean[i] THEN sqrt(v) END) AS sd FROM {out}a)",
+        f"""{out}r AS (SELECT {by}, list_transform(cov, lambda row, i: list_append(list_transform(row, lambda v, j: CASE WHEN i = j THEN 1.0 ELSE coalesce(v / (sd[i] * sd[j]), 0) END),
+  coalesce(cy[i] / sd[i], 0))) AS aug FROM {out}s)""",
+        eliminate(f"{out}e", f"{out}r"),
+        f"""{out}q AS (SELECT {by}, list_transform(aug, lambda row, i: list_transform(row, lambda v, j: v + CASE WHEN i = j AND low <= 1e-9 THEN 1e-6 ELSE 0 END)) AS aug
+  FROM {out}r JOIN (SELECT {by}, low FROM {out}e WHERE step = {k}) USING ({by}))""",
+        eliminate(f"{out}f", f"{out}q"),
+        f"""{out}b AS (SELECT {by}, n_train, my, mean, list_transform(aug, lambda row, i: coalesce(row[{k + 1}] / sd[i], 0)) AS coef FROM {out}f JOIN {out}s USING ({by}) WHERE step = {k})""",
+        f"{out} AS (SELECT {by}, n_train, my - list_sum(list_transform(coef, lambda v, i: v * mean[i])) AS intercept, coef FROM {out}b)"]
+
+
+def _x(cols):
+    return [f"x_{c}" for c in cols]
+
+
+def feature_recursion_sql() -> list[str]:
+    """The linear model ``lm`` over the feature vector, iterated for 24 hours."""
+    p = {"no2": "hn", "o3": "ho", "pm10": "hm", "pm25": "hy"}
+    x = [f"{p[c]}[73]" for c in FEAT_PARAMS] + [f"hy[{73 - k}]" for k in TARGET_LAGS]
+    for w in ROLL:
+        x += [f"list_avg(hy[{74 - w}:73])", f"list_aggregate(hy[{74 - w}:73], 'stddev_samp')"]
+    x += [f"{p[c]}[{73 - k}]" for c, k in CROSS]
+    t = "(last_ts + h * INTERVAL 1 HOUR)"
+    x += [f"{f}(2 * pi() * {v} / {n})" for v, n in ((f"hour({t})", 24), (f"(isodow({t}) - 1)", 7), (f"month({t})", 12)) for f in ("sin", "cos")]
+    return [
+        """tl AS (SELECT * FROM (SELECT location, datetime, i, no2, o3, pm10, pm25, row_number() OVER (PARTITION BY location ORDER BY i DESC) AS rn FROM ft) WHERE rn <= 73)""",
+        "h0 AS (SELECT location, max(datetime) AS last_ts, " + ", ".join(f"list({c} ORDER BY i) AS {h}" for c, h in p.items()) + " FROM tl GROUP BY location HAVING max(i) - min(i) = 72)",
+        f"""rec AS (SELECT location, last_ts, 0 AS h, hn, ho, hm, hy FROM h0
+  UNION ALL SELECT location, last_ts, h + 1, list_append(hn[2:], hn[73]), list_append(ho[2:], ho[73]), list_append(hm[2:], hm[73]),
+    list_append(hy[2:], intercept + list_sum(list_transform([{", ".join(x)}], lambda v, i: v * coef[i])))
+  FROM rec JOIN lm USING (location) WHERE h < 24)"""]
+
+
+def boosting_sql(cols, rounds=10, rate=0.3, bins=16, min_rows=5) -> list[str]:
+    """Trees of two levels on the rows of ``wx``; predictions in ``bt``."""
+    q = "[" + ", ".join(repr(i / bins) for i in range(1, bins)) + "]"
+    out = [
+        f"br AS MATERIALIZED (SELECT row_number() OVER () AS r, location, ts, y, split = 'train' AS fit, [{', '.join(cols)}] AS x FROM wx)",
+        "be AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i + 1} AS c, list_sort(list_distinct(quantile_cont({c}, {q}))) AS e FROM wx WHERE split = 'train'" for i, c in enumerate(cols)) + ")",
+        "bb AS MATERIALIZED (SELECT r, fit, c, len(list_filter(e, lambda v: x[c] >= v)) AS b FROM br, be)",
+        "bk AS MATERIALIZED (SELECT c, unnest(range(1, len(e) + 1)) AS k FROM be)",
+        "p0 AS MATERIALIZED (SELECT r, fit, y - (SELECT avg(y) FROM br WHERE fit) AS res FROM br)"]
+
+    def best(name, hist, part):
+        return [f"""{name}c AS (SELECT {part}c, k, coalesce(sum(n) FILTER (b < k), 0) AS nl, coalesce(sum(s) FILTER (b < k), 0) AS sl, sum(n) AS n, sum(s) AS s
+  FROM {hist} JOIN bk USING (c) GROUP BY ALL)""",
+                f"""{name}g AS (SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM {name}c WHERE nl >= {min_rows} AND n - nl >= {min_rows})""",
+                f"""{name} AS MATERIALIZED (SELECT {part}c, k FROM (SELECT *, row_number() OVER ({"PARTITION BY " + part[:-2] if part else ""} ORDER BY c, k) AS rn
+  FROM (SELECT *, max(gain) OVER ({"PARTITION BY " + part[:-2] if part else ""}) AS top FROM {name}g) WHERE gain > 1e-9 AND gain >= top * (1 - 1e-9)) WHERE rn = 1)"""]
+    for t in range(rounds):
+        out += [f"ha{t} AS (SELECT c, b, count(*) AS n, sum(res) AS s FROM bb JOIN p{t} USING (r) WHERE bb.fit GROUP BY c, b)",
+                *best(f"sa{t}", f"ha{t}", ""),
+                f"na{t} AS MATERIALIZED (SELECT p.r, p.fit, res, CAST(b >= k AS INTEGER) AS side FROM p{t} p, sa{t} s, bb WHERE bb.r = p.r AND bb.c = s.c)",
+                f"hb{t} AS (SELECT side, c, b, count(*) AS n, sum(res) AS s FROM bb JOIN na{t} USING (r) WHERE bb.fit GROUP BY side, c, b)",
+                *best(f"sb{t}", f"hb{t}", "side, "),
+                f"""nb{t} AS MATERIALIZED (SELECT n.r, n.fit, res, side * 2 + coalesce(CAST(b >= k AS INTEGER), 0) AS leaf
+  FROM na{t} n LEFT JOIN sb{t} s USING (side) LEFT JOIN bb ON bb.r = n.r AND bb.c = s.c)""",
+                f"lv{t} AS (SELECT leaf, {rate} * sum(res) / count(*) AS v FROM nb{t} WHERE fit GROUP BY leaf)",
+                f"p{t + 1} AS MATERIALIZED (SELECT r, fit, res - v AS res FROM nb{t} JOIN lv{t} USING (leaf))"]
+    return out + [f"bt AS (SELECT location, ts, y, y - res AS pred_tree FROM br JOIN p{rounds} USING (r))"]
+
+
 def _panel(sql: str) -> str:
     """A chain CTE with every window and every output per location."""
     return sql.replace("OVER (ORDER BY", "OVER (PARTITION BY location ORDER BY").replace("AS (ORDER BY", "AS (PARTITION BY location ORDER BY")
@@ -468,6 +544,15 @@ def build() -> dict:
                             "shard:s rows:i readings:i")
     q["shard_roundtrip"] = fin(W(MV, PF, MERGED, "final_ AS (SELECT * FROM merged)"),
                                "datetime:t parameter:s location:s value:d unit:s shard:s arrival:i")
+    q["ingest_runs"] = fin(W(MV, PF, """n1 AS (SELECT TIMESTAMP '2024-01-08 12:00:00' AS e, TIMESTAMP '2024-01-08 12:00:00' - INTERVAL 14 DAY AS s),
+n2 AS (SELECT TIMESTAMP '2024-01-20 06:00:00' AS e, (SELECT max(datetime) FROM pf, n1 WHERE datetime BETWEEN s AND e) AS s),
+n3 AS (SELECT TIMESTAMP '2024-01-20 09:00:00' AS e, (SELECT max(datetime) FROM pf, n2 WHERE datetime BETWEEN s AND e) AS s),
+n4 AS (SELECT TIMESTAMP '2024-01-31' AS e, (SELECT max(datetime) FROM pf, n3 WHERE datetime BETWEEN s AND e) AS s),
+spans AS (SELECT 0 AS no, * FROM n1 UNION ALL SELECT 1, * FROM n2 UNION ALL SELECT 2, * FROM n3 UNION ALL SELECT 3, * FROM n4),
+took AS (SELECT pf.*, no, 'm_' || strftime(s, '%Y%m%d') || '_' || strftime(e, '%Y%m%d') AS shard, """ + STD_UNIT + """ AS unit
+  FROM pf JOIN spans ON datetime BETWEEN s AND e WHERE datetime >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY)""",
+                               """final_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY datetime, parameter, location ORDER BY no, arrival) AS rn FROM took) WHERE rn = 1)"""),
+                           "datetime:t parameter:s location:s value:d unit:s shard:s arrival:i")
     q["fetch_plan"] = fin(W(MV, PF, SHARDS, """lst AS (SELECT max(datetime) AS m FROM shards),
 cases AS (SELECT 'as_of' AS "case", m AS fetch_start, TIMESTAMP '2024-01-31' AS fetch_end, false AS forced FROM lst
   UNION ALL SELECT 'soon', m, m + INTERVAL 1 HOUR, false FROM lst
@@ -524,6 +609,27 @@ dy AS (SELECT *, CAST(floor((epoch(fetch_end) - epoch(fetch_start)) / 86400) AS
                                         "location:s ts:t h:i forecast:d forecast_type:s")
     q["panel_backtest_runs"] = fin(W(*panel, *panel_runs(), """final_ AS (SELECT location, batch_id, run_id, run_ts, 'events.parquet' AS data_path, 14 AS rolling_days,
         * EXCLUDE (location, batch_id, run_id, run_ts, run_date) FROM runs)"""), "location:s " + RUN_COLS)
+    lags = [f"pm25_lag_{k}h" for k in TARGET_LAGS]
+    wl = "wl AS (SELECT ws.location, ws.ts, ws.y, ws.split, " + ", ".join(f"f.{c}" for c in lags) + " FROM ws JOIN ftj f USING (location, j))"
+    coefs = ", ".join(f"coef[{i + 1}] AS lag_{k}" for i, k in enumerate(TARGET_LAGS))
+    q["panel_ar_lags"] = fin("WITH RECURSIVE " + ",\n".join([*panel, wl, *ols_sql("wl", lags, "lm"), f"final_ AS (SELECT location, n_train, intercept, {coefs} FROM lm)"]),
+                             "location:s n_train:i intercept:d " + " ".join(f"lag_{k}:d" for k in TARGET_LAGS))
+    step = " + ".join(f"coef[{i + 1}] * hist[{73 - k}]" for i, k in enumerate(TARGET_LAGS))
+    q["panel_ar_lags_forecast"] = fin("WITH RECURSIVE " + ",\n".join([*panel, wl, *ols_sql("wl", lags, "lm"),
+        """tl AS (SELECT * FROM (SELECT location, datetime, i, pm25, row_number() OVER (PARTITION BY location ORDER BY i DESC) AS rn FROM ft) WHERE rn <= 72)""",
+        "h0 AS (SELECT location, max(datetime) AS last_ts, list(pm25 ORDER BY i) AS hist FROM tl GROUP BY location)",
+        f"""rec AS (SELECT location, last_ts, 0 AS h, hist FROM h0 WHERE len(hist) = 72
+  UNION ALL SELECT location, last_ts, h + 1, list_append(hist[2:], intercept + {step}) FROM rec JOIN lm USING (location) WHERE h < 24)""",
+        """final_ AS (SELECT location, last_ts + h * INTERVAL 1 HOUR AS ts, h, hist[72] AS forecast, 'recursive' AS forecast_type FROM rec WHERE h > 0)"""]),
+                                      "location:s ts:t h:i forecast:d forecast_type:s")
+    wx = "wx AS MATERIALIZED (SELECT ws.location, ws.ts, ws.y, ws.split, " + ", ".join(f"f.{c} AS x_{c}" for c in feature_cols()) + \
+        " FROM ws JOIN ftj f ON f.location = ws.location AND f.j = ws.j - 1)"
+    q["panel_feature_forecast"] = fin("WITH RECURSIVE " + ",\n".join([*panel, wx, *ols_sql("wx", _x(feature_cols()), "lm"), *feature_recursion_sql(),
+        """final_ AS (SELECT location, last_ts + h * INTERVAL 1 HOUR AS ts, h, hy[73] AS forecast, 'recursive' AS forecast_type FROM rec WHERE h > 0)"""]),
+                                      "location:s ts:t h:i forecast:d forecast_type:s")
+    tcmp = [x.replace("pred_seasonal", "pred_ar1", 1).replace("y, pred_ar1 FROM mp WHERE split = 'test')", "y, pred_tree FROM bt JOIN mp USING (location, ts, y) WHERE split = 'test')")
+            if x.startswith("cl AS") else x for x in pcmp]
+    q["tree_forecast"] = fin("WITH RECURSIVE " + ",\n".join([*panel, wx, *boosting_sql(_x(feature_cols())), *tcmp, "final_ AS (SELECT * FROM cmp)"]), "location:s " + CMP_SPEC)
     q["shard_contribution"] = fin(W(MV, PF, SHARDS, """final_ AS (SELECT shard, count(*) AS original_rows,
         CAST(min(datetime) AS DATE) AS first_date, CAST(max(datetime) AS DATE) AS last_date,
         count(*) FILTER (WHERE datetime >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY) AS retained_rows
@@ -612,6 +718,7 @@ dy AS (SELECT *, CAST(floor((epoch(fetch_end) - epoch(fetch_start)) / 86400) AS
         row_number() OVER (PARTITION BY run_id ORDER BY run_ts DESC, src DESC) AS rn FROM
         (SELECT *, 0 AS src FROM runs UNION ALL SELECT *, 1 AS src FROM runs_b)) WHERE rn = 1)"""),
                            "run_id:s run_ts:t candidate_rmse:d baseline_rmse:d")
+    q["runs_table_upsert"] = q["runs_upsert"]
     q["runs_trend_rmse"] = fin(W(*RUNS, "final_ AS (SELECT run_ts AS time, candidate_rmse, baseline_rmse FROM runs)"),
                                "time:t candidate_rmse:d baseline_rmse:d")
     q["runs_trend_mae"] = fin(W(*RUNS, "final_ AS (SELECT run_ts AS time, candidate_mae, baseline_mae FROM runs)"),

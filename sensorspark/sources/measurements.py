@@ -118,6 +118,13 @@ def week_shards(df: DataFrame, overlap_days: int = 1) -> DataFrame:
     return out.withColumn("shard", label).drop("_ws")
 
 
+def shard_number(label: Column) -> Column:
+    """A number that sorts like the shard label ``m_<start>_<end>``; NULL for
+    any other name."""
+    day = lambda at: F.unix_date(F.try_to_timestamp(F.substring(label, at, 8), F.lit("yyyyMMdd")).cast("date")).cast("bigint")
+    return day(3) * 1_000_000 + day(12)
+
+
 def read_shards(spark: SparkSession, root: str, glob: str = "m_*", schema: T.StructType | None = None,
                 skip_corrupt: bool = False) -> DataFrame:
     """Every shard that ``write_shards`` put under ``root`` whose label

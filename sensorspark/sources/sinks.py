@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorspark.sources.run_store import commit_runs
+
 
 def write_shards(df: DataFrame, root: str, shard_col: str = "shard", mode: str = "overwrite") -> None:
     """One folder per shard label (``shard=m_<start>_<end>``), rows
@@ -39,11 +41,13 @@ def write_predictions(df: DataFrame, path: str, csv: bool = True) -> None:
         df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
-def append_runs(runs: DataFrame, path: str, csv: bool = True) -> None:
-    """Append run rows to the runs table (and its CSV mirror)."""
-    runs.write.mode("append").parquet(f"{path}/parquet")
+def append_runs(runs: DataFrame, path: str, batch_id: str, csv: bool = True) -> bool:
+    """Append a batch of run rows to the stored runs (``run_store``) and
+    its CSV mirror; a batch that is retried is there once.  False where it was there."""
+    new = commit_runs(runs, path, batch_id)
     if csv:
-        runs.write.mode("append").option("header", True).csv(f"{path}/csv")
+        runs.write.mode("overwrite" if new else "ignore").option("header", True).csv(f"{path}/csv/batch={batch_id}")
+    return new
 
 
 def write_json_report(df: DataFrame, path: str) -> None:

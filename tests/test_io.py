@@ -15,7 +15,7 @@ from sensorspark.operators import ingest as I
 from sensorspark.operators.resample import hourly_long
 from sensorspark.plans import catalog
 from sensorspark.sources import measurements as S
-from sensorspark.sources import sinks
+from sensorspark.sources import run_store, sinks
 from sensorspark.streaming import ingest as ST
 
 SF = "/root/testdata/sf0.001"
@@ -74,9 +74,10 @@ def test_predictions_and_runs(spark, tmp_path):
     csv = spark.read.option("header", True).csv(str(tmp_path / "p/csv"))
     assert spark.read.parquet(str(tmp_path / "p/parquet")).collect() == p.collect() and csv.first()["predicted_pm25"] == "1.5"
     runs = spark.createDataFrame([("r1", datetime(2024, 1, 1)), ("r2", datetime(2024, 1, 3))], "run_id string, run_ts timestamp")
-    sinks.append_runs(runs, str(tmp_path / "r"))
-    sinks.append_runs(spark.createDataFrame([("r3", datetime(2024, 1, 2))], runs.schema), str(tmp_path / "r"))
-    stored = spark.read.parquet(str(tmp_path / "r/parquet"))
+    for _ in range(2):                                        # a retry adds nothing
+        sinks.append_runs(runs, str(tmp_path / "r"), "b1")
+    sinks.append_runs(spark.createDataFrame([("r3", datetime(2024, 1, 2))], runs.schema), str(tmp_path / "r"), "b2")
+    stored = run_store.read_runs(spark, str(tmp_path / "r"))
     assert stored.count() == 3 and spark.read.option("header", True).csv(str(tmp_path / "r/csv")).count() == 3
     sinks.export_runs_csv(stored, str(tmp_path / "export"))
     lines = []

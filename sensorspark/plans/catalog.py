@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sensorspark.constants import PARAMETERS, TARGET, TARGET_LAGS
 from sensorspark.functions import metrics as MT
@@ -39,7 +40,8 @@ from sensorspark.plans import runs as RU
 from sensorspark.session import checkpoint_dir, ensure_utc, materialize
 from sensorspark.sources import measurements as S
 from sensorspark.sources import run_store as RS
-from sensorspark.sources.sinks import drift_report_frame, write_shards
+from sensorspark.sources.sinks import (append_runs, drift_report_frame, export_runs_csv, write_json_report, write_merged, write_predictions,
+                                       write_shards, write_splits)
 
 AS_OF = "2024-01-31 00:00:00"
 RETENTION_DAYS = 14
@@ -581,6 +583,66 @@ def q_ingest_runs(spark, sf):
     return IR.read_merged(spark, root).select("datetime", "parameter", "location", "value", "unit", "shard", "arrival")
 
 
+def _folder(spark, name):
+    ensure_utc(spark)
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q_merged_roundtrip(spark, sf):
+    """The merged table written by date and read back."""
+    path = _folder(spark, "merged")
+    write_merged(merged(spark, sf), path)
+    return spark.read.parquet(path).select("datetime", "parameter", "location", "value", "unit", "shard", "arrival")
+
+
+def q_splits_roundtrip(spark, sf):
+    """Windows with their whole arrays, scaled and raw target, by split."""
+    path = _folder(spark, "splits")
+    w = W.chrono_split(sequence_windows(features(spark, sf), with_x=True))
+    ts = W.fit_target_scaler(w)
+    write_splits(W.scale_target(w, ts, col="y", out="y_scaled").select("ts", "y", "y_scaled", "x", "split"), path)
+    last = F.element_at("x", -1)
+    return spark.read.parquet(path).select("ts", "split", "y", "y_scaled", F.size("x").alias("n_steps"), last[LAG1].alias("x_last_lag1"))
+
+
+def q_predictions_roundtrip(spark, sf):
+    """The prediction log as parquet and CSV; the day's metrics from the CSV."""
+    path = _folder(spark, "predictions")
+    log = materialize(_prediction_log(spark, sf))
+    write_predictions(log, path)
+    both = spark.read.parquet(f"{path}/parquet").select(F.lit("parquet").alias("form"), "*").unionByName(
+        spark.read.schema(log.schema).option("header", True).csv(f"{path}/csv").select(F.lit("csv").alias("form"), "*"))
+    return both.groupBy("form", "model_version").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"),
+                                                     F.avg("predicted").alias("mean"))
+
+
+def q_runs_export(spark, sf):
+    """A batch of runs appended twice, exported newest first and read
+    back, with the place of each line."""
+    path = _folder(spark, "export")
+    r = runs(spark, sf).select("run_id", "run_ts", "candidate_rmse", "baseline_rmse")
+    r = materialize(r)
+    for _ in range(2):
+        append_runs(r, f"{path}/store", "backtest")
+    export_runs_csv(RS.read_runs(spark, f"{path}/store"), f"{path}/csv")
+    back = spark.read.schema(r.schema).option("header", True).csv(f"{path}/csv").select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    line = F.row_number().over(Window.partitionBy("_f").orderBy(F.col("run_ts").desc()))        # a file holds one range
+    place = back.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return back.withColumn("_l", line).join(place.select("_f", before.alias("_o")), "_f").select(
+        "run_id", "run_ts", "candidate_rmse", "baseline_rmse", (F.col("_o") + F.col("_l")).alias("place"))
+
+
+def q_drift_report_json(spark, sf):
+    """The drift report written as JSON and read back."""
+    path = _folder(spark, "report")
+    c = materialize(lineitem_counts(spark, sf))
+    psi = D.psi_of(c)
+    write_json_report(drift_report_frame(D.psi_summary(psi, min_features=len(LINEITEM_COLS)), psi), path)
+    back = spark.read.schema("psi_score double, features_analyzed long, judged boolean, band string, recommendation string, feature_psi map<string,double>").json(path)
+    return back.select("psi_score", "features_analyzed", "band", "recommendation", F.explode("feature_psi").alias("feature", "psi"))
+
+
 def q_runs_trend_rmse(spark, sf):
     return runs(spark, sf).select(F.col("run_ts").alias("time"), F.col("candidate_rmse"), F.col("baseline_rmse"))
 
@@ -886,6 +948,11 @@ QUERIES.update({
     "shard_roundtrip": q_shard_roundtrip,
     "runs_table_upsert": q_runs_table_upsert,
     "ingest_runs": q_ingest_runs,
+    "merged_roundtrip": q_merged_roundtrip,
+    "splits_roundtrip": q_splits_roundtrip,
+    "predictions_roundtrip": q_predictions_roundtrip,
+    "runs_export": q_runs_export,
+    "drift_report_json": q_drift_report_json,
     "fetch_plan": q_fetch_plan,
     "align_predictions": q_align_predictions,
     "nested_payloads": q_nested_payloads,

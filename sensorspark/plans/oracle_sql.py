@@ -718,6 +718,15 @@ dy AS (SELECT *, CAST(floor((epoch(fetch_end) - epoch(fetch_start)) / 86400) AS
         row_number() OVER (PARTITION BY run_id ORDER BY run_ts DESC, src DESC) AS rn FROM
         (SELECT *, 0 AS src FROM runs UNION ALL SELECT *, 1 AS src FROM runs_b)) WHERE rn = 1)"""),
                            "run_id:s run_ts:t candidate_rmse:d baseline_rmse:d")
+    q["merged_roundtrip"] = q["rolling_merge"]
+    q["splits_roundtrip"] = fin(W(*WCHAIN, """final_ AS (SELECT ws.ts, ws.split, ws.y, (ws.y - (SELECT avg(y) FROM ws WHERE split = 'train')) / (SELECT stddev_pop(y) FROM ws WHERE split = 'train') AS y_scaled,
+        72 AS n_steps, x.pm25_lag_1h AS x_last_lag1 FROM ws JOIN ftj x ON x.j = ws.j - 1)"""), "ts:t split:s y:d y_scaled:d n_steps:i x_last_lag1:d")
+    q["predictions_roundtrip"] = fin(W(*WCHAIN, PRED_LOG, """final_ AS (SELECT form, model_version, count(*) AS n, min(timestamp) AS first_ts, max(timestamp) AS last_ts, avg(predicted) AS mean
+        FROM plog, (SELECT unnest(['parquet', 'csv']) AS form) GROUP BY ALL)"""), "form:s model_version:s n:i first_ts:t last_ts:t mean:d")
+    q["runs_export"] = fin(W(*RUNS, "final_ AS (SELECT run_id, run_ts, candidate_rmse, baseline_rmse, row_number() OVER (ORDER BY run_ts DESC) AS place FROM runs)"),
+                           "run_id:s run_ts:t candidate_rmse:d baseline_rmse:d place:i")
+    q["drift_report_json"] = fin(W(LI_PERIODS, *psi_sql("lref", "lcur", LI), PSI_SUMMARY, "final_ AS (SELECT psi_score, features_analyzed, band, recommendation, feature, psi FROM psum2, psi)"),
+                                 "psi_score:d features_analyzed:i band:s recommendation:s feature:s psi:d")
     q["runs_table_upsert"] = q["runs_upsert"]
     q["runs_trend_rmse"] = fin(W(*RUNS, "final_ AS (SELECT run_ts AS time, candidate_rmse, baseline_rmse FROM runs)"),
                                "time:t candidate_rmse:d baseline_rmse:d")

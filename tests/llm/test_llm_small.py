@@ -499,9 +499,65 @@ def test_license_sums_match_brute_force(spark):
     model = licenses.train(docs)
     got = {(r.paragraph, r.family): r.probability for r in licenses.scan_paragraphs(docs.filter("doc_id = 1"), model).collect()}
     grams = spark.createDataFrame([("Released under the MIT License.",)], "p string").select(licenses.paragraph_grams(F.col("p")).alias("g")).first().g
-    z = np.array(model.intercepts) + sum(np.array(model.weights.get(g, np.zeros(len(model.classes)))) for g in grams)
-    p = np.exp((z - z.max()) / model.temperature)
-    assert got == {(0, model.classes[int(z.argmax())]): pytest.approx(float((p / p.sum()).max()))}
+    z = (np.array(model.intercepts) + sum(np.array(model.weights.get(g, np.zeros(len(model.classes)))) for g in grams)) / model.temperature
+    assert got == {(0, model.classes[int(z.argmax())]): pytest.approx(1 / (1 + math.exp(z[0] - z.max())))}
+
+
+HEADERS = {
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "GPL-2.0": """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "AGPL-3.0": """it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL-3.0": """it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "MIT": "The MIT License (MIT)",
+    "Apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.""",
+}
+TAGGED = {"// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+          "/* SPDX-License-Identifier: LGPL-2.1-only */": "LGPL-2.1", "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT", "Licensed under MIT or Apache-2.0": "Apache-2.0,MIT",
+          "SPDX-License-Identifier: BSD-3-Clause": "BSD"}
+PLAIN = ["er kam mit der Familie", "the Free Software Foundation published a license", "Permission was granted to use the hall for any purpose",
+         "the general public, version of events", "Ein Text mit Lizenz", "terms of the lesser known general"]
+
+
+def test_headers_tags_and_choices(spark, edge):
+    """Families that differ in a word or two, tags, two families in a line, and a
+    notice over any number of lines."""
+    one_word_a_line = "\n".join(HEADERS["GPL-2.0"].replace("*", "").split())
+    texts = [*HEADERS.values(), *TAGGED, *PLAIN, one_word_a_line, "\n\n".join(HEADERS.values()), HEADERS["LGPL-2.1"] + "\n\n" + HEADERS["GPL-3.0"],
+             "prose of the day\n" * 300 + HEADERS["LGPL-2.1"]]
+    docs = frame(spark, [(100 + i, t) for i, t in enumerate(texts)])
+    got = {r.doc_id - 100: r.families for r in licenses.scan(docs, licenses.train(edge)).collect()}
+    want = [*HEADERS, *TAGGED.values(), *[""] * len(PLAIN), "GPL-2.0", ",".join(sorted(HEADERS)), "GPL-3.0,LGPL-2.1", "LGPL-2.1"]
+    assert {texts[i]: got[i] for i in got} == dict(zip(texts, want))
+
+
+def test_text_grams_cross_lines_inside_a_block(spark):
+    text = "a b\nc -\n\n \t\nd e\r\n***\nf g h"
+    docs = spark.createDataFrame([(text,), ("",), ("one",), ("\n\n",)], "t string")
+    h = {}
+    for w in (["a", "b"], ["b", "c"], ["a", "b", "c"], ["d", "e"], ["e", "f"], ["f", "g"], ["g", "h"], ["d", "e", "f"], ["e", "f", "g"], ["f", "g", "h"]):
+        h[" ".join(w)] = spark.range(1).select(F.xxhash64(*[F.lit(x) for x in w])).first()[0]
+    out = [sorted(map(tuple, r.g)) for r in docs.select(licenses.text_grams(F.col("t")).alias("g")).collect()]
+    want = {"a b": (0, 0, 0), "b c": (0, 0, 1), "a b c": (0, 0, 1), "d e": (4, 4, 4), "e f": (4, 4, 6), "d e f": (4, 4, 6), "f g": (4, 6, 6), "g h": (4, 6, 6),
+            "e f g": (4, 4, 6), "f g h": (4, 6, 6)}
+    assert out == [sorted((*v, h[k]) for k, v in want.items()), [], [], []]
 
 
 def test_words_are_ascii_lowered_and_split():

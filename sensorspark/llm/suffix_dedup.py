@@ -8,18 +8,19 @@ windows:
    gram in it (leftmost of equal ones).  Equal windows have equal anchors at
    equal places, so a bucket holds all its suffixes' equals.  Successive
    windows with one anchor form a segment; its rows are (anchor, segment hash).
-2. A segment that occurs twice is repeated as a whole.  An anchor with two or
-   more different segments needs sorting: one text of each such segment goes
-   to its bucket.  An anchor with over ``hot_segments`` of them is split by the
+2. Hashes only deal out the work: two texts of each segment that occurs twice,
+   and one of each other segment whose anchor has several, go to the anchor's
+   bucket.  An anchor with over ``hot_segments`` segments is split by the
    text that all windows at one range of distances from it share.  Where over
    ``hot_segments`` pieces share that text too, the split goes on to single
-   windows: their hashes are counted, map-side, and no text is moved.
+   windows: of each window whose hash occurs twice two texts are sorted.
 3. The buckets' suffixes are sorted a bounded bundle at a time
    (``bundle_windows``): first by a short prefix; ties, which are as long as
    the window, are resolved by ranks of the positions in a difference cover
    {0, 1, 3, 9} mod 13, computed before by doubling over the cover positions
    alone (4/13 of the memory).  For any two suffixes some shift below 13 puts
-   both on the cover.
+   both on the cover.  What the sort finds equal is repeated, and nothing else;
+   further copies of a text follow its two that were sorted.
 4. The repeated ranges return to their documents, where the bytes are cut.
 
 Texts cross the network compressed and never meet in one place but for the
@@ -169,21 +170,24 @@ def _unzip(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
+PIECE = "key long, sub long, piece long, src_key long, src_seg long, copy int, off int, n int, text binary"
+
+
 def _pieces(z: DataFrame, wanted: DataFrame, window: int, width: int) -> DataFrame:
     """The texts of the wanted segments: (key, sub, piece, src_key, src_seg,
-    off, n, text).  A segment of a hot anchor comes in parts, each with the
+    copy, off, n, text).  A segment of a hot anchor comes in parts, each with the
     hash of what the part's windows share; of equal parts in one task only
-    the first carries the text."""
+    the first two carry the text."""
     def run(batches):
-        sent = set()
+        sent: dict = {}
         for b in batches:
             out = []
             for zipped, segs in zip(b.column("z").to_pylist(), b.column("segs").to_pylist()):
                 t = _unzip(zipped)
                 for s in segs:
-                    at, n, lead, key, seg = s["at"], s["n"], s["lead"], s["key"], s["seg"]
+                    at, n, lead, key, seg, copy = s["at"], s["n"], s["lead"], s["key"], s["seg"], s["copy"]
                     if not s["hot"]:
-                        out.append((key, 0, seg, key, seg, 0, n, t[at:at + n + window - 1]))
+                        out.append((key, 0, seg, key, seg, copy, 0, n, t[at:at + n + window - 1]))
                         continue
                     for q in range((lead - n + 1) // width, lead // width + 1):
                         # windows at distances q * width .. (q + 1) * width - 1 before the anchor
@@ -193,16 +197,15 @@ def _pieces(z: DataFrame, wanted: DataFrame, window: int, width: int) -> DataFra
                         text = t[at + first:at + last + window]
                         sub = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
                         piece = int.from_bytes(hashlib.blake2b(text + b"%d" % (lead - first), digest_size=8).digest(), "little", signed=True)
-                        new = (key, sub, piece) not in sent
-                        sent.add((key, sub, piece))
-                        out.append((key, sub, piece, key, seg, first, last - first + 1, text if new else None))
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-            names = ["key", "sub", "piece", "src_key", "src_seg", "off", "n", "text"]
+                        seen = sent.get((key, sub, piece), 0)
+                        sent[key, sub, piece] = seen + 1
+                        out.append((key, sub, piece, key, seg, copy, first, last - first + 1, text if seen < 2 else None))
+            kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+            names = ["key", "sub", "piece", "src_key", "src_seg", "copy", "off", "n", "text"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "n", "lead", "key", "seg", "hot")).alias("segs"))   # at most one a byte of the text
-    return z.join(lists, "row").select("z", "segs").mapInArrow(
-        run, "key long, sub long, piece long, src_key long, src_seg long, off int, n int, text binary")
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "n", "lead", "key", "seg", "hot", "copy")).alias("segs"))   # at most two a byte of the text
+    return z.join(lists, "row").select("z", "segs").mapInArrow(run, PIECE)
 
 
 def _names(*keys: np.ndarray) -> np.ndarray:
@@ -275,16 +278,23 @@ def repeated_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
 
 
 def _compare(pieces: DataFrame, window: int, bundles: int) -> DataFrame:
-    """(key, sub, piece, s, e): the repeated ranges of windows of every piece."""
+    """(key, sub, piece, s, e): the repeated ranges of windows of every piece,
+    by sorting at most two texts of each."""
     def run(_, g):
         g = g.combine_chunks()
-        ids = np.stack([g.column(c).to_numpy() for c in ("key", "sub", "piece")])
+        ids = np.stack([g.column(c).to_numpy() for c in ("key", "sub", "piece", "src_seg", "copy")])
         order = np.lexsort(ids[::-1])
         ids = ids[:, order]
-        new = np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(0)]) if len(order) else np.zeros(0, bool)
-        ids, texts = ids[:, new], pc.take(g.column("text"), pa.array(order[new])).to_pylist()
+        n = len(order)
+        # the first and the second text of each piece
+        new = np.concatenate([[True], (ids[:3, 1:] != ids[:3, :-1]).any(0)]) if n else np.zeros(0, bool)
+        second = np.concatenate([[False], new[:-1]]) & ~new if n else new
+        kept = np.flatnonzero(new | second)
+        ids, new, texts = ids[:, kept], new[kept], pc.take(g.column("text"), pa.array(order[kept])).to_pylist()
         of, s, e = [], [], []
         for k, dup in enumerate(repeated_windows(texts, window)):
+            if not new[k]:
+                continue
             step = np.diff(np.concatenate([[0], dup.view(np.int8), [0]]))
             a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
             of += [k] * len(a)
@@ -292,15 +302,21 @@ def _compare(pieces: DataFrame, window: int, bundles: int) -> DataFrame:
             e += b.tolist()
         of = np.array(of, np.int64)
         return pa.table({"key": ids[0][of], "sub": ids[1][of], "piece": ids[2][of], "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
-    return (pieces.filter("text IS NOT NULL").select("key", "sub", "piece", "text", F.pmod(F.xxhash64("key", "sub"), F.lit(bundles)).alias("b"))
+    return (pieces.filter("text IS NOT NULL").select("key", "sub", "piece", "src_seg", F.col("copy").cast("long").alias("copy"), "text",
+                                                     F.pmod(F.xxhash64("key", "sub"), F.lit(bundles)).alias("b"))
             .groupBy("b").applyInArrow(run, "key long, sub long, piece long, s int, e int"))
 
 
-def _counted(pieces: DataFrame, window: int) -> DataFrame:
+def _bundles(pieces: DataFrame, bundle_windows: int) -> int:
+    return max(1, -(-(pieces.agg(F.sum(F.length("text"))).first()[0] or 0) // bundle_windows))
+
+
+def _by_window(pieces: DataFrame, window: int, bundle_windows: int) -> DataFrame:
     """(key, sub, piece, s, e): the windows of the pieces that another piece of
-    their (key, sub) holds, too, by the windows' hashes.  A piece's own windows
+    their (key, sub) holds, too.  Hashes of single windows deal them out; of each
+    hash that occurs twice two windows are sorted.  A piece's own windows
     lie at different distances from the anchor, so no two of them are equal."""
-    def run(batches):
+    def hashed(batches):
         for b in batches:
             of, at, h = [], [], []
             for k, t in enumerate(b.column("text").to_pylist()):
@@ -308,12 +324,27 @@ def _counted(pieces: DataFrame, window: int) -> DataFrame:
                     of.append(k)
                     at.append(i)
                     h.append(int.from_bytes(hashlib.blake2b(t[i:i + window], digest_size=8).digest(), "little", signed=True))
-            ids = [pc.take(b.column(c), pa.array(of, pa.int64())) for c in ("key", "sub", "piece")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int32()), pa.array(h, pa.int64())], ["key", "sub", "piece", "s", "h"])
-    w = persist(pieces.select("key", "sub", "piece", "text").mapInArrow(run, "key long, sub long, piece long, s int, h long"), "windows")
-    # stored, so that the join reads plain rows and Spark can split a window that very many pieces hold
-    again = persist(w.groupBy("key", "sub", "h").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).filter("a <> b").select("key", "sub", "h"), "again")
-    return w.join(again, ["key", "sub", "h"]).select("key", "sub", "piece", "s", (F.col("s") + 1).cast("int").alias("e")).distinct()
+            ids = [pc.take(b.column(c), pa.array(of, pa.int64())) for c in ("key", "sub", "piece", "src_seg", "copy")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int32()), pa.array(h, pa.int64())], ["key", "sub", "piece", "src_seg", "copy", "s", "h"])
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for key, sub, src, copy, text, own in zip(*(b.column(c).to_pylist() for c in ("key", "sub", "src_seg", "copy", "text", "own"))):
+                out += [(key, x["h"], sub, key, src, copy, 0, 1, text[x["s"]:x["s"] + window]) for x in own]
+            kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
+                                             ["key", "sub", "piece", "src_key", "src_seg", "copy", "off", "n", "text"])
+    one = ["key", "sub", "piece", "src_seg", "copy"]
+    w = persist(pieces.select(*one, "text").mapInArrow(hashed, "key long, sub long, piece long, src_seg long, copy int, s int, h long"), "windows")
+    text = F.struct("piece", "src_seg", "copy", "s")
+    # stored, so that the joins read plain rows and Spark can split a window that very many pieces hold
+    again = persist(w.groupBy("key", "sub", "h").agg(F.min(text).alias("a"), F.max(text).alias("b")).filter("a <> b"), "again")
+    two = again.select("key", "sub", "h", F.explode(F.array("a", "b")).alias("t")).select("key", "sub", "t.piece", "t.src_seg", "t.copy", "h", "t.s")
+    lists = two.groupBy(*one).agg(F.collect_list(F.struct("s", "h")).alias("own"))           # at most the windows of a piece
+    texts = persist(pieces.join(lists, one).select("key", "sub", "src_seg", "copy", "text", "own").mapInArrow(cut, PIECE), "window-texts")
+    equal = persist(_compare(texts, window, _bundles(texts, bundle_windows)).select("key", F.col("piece").alias("sub"), F.col("sub").alias("h")), "equal")
+    return w.join(equal, ["key", "sub", "h"]).select("key", "sub", "piece", "s", (F.col("s") + 1).cast("int").alias("e")).distinct()
 
 
 def repeated_ranges(docs: DataFrame, window: int = 400, gram: int = 32, hot_segments: int = 1000,
@@ -321,25 +352,24 @@ def repeated_ranges(docs: DataFrame, window: int = 400, gram: int = 32, hot_segm
     """(row, s, e): the ranges of window starts of each text (row as
     ``_numbered`` gives it) that are repeated."""
     a = persist(anchors(_numbered(docs).select("row", "text"), window, gram), "anchors")
-    segs = a.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "at", "n", "lead")).alias("first"))
+    place = F.struct("row", "at", "n", "lead")
+    segs = a.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max(place).alias("last"))
     keys = segs.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("all")).filter("all > 1")
-    segs = persist(segs.join(keys, "key").select("key", "seg", "copies", "kinds", "first.*"), "segments")
-    wanted = segs.filter("kinds > 1").select("row", "at", "n", "lead", "key", "seg", (F.col("kinds") > hot_segments).alias("hot"))
+    segs = segs.join(keys, "key").withColumn("hot", F.col("kinds") > hot_segments)
+    sides = F.when(F.col("copies") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    wanted = segs.select("key", "seg", "hot", F.posexplode(sides).alias("copy", "t")).select("t.row", "t.at", "t.n", "t.lead", "key", "seg", "hot", "copy")
     width = -(-(window - gram + 1) // 16)
     p = persist(_pieces(_zipped(_numbered(docs)), wanted, window, width), "pieces")
-    # above the limit even there (equal pieces of other tasks count, too): single windows
     sent = p.filter("text IS NOT NULL")
-    crowded = persist(sent.filter("sub <> 0").groupBy("key", "sub").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot_segments).select("key", "sub"), "crowded")
+    # over the limit even there: single windows
+    crowded = persist(sent.filter("sub <> 0").select("key", "sub", "piece").distinct().groupBy("key", "sub").agg(F.count(F.lit(1)).alias("c"))
+                      .filter(F.col("c") > hot_segments).select("key", "sub"), "crowded")
     few = sent.join(crowded, ["key", "sub"], "left_anti")
-    total = few.agg(F.sum(F.length("text"))).first()[0] or 0
-    found = _compare(few, window, max(1, -(-total // bundle_windows))).unionByName(
-        _counted(sent.join(crowded, ["key", "sub"], "left_semi"), window))
-    twice = p.filter("sub <> 0").groupBy("key", "sub", "piece").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter("c > 1").select(
-        "key", "sub", "piece", F.lit(0).alias("s"), F.col("n").alias("e"))
-    back = p.select("key", "sub", "piece", "src_key", "src_seg", "off").join(found.unionByName(twice), ["key", "sub", "piece"]).select(
+    found = _compare(few, window, _bundles(few, bundle_windows)).unionByName(
+        _by_window(sent.join(crowded, ["key", "sub"], "left_semi"), window, bundle_windows))
+    back = p.filter("copy = 0").select("key", "sub", "piece", "src_key", "src_seg", "off").join(found, ["key", "sub", "piece"]).select(
         F.col("src_key").alias("key"), F.col("src_seg").alias("seg"), (F.col("off") + F.col("s")).alias("s"), (F.col("off") + F.col("e")).alias("e"))
-    whole = segs.filter("copies > 1").select("key", "seg", F.lit(0).alias("s"), F.col("n").alias("e"))
-    ranges = whole.unionByName(back).groupBy("key", "seg").agg(F.collect_list(F.struct("s", "e")).alias("r"))   # at most one a window of the segment
+    ranges = back.groupBy("key", "seg").agg(F.collect_list(F.struct("s", "e")).alias("r"))   # at most one a window of the segment
     # stored, so that the join below reads plain rows and Spark can split the segments with very many copies
     ranges = persist(ranges, "ranges")
     return a.select("row", "at", "key", "seg").join(ranges, ["key", "seg"]).select("row", "at", F.explode("r").alias("x")).select(

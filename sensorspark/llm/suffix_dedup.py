@@ -10,17 +10,18 @@ windows:
    windows with one anchor form a segment; its rows are (anchor, segment hash).
 2. Hashes only deal out the work: two texts of each segment that occurs twice,
    and one of each other segment whose anchor has several, go to the anchor's
-   bucket.  An anchor with over ``hot_segments`` segments is split by the
-   text that all windows at one range of distances from it share.  Where over
-   ``hot_segments`` pieces share that text too, the split goes on to single
-   windows: of each window whose hash occurs twice two texts are sorted.
-3. The buckets' suffixes are sorted a bounded bundle at a time
-   (``bundle_windows``): first by a short prefix; ties, which are as long as
+   bucket, where the two are compared byte by byte.  An anchor with over
+   ``hot_segments`` segments is split by the text that all windows at one range
+   of distances from it share.  Where over ``hot_segments`` pieces share that text
+   too, the split goes on to single windows: of each window whose hash occurs
+   twice two texts are compared.
+3. The suffixes of one text of each segment are sorted with those of its bucket,
+   a bounded bundle of buckets at a time (``bundle_windows``): first by a short prefix; ties, which are as long as
    the window, are resolved by ranks of the positions in a difference cover
    {0, 1, 3, 9} mod 13, computed before by doubling over the cover positions
    alone (4/13 of the memory).  For any two suffixes some shift below 13 puts
-   both on the cover.  What the sort finds equal is repeated, and nothing else;
-   further copies of a text follow its two that were sorted.
+   both on the cover.  What the comparison and the sort find equal is repeated, and
+   nothing else; further copies of a text follow the two that were compared.
 4. The repeated ranges return to their documents, where the bytes are cut.
 
 Texts cross the network compressed and never meet in one place but for the
@@ -278,8 +279,9 @@ def repeated_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
 
 
 def _compare(pieces: DataFrame, window: int, bundles: int) -> DataFrame:
-    """(key, sub, piece, s, e): the repeated ranges of windows of every piece,
-    by sorting at most two texts of each."""
+    """(key, sub, piece, s, e): the repeated ranges of windows of every piece.
+    Two texts of a piece are compared byte by byte: if they are equal, the piece is
+    repeated.  One text of each piece is sorted with the others of its bucket."""
     def run(_, g):
         g = g.combine_chunks()
         ids = np.stack([g.column(c).to_numpy() for c in ("key", "sub", "piece", "src_seg", "copy")])
@@ -289,11 +291,23 @@ def _compare(pieces: DataFrame, window: int, bundles: int) -> DataFrame:
         # the first and the second text of each piece
         new = np.concatenate([[True], (ids[:3, 1:] != ids[:3, :-1]).any(0)]) if n else np.zeros(0, bool)
         second = np.concatenate([[False], new[:-1]]) & ~new if n else new
-        kept = np.flatnonzero(new | second)
-        ids, new, texts = ids[:, kept], new[kept], pc.take(g.column("text"), pa.array(order[kept])).to_pylist()
+        firsts, texts = np.flatnonzero(new), pc.take(g.column("text"), pa.array(order[new])).to_pylist()
+        place = np.cumsum(new) - 1
+        twice = np.zeros(len(firsts), bool)
+        pair = np.flatnonzero(second)
+        for k, t in zip(place[pair].tolist(), pc.take(g.column("text"), pa.array(order[pair])).to_pylist()):
+            twice[k] = t == texts[k]
+        ids = ids[:, firsts]
+        # a bucket of one text has nothing to put in order
+        alone = np.concatenate([[True], (ids[:2, 1:] != ids[:2, :-1]).any(0), [True]]) if len(firsts) else np.ones(1, bool)
+        many = np.flatnonzero(~(alone[:-1] & alone[1:]))
         of, s, e = [], [], []
-        for k, dup in enumerate(repeated_windows(texts, window)):
-            if not new[k]:
+        for k in np.flatnonzero(twice).tolist():
+            of.append(k)
+            s.append(0)
+            e.append(len(texts[k]) - window + 1)
+        for k, dup in zip(many.tolist(), repeated_windows([texts[k] for k in many.tolist()], window) if len(many) else []):
+            if twice[k]:
                 continue
             step = np.diff(np.concatenate([[0], dup.view(np.int8), [0]]))
             a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -314,7 +328,7 @@ def _bundles(pieces: DataFrame, bundle_windows: int) -> int:
 def _by_window(pieces: DataFrame, window: int, bundle_windows: int) -> DataFrame:
     """(key, sub, piece, s, e): the windows of the pieces that another piece of
     their (key, sub) holds, too.  Hashes of single windows deal them out; of each
-    hash that occurs twice two windows are sorted.  A piece's own windows
+    hash that occurs twice two windows are compared.  A piece's own windows
     lie at different distances from the anchor, so no two of them are equal."""
     def hashed(batches):
         for b in batches:

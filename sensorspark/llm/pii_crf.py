@@ -1,19 +1,23 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-The patterns give the base spans.  The CRF labels the document's candidate
-tokens (words that hold a digit or ``@``; all other words are fixed as
-"other", so the chain falls into runs of candidates).  Its potentials are
-token features, a chain factor between neighbouring candidates and a skip
-factor between repeated or similar tokens anywhere in the document (equal
-digits, or equal mail name or host), each occurrence tied to the one before.
+The patterns give the base spans.  The CRF's nodes are the base spans, whose
+labels are known, and outside them the candidates: runs of digits with the
+marks that numbers are written with (blanks, dots, hyphens, slashes, brackets; a run of over 19
+digits falls into its words), words that hold ``@``, and words that are the name or
+the host of a mail address of the document.  Its potentials are node features, a
+chain factor between neighbours and three skip factors that tie nodes anywhere
+in the document, each occurrence to the one before: equal last seven digits,
+equal text or mail name, equal mail host.
 Loopy sum-product message passing over all documents of an Arrow batch at
-once gives the marginals; tokens that no base span covers become spans when
-their marginal passes ``min_probability``, so a number that is a phone number
-in one place is one in its other spellings too.
+once gives the marginals; a candidate becomes a span when its marginal passes
+``min_probability``, so a number that is a phone number in one place is one in
+its other spellings too.
 
 The weights are trained by pseudo-likelihood on a bounded sample of documents
-(``train_docs``) labelled by the patterns; a share of the training tokens
-loses its own features, so that what the linked tokens say gets its weight.
+(``train_docs``) labelled by the patterns, and on some short texts by rule.  A candidate that a skip factor ties to a
+base span has no label of its own there and does not count; instead every training document comes once
+more with its base spans spelled in other ways, and with other numbers of the same
+shapes that are tied to nothing: so it is the ties that tell them apart.
 
 Cases: NULL and empty texts have no spans; repeated rows and NULL ids get one
 result each; an empty table gives no rows; a corpus without candidates trains
@@ -90,56 +94,153 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, own in enumerate(spans) for s, e in sorted(own))
 
 
+#: A number as it is written: digits with at most three marks between two of them.
+_RUN = re.compile(r"[+(]?[0-9](?:[\x20().+/-]{0,3}[0-9])*")
+CHAIN, DIGITS, NAME, HOST = range(4)
+MOST_DIGITS = 19
+
+
+def candidates(text: str, spans) -> list[tuple[int, int]]:
+    """Spans outside the base ``spans`` that may be personal data."""
+    mails = [text[s:e].lower() for s, e in spans[0]]
+    names = {x for m in mails for x in m.split("@") if len(x) >= 4}
+    out, at = [], 0
+    for s, e in [*sorted((s, e) for own in spans for s, e in own), (len(text), len(text))]:
+        if s > at:
+            gap = text[at:s]
+            runs = []
+            for m in _RUN.finditer(gap):
+                if len(_NO_DIGIT.sub("", m.group())) <= MOST_DIGITS:
+                    runs.append(m.span())
+                else:
+                    runs += [(m.start() + w.start(), m.start() + w.end()) for w in _WORD.finditer(m.group()) if _DIGIT.search(w.group())]
+            if names or "@" in gap:
+                for m in _WORD.finditer(gap):
+                    w = m.group()
+                    core = w.strip(_TRIM)
+                    if core and ("@" in w or core.lower() in names):
+                        a = m.start() + w.index(core)
+                        runs = [r for r in runs if r[1] <= a or r[0] >= a + len(core)] + [(a, a + len(core))]
+            out += [(at + a, at + b) for a, b in sorted(runs)]
+        at = max(at, e)
+    return out
+
+
+def links(text: str) -> list[tuple[int, str]]:
+    """(kind of link, key) of a node's text."""
+    digits, low = _NO_DIGIT.sub("", text), text.lower()
+    out = [(DIGITS, digits[-7:])] if len(digits) >= 7 and "@" not in text else []
+    if "@" in low:
+        name, host = low.split("@")[:2]
+        out += [(NAME, low), *([(NAME, name)] if len(name) >= 4 else []), *([(HOST, host)] if len(host) >= 4 else [])]
+    elif len(low) >= 4:
+        out += [(NAME, low), (HOST, low)]
+    return out
+
+
+def node_features(text: str, before: str) -> list[str]:
+    digits = _NO_DIGIT.sub("", text)
+    shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", lambda x: str(min(len(x.group()), 20)) + "d", text[:80]))
+    f = [f"s={shape[:40]}", f"n={min(len(digits), 24)}", f"p={before[-12:].lower()}", f"c={text[:1] if not text[:1].isalnum() else 'x'}",
+         f"dots={min(text.count('.'), 5)}", f"at={min(text.count('@'), 2)}", f"alpha={any(c.isalpha() for c in text)}", "bias"]
+    if 13 <= len(digits) <= 19:
+        f.append(f"luhn={luhn(digits)}")
+    return f
+
+
 class Tokens:
-    """Candidate tokens of a batch of documents as one graph."""
+    """The nodes of a batch of documents as one graph."""
 
     def __init__(self):
         self.doc, self.start, self.end, self.features, self.label = [], [], [], [], []
-        self.chain, self.skip = [], []
-
-    def add(self, doc: int, text: str, spans) -> None:
-        covered = sorted((s, e, k) for k, own in enumerate(spans) for s, e in own)
-        seen: dict[str, int] = {}
-        at, last_word, last = 0, "", -2
-        for number, m in enumerate(_WORD.finditer(text)):
-            w = m.group()
-            if "@" not in w and _DIGIT.search(w) is None:
-                last_word = w
-                continue
-            s, e = m.span()
-            while at < len(covered) and covered[at][1] <= s:
-                at += 1
-            near = covered[at:at + 4]
-            label = min((k for a, b, k in near if a < e and b > s), default=OTHER)
+        self.base, self.known = [], []          # is a base span; its label counts in training
+        self.pairs = [[], [], [], []]           # edges by kind
+
+    def add(self, doc: int, text: str, spans, more=()) -> None:
+        """The document's nodes; ``more`` (start, end, kind) are further spans
+        whose labels are known, but which no pattern finds."""
+        named = {(s, e): k for s, e, k in more}
+        nodes = [(s, e, k, True) for k, own in enumerate(spans) for s, e in own]
+        nodes += [(s, e, named.get((s, e), OTHER), False) for s, e in candidates(text, spans)]
+        nodes.sort(key=lambda n: (n[0], n[1], not n[3]))
+        seen: dict = {}
+        first, end = len(self.doc), -1
+        for s, e, k, base in nodes:
             t = len(self.doc)
-            if last == number - 1:
-                self.chain.append((t - 1, t))
-            core = w.strip(_TRIM)
-            digits = _NO_DIGIT.sub("", w)
-            for key in {("d", digits[-7:]) if len(digits) >= 7 else None,
-                        ("t", core.lower()) if len(core) >= 5 else None,
-                        ("u", core.lower().split("@")[0]) if "@" in core else None} - {None}:
-                if key in seen:
-                    self.skip.append((seen[key], t))
-                seen[key] = t
-            shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", lambda x: str(min(len(x.group()), 20)) + "d", core[:80]))
-            f = [f"s={shape[:40]}", f"n={min(len(digits), 24)}", f"p={last_word[-12:].lower()}", f"c={w[:1] if not w[:1].isalnum() else 'x'}",
-                 f"dots={min(core.count('.'), 5)}", f"at={min(core.count('@'), 2)}", f"alpha={any(c.isalpha() for c in core)}", "bias"]
-            if 13 <= len(digits) <= 19:
-                f.append(f"luhn={luhn(digits)}")
+            own = text[s:e]
+            gap = text[max(0, s - 40):s]
+            if t > first and _WORD.search(text, max(end, 0), max(end, s)) is None:
+                self.pairs[CHAIN].append((t - 1, t))
+            tied = False
+            for kind, key in links(own):
+                if (kind, key) in seen:
+                    u = seen[kind, key]
+                    self.pairs[kind].append((u, t))
+                    tied = tied or kind != HOST
+                seen[kind, key] = t
+            words = _WORD.findall(gap)
+            named_here = (s, e) in named
             self.doc.append(doc)
             self.start.append(s)
             self.end.append(e)
-            self.features.append(f)
-            self.label.append(label)
-            last, last_word = number, w
+            self.features.append(node_features(own, words[-1] if words else ""))
+            self.label.append(k)
+            self.base.append(base)
+            self.known.append(base or named_here or not tied)
+            end = e
+        # a candidate before its base span is tied, too
+        for kind in (DIGITS, NAME):
+            for u, t in self.pairs[kind]:
+                if u >= first and self.base[t] and not self.base[u] and (self.start[u], self.end[u]) not in named:
+                    self.known[u] = False
 
     def edges(self):
-        both = [np.array(x, np.int64).reshape(-1, 2) for x in (self.chain, self.skip)]
-        kind = np.repeat([0, 1], [len(x) for x in both])
+        both = [np.array(x, np.int64).reshape(-1, 2) for x in self.pairs]
+        kind = np.repeat(np.arange(len(both)), [len(x) for x in both])
         return np.concatenate(both), kind
 
 
+def respelled(kind: int, text: str, rng) -> str | None:
+    """Another way to write a base span, which no pattern finds."""
+    if KINDS[kind] == "email":
+        name = text.split("@")[0]
+        return name if len(name) >= 4 and rng.random() < 0.5 else text.upper() if rng.random() < 0.5 else None
+    digits = _NO_DIGIT.sub("", text)
+    if KINDS[kind] == "phone":
+        local = digits[-10:]
+        return [digits, local, f"{local[:-7]}-{local[-7:-4]}-{local[-4:]}", f"({local[:-7]}) {local[-7:-4]}-{local[-4:]}", f"{local[:-7]} {local[-7:-4]} {local[-4:]}",
+                f"{local[:-7]}.{local[-7:-4]}.{local[-4:]}"][int(rng.integers(0, 6))] if len(local) >= 8 else digits
+    if KINDS[kind] == "card":
+        return [".", "/", "  "][int(rng.integers(0, 3))].join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    return None
+
+
+def spelled_again(text: str, spans, rng) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with other spellings of its base spans behind it and, as what is no
+    personal data, numbers of the same shapes that nothing ties to a span and bare
+    mail hosts; and where these are."""
+    more = []
+    for k, own in enumerate(spans):
+        for s, e in own:
+            for label in (k, OTHER):
+                other = text[s:e]
+                if label == k:
+                    other = respelled(k, other, rng)
+                elif KINDS[k] in ("card", "phone"):
+                    other = respelled(k, re.sub("[0-9]", lambda _: str(rng.integers(0, 10)), other), rng)
+                else:
+                    other = other.split("@")[1] if "@" in other else None
+                if other:
+                    text += " ; "
+                    more.append((len(text), len(text) + len(other), label))
+                    text += other
+    return text, more
+
+
+#: Log odds of a given label.
+GIVEN = 50.0
+
+
 def _unary(features, index, weights):
     """Sum of the weights of each token's known features."""
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
@@ -154,35 +255,37 @@ def fit(tokens: Tokens, rounds: int = 300, rate: float = 0.1, l2: float = 1e-3,
     k = OTHER + 1
     index = {x: i for i, x in enumerate(dict.fromkeys(x for f in tokens.features for x in f))}
     n = len(tokens.features)
-    pair = np.zeros((2, k, k))
+    pair = np.zeros((4, k, k))
     w = np.zeros((len(index), k))
     if not n:
         return {"index": index, "weights": w, "pair": pair}
     y = np.array(tokens.label)
     one = np.eye(k)[y]
+    known = np.array(tokens.known)
     e, kind = tokens.edges()
-    around = np.zeros((2, n, k))        # the labels of the neighbours, counted by kind of edge
-    for t in (0, 1):
-        np.add.at(around[t], e[kind == t, 0], one[e[kind == t, 1]])
-        np.add.at(around[t], e[kind == t, 1], one[e[kind == t, 0]])
+    around = np.zeros((4, n, k))        # the known labels of the neighbours, counted by kind of edge
+    told = one * known[:, None]
+    for t in range(4):
+        np.add.at(around[t], e[kind == t, 0], told[e[kind == t, 1]])
+        np.add.at(around[t], e[kind == t, 1], told[e[kind == t, 0]])
     rows = np.repeat(np.arange(n), [len(f) for f in tokens.features])
     cols = np.array([index[x] for f in tokens.features for x in f])
-    hidden = (np.random.default_rng(seed).random(n) < masked) & (around[1].sum(1) > 0)
+    hidden = (np.random.default_rng(seed).random(n) < masked) & (around[1:].sum((0, 2)) > 0)
     keep = ~hidden[rows] | (cols == index["bias"])
     rows, cols = rows[keep], cols[keep]
-    share = 1.0 / n
+    share = 1.0 / max(1, known.sum())
     state = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(pair), np.zeros_like(pair)]]
     for step in range(1, rounds + 1):
         z = np.zeros((n, k))
         np.add.at(z, rows, w[cols])
-        z += around[0] @ pair[0] + around[1] @ pair[1]
+        z += sum(around[t] @ pair[t] for t in range(4))
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
-        d = (p - one) * share
+        d = (p - one) * share * known[:, None]
         gw = np.zeros_like(w)
         np.add.at(gw, cols, d[rows])
-        gp = np.stack([around[t].T @ d for t in (0, 1)])
+        gp = np.stack([around[t].T @ d for t in range(4)])
         gp = (gp + gp.transpose(0, 2, 1)) / 2     # an edge has no direction
         for x, g, (m, v) in ((w, gw + l2 * share * w, state[0]), (pair, gp + l2 * share * pair, state[1])):
             m += 0.1 * (g - m)
@@ -192,8 +295,12 @@ def fit(tokens: Tokens, rounds: int = 300, rate: float = 0.1, l2: float = 1e-3,
 
 
 def marginals(tokens: Tokens, model: dict, rounds: int = 30, damping: float = 0.5) -> np.ndarray:
-    """Label marginals of all tokens by damped loopy sum-product in log space."""
+    """Label marginals of all nodes by damped loopy sum-product in log space;
+    the labels of base spans are given."""
     u = _unary(tokens.features, model["index"], model["weights"])
+    given = np.flatnonzero(tokens.base)
+    u[given] = -GIVEN
+    u[given, np.array(tokens.label, np.int64)[given]] = 0
     e, kind = tokens.edges()
     src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
     pot = model["pair"][np.concatenate([kind, kind])]
@@ -217,38 +324,49 @@ def marginals(tokens: Tokens, model: dict, rounds: int = 30, damping: float = 0.
     return p / p.sum(1, keepdims=True)
 
 
-def add_spans(texts, spans, tokens: Tokens, p: np.ndarray, min_probability: float):
-    """``spans`` with the tokens that no base span covers and whose marginal
-    for a kind passes; neighbours of one kind become one span."""
+def add_spans(spans, tokens: Tokens, p: np.ndarray, min_probability: float):
+    """``spans`` with the candidates whose marginal for a kind passes."""
     out = [[list(own) for own in s] for s in spans]
-    best, prob = p[:, :OTHER].argmax(1), p[:, :OTHER].max(1) if len(p) else p[:, :0]
-    label = np.array(tokens.label)
-    chained = {b for _, b in tokens.chain}
-    last = None
-    for t in np.flatnonzero((label == OTHER) & (prob >= min_probability)).tolist() if len(p) else []:
-        d, k = tokens.doc[t], int(best[t])
-        raw = texts[d][tokens.start[t]:tokens.end[t]]
-        s = tokens.start[t] + len(raw) - len(raw.lstrip(_TRIM))
-        e = tokens.end[t] - (len(raw) - len(raw.rstrip(_TRIM)))
-        if e <= s:
-            continue
-        if last == (t - 1, k) and t in chained:
-            out[d][k][-1] = (out[d][k][-1][0], e)
-        else:
-            out[d][k].append((s, e))
-        last = (t, k)
+    if len(p):
+        best, prob = p[:, :OTHER].argmax(1), p[:, :OTHER].max(1)
+        for t in np.flatnonzero(~np.array(tokens.base) & (prob >= min_probability)).tolist():
+            out[tokens.doc[t]][int(best[t])].append((tokens.start[t], tokens.end[t]))
     return [[sorted(own) for own in s] for s in out]
 
 
-def train(docs: DataFrame, train_docs: int = 2000) -> dict:
+def examples(n: int, rng) -> list[str]:
+    """``n`` short texts by rule with a span of each kind in turn and numbers
+    that are none, so that a kind that the corpus's sample lacks is learned, too."""
+    out = []
+    for i in range(n):
+        d = "".join(str(x) for x in rng.integers(0, 10, 40))
+        card = d[:15]
+        card += next(c for c in "0123456789" if luhn(card + c))
+        own = (f"n{d[:3]}.{d[3:6]}@host{d[6:8]}.example", ".".join(str(int(x) % 256) for x in (d[8:11], d[11:14], d[14:17], d[17:20])),
+               " ".join(card[k:k + 4] for k in range(0, 16, 4)), f"+{1 + int(d[20])} {d[21:24]} {d[24:27]} {d[27:31]}")[i % len(KINDS)]
+        out.append(f"{own} ; {d[31:33]} , {d[33:39]} ; {d[33:39]}")
+    return out
+
+
+def train(docs: DataFrame, train_docs: int = 2000, train_chars: int = 100_000, n_examples: int = 200, seed: int = 7) -> dict:
     """Weights from at most ``train_docs`` different texts that hold a digit or
-    ``@`` and at most 100,000 characters (the first by a hash of the text, so
-    that neither a source nor copies can crowd others out)."""
-    some = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 100_000))
-    rows = hashed_sample(some, ["text"], train_docs).select("text").collect()
-    tokens = Tokens()
-    for i, r in enumerate(sorted(x.text for x in rows)):
-        tokens.add(i, r, base_spans(r))
+    ``@`` and at most ``train_chars`` characters (the first by a hash of the text, so
+    that neither a source nor copies can crowd others out), and ``n_examples``
+    texts by rule."""
+    some = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= int(train_chars)))
+    rows = sorted(r.text for r in hashed_sample(some, ["text"], train_docs).select("text").collect())
+    return learn(rows, n_examples, seed)
+
+
+def learn(texts: list[str], n_examples: int = 200, seed: int = 7) -> dict:
+    """Weights from the texts, labelled by the patterns, and from examples."""
+    tokens, rng = Tokens(), np.random.default_rng(seed)
+    for i, text in enumerate([*texts, *examples(n_examples if texts else 0, rng)]):
+        spans = base_spans(text)
+        tokens.add(2 * i, text, spans)
+        again, more = spelled_again(text, spans, rng)
+        if more:
+            tokens.add(2 * i + 1, again, base_spans(text), more)
     return fit(tokens)
 
 
@@ -261,7 +379,7 @@ def find(texts: list[str], model: dict, min_probability: float):
             tokens.add(i, t, base[i])
     if not tokens.doc:
         return base, base
-    return base, add_spans(texts, base, tokens, marginals(tokens, model), min_probability)
+    return base, add_spans(base, tokens, marginals(tokens, model), min_probability)
 
 
 def pii_spans(docs: DataFrame, min_probability: float = 0.95, train_docs: int = 2000) -> DataFrame:

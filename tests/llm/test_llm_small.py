@@ -394,6 +394,54 @@ def test_message_passing_is_exact_on_a_tree_and_close_on_a_loop():
         assert np.abs(pii_crf.marginals(t, model, rounds=200) - exact_marginals(t, model)).max() < tolerance
 
 
+SPELLED = ["+1 415 555 0199", "(415) 555-0199", "415-555-0199", "415.555.0199", "14155550199", "415 555 0199"]
+
+
+def added(text, model):
+    base, every = pii_crf.find([text], model, 0.95)
+    assert all(set(b) <= set(e) for b, e in zip(base[0], every[0]))
+    return [sorted(text[s:e] for s, e in set(e) - set(b)) for b, e in zip(base[0], every[0])]
+
+
+def test_one_matched_spelling_finds_the_others(spark):
+    """Learned from the test table and from a corpus without personal data."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for model in (pii_crf.train(docs), pii_crf.train(frame(spark, [(i, f"item {i} of {i + 7}") for i in range(20)]))):
+        for order in (SPELLED, SPELLED[::-1], SPELLED[3:] + SPELLED[:3]):
+            text = "call " + " or try ".join(order) + " . order 77120 of 2024-01-05, rooms 10 and 12, ref 8812345 and 555 1234"
+            assert added(text, model) == [[], [], [], sorted(SPELLED[1:])]
+        assert added("call " + " or ".join(SPELLED[1:]), model) == [[], [], [], []]                 # no base span, nothing to tie to
+        mail = "mail bob.smith@example.com, later Bob.Smith wrote; see example.com or amy@example.com; card 4111 1111 1111 1111 or 4111.1111.1111.1111"
+        assert added(mail, model) == [["Bob.Smith"], [], ["4111.1111.1111.1111"], []]
+
+
+def test_what_the_field_adds_to_the_test_table(spark):
+    """Numbers in prose stay; what is added are card numbers next to each other,
+    which the pattern joins and drops."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    base, extra = 0, []
+    for r in pii_crf.pii_spans(docs).collect():
+        own = {f"{pii_crf.KINDS[k]}:{s}:{e}" for k, o in enumerate(pii_crf.base_spans(text[r.doc_id] or "")) for s, e in o}
+        base += len(own)
+        extra += [(x.split(":")[0], text[r.doc_id][int(x.split(":")[1]):int(x.split(":")[2])]) for x in set(r.spans.split(",")) - own - {""}]
+    assert base > 30 and extra and all(k == "card" and len(t) == 16 and pii_crf.luhn(t) for k, t in extra)
+
+
+def test_candidates_lie_outside_base_spans():
+    rng = np.random.default_rng(8)
+    pieces = ["a.bee@cee.dee", "a.bee", "CEE.DEE", "+1 (555) 123-4567", "555 123.4567", "4111 1111 1111 1111", "1.2.3.4", " ", ", ", "x9", "12", "\n", "(", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1 2", "@q"]
+    for _ in range(2000):
+        t = " ".join(rng.choice(pieces, int(rng.integers(1, 9))))
+        base = pii_crf.base_spans(t)
+        c = pii_crf.candidates(t, base)
+        taken = sorted((s, e) for own in base for s, e in own)
+        assert c == sorted(c) and all(a[1] <= b[0] for a, b in zip(c, c[1:]))
+        assert all(e <= a or s >= b for s, e in c for a, b in taken)
+        inside = {i for s, e in [*c, *taken] for i in range(s, e)}
+        assert all(i in inside for i, x in enumerate(t) if x.isdigit())
+
+
 def test_pii_redaction(spark):
     text = "mail bob@example.com or 192.168.0.1 now"
     docs = frame(spark, [(1, text), (2, None), (3, "")])

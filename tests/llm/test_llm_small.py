@@ -69,52 +69,128 @@ def test_katz_empty_and_untrained(spark):
 
 
 # ------------------------------------------------------------------ 2
-def syncmer_brute(text, k=7, s=2):
+def _signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _hash(text):
+    from xxhash import xxh64_intdigest
+    return _signed(xxh64_intdigest(text.encode(), 42))
+
+
+def _chain_hash(v):
     import struct
 
     from xxhash import xxh64_intdigest
-    sign = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-
-    def chain(v):
-        h = 42
-        for x in v:
-            h = xxh64_intdigest(struct.pack("<q", x), h)
-        return sign(h)
-    h = [sign(xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\x20\x09-\x0d]+", text)]
+    h = 42
+    for x in v:
+        h = xxh64_intdigest(struct.pack("<q", x), h)
+    return _signed(h)
+
+
+def syncmers_of(h, k, s):
     if len(h) < k:
-        return [chain(h)] if h else []
-    m, w = [chain(h[i:i + s]) for i in range(len(h) - s + 1)], k - s + 1
-    return [chain(h[i:i + k]) for i in range(len(h) - k + 1) if min(m[i:i + w]) in (m[i], m[i + w - 1])]
+        return [(0, _chain_hash(h))] if h else []
+    m, w = [_chain_hash(h[i:i + s]) for i in range(len(h) - s + 1)], k - s + 1
+    return [(i, _chain_hash(h[i:i + k])) for i in range(len(h) - k + 1) if min(m[i:i + w]) in (m[i], m[i + w - 1])]
+
+
+def word_tokens(text):
+    return [t for w in re.findall(r"[^\x20\x09-\x0d]+", text) for t in (w if len(w) > 24 else [w])]
 
 
-def jaccard(a, b):
-    a, b = set(a), set(b)
-    return len(a & b) / len(a | b) if a | b else 1.0
+def syncmer_brute(text, k=7, s=2):
+    """The levels of a text's fingerprint: (position, hash)."""
+    chars = [_hash(c) for c in text]
+    start = [_hash(""), *chars]
+    return (syncmers_of([_hash(w) for w in word_tokens(text)], k, s), syncmers_of(chars, 5, 2) if len(text) < 1024 else None,
+            [(i, _chain_hash(start[i:i + 2])) for i in range(len(chars))] if len(text) < 48 else None)
+
+
+def likeness_brute(a, b, look=64):
+    level = next(i for i in (2, 1, 0) if a[i] is not None and b[i] is not None)
+    a, b = a[level], b[level]
+    ha, hb = Counter(h for _, h in a), Counter(h for _, h in b)
+    if not ha or not hb:
+        return float(not ha and not hb)
+    once = {h for h in ha if ha[h] == 1 and hb.get(h) == 1}
+    at = {h: p for p, h in b}
+    pairs = [(p, at[h]) for p, h in a if h in once]
+    runs = []
+    for x, y in pairs:
+        if runs and runs[-1][3] == x - y:
+            runs[-1][1], runs[-1][2] = y, runs[-1][2] + 1
+        else:
+            runs.append([y, y, 1, x - y])
+    best = []
+    for i, (first, _, n, _) in enumerate(runs):
+        best.append(n + max((best[j] for j in range(max(0, i - look), i) if runs[j][1] < first), default=0))
+    return (max(best, default=0) + len(set(ha) & set(hb)) - len(once)) / len(set(ha) | set(hb))
+
+
+MORE_TEXTS = ["字" * 5 + "漢字仮名交じり文の長い一続きの行です" * 4, "ab" * 40, "line again\n" * 30, "x", "xy", "the cat sat on the mat", "w " * 700 + "end", "q" * 1100,
+              " ".join(f"u{i}" for i in range(300)), " ".join(f"u{i}" for i in [*range(200, 300), *range(0, 200)]), "a" * 24 + " " + "b" * 25]
 
 
 @pytest.mark.parametrize("cell_rows", [512, 2])
-def test_syncmers_match_brute_force(spark, edge, cell_rows, monkeypatch):
-    monkeypatch.setattr(syncmers.with_next, "__defaults__", (cell_rows, ()))
-    docs = sorted(((i, t or "") for i, t in EDGE), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    show = lambda a: " ".join("%x" % (x & 0xFFFFFFFF) for x in a)
+def test_syncmers_match_brute_force(spark, cell_rows, monkeypatch):
+    monkeypatch.setattr(syncmers.with_next, "__defaults__", (cell_rows,))
+    rows = list(EDGE) + [(20 + i, t) for i, t in enumerate(MORE_TEXTS)] + [(None, f"n {i}") for i in range(9)] + [(20, f"again {i}") for i in range(9)]
+    docs = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, _hash(x[1]), x[1]))
+    show = lambda f: " | ".join(" ".join("%x:%d" % (h & 0xFFFFFFFF, p) for p, h in a) for a in f if a is not None)
     want = []
     for n, (i, t) in enumerate(docs):
         nxt = docs[(n + 1) % len(docs)][1]
         half = len(t) // 2
         edited = t[:len(t) - half] + nxt[:half]
         a, b, c = map(syncmer_brute, (t, edited, nxt))
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(b), round(jaccard(a, b), 9), round(jaccard(a, c), 9)))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(b), round(likeness_brute(a, b), 9), round(likeness_brute(a, c), 9)))
     got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9))
-           for r in syncmers.compare_neighbours(edge).collect()]
+           for r in syncmers.compare_neighbours(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def like(spark, *pairs):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    r = df.select("i", syncmers.likeness(syncmers.fingerprint(F.col("a")), syncmers.fingerprint(F.col("b"))).alias("x")).collect()
+    return [x for _, x in sorted((r.i, r.x) for r in r)]
+
+
+def test_likeness_goes_by_position(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9)))) for _ in range(400)]
+    text = " ".join(words)
+    blocks = [words[i:i + 20] for i in range(0, 400, 20)]
+    backward = " ".join(w for b in blocks[::-1] for w in b)
+    han = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 900))
+    half = " ".join(words[:150] + ["new"] * 8 + words[150:])
+    moved = " ".join(words[300:] + words[:300])
+    x = like(spark, (text, text), (text, backward), (text[:900], text[:450] + "#" + text[451:900]), (han, han[:450] + "#" + han[451:]), (text, half), (text, moved), ("", ""), ("", "a"), (text, "zz"))
+    assert x[0] == 1.0 and x[1] < 0.2 and x[2] >= 0.8 and x[3] >= 0.8 and x[4] > 0.85 and 0.5 < x[5] < 0.85 and x[6:] == [1.0, 0.0, 0.0]
+
+
+def test_half_edited_texts_are_never_unlike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = syncmers.compare_neighbours(docs).collect()
+    assert len(rows) == len(text) and all(r.near_edited > 0 for r in rows)
+    assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next)) and np.mean([r.near_edited for r in rows]) > np.mean([r.near_next for r in rows]) + 0.2
+
+
+def test_hot_ids_fall_into_many_cells(spark):
+    rows = [(7, f"t{i}") for i in range(400)] + [(None, f"n{i}") for i in range(300)] + [(i, f"x{i}") for i in range(300)]
+    cells = syncmers._cells(frame(spark, rows).select("doc_id", "text"), 10).groupBy("coarse", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect()
+    assert max(r.n for r in cells) < 60
+    order = [(r.a is not None, r.a or 0) for r in sorted(cells, key=lambda r: (r.coarse, r.cell))]
+    assert order == sorted(order)
+
+
 def test_syncmers_empty_and_context_free(spark):
     assert syncmers.compare_neighbours(empty(spark)).count() == 0
     passage = " ".join(f"p{i * i % 101}" for i in range(60))
-    a, b = syncmer_brute("x y z " + passage), syncmer_brute(passage + " q r s")
-    inner = set(syncmer_brute(passage))
-    assert inner <= set(a) and inner <= set(b) and len(inner) > 5
+    of = lambda t: {h for _, h in syncmer_brute(t)[0]}
+    inner = of(passage)
+    assert inner <= of("x y z " + passage) and inner <= of(passage + " q r s") and len(inner) > 5
 
 
 # ------------------------------------------------------------------ 4

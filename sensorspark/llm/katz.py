@@ -83,6 +83,17 @@ def get_rising(b: bytes, new: np.ndarray | None = None) -> np.ndarray:
     return total - np.repeat(total[head] - d[head], np.diff(np.append(head, len(d))))
 
 
+def put_known(ident: np.ndarray, count: np.ndarray) -> bytes:
+    """The ids of n-grams that have a count; in an answer they rise."""
+    return put_rising(ident[count > 0])
+
+
+def get_known(b: bytes, count: np.ndarray) -> np.ndarray:
+    out = np.full(len(count), UNKNOWN, np.int64)
+    out[count > 0] = get_rising(b)
+    return out
+
+
 def put_words(words) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))
 
@@ -117,6 +128,24 @@ def discounts(n_r, cutoff: int) -> list[float]:
     return out
 
 
+def put_history(sums: np.ndarray, mass: np.ndarray, need: np.ndarray) -> tuple[bytes, bytes]:
+    """What a block must know of its histories: of those whose backoff weight it needs,
+    how many n-grams have each small count and their mass one order down; of the
+    others, which small counts occur (so whether they lose anything)."""
+    flags = ((sums > 0) << np.arange(sums.shape[1])).sum(1) | need.astype(np.int64) << sums.shape[1]
+    return put(np.concatenate([flags, sums[need].ravel()])), put(mass[need])
+
+
+def get_history(b: bytes, c: bytes, n: int, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, mass) of ``n`` histories; 1 stands for any number, and 0 for the mass, where neither is needed."""
+    x = get(b)
+    flags = x[:n]
+    sums, mass = flags[:, None] >> np.arange(cutoff) & 1, np.zeros(n)
+    need = flags >> cutoff > 0
+    sums[need], mass[need] = x[n:].reshape(-1, cutoff), get(c)
+    return sums, mass
+
+
 @dataclass
 class Stats:
     """What the whole training text says: tokens, documents, words, and by
@@ -213,10 +242,14 @@ class Block:
         self.order = 1
         self.p = stats.unigram(self.word_count[self.token], stats.lost)
         self.gram, self.gram_id, self.gram_count = self.token, self.word_id, self.word_count
+        # what p = factor(c) c / total divides by, for each n-gram
+        self.gram_total = np.full(len(self.words), stats.tokens + 1 if stats.lost <= 0 else max(1, stats.tokens), np.int64)
 
     def request(self, stats: Stats, hot: int, buckets: int):
-        """The distinct n-grams of the next order whose history is known:
-        (part, sorted by part, history, word) and what a bucket must know."""
+        """The distinct n-grams of the next order whose history is known, sorted:
+        part, history, word, training count here, and the count of the n-gram
+        without its first word (where it is trained here) with the total it is
+        divided by, which is one number a history; whether the history is split."""
         k = self.order + 1
         at = np.flatnonzero(self.place >= k - 2)
         # the history is the n-gram that ends one token before; at a document's start it is the start sign
@@ -236,31 +269,35 @@ class Block:
         part = (_hash(self.ctx, sub) % np.uint64(buckets)).astype(np.int64)
         known = np.flatnonzero(self.ctx_count > 0)
         self.sent = known[np.lexsort((self.follower[known], self.ctx[known], part[known]))]
-        return part[self.sent], self.ctx[self.sent], self.follower[self.sent], seen[self.sent], self.p[at[one]][self.sent], splits[self.sent] > 1
+        lower = self.gram[at[one]][self.sent]
+        seen = seen[self.sent]
+        return (part[self.sent], self.ctx[self.sent], self.follower[self.sent], seen, np.where(seen > 0, self.gram_count[lower], 0), self.gram_total[lower],
+                splits[self.sent] > 1)
 
     def learn(self, stats: Stats, answers: dict, hot_sums: dict, hot: int, buckets: int) -> None:
         """One order up: counts, ids, history sums and p of every token."""
-        part, ctx, _, _, _, split = self.request(stats, hot, buckets)
+        part, ctx, *_, split = self.request(stats, hot, buckets)
         k, n = self.order + 1, len(self.ctx)
         count, ident = np.zeros(n, np.int64), np.zeros(n, np.int64)
         by_count, low = np.zeros((n, stats.cutoff)), np.zeros(n)
         which, cut = np.unique(part, return_index=True)
         for q, o in zip(which.tolist(), np.split(np.arange(len(part)), cut[1:])):
             a = answers[q]
-            count[self.sent[o]] = get(a["a"])
+            count[self.sent[o]] = counted = get(a["a"])
             if a["d"] is not None:
-                ident[self.sent[o]] = get(a["d"])
+                ident[self.sent[o]] = get_known(a["d"], counted)
             c = ctx[o]
             run = np.cumsum(np.concatenate([[True], c[1:] != c[:-1]])) - 1
-            by_count[self.sent[o]] = get(a["b"]).reshape(-1, stats.cutoff)[run]
-            low[self.sent[o]] = get(a["c"])[run]
+            sums, mass = get_history(a["b"], a["c"], int(run[-1]) + 1, stats.cutoff)
+            by_count[self.sent[o]] = sums[run]
+            low[self.sent[o]] = mass[run]
         for i in np.flatnonzero(split).tolist():
             by_count[self.sent[i]], low[self.sent[i]] = hot_sums[int(ctx[i])]
         d = np.array(stats.factors[k - 1])
         total = np.maximum(self.ctx_count, 1).astype(float)
         lost = (by_count * (np.arange(1, stats.cutoff + 1) * (1 - d))).sum(1)
         spare = lost <= 0                                               # nothing discounted: one token more
-        total[spare] += 1
+        total[spare] += 1                                               # as ``get_history`` says, right for all histories
         alpha = np.where(spare, 1.0, lost) / total / np.maximum(1 - low, 1e-300)
         alpha[self.ctx_count == 0] = 1.0
         p = np.where(count > 0, stats.factor(k, count) * count / total, 0.0)
@@ -269,7 +306,7 @@ class Block:
         new[self.at] = np.where(here > 0, here, alpha[self.pair] * self.p[self.at])
         gram = np.zeros(len(self.token), np.int64)
         gram[self.at] = self.pair
-        self.order, self.p, self.gram, self.gram_id, self.gram_count = k, new, gram, ident, count
+        self.order, self.p, self.gram, self.gram_id, self.gram_count, self.gram_total = k, new, gram, ident, count, total.astype(np.int64)
 
 
 def _block_of(left: pa.Table, right: pa.Table, plan: dict, upto: int) -> Block:
@@ -332,24 +369,24 @@ def _count_words(blocks: DataFrame, buckets: int, cutoff: int) -> DataFrame:
 
 def _count_grams(blocks: DataFrame, answers: DataFrame, plan: dict, order: int) -> DataFrame:
     """Order 2 and up: ask for the distinct n-grams of every block."""
-    buckets, cutoff, hot, last = plan["buckets"], plan["stats"].cutoff, plan["hot"], plan["order"]
+    buckets, cutoff, hot, last, stats = plan["buckets"], plan["stats"].cutoff, plan["hot"], plan["order"], plan["stats"]
 
     def ask(left, right):
         if left.num_rows == 0:
             return pa.Table.from_pylist([], schema)
         block = _block_of(left, right, plan, order - 1)
-        part, ctx, word, seen, low, split = block.request(plan["stats"], hot, buckets)
+        part, ctx, word, seen, lower, total, split = block.request(plan["stats"], hot, buckets)
         which, cut = np.unique(part, return_index=True)
         rows = []
         for p, o in zip(which.tolist(), np.split(np.arange(len(part)), cut[1:])):
             c = ctx[o]
             head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            values, index = np.unique(low[o], return_inverse=True)
             rows.append({"part": p, "block": left.column("block")[0].as_py(), "ctx": put_rising(c[head]), "run": put(np.diff(np.append(head, len(o)))),
-                         "word": put_rising(word[o], np.isin(np.arange(len(o)), head)), "seen": put(seen[o]), "low": put(values), "index": put(index), "split": put(split[o][head])})
+                         "word": put_rising(word[o], np.isin(np.arange(len(o)), head)), "seen": put(seen[o]), "lower": put(lower[o]), "total": put(total[o][head]),
+                         "split": put(split[o][head])})
         return pa.Table.from_pylist(rows, schema)
 
-    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("ctx", "run", "word", "seen", "low", "index", "split")]])
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("ctx", "run", "word", "seen", "lower", "total", "split")]])
 
     def answer(key, g):
         part, rows = key[0].as_py(), g.to_pylist()
@@ -357,7 +394,7 @@ def _count_grams(blocks: DataFrame, answers: DataFrame, plan: dict, order: int)
         ctx = np.concatenate([np.repeat(c, n) for c, n, _ in heads])
         word = np.concatenate([get_rising(r["word"], np.isin(np.arange(int(n.sum())), np.cumsum(n) - n)) for r, (_, n, _) in zip(rows, heads)])
         seen = np.concatenate([get(r["seen"]) for r in rows])
-        low = np.concatenate([get(r["low"])[get(r["index"])] for r in rows])
+        lower = np.concatenate([get(r["lower"]) for r in rows])
         sizes = np.cumsum([int(n.sum()) for _, n, _ in heads])[:-1]
         ctxs, c = np.unique(ctx, return_inverse=True)
         words, w = np.unique(word, return_inverse=True)
@@ -367,24 +404,33 @@ def _count_grams(blocks: DataFrame, answers: DataFrame, plan: dict, order: int)
         sums = np.zeros((len(ctxs), cutoff), np.int64)
         few = (count > 0) & (count <= cutoff)
         np.add.at(sums, (of[few], count[few] - 1), 1)
-        mass = np.bincount(of[count > 0], low[one][count > 0], len(ctxs))
+        # p of the n-gram without its first word, from its count
+        least = np.zeros(len(one), np.int64)
+        np.maximum.at(least, code, lower)
+        total = np.ones(len(ctxs), np.int64)
+        for r, (c_r, _, _) in zip(rows, heads):
+            total[np.searchsorted(ctxs, c_r)] = get(r["total"])
         known = np.flatnonzero(count > 0)
+        p = stats.factor(order - 1, least[known]) * least[known] / total[of[known]]
+        mass = np.bincount(of[known], p, len(ctxs))
         ident = np.where(count > 0, 2 + (np.cumsum(count > 0) - 1) * buckets + part, UNKNOWN)
         out = []
         split = np.zeros(len(ctxs), bool)
-        for r, code_r, (c_r, _, s_r) in zip(rows, np.split(code, sizes), heads):
+        for r, code_r, (c_r, n_r, s_r) in zip(rows, np.split(code, sizes), heads):
             at = np.searchsorted(ctxs, c_r)
             split[at[s_r > 0]] = True
-            out.append(("reply", r["block"], order << 40 | part, put(count[code_r]), put(sums[at].ravel()), put(mass[at]),
-                        put(ident[code_r]) if order < last else None))
+            here = count[code_r]
+            need = np.minimum.reduceat(here, np.cumsum(n_r) - n_r) == 0              # a follower that has no count
+            out.append(("reply", r["block"], order << 40 | part, put(here), *put_history(sums[at], mass[at], need),
+                        put_known(ident[code_r], here) if order < last else None))
         out.append(("model", None, order << 40 | part, put_rising(ctxs[of[known]]), put(words[w[one][known]]), put(count[known]),
-                    put(ident[known]) if order < last else None))
+                    put_rising(ident[known]) if order < last else None))
         out.append(("stat", None, order << 40 | part, None, None, None, None, [len(known), *_by_count(count, cutoff)]))
         if split.any():
             out.append(("hot", None, order << 40 | part, put(ctxs[split]), put(sums[split].ravel()), put(mass[split])))
         return _answers(out)
 
-    ddl = "part long, block long, ctx binary, run binary, word binary, seen binary, low binary, index binary, split binary"
+    ddl = "part long, block long, ctx binary, run binary, word binary, seen binary, lower binary, total binary, split binary"
     asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, ddl)
     return persist(asked.groupBy("part").applyInArrow(answer, ANSWER), f"katz-{order}", ["kind"])
 
@@ -403,7 +449,8 @@ def _hot_answers(found: DataFrame, below: DataFrame, blocks: DataFrame, plan: di
     def wanted(batches):
         for b in batches:
             for r in b.to_pylist():
-                ident, count = (get(r["a"]), get(r["b"])) if order == 2 else (get(r["d"]), get(r["a"]))
+                count = get(r["b"] if order == 2 else r["a"])
+                ident = get(r["a"]) if order == 2 else get_known(r["d"], count)
                 own = np.unique(ident[count >= hot])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r["block"], np.int64)), pa.array(own)], ["block", "ctx"])
 
@@ -440,14 +487,14 @@ class Model:
             for b in batches:
                 for r in b.to_pylist():
                     n = get(r["c"])
-                    ident = pa.nulls(len(n), pa.int64()) if r["d"] is None else pa.array(get(r["d"]))
+                    ident = pa.nulls(len(n), pa.int64()) if r["d"] is None else pa.array(get_rising(r["d"]))
                     yield pa.RecordBatch.from_arrays([ident, pa.array(get_rising(r["a"])), pa.array(get(r["b"])), pa.array(n)], ["id", "history", "word_id", "n"])
         m = self.tables[order - 1].filter("kind = 'model'").select("a", "b", "c", "d")
         return m.mapInArrow(words, "id long, word string, n long") if order == 1 else m.mapInArrow(grams, "id long, history long, word_id long, n long")
 
 
-def train(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, cutoff: int = 5, block_tokens: int = 1_500_000,
-          bucket_tokens: int = 4_000_000, hot_tokens: int = 200_000) -> Model:
+def train(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, cutoff: int = 5, block_tokens: int = 1_250_000,
+          bucket_tokens: int = 3_000_000, hot_tokens: int = 200_000) -> Model:
     """Count and normalise the model of ``docs`` less the held-out fold."""
     blocks = persist(make_blocks(docs, folds, held, block_tokens), "katz-blocks")
     total = blocks.agg(F.sum("n")).first()[0] or 0

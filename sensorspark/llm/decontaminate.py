@@ -5,15 +5,19 @@ into e + 1 pieces, at least one piece must occur unchanged, so the exact hits
 of all pieces (one Aho-Corasick pass over each text) give every candidate
 place; Myers' bit-parallel distance over that place decides.  Texts and items
 are compared lower-cased with every run of other characters than letters and
-digits as one blank.
+digits as one blank.  An item that is allowed no edit (below two pieces of
+``min_piece`` characters, however short) must occur unchanged between word
+borders; with edits a cut word costs some.
 
-The items come in blocks of at most ``block_chars`` characters, each sent to
-all tasks and held against all documents; the documents never move.
+The different item texts come in blocks of about ``block_chars`` characters, each
+sent to all tasks and held against all documents; the documents never move.  The
+matches of a text are joined with the items that have it.
 
 Cases: NULL texts count as empty and match nothing; items without a letter or
-digit, or a NULL id or text, are left out; repeated items and rows count each;
+digit, or a NULL text, are left out; an item without an id counts (its matches have a NULL
+id); repeated items and rows count each;
 an empty table on either side gives no matches; other columns stay (filter) or
-are ignored (matches); clashing column names do no harm, as no join is made.
+are ignored (matches), whatever their names.
 """
 
 from __future__ import annotations
@@ -111,6 +115,13 @@ class Matcher:
             item_id, eq, m, e = self.items[k]
             best = (e + 1, -1)
             starts.sort()
+            if e == 0:
+                at = next((a for a in starts if t[a - 1:a] in ("", " ") and t[a + m:a + m + 1] in ("", " ")), None)
+                if at is not None:
+                    out.append((item_id, 0, at + m))
+                    if first:
+                        break
+                continue
             i = 0
             while i < len(starts):
                 a = b = starts[i]
@@ -131,14 +142,13 @@ class Matcher:
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int):
-    """The items, one bounded block after the other."""
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(
-        "item_id IS NOT NULL AND text IS NOT NULL")
+    """The different item texts with their MD5, one bounded block after the other."""
+    b = benchmark.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     total = b.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     for i in range(n):
-        rows = b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield sorted((r.item_id, r.text) for r in rows)
+        rows = b.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).select(F.md5(F.col("text").cast("binary")).alias("key"), "text").collect()
+        yield sorted((r.key, r.text) for r in rows)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.07, block_chars: int = 4_000_000) -> DataFrame:
@@ -152,11 +162,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.07, block_cha
             for b in batches:
                 rows = [(i, *m) for i, t in enumerate(b.column("text").to_pylist()) for m in find(t)]
                 yield pa.RecordBatch.from_arrays(
-                    [pc.take(b.column("doc_id"), pa.array([r[0] for r in rows], pa.int64())),
-                     *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]], ["doc_id", "item_id", "edits", "end"])
-        part = d.mapInArrow(run, "doc_id long, item_id long, edits long, end long")
+                    [pc.take(b.column("doc_id"), pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()),
+                     *[pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3)]], ["doc_id", "key", "edits", "end"])
+        part = d.mapInArrow(run, "doc_id long, key string, edits long, end long")
         out = part if out is None else out.unionByName(part)
-    return out
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.md5(F.col("text").cast("string").cast("binary")).alias("key"))
+    return out.join(named, "key").select("doc_id", "item_id", "edits", "end")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.07, block_chars: int = 4_000_000) -> DataFrame:

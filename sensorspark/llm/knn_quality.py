@@ -12,7 +12,8 @@ similarity, labels of the rarer class weighted up.
 
 Cases: NULL and empty texts have no terms but their style; a text that
 resembles no labelled one gets the share of label 1; without labels every score
-is 0.5; of labels that repeat an id each value counts once; rows with a NULL id or label
+is 0.5; of labels that repeat an id each value counts once, of documents that
+do one trains; rows with a NULL id or label
 are no training rows but are scored; repeated rows are scored each; an empty
 table gives no rows; ``documents`` columns other than text are never read by
 the score.
@@ -129,7 +130,8 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, max_labelled: int) -> tuple[np.ndarray, np.ndarray]:
     """(features, labels) of at most ``max_labelled`` labelled documents out
-    of the held-out fold: the first by a hash of id and label."""
+    of the held-out fold: the first by a hash of id and label.  Of documents
+    that share an id the one whose text has the smallest hash trains."""
     known = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(crc_fold(F.col("doc_id"), folds) != held)
              .select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")))
     ids = hashed_sample(known, ["_id", "_y"], max_labelled)
@@ -140,9 +142,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, max
                 yield pa.RecordBatch.from_arrays(
                     [p.column("_id"), p.column("_y"), pa.array([zlib.compress(v.tobytes(), 1) for v in features(_texts(p))], pa.binary())],
                     ["id", "y", "x"])
-    rows = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")   # at most max_labelled pairs
-            .mapInArrow(run, "id long, y int, x binary").limit(2 * max_labelled).collect())
+    text = F.col("text").cast("string")
+    rows = (docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))       # at most max_labelled pairs
+            .groupBy("_id", "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+            .mapInArrow(run, "id long, y int, x binary").collect())
     rows.sort(key=lambda r: (r.id, r.y, r.x))
     x = np.stack([np.frombuffer(zlib.decompress(r.x), np.float32) for r in rows]) if rows else np.zeros((0, DIM), np.float32)
     return x, np.array([r.y for r in rows], np.int64)

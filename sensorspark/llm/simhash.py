@@ -10,9 +10,9 @@ one mask: no pair can be missed.
 Only distinct fingerprints enter the tables, so copies cost one row.  Inside a
 table bucket the pairs are compared in numpy blocks and only the links that
 join two components of the bucket leave it (at most one a row).  A bucket
-above ``bucket_limit`` rows is split again by four blocks of its remaining
-bits: two members within r <= 3 bits agree on one block whole, so the split
-loses no pair either.
+above ``bucket_limit`` rows is split by r + 1 blocks of the bits on which its members
+need not agree, and its parts again, until none is above the limit: two members
+within r bits agree on one block whole, so a split loses no pair either.
 
 Cases: NULL texts count as empty; texts without words have fingerprint zero
 and link like any other; repeated rows stay, one result each; NULL ids never
@@ -110,28 +110,29 @@ def local_links(fp: np.ndarray, radius: int, block: int = 2048) -> list[tuple[in
 def links(fps: DataFrame, radius: int = 3, bucket_limit: int = 4096, group_rows: int = 300_000) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp`` that connect all
     pairs within ``radius`` bits."""
-    masks = covering_masks(radius)
-    rows = max(1, fps.count()) * len(masks)
-    groups = max(1, -(-rows // group_rows))
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
-                                 for t, m in enumerate(masks)]))
-    keyed = fps.select("fp", tables.alias("x")).select("fp", "x.t", "x.key")
-    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = keyed.join(sizes, ["t", "key"])
-    whole = shared.filter(F.col("n") <= bucket_limit).withColumn("sub", F.lit(0).cast("long")).withColumn("part", F.lit(0))
-    parts = F.lit(None)
-    for t, m in enumerate(masks):
-        subs = F.array(*[F.struct(F.lit(p + 1).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("sub"))
-                         for p, x in enumerate(_blocks_of(m, radius + 1))])
-        parts = F.when(F.col("t") == t, subs) if t == 0 else parts.when(F.col("t") == t, subs)
-    large = shared.filter(F.col("n") > bucket_limit).withColumn("s", F.explode(parts)).select(
-        "fp", "t", "key", "n", F.col("s.sub").alias("sub"), F.col("s.part").alias("part"))
-    cols = ["fp", "t", "key", "sub", "part"]
-    every = whole.select(*cols).unionByName(large.select(*cols))
+    free = [_signed(~m & (1 << 64) - 1) for m in covering_masks(radius)]      # bits on which a bucket's members need not agree
+    key = F.col("fp").bitwiseAND(F.bitwise_not("free"))
+    keyed = fps.select("fp", F.explode(F.array(*[F.lit(x) for x in free])).alias("free")).withColumn("key", key)
+    total, every = 0, None
+    while True:
+        sizes = persist(keyed.groupBy("free", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+        total += sizes.agg(F.sum("n")).first()[0] or 0
+        over = [r.free for r in sizes.filter(F.col("n") > bucket_limit).select("free").distinct().collect()]        # at most the bit sets of a level
+        parts = {x: _blocks_of(~x & (1 << 64) - 1, radius + 1) for x in over if bin(x & (1 << 64) - 1).count("1") > radius}
+        shared = keyed.join(sizes, ["free", "key"])
+        large = (F.col("n") > bucket_limit) & F.col("free").isin(list(parts))
+        small = (shared.filter(~large) if parts else shared).select("fp", "free", "key")
+        every = small if every is None else every.unionByName(small)
+        if not parts:
+            break
+        rows = [(x, _signed(x & ~block & (1 << 64) - 1)) for x, blocks in parts.items() for block in blocks]
+        finer = fps.sparkSession.createDataFrame(rows, "free long, finer long")
+        keyed = persist(shared.filter(large).join(F.broadcast(finer), "free").select("fp", F.col("finer").alias("free")).distinct().withColumn("key", key), "parts")
+    groups = max(1, -(-total // group_rows))
 
     def run(g):
-        k = g[["t", "key", "part", "sub"]].to_numpy()
-        order = np.lexsort((k[:, 3], k[:, 2], k[:, 1], k[:, 0]))
+        k = g[["free", "key"]].to_numpy()
+        order = np.lexsort((k[:, 1], k[:, 0]))
         k, fp = k[order], g["fp"].to_numpy()[order].view(np.uint64)
         cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1), [True]]))
         found = []
@@ -142,7 +143,7 @@ def links(fps: DataFrame, radius: int = 3, bucket_limit: int = 4096, group_rows:
         v = fp.view(np.int64)
         return pd.DataFrame({"a": v[f[:, 0]], "b": v[f[:, 1]]})
 
-    group = F.pmod(F.xxhash64("t", "key", "part", "sub"), F.lit(groups))
+    group = F.pmod(F.xxhash64("free", "key"), F.lit(groups))
     return every.withColumn("g", group).groupBy("g").applyInPandas(run, "a long, b long").distinct()
 
 

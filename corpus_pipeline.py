@@ -7,10 +7,13 @@ read again as the next stage's documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sensorspark.llm import decontaminate, knn_quality, packing, pii_crf, simhash
-from sensorspark.llm.common import persist, read_table
+from sensorspark.llm.common import read_table, scratch
+from sensorspark.session import checkpoint_dir, remove_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's working tables, and the table
+    that it read, are deleted once its result is stored."""
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = persist(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark, f"pipeline-{name}"):
+            out = stage(spark, docs, sf_dir)
+            path = f"{checkpoint_dir(spark)}/llm/pipeline-{name}-{uuid.uuid4().hex}"
+            out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            remove_path(spark, last)
+        last = path
     return docs

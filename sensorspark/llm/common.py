@@ -5,11 +5,12 @@ from __future__ import annotations
 import gc
 import string
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.session import checkpoint_dir
+from sensorspark.session import checkpoint_dir, remove_path
 
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -20,14 +21,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_FOLDERS: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """Tables that ``persist`` writes inside are deleted at the end; what they
+    were for must be stored elsewhere by then."""
+    folder = f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    try:
+        yield
+    finally:
+        _FOLDERS.remove(folder)
+        remove_path(spark, folder)
+
+
 def persist(df: DataFrame, tag: str, partition_by=()) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
     This cuts the lineage at a table that every executor can read, so a lost
-    executor costs only the tasks in flight.
+    executor costs only the tasks in flight.  Without ``scratch`` the table stays
+    (a caller may still read what is made from it).
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/llm/{tag}-{uuid.uuid4().hex}"
+    folder = _FOLDERS[-1] if _FOLDERS else f"{checkpoint_dir(spark)}/llm"
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

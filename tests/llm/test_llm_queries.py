@@ -147,6 +147,26 @@ def test_library_stands_without_the_subpackage():
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
 
 
+def test_pipeline_leaves_its_result_only(spark):
+    import os
+
+    from sensorspark.session import checkpoint_dir
+    root = f"{checkpoint_dir(spark)}/llm"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    out = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(root)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-packing-") and out.count() > 0
+
+
+def test_a_broken_import_is_not_excused():
+    import os
+    import subprocess
+    import sys
+    code = "import sys; sys.modules['ahocorasick'] = None; sys.modules['zstandard'] = None; import __spark_entry__"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode != 0
+
+
 @pytest.mark.parametrize("limit", [1, 3])
 def test_local_links_span_the_components(limit):
     import numpy as np

@@ -849,7 +849,30 @@ def q_panel_feature_forecast(spark, sf):
     features, iterated for a day."""
     f = features(spark, sf, LOC)
     train = panel_rows(spark, sf, f).filter("split = 'train'")
-    return RC.feature_forecast(f, LS.least_squares(train, X_COLUMNS, "y", LOC), 24, series_cols=LOC)
+    return RC.feature_forecast(f, materialize(LS.least_squares(train, X_COLUMNS, "y", LOC)), 24, series_cols=LOC)
+
+
+def q_panel_linear_score(spark, sf):
+    """M2/M3: each location's least squares over the feature vector, scored on
+    all its windows."""
+    rows = panel_rows(spark, sf, features(spark, sf, LOC))
+    model = materialize(LS.least_squares(rows.filter("split = 'train'"), X_COLUMNS, "y", LOC))
+    return LS.linear_score(rows, model, X_COLUMNS, LOC, "pred_linear").select("location", "ts", "split", "y", "pred_linear")
+
+
+def q_column_checks(spark, sf):
+    """What required columns the stored tables lack and what they have
+    that the measurement view has not, with their rows; the view lacks none."""
+    ensure_utc(spark)
+    view = C.standardize(mview(spark, sf))
+    tables = {"view": view, **{n: S.read_table(spark, sf, n) for n in ("events", "lineitem", "nation")}}
+    out = []
+    for name, t in tables.items():
+        d = C.column_set_diff(t, view)
+        out.append(t.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table"), "rows", F.lit(",".join(sorted(C.validate_columns(t)))).alias("missing"), F.lit(d["match"]).alias("match"),
+            F.lit(",".join(d["only_left"])).alias("only_here")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def q_tree_forecast(spark, sf):
@@ -972,6 +995,8 @@ QUERIES.update({
     "panel_ar_lags_forecast": q_panel_ar_lags_forecast,
     "panel_feature_forecast": q_panel_feature_forecast,
     "tree_forecast": q_tree_forecast,
+    "panel_linear_score": q_panel_linear_score,
+    "column_checks": q_column_checks,
     # fitted by pyspark.ml: no SQL, tested against NumPy
     "linear_forecast": q_linear_forecast,
     "batch_score": q_batch_score,

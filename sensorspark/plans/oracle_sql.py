@@ -627,6 +627,18 @@ dy AS (SELECT *, CAST(floor((epoch(fetch_end) - epoch(fetch_start)) / 86400) AS
     q["panel_feature_forecast"] = fin("WITH RECURSIVE " + ",\n".join([*panel, wx, *ols_sql("wx", _x(feature_cols()), "lm"), *feature_recursion_sql(),
         """final_ AS (SELECT location, last_ts + h * INTERVAL 1 HOUR AS ts, h, hy[73] AS forecast, 'recursive' AS forecast_type FROM rec WHERE h > 0)"""]),
                                       "location:s ts:t h:i forecast:d forecast_type:s")
+    q["panel_linear_score"] = fin("WITH RECURSIVE " + ",\n".join([*panel, wx, *ols_sql("wx", _x(feature_cols()), "lm"),
+        f"""final_ AS (SELECT location, ts, split, y, intercept + list_sum(list_transform([{", ".join(_x(feature_cols()))}], lambda v, i: v * coef[i])) AS pred_linear
+  FROM wx JOIN lm USING (location))"""]), "location:s ts:t split:s y:d pred_linear:d")
+    view = "['arrival', 'datetime', 'latitude', 'location', 'longitude', 'parameter', 'sensor_id', 'unit', 'value']"
+    need = "['datetime', 'value', 'parameter', 'unit', 'location', 'latitude', 'longitude']"
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in ("events", "lineitem", "nation"))
+    q["column_checks"] = fin(f"""WITH have AS (SELECT table_name AS "table", list(column_name) AS c FROM information_schema.columns WHERE table_name IN ('events', 'lineitem', 'nation') GROUP BY 1
+  UNION ALL SELECT 'view', {view}),
+n AS ({counts} UNION ALL SELECT 'view', count(*) FROM events),
+final_ AS (SELECT "table", rows, array_to_string(list_sort(list_filter({need}, lambda x: NOT list_contains(c, x))), ',') AS missing,
+  list_sort(c) = {view} AS match, array_to_string(list_sort(list_filter(c, lambda x: NOT list_contains({view}, x))), ',') AS only_here FROM have JOIN n USING ("table"))""",
+                             "table:s rows:i missing:s match:b only_here:s")
     tcmp = [x.replace("pred_seasonal", "pred_ar1", 1).replace("y, pred_ar1 FROM mp WHERE split = 'test')", "y, pred_tree FROM bt JOIN mp USING (location, ts, y) WHERE split = 'test')")
             if x.startswith("cl AS") else x for x in pcmp]
     q["tree_forecast"] = fin("WITH RECURSIVE " + ",\n".join([*panel, wx, *boosting_sql(_x(feature_cols())), *tcmp, "final_ AS (SELECT * FROM cmp)"]), "location:s " + CMP_SPEC)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from sensorspark.constants import (CLAIM_MSE_IMPROVEMENT, IMPROVEMENT_EPS, IOA_EPS, MAPE_FLOOR,
                                    PERSISTENCE_ALARM_FACTOR, WITHIN_PCT, WITHIN_UNITS)
 
+#: Variance of a truth, as a share of its squared mean, that is rounding only.
+CONSTANT = 1e-24
+
 METRIC_NAMES = ["mse", "rmse", "mae", "r2", "mape", "within_25pct", "within_50", "bias", "index_of_agree"]
 
 
@@ -34,14 +37,17 @@ def _sums(y: Column, p: Column, ybar: Column, prefix: str = "") -> list[Column]:
     out = {"n": F.count(e).cast("bigint"), "mse": F.avg(e * e), "mae": F.avg(F.abs(e)), "ssres": F.sum(e * e),
            "sstot": F.sum(F.when(p.isNotNull(), F.pow(y - ybar, 2))), "mape": F.avg(F.abs(e) / denom) * 100,
            "within_25pct": share(F.abs(e) / denom <= F.lit(WITHIN_PCT)), "within_50": share(F.abs(e) <= F.lit(WITHIN_UNITS)),
-           "bias": F.avg(e), "ioa": F.sum(F.pow(F.abs(p - ybar) + F.abs(y - ybar), 2))}
+           "bias": F.avg(e), "ybar": F.max(ybar), "ioa": F.sum(F.pow(F.abs(p - ybar) + F.abs(y - ybar), 2))}
     return [c.alias(f"_{prefix}{k}") for k, c in out.items()]
 
 
 def _metrics(prefix: str = "") -> dict[str, Column]:
     """METRIC_NAMES from the columns of ``_sums``."""
     c = lambda k: F.col(f"_{prefix}{k}")
-    r2 = (F.when(c("sstot") == 0, F.when(c("ssres") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    # a truth that is constant up to rounding has no variance; a prediction may equal it up to rounding
+    rounding = F.lit(CONSTANT) * c("n") * c("ybar") * c("ybar")
+    constant = c("sstot") <= rounding
+    r2 = (F.when(constant, F.when(c("ssres") <= rounding, F.lit(1.0)).otherwise(F.lit(0.0)))
            .otherwise(F.lit(1.0) - c("ssres") / c("sstot")))
     return {"mse": c("mse"), "rmse": F.sqrt(c("mse")), "mae": c("mae"), "r2": r2, "mape": c("mape"), "within_25pct": c("within_25pct"),
             "within_50": c("within_50"), "bias": c("bias"), "index_of_agree": F.lit(1.0) - c("ssres") / (c("ioa") + F.lit(IOA_EPS))}

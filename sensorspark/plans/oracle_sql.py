@@ -146,7 +146,7 @@ rl{x} AS (SELECT run_date, y, 'baseline' AS model, {base} AS pred FROM rp{x}
 rm0{x} AS (SELECT run_date, model, avg(y) AS ybar FROM rl{x} GROUP BY run_date, model),
 rm{x} AS (SELECT rl{x}.run_date, rl{x}.model, count(*) AS n,
          avg((pred - y) * (pred - y)) AS mse, avg(abs(pred - y)) AS mae,
-         sum((pred - y) * (pred - y)) AS ssres, sum((y - ybar) * (y - ybar)) AS sstot,
+         sum((pred - y) * (pred - y)) AS ssres, sum((y - ybar) * (y - ybar)) AS sstot, max(ybar) AS yb,
          avg(abs(pred - y) / greatest(abs(y), 1.0)) * 100 AS mape,
          avg(CASE WHEN abs(pred - y) / greatest(abs(y), 1.0) <= 0.25 THEN 1.0 ELSE 0.0 END) * 100 AS within_25pct,
          avg(CASE WHEN abs(pred - y) <= 50 THEN 1.0 ELSE 0.0 END) * 100 AS within_50,
@@ -154,7 +154,7 @@ rm{x} AS (SELECT rl{x}.run_date, rl{x}.model, count(*) AS n,
          sum((abs(pred - ybar) + abs(y - ybar)) * (abs(pred - ybar) + abs(y - ybar))) AS ioa_den
        FROM rl{x} JOIN rm0{x} USING (run_date, model) GROUP BY rl{x}.run_date, rl{x}.model),
 rm2{x} AS (SELECT run_date, model, n, mse, sqrt(mse) AS rmse, mae,
-          CASE WHEN sstot = 0 THEN CASE WHEN ssres = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 - ssres / sstot END AS r2,
+          CASE WHEN sstot <= 1e-24 * n * yb * yb THEN CASE WHEN ssres <= 1e-24 * n * yb * yb THEN 1.0 ELSE 0.0 END ELSE 1.0 - ssres / sstot END AS r2,
           mape, within_25pct, within_50, bias, 1.0 - ssres / (ioa_den + 1e-8) AS index_of_agree FROM rm{x}),
 pr{x} AS (SELECT run_date, sqrt(avg((y - {pers}) * (y - {pers}))) AS persistence_rmse FROM rp{x} GROUP BY run_date),
 runs0{x} AS (SELECT b.run_date,
@@ -195,7 +195,7 @@ def metrics_sql(src: str, group: str) -> list[str]:
     return [
         f"mm0 AS (SELECT {g}, avg(y) AS ybar FROM {src} GROUP BY {g})",
         f"""mm1 AS (SELECT s.{g}, count(*) AS n, avg((pred - y) * (pred - y)) AS mse, avg(abs(pred - y)) AS mae,
-            sum((pred - y) * (pred - y)) AS ssres, sum((y - ybar) * (y - ybar)) AS sstot,
+            sum((pred - y) * (pred - y)) AS ssres, sum((y - ybar) * (y - ybar)) AS sstot, max(ybar) AS yb,
             avg(abs(pred - y) / greatest(abs(y), 1.0)) * 100 AS mape,
             avg(CASE WHEN abs(pred - y) / greatest(abs(y), 1.0) <= 0.25 THEN 1.0 ELSE 0.0 END) * 100 AS within_25pct,
             avg(CASE WHEN abs(pred - y) <= 50 THEN 1.0 ELSE 0.0 END) * 100 AS within_50,
@@ -203,7 +203,7 @@ def metrics_sql(src: str, group: str) -> list[str]:
             sum((abs(pred - ybar) + abs(y - ybar)) * (abs(pred - ybar) + abs(y - ybar))) AS ioa_den
           FROM {src} s JOIN mm0 USING ({g}) GROUP BY s.{g})""",
         f"""mm AS (SELECT {g}, n, mse, sqrt(mse) AS rmse, mae,
-            CASE WHEN sstot = 0 THEN CASE WHEN ssres = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 - ssres / sstot END AS r2,
+            CASE WHEN sstot <= 1e-24 * n * yb * yb THEN CASE WHEN ssres <= 1e-24 * n * yb * yb THEN 1.0 ELSE 0.0 END ELSE 1.0 - ssres / sstot END AS r2,
             mape, within_25pct, within_50, bias, 1.0 - ssres / (ioa_den + 1e-8) AS index_of_agree FROM mm1)"""]
 
 

@@ -335,3 +335,13 @@ def test_dedup_by_one_order_column_needs_no_sort(spark):
     assert sorted(((r["parameter"], r["value"], r["arrival"]) for r in out.collect())) == [("p", 2.0, 3), ("q", None, 5)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_r2_of_a_truth_that_is_constant_up_to_rounding(spark):
+    """The mean of equal doubles need not equal them in the last digit."""
+    for y in (0.1, 22.752048, 1e-9, 3e7 + 0.1):
+        df = spark.createDataFrame([(y, y + 1.0, y) for _ in range(87)], "y double, a double, b double").repartition(5)
+        m = compare_models(df, "y", "a", "b").first()
+        assert (m.baseline_r2, m.candidate_r2) == (0.0, 1.0)
+    df = spark.createDataFrame([(1e6 + i * 1e-3, 1e6) for i in range(50)], "y double, pred double")
+    assert regression_metrics(df).first().r2 < 0.5           # small, but a variance

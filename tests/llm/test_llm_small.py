@@ -13,7 +13,7 @@ from bruteforce_simhash import components, groups
 from fixtures import EDGE, LONG, empty, frame
 from pyspark.sql import functions as F
 
-from sensorspark.llm import decontaminate, katz, knn_quality, licenses, packing, pii_crf, simhash, suffix_dedup, syncmers
+from sensorspark.llm import common, decontaminate, katz, knn_quality, licenses, packing, pii_crf, simhash, suffix_dedup, syncmers
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +61,44 @@ def test_katz_model_table(spark, edge):
     assert two == {(end(a), end(b)): c for (a, b), c in want.counts[2].items()}
 
 
+def test_katz_keeps_no_words_beside_their_ids(spark, edge, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "checkpoint_dir", lambda _: str(tmp_path))
+    m = katz.train(edge, order=3, block_tokens=500, bucket_tokens=4000)
+    assert {"words", "n"}.isdisjoint(m.blocks.columns)
+    kinds = {tuple(sorted(k.name for k in t.iterdir() if k.name.startswith("kind="))) for t in (tmp_path / "llm").glob("katz-1-*")}
+    assert kinds == {("kind=model", "kind=stat", "kind=sum")} and not list((tmp_path / "llm").glob("katz-raw-*"))
+    # each id is the word's and small ids are the frequent words'
+    words = {r.word: (r.id, r.n) for r in m.ngrams(1).collect()}
+    for part in range(m.plan["buckets"]):
+        own = sorted(v for v in words.values() if (v[0] - 2) % m.plan["buckets"] == part)
+        assert [n for _, n in own] == sorted((n for _, n in own), reverse=True)
+
+
+def test_katz_asks_each_bucket_in_one_round(spark, edge):
+    def told(rounds):
+        m = katz.train(edge, order=3, block_tokens=500, bucket_tokens=300, hot_tokens=20, rounds=rounds)
+        assert m.plan["buckets"] > 2
+        return sorted((r.block, r.part, r.a) for r in m.tables[2].filter("kind = 'reply'").collect()), sorted(
+            (r.history, r.word_id, r.n) for r in m.ngrams(3).collect())
+    one, three = told(1), told(3)
+    assert one == three and len({r[:2] for r in one[0]}) == len(one[0])
+
+
+def test_katz_blocks_hold_every_document_once(spark):
+    texts = ["", None, " \t ", "A b\x0bC", "\n" + "x y z " * 40, *[f"w{i} w{i % 7}\x1f  e" for i in range(300)]]
+    docs = frame(spark, list(enumerate(texts)), 3)
+    for size in (1, 7, 150, 10_000):
+        got = {}
+        for r in katz.make_blocks(docs, 7, 2, size).collect():
+            words, sizes = katz.get_words(r.words), katz.get(r.sizes)
+            tokens = [words[i] for i in katz.get(r.tokens)]
+            assert len(set(words)) == len(words) and r.n == len(tokens) == sizes.sum() and r.n - sizes[-1] < size
+            for i, part in zip(r.doc_id, np.split(np.array([*tokens, None], object)[:-1], np.cumsum(sizes)[:-1])):
+                assert i not in got
+                got[i] = part.tolist()
+        assert got == {i: katz.tokens_of(t and t.encode()) for i, t in enumerate(texts)}
+
+
 def test_katz_empty_and_untrained(spark):
     assert katz.score(empty(spark)).count() == 0
     held = next(i for i in range(100) if fold(i, 7) == 2)
